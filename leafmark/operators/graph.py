@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmark.storage import stage
+
 LIMIT = 128
 
 
@@ -13,7 +15,7 @@ def ancestors(edges: DataFrame, child: str, parent: str, limit: int = LIMIT) ->
     step = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_p is not null")
     out = reached = step.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"), F.lit(1).alias("depth"))
     for depth in range(2, limit + 2):
-        reached = reached.join(step, reached["ancestor"] == step["_c"]).select("node", F.col("_p").alias("ancestor"), F.lit(depth).alias("depth"))
+        reached = stage(reached.join(step, reached["ancestor"] == step["_c"]).select("node", F.col("_p").alias("ancestor"), F.lit(depth).alias("depth")), "ancestors")
         if reached.isEmpty():
             return out
         out = out.unionAll(reached)
@@ -31,13 +33,12 @@ def chains(links: DataFrame, keys: list[str], source: str, target: str) -> DataF
     Pointers are doubled each round, so the rounds grow with the logarithm of
     the longest chain.
     """
-    ends = links.select(*keys, F.col(source).alias("at"), F.col(target).alias("to"), F.lit(1).cast("long").alias("n"))
-    heads = ends.join(ends.select(*keys, F.col("to").alias("at")), [*keys, "at"], "left_anti")
-    jump = ends
+    jump = stage(links.select(*keys, F.col(source).alias("at"), F.col(target).alias("to"), F.lit(1).cast("long").alias("n")), "links")
+    heads = jump.join(jump.select(*keys, F.col("to").alias("at")), [*keys, "at"], "left_anti")
     while True:
         nxt = jump.select(*keys, F.col("at").alias("to"), F.col("to").alias("_to"), F.col("n").alias("_n"))
-        grown = heads.join(nxt, [*keys, "to"])
-        if grown.isEmpty():
+        if heads.join(nxt, [*keys, "to"], "left_semi").isEmpty():
             return heads.select(*keys, F.col("at").alias("head"), "n")
-        heads = heads.join(nxt, [*keys, "to"], "left").select(*keys, "at", F.coalesce("_to", "to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
-        jump = jump.join(nxt, [*keys, "to"], "left").select(*keys, "at", F.coalesce("_to", "to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+        further = (*keys, "at", F.coalesce("_to", "to").alias("to"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"))
+        heads = stage(heads.join(nxt, [*keys, "to"], "left").select(*further), "heads")
+        jump = stage(jump.join(nxt, [*keys, "to"], "left").select(*further), "links")
