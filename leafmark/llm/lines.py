@@ -63,7 +63,7 @@ def dedup(table: DataFrame, host: Column, lines: Column, ratio: float = RATIO, m
     table with the names of the new ones are replaced.
     """
     own = [c for c in table.columns if c not in ("kept_lines", "n_lines", "n_dropped")]
-    base = table.select(*own, F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(lines, F.array().cast("array<string>")).alias("_lines"))
+    base = table.select(F.struct(*own).alias("_own"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(lines, F.array().cast("array<string>")).alias("_lines"))
     keyed = base.withColumn("_keys", F.transform("_lines", _key))
     sets = keyed.select(F.col("_host").alias("host"), F.filter(F.array_distinct("_keys"), lambda k: k.isNotNull()).alias("keys"))
     # a host's boilerplate lines are at most 1 / ratio times its lines a row, so its list is short
@@ -74,7 +74,7 @@ def dedup(table: DataFrame, host: Column, lines: Column, ratio: float = RATIO, m
     gone = F.coalesce("_drop", F.expr("array()").cast("array<struct<a:bigint,b:bigint>>"))
     marked = out.withColumn("_keep", F.transform("_keys", lambda k: k.isNull() | ~F.array_contains(gone, k)))
     return marked.select(
-        *own,
+        "_own.*",
         F.filter("_lines", lambda line, i: F.get(F.col("_keep"), i)).alias("kept_lines"),
         F.size(F.filter("_keys", lambda k: k.isNotNull())).cast("long").alias("n_lines"),
         F.size(F.filter("_keep", lambda k: ~k)).cast("long").alias("n_dropped"),

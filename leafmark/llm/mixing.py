@@ -77,20 +77,19 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS, seed: str
     docs with the names of the new ones are replaced.
     """
     made = ("size", "source_size", "target", "rate", "copies")
-    docs = docs.drop(*made).withColumn("size", n_words())
-    targets = stage(source_targets(docs.select("source", "size"), weights, most), "targets")
-    right = targets.withColumnRenamed("source", "_source")
+    own = [c for c in docs.columns if c not in made]
+    sized = docs.select(F.struct(*own).alias("_own"), "doc_id", "source", n_words().alias("size"))
+    targets = stage(source_targets(sized.select("source", "size"), weights, most), "targets").withColumnRenamed("source", "of")
     if targets.count() <= BROADCAST:
-        right = F.broadcast(right)
-    out = docs.join(right, docs["source"].eqNullSafe(right["_source"])).drop("_source")
+        targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = out.withColumn("rate", rate)
+    out = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
     extra = _draw("doc_id", seed) < F.col("rate") - F.floor("rate")
-    return out.withColumn("copies", (F.floor("rate") + extra.cast("long")).cast("long"))
+    return out.select("_own.*", "size", "source_size", "target", "rate", (F.floor("rate") + extra.cast("long")).cast("long").alias("copies"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """The mixed corpus: each document as often as plan() says, with its copy number from 1."""
-    planned = plan(docs.drop("copy"), weights, most, seed).where("copies > 0")
-    out = planned.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.drop("size", "source_size", "target", "rate", "copies")
+    planned = plan(docs, weights, most, seed).where("copies > 0")
+    own = [c for c in docs.columns if c in planned.columns and c != "copy" and c not in ("size", "source_size", "target", "rate", "copies")]
+    return planned.select(*own, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))

@@ -71,10 +71,10 @@ def measures(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     docs with the names of the new ones are replaced.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_stop_words", "n_upper_chars", "n_repeat_words", "ones"]
-    own = [c for c in docs.columns if c not in made]
+    own = F.struct(*[c for c in docs.columns if c not in made]).alias("_own")  # so no name of theirs meets one of ours
     text = F.coalesce("text", F.lit(""))
     arrays = docs.select(
-        *own,
+        own,
         F.filter(F.split(text, _SPACE), lambda w: w != "").alias("_words"),
         F.filter(F.split(text, "\n"), lambda line: line.rlike(_WORD)).alias("_lines"),
         F.char_length(F.regexp_replace(text, _SPACE, "")).cast("long").alias("word_chars"),
@@ -84,7 +84,7 @@ def measures(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     words, lines = F.col("_words"), F.col("_lines")
     stop = list(dict.fromkeys(form for w in STOP_WORDS for form in (w, w.capitalize(), w.upper())))
     counted = arrays.select(
-        *own, "word_chars", "n_symbols", "n_upper_chars", "_words",
+        "_own", "word_chars", "n_symbols", "n_upper_chars", "_words",
         F.size(words).cast("long").alias("n_words"),
         F.size(lines).cast("long").alias("n_lines"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
@@ -95,7 +95,7 @@ def measures(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     # positions of the windows whose hash occurs again, in order; skipped where all hashes differ
     hashes = F.col("_windows")
     paired = counted.select(
-        *own, *[c for c in counted.columns if c in made],
+        "_own", *[c for c in counted.columns if c in made],
         F.when(
             F.size(F.array_distinct(hashes)) < F.size(hashes),
             F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
@@ -111,7 +111,7 @@ def measures(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         ),
         lambda i: i.isNotNull(),
     )
-    placed = paired.select(*own, *[c for c in paired.columns if c in made], F.sort_array(again).alias("_again"))
+    placed = paired.select("_own", *[c for c in paired.columns if c in made], F.sort_array(again).alias("_again"))
     at = F.col("_again")
     covered = F.aggregate(
         F.transform(at, lambda i, k: F.least(F.lit(window), F.coalesce(F.get(at, k + 1) - i, F.lit(window)))),
@@ -119,7 +119,7 @@ def measures(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         lambda total, n: total + n,
     )
     return placed.select(
-        *own, *[c for c in placed.columns if c in made], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), F.lit(1).cast("long").alias("ones")
+        "_own.*", *[c for c in placed.columns if c in made], F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), F.lit(1).cast("long").alias("ones")
     )
 
 

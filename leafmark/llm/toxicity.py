@@ -22,11 +22,12 @@ from leafmark.llm.words import ALNUM, Words, bounded, text_bytes
 
 #: Labelled texts that are learned from, about.
 TRAIN_TEXTS = 8000
-#: Words of a model at most, chosen by how far their odds are from the mean.
+#: Words of a model at most, chosen by how far their share of positive texts is from that of all texts,
 WORDS = 1500
-MIN_TEXTS = 5
+#: and by at least so many standard deviations, in so many texts.
+LEAST_FAR, MIN_TEXTS = 4.0, 5
 FOLDS = 4
-STEPS, RATE, RIDGE = 150, 0.3, 1e-3
+STEPS, RATE, RIDGE = 300, 0.5, 1e-2
 THRESHOLD = 0.5
 
 
@@ -70,7 +71,7 @@ def _fit(category: str, sets: list[np.ndarray], earlier: np.ndarray, y: np.ndarr
     far = np.abs(positive - seen * base) / np.sqrt(seen * base * (1 - base) + 1)
     far[seen < MIN_TEXTS] = 0
     chosen = np.sort(np.argsort(-far, kind="stable")[:WORDS])
-    chosen = chosen[far[chosen] > 0]
+    chosen = chosen[far[chosen] >= LEAST_FAR]
     spot = np.full(len(words), -1)
     spot[chosen] = np.arange(len(chosen))
     column = spot[place]
