@@ -3,10 +3,10 @@
 import pytest
 from compare import same_rows
 
-from leafmark.plans import evaluation, layout, markup, relations
+from leafmark.plans import composite, evaluation, layout, markup, relations
 
-QUERIES = layout.QUERIES | relations.QUERIES | evaluation.QUERIES | markup.QUERIES
-ORACLES = layout.ORACLES | relations.ORACLES | evaluation.ORACLES | markup.ORACLES
+QUERIES = layout.QUERIES | relations.QUERIES | evaluation.QUERIES | markup.QUERIES | composite.QUERIES
+ORACLES = layout.ORACLES | relations.ORACLES | evaluation.ORACLES | markup.ORACLES | composite.ORACLES
 
 
 @pytest.mark.parametrize("name", QUERIES)
