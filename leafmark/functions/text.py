@@ -81,12 +81,20 @@ for _name in ("kept", "removed", "inserted", "replaced"):
 
 @F.pandas_udf(_BLOCKS)
 def alignment(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-    """Characters kept, removed, inserted and replaced, in the blocks of a longest-match alignment."""
+    """Characters kept, removed, inserted and replaced: a common start and end are kept, words between are aligned by longest matches."""
+    import re
+
+    token = re.compile(r"\w+|\W")
 
     def one(a, b):
-        out = {"equal": 0, "delete": 0, "insert": 0, "replace": 0}
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).get_opcodes():
-            out[tag] += (j - i) if tag in ("equal", "delete") else (m - k)
+        a, b = token.findall(a or ""), token.findall(b or "")
+        start = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        most = min(len(a), len(b)) - start
+        end = next((i for i in range(most) if a[-1 - i] != b[-1 - i]), most)
+        out = {"equal": sum(map(len, a[:start])) + sum(map(len, a[len(a) - end :])), "delete": 0, "insert": 0, "replace": 0}
+        a, b = a[start : len(a) - end], b[start : len(b) - end]
+        for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            out[tag] += sum(map(len, a[i:j] if tag in ("equal", "delete") else b[k:m]))
         return out["equal"], out["delete"], out["insert"], out["replace"]
 
     return pd.DataFrame([one(a, b) for a, b in zip(before, after, strict=True)], columns=["kept", "removed", "inserted", "replaced"])

@@ -198,10 +198,9 @@ def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sequence_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words kept and changed between texts of one source, language and size, by longest-match alignment of their first lines."""
+    """Characters kept and changed between whole texts of one source, language and size, by longest-match alignment."""
     pairs = _near_pairs(spark, sf_dir)
-    line = lambda c: F.substring_index(F.col(c), "\n", 1)
-    return pairs.select("doc_id", "first", T.alignment(line("before"), line("text")).alias("a")).select("doc_id", "first", "a.*")
+    return pairs.select("doc_id", "first", T.alignment("before", "text").alias("a")).select("doc_id", "first", "a.*")
 
 
 def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:

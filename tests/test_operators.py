@@ -175,7 +175,7 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("aaaa.a", "ﬁ ｘ"), (None, None)], "a string, b string")
     got = df.select(T.occurrences(F.col("a"), F.lit("aa")), T.occurrences(F.col("a"), F.lit(".")), T.nfkc("b"), T.grapheme_starts(F.lit("éx")), T.width(F.lit("aé"))).collect()
     assert tuple(got[0]) == (3, 1, "fix", [0, 2, 3], 18) and got[1][2] is None
-    assert df.limit(1).select(T.alignment(F.lit("abcd"), F.lit("abXd")).alias("x")).select("x.*").first() == (3, 0, 0, 1)
+    assert df.limit(1).select(T.alignment(F.lit("one two end"), F.lit("one 2 end")).alias("x")).select("x.*").first() == (8, 0, 0, 1)
     joins = [("Hello,", "world", " "), ("日本", "語", ""), ("a", "", ""), ("x ", "y", " ")]
     for left, right, want in joins:
         assert spark.range(1).select(T.separator(F.lit(left), F.lit(right))).first()[0] == want
