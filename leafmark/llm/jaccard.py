@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from leafmark.llm import exchange as ex
 from leafmark.llm.components import components
 from leafmark.llm.shared import stage
-from leafmark.llm.words import LOWER, Words, bounded, inner_windows, mix, text_bytes, window_hashes
+from leafmark.llm.words import LOWER, Words, bounded, inner_windows, mix, places, text_bytes, window_hashes
 
 WIDTH = 5
 PERCENT = 75
@@ -130,13 +130,11 @@ def _prefixes(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> Dat
         return ex.asks(rows)
 
     def merge(rows):
-        total = np.zeros(cells, np.uint32)
-        at = [ex.unpack(r["keys"], r["n"], True).astype(np.int64) for r in rows]
-        for r, a in zip(rows, at, strict=True):
-            total[a] += ex.unpack(r["extra"], r["n"]).astype(np.uint32)
+        _, place = places(np.concatenate([ex.unpack(r["keys"], r["n"], True) for r in rows]))
+        total = np.bincount(place, weights=np.concatenate([ex.unpack(r["extra"], r["n"]) for r in rows]))
         # 0: one text has it; else a coarse logarithm, which orders all texts' shingles alike
         level = np.where(total > 1, 1 + np.floor(8 * np.log2(np.maximum(total, 1))), 0).astype(np.uint64)
-        return [ex.pack(level[a]) for a in at]
+        return [ex.pack(level[a]) for a in np.split(place, np.cumsum([r["n"] for r in rows])[:-1])]
 
     def prefix(table, told):
         ids, sets = _own_sets(table, told, width)
@@ -258,4 +256,4 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     bound = same_id.join(repeated, "doc_id").selectExpr("doc_id u", "rep v")
     linked = components(stars.unionAll(more).unionAll(bound))
     roots = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    return sets.join(roots, "digest", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    return sets.join(roots, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
