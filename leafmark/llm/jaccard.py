@@ -4,20 +4,23 @@ A document's set is its distinct shingles of `width` words; two documents link
 when the intersection is at least `percent` hundredths of the union.
 
 1. Documents of equal sets become one class, by an aggregation on a digest.
-2. The corpus is asked how many chunks and texts hold each shingle; a class
-   representative keeps as its prefix the rarest shingles that any partner
-   must share one of (all but percent hundredths of the set, plus one).
-3. Groups of similar documents: each document is held against the member
-   with the smallest id among those that share most of its prefix; verified
-   pairs make stars, and stars join to groups, split where they are large.
+2. The corpus is asked how many texts hold each shingle; a class
+   representative keeps its rarest shingles as its prefix: all but percent
+   hundredths of the set, and SHARED hundredths more.  The prefixes of linked
+   documents have at least SHARED hundredths (of the smaller set) in common.
+3. Groups of similar documents: of the documents with a prefix shingle, that
+   with most in common with others is its centre; each document is held
+   against the centre of most of its prefix.  Verified pairs make stars, and
+   stars join to groups, split where they are large.
 4. The token-group matrix has the prefix shingles of every group; a document
-   meets groups other than its own that share a shingle and can hold a set of
-   fitting size.  A group's token union bounds the intersection with each of
+   meets groups other than its own that have enough of its prefix and can
+   hold a set of fitting size.  A group's token union bounds the intersection with each of
    its members, and only groups whose bound suffices are opened: members are
-   then compared until one links, which joins both groups.
+   then compared until one links, which joins both groups.  Groups that share
+   most shingles come first, and those that links have joined are left out.
 
-Each pair of linked documents shares a prefix shingle, so it is either in one
-group or met in step 4: no link between groups is lost, while within a group
+Each pair of linked documents shares so much of its prefixes that it is either
+in one group or met in step 4: no link between groups is lost, while within a group
 of near copies nobody enumerates pairs.
 """
 
@@ -26,7 +29,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.llm import exchange as ex
@@ -36,8 +39,12 @@ from leafmark.llm.words import LOWER, Words, bounded, inner_windows, mix, places
 
 WIDTH = 5
 PERCENT = 75
-#: Members of a group, and queries held against it in one task, about.
-GROUP, QUERIES = 32, 256
+#: Shingles of a group's members, and queries held against it in one task, about.
+GROUP, QUERIES = 250_000, 256
+#: Hundredths of a set that linked documents share within their prefixes, at least.
+SHARED = 15
+#: Groups that a document meets before its other groups are looked at.
+NEAREST = 2
 #: Rows of 24 bytes that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 1_000_000
 #: Cells in the table of shingle counts for each shingle.
@@ -154,7 +161,7 @@ def _prefixes(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> Dat
                 n, seen = len(own), level[begin : begin + len(own)]
                 begin += n
                 least = -(-percent * n // 100)
-                rarest = np.lexsort((own, seen))[: n - least + 1]
+                rarest = np.lexsort((own, seen))[: n - least + max(1, n * SHARED // 100)]
                 out += [(t, doc, n) for t in own[rarest[seen[rarest] > 0]].view(np.int64).tolist()]
         columns = list(zip(*out, strict=True)) if out else [()] * 3
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["token", "doc", "n"])
@@ -163,15 +170,6 @@ def _prefixes(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> Dat
     return ex.told(dealt, mine.unionAll(levels.select("chunk", "block", "answer")), prefix, "token long, doc long, n long")
 
 
-def _links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
-    both = np.concatenate([a, b])
-    both.sort()
-    shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
 def _probe(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) of queries (g, h, doc, set) to the first linking member of groups (g, h, doc, set).
 
@@ -188,18 +186,21 @@ def _probe(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
         own = [(d, np.frombuffer(s, np.uint64)) for d, s in sorted(zip(left["doc"].to_pylist(), left["set"].to_pylist(), strict=True))]
         out = []
         if own:
-            union = np.concatenate([s for _, s in own])
-            union.sort()
-            smallest = min(len(s) for _, s in own)
+            tokens, sizes = np.concatenate([s for _, s in own]), np.array([len(s) for _, s in own])
+            order = np.argsort(tokens)
+            tokens, owner = tokens[order], np.repeat(np.arange(len(own)), sizes)[order]
             for doc, raw in zip(right["doc"].to_pylist(), right["set"].to_pylist(), strict=True):
                 q = np.frombuffer(raw, np.uint64)
-                at = np.minimum(np.searchsorted(union, q), len(union) - 1)
-                bound = int((union[at] == q).sum())  # of the intersection with any member
-                if 100 * bound < percent * max(len(q), smallest):
+                lo, hi = np.searchsorted(tokens, q, "left"), np.searchsorted(tokens, q, "right")
+                n = hi - lo
+                bound = int((n > 0).sum())  # by the group's token union, of the intersection with any member
+                if 100 * bound < percent * max(len(q), int(sizes.min())):
                     continue
-                hit = next((d for d, s in own if _links(q, s, percent)), None)
-                if hit is not None:
-                    out.append((doc, hit))
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                shared = np.bincount(owner[at], minlength=len(own))
+                hit = np.flatnonzero(100 * shared >= percent * (len(q) + sizes - shared))
+                if len(hit):
+                    out.append((doc, own[hit[0]][0]))
         columns = list(zip(*out, strict=True)) if out else [()] * 2
         return pa.table([pa.array(c, pa.int64()) for c in columns], ["u", "v"])
 
@@ -224,15 +225,18 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     prefix = stage(_prefixes(docs, reps, width, percent), "prefixes")
 
     # rarely shared shingles fall here: those of one document alone
-    shared = prefix.groupBy("token").agg(F.min("doc").alias("pivot"), F.max("doc").alias("last")).where("pivot <> last")
-    met = stage(prefix.join(shared, "token").select("token", "doc", "n", "pivot"), "met")
+    shared = prefix.groupBy("token").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
+    met = stage(prefix.join(shared, "token").select("token", "doc", "n"), "met")
     wanted = met.select(F.col("doc").alias("doc_id")).distinct().join(reps.selectExpr("rep as doc_id", "digest as own"), "doc_id")
     wanted = stage(wanted, "wanted")
     texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "doc_id")
     kept = shingle_sets(texts, width, True, "own").where("digest = own").dropDuplicates(["doc_id", "digest"])
     kept = stage(kept.selectExpr("doc_id doc", "set"), "kept")
 
-    votes = met.where("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("votes"), F.first("n").alias("n"))
+    # the text with the largest share of its set in common with others is near to most of them
+    central = met.groupBy("doc").agg((F.count("*") / F.first("n")).alias("common"))
+    pivots = met.join(central, "doc").groupBy("token").agg(F.max_by("doc", F.struct("common", F.negative("doc"))).alias("pivot"))
+    votes = met.join(pivots, "token").where("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("votes"))
     first = votes.groupBy("doc").agg(F.max_by("pivot", F.struct("votes", F.negative("pivot"))).alias("g"))
     pivots = first.select("g").distinct().join(kept.withColumnRenamed("doc", "g"), "g").selectExpr("g", "0 h", "g doc", "set")
     stars = _probe(pivots, first.join(kept, "doc").selectExpr("g", "0 h", "doc", "set"), percent)
@@ -240,16 +244,31 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
 
     groups = components(stars)
     placed = met.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("g", F.coalesce("root", "doc"))
-    sizes = placed.select("g", "doc").distinct().groupBy("g").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    sizes = placed.select("g", "doc", "n").distinct().groupBy("g").agg(F.ceil(F.sum("n") / GROUP).alias("parts"))
     placed = placed.join(sizes, "g").select("token", "doc", "n", "g", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("h"))
     mixed = placed.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token")
     placed = stage(placed.join(mixed, "token"), "placed")
     matrix = placed.groupBy("token", "g", "h").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     fits = (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("lo") * percent)
     asked = placed.selectExpr("token", "doc", "n", "g as own").join(matrix, "token").where((F.col("own") > F.col("g")) & fits)
-    asked = stage(asked.select("g", "h", "doc").distinct(), "asked")
-    members = asked.select("g", "h").distinct().join(placed.select("g", "h", "doc").distinct(), ["g", "h"])
-    more = _probe(members.join(kept, "doc").select("g", "h", "doc", "set"), asked.join(kept, "doc").select("g", "h", "doc", "set"), percent)
+    asked = asked.groupBy("g", "h", "doc", "own").agg(F.count("*").alias("votes"), F.least(F.first("n"), F.min("lo")).alias("least"))
+    asked = stage(asked.where(F.col("votes") >= F.greatest(F.lit(1), F.floor(F.col("least") * SHARED / 100))).drop("least"), "asked")
+    homes = placed.select("g", "h", "doc").distinct()
+
+    def met_by(queries):
+        members = queries.select("g", "h").distinct().join(homes, ["g", "h"])
+        return _probe(members.join(kept, "doc").select("g", "h", "doc", "set"), queries.join(kept, "doc").select("g", "h", "doc", "set"), percent)
+
+    # first the groups with most in common; then all others that no link has joined meanwhile
+    ranked = asked.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("votes"), "g", "h")))
+    ranked = stage(ranked, "ranked")
+    nearest = stage(met_by(ranked.where(F.col("rank") <= NEAREST)), "nearest")
+    now = components(stars.unionAll(nearest))
+    rest = ranked.where(F.col("rank") > NEAREST)
+    for column in ("own", "g"):
+        root = now.select(F.col("node").alias(column), F.col("root").alias(f"{column}_now"))
+        rest = rest.join(root, column, "left").withColumn(f"{column}_now", F.coalesce(f"{column}_now", column))
+    more = nearest.unionAll(met_by(stage(rest.where("own_now <> g_now").select("g", "h", "doc"), "rest")))
 
     same_id = sets.where("digest is not null and doc_id is not null").join(reps, "digest").where("doc_id <> rep")
     repeated = sets.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
