@@ -28,13 +28,10 @@ def host_of(url: Column) -> Column:
 
 def html_lines(html: Column) -> Column:
     """The visible lines of a page: block tags break lines, other tags go, white space is squeezed."""
-    text = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ")
-    text = F.regexp_replace(
-        text, r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|nav|article|section|header|footer|title|head|body|html|blockquote|pre|hr)\b[^>]*>", "\n"
-    )
-    text = F.regexp_replace(text, r"<[^>]*>", "")
-    text = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    text = F.regexp_replace(html, r"(?s)<!--.*?-->|<(?i:(script|style))\b.*?</(?i:\1)\s*>", " ")
+    block = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|nav|article|section|header|footer|title|head|body|html|blockquote|pre|hr)\b[^>]*>|\n"
+    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", ""), r"[\x20\x09\x0B-\x0D]+", " "))
+    return F.filter(F.transform(F.split(text, block), bare), lambda x: x != "")
 
 
 def _key(line: Column) -> Column:
@@ -55,16 +52,16 @@ def boilerplate(rows: DataFrame, ratio: float = RATIO, min_rows: int = MIN_ROWS)
     return often.join(pages, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "key")
 
 
-def dedup(table: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_rows: int = MIN_ROWS) -> DataFrame:
-    """table with kept_lines (array), n_lines and n_dropped.
+def dedup(table: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_rows: int = MIN_ROWS, keep: list[str] | None = None) -> DataFrame:
+    """table (or its columns `keep`) with kept_lines (array), n_lines and n_dropped.
 
     Blank lines stay and aren't counted.  A null or empty text has no lines;
     rows without host form one host; repeated rows count as rows.  Columns of
     table with the names of the new ones are replaced.
     """
-    own = [c for c in table.columns if c not in ("kept_lines", "n_lines", "n_dropped")]
+    own = [c for c in keep or table.columns if c not in ("kept_lines", "n_lines", "n_dropped")]
     base = table.select(F.struct(*own).alias("_own"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(lines, F.array().cast("array<string>")).alias("_lines"))
-    keyed = base.withColumn("_keys", F.transform("_lines", _key))
+    keyed = stage(base, "lines").withColumn("_keys", F.transform("_lines", _key))  # lines are made once and read twice
     sets = keyed.select(F.col("_host").alias("host"), F.filter(F.array_distinct("_keys"), lambda k: k.isNotNull()).alias("keys"))
     # a host's boilerplate lines are at most 1 / ratio times its lines a row, so its list is short
     drop = stage(boilerplate(sets, ratio, min_rows).groupBy("host").agg(F.collect_set("key").alias("_drop")), "boilerplate").withColumnRenamed("host", "_host")

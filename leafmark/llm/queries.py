@@ -56,7 +56,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    found = lines.dedup(pages, lines.host_of(F.col("url")), lines.html_lines(F.col("html")))
+    found = lines.dedup(pages, lines.host_of(F.col("url")), lines.html_lines(F.col("html")), keep=["page_id", "url"])
     return found.select("page_id", lines.host_of(F.col("url")).alias("host"), "n_lines", "n_dropped", F.sha2(F.array_join("kept_lines", "\n"), 256).alias("kept_sha256"))
 
 
