@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,22 +80,70 @@ for _name in ("kept", "removed", "inserted", "replaced"):
     _BLOCKS = _BLOCKS.add(_name, IntegerType())
 
 
+#: Ranges of fewer pairs of characters are left to difflib.
+PAIRS = 1 << 14
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+
+
+def _hashes(text: str):
+    """The code points of a text, and a function of (lo, hi, length): hashes of the substrings of that length that begin in lo..hi - length."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    power = lambda base: np.cumprod(np.concatenate([[1], np.full(len(points), base, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points + np.uint64(1)) * power(_BASE)[:-1], dtype=np.uint64)])
+    back = power(_INVERSE)
+    return lambda lo, hi, n: (total[lo + n : hi + 1] - total[lo : hi - n + 1]) * back[lo : hi - n + 1]
+
+
+def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
+    """The (start in a, start in b, length) that difflib.SequenceMatcher(None, a, b, autojunk=False) matches, adjacent ones unmerged.
+
+    The longest match of a large range is searched by its length: substrings
+    of a length are compared by hashes, and the match that is found letter by
+    letter.
+    """
+    if a == b:
+        return [(0, 0, len(a))] if a else []
+    of_a = of_b = None
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        i = None
+        if (a1 - a0) * (b1 - b0) > PAIRS:
+            of_a, of_b = of_a or _hashes(a), of_b or _hashes(b)
+            low, high = 0, min(a1 - a0, b1 - b0)
+            while low < high:
+                n = (low + high + 1) // 2
+                low, high = (n, high) if np.isin(of_a(a0, a1, n), of_b(b0, b1, n)).any() else (low, n - 1)
+            if not low:
+                continue
+            left, right = of_a(a0, a1, low), of_b(b0, b1, low)
+            x = int(np.argmax(np.isin(left, right)))
+            y = int(np.argmax(right == left[x]))
+            if a[a0 + x : a0 + x + low] == b[b0 + y : b0 + y + low]:
+                i, j, n = a0 + x, b0 + y, low
+        if i is None:
+            out += [(a0 + i, b0 + j, n) for i, j, n in difflib.SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).get_matching_blocks() if n]
+            continue
+        out.append((i, j, n))
+        todo += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
+    return sorted(out)
+
+
 @F.pandas_udf(_BLOCKS)
 def alignment(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-    """Characters kept, removed, inserted and replaced: a common start and end are kept, words between are aligned by longest matches."""
-    import re
-
-    token = re.compile(r"\w+|\W")
+    """Characters kept, removed, inserted and replaced, in the blocks of a longest-match alignment."""
 
     def one(a, b):
-        a, b = token.findall(a or ""), token.findall(b or "")
-        start = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        most = min(len(a), len(b)) - start
-        end = next((i for i in range(most) if a[-1 - i] != b[-1 - i]), most)
-        out = {"equal": sum(map(len, a[:start])) + sum(map(len, a[len(a) - end :])), "delete": 0, "insert": 0, "replace": 0}
-        a, b = a[start : len(a) - end], b[start : len(b) - end]
-        for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            out[tag] += sum(map(len, a[i:j] if tag in ("equal", "delete") else b[k:m]))
-        return out["equal"], out["delete"], out["insert"], out["replace"]
+        a, b = a or "", b or ""
+        kept = removed = inserted = replaced = i = j = 0
+        for x, y, n in [*matching_blocks(a, b), (len(a), len(b), 0)]:
+            if i < x and j < y:
+                replaced += y - j
+            else:
+                removed, inserted = removed + x - i, inserted + y - j
+            kept, i, j = kept + n, x + n, y + n
+        return kept, removed, inserted, replaced
 
     return pd.DataFrame([one(a, b) for a, b in zip(before, after, strict=True)], columns=["kept", "removed", "inserted", "replaced"])

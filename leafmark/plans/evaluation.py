@@ -189,18 +189,12 @@ p AS (SELECT regexp_extract(url, '^[a-z]+://[^/]+/([a-z]{2})/', 1) AS language,
 SELECT coalesce(d.language, p.language) AS language, n_docs, n_chars, longest, n_pages, n_html FROM d FULL OUTER JOIN p ON d.language = p.language"""
 
 
-def _near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with the next of equal source, language and size: candidates for an alignment."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
-    a = d.groupBy("lang", "source", "n_chars").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = d.selectExpr("doc_id first", "text before")
-    return d.join(a, ["lang", "source", "n_chars"]).where("doc_id <> first").join(first, "first").select("doc_id", "first", "before", "text")
-
-
 def sequence_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters kept and changed between whole texts of one source, language and size, by longest-match alignment."""
-    pairs = _near_pairs(spark, sf_dir)
-    return pairs.select("doc_id", "first", T.alignment("before", "text").alias("a")).select("doc_id", "first", "a.*")
+    """Characters kept and changed between near copies, by longest-match alignment: all linked pairs of distinct texts, and each exact copy with its first."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = matching.near_copies(d, "doc_id", "text")
+    texts = pairs.join(d.selectExpr("doc_id first", "text before"), "first").join(d, "doc_id").repartition("doc_id", "first")
+    return texts.select("doc_id", "first", T.alignment("before", "text").alias("a")).select("doc_id", "first", "a.*")
 
 
 def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,3 +202,42 @@ def test_stream_keeps_the_baseline_current(spark, tmp_path):
     spark.createDataFrame([("a", 1, 5)], schema).coalesce(1).write.parquet(source)
     maintain_baseline(spark.readStream.schema(schema).parquet(source), base, str(tmp_path / "state")).awaitTermination()
     assert rows(spark.read.parquet(base).select("evaluation", "step", "v")) == [("a", 1, 5), ("b", 1, 0)]
+
+
+def test_alignment_is_that_of_difflib_on_characters(spark):
+    import difflib
+
+    assert spark.range(1).select(T.alignment(F.lit("abcd"), F.lit("abXd")).alias("x")).select("x.*").first() == (3, 0, 0, 1)
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcde \n") for _ in range(900))
+    near = list(base)
+    for _ in range(25):
+        near[rng.randrange(len(near))] = rng.choice(["", "x", "ab", "日😀"])
+    texts = [base, "".join(near), base[300:] + base[:300], base[:40] + "new words " + base[40:-5], "a" * 400, "a" * 350 + "b" + "a" * 90, "", "zzz" * 90]
+    pairs = [(a, b) for a in texts for b in texts]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", T.alignment("a", "b").alias("x")).select("a", "b", "x.*").collect()
+    for a, b, *counts in got:
+        want = dict.fromkeys(("equal", "delete", "insert", "replace"), 0)
+        for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            want[tag] += j - i if tag in ("equal", "delete") else m - k
+        assert counts == list(want.values())
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    texts = [" ".join(base), " ".join(base), " ".join(base[:30] + ["added"] + base[30:]), " ".join(base[:50] + base[51:]), " ".join(base[:40]), "One two", "one  TWO", "", "", None]
+    texts += [" ".join(w if rng.random() > 0.04 else "edit" for w in base) for _ in range(20)]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    want = []
+    for k, t in enumerate(texts):
+        if t is not None and texts.index(t) < k:
+            want.append((k, texts.index(t)))
+        else:
+            want += [(k, f) for f in range(k) if sets[k] and texts.index(texts[f]) == f and 100 * len(sets[k] & sets[f]) >= 75 * len(sets[k] | sets[f])]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert {(1, 0), (2, 0), (3, 0), (6, 5), (8, 7)} <= set(want)  # lengths differ in most of these
+    assert sorted(map(tuple, matching.near_copies(df, "id", "text").collect())) == sorted(want)
