@@ -24,10 +24,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that too many documents of their source have; a null text stays null."""
+    """Documents without the lines that too many distinct texts of their source have; a null text stays null.
+
+    Copies count once here: the next stage is to find them whole.
+    """
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     marked = docs.select(*rest, "text", F.col("text").isNotNull().alias("_has_text_"))
-    found = lines.dedup(marked, F.col("source"), F.split("text", "\n"), keep=[*rest, "_has_text_"])
+    found = lines.dedup(marked, F.col("source"), F.split("text", "\n"), keep=[*rest, "_has_text_"], once=True)
     text = F.when(F.col("_has_text_"), F.array_join("kept_lines", "\n"))  # all lines joined are the text
     return found.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 

@@ -52,17 +52,21 @@ def boilerplate(rows: DataFrame, ratio: float = RATIO, min_rows: int = MIN_ROWS)
     return often.join(pages, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "key")
 
 
-def dedup(table: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_rows: int = MIN_ROWS, keep: list[str] | None = None) -> DataFrame:
+def dedup(table: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_rows: int = MIN_ROWS, keep: list[str] | None = None, once: bool = False) -> DataFrame:
     """table (or its columns `keep`) with kept_lines (array), n_lines and n_dropped.
 
     Blank lines stay and aren't counted.  A null or empty text has no lines;
-    rows without host form one host; repeated rows count as rows.  Columns of
-    table with the names of the new ones are replaced.
+    rows without host form one host; repeated rows count as rows, or, with
+    `once`, rows of a host with the same lines count as one, so that copies
+    don't make their own lines boilerplate.  Columns of table with the names of
+    the new ones are replaced.
     """
     own = [c for c in keep or table.columns if c not in ("kept_lines", "n_lines", "n_dropped")]
     base = table.select(F.struct(*own).alias("_own"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(lines, F.array().cast("array<string>")).alias("_lines"))
     keyed = stage(base, "lines").withColumn("_keys", F.transform("_lines", _key))  # lines are made once and read twice
     sets = keyed.select(F.col("_host").alias("host"), F.filter(F.array_distinct("_keys"), lambda k: k.isNotNull()).alias("keys"))
+    if once:
+        sets = sets.groupBy("host", F.xxhash64("keys"), F.xxhash64(F.lit(1), F.reverse("keys"))).agg(F.first("keys").alias("keys")).select("host", "keys")
     # a host's boilerplate lines are at most 1 / ratio times its lines a row, so its list is short
     drop = stage(boilerplate(sets, ratio, min_rows).groupBy("host").agg(F.collect_set("key").alias("_drop")), "boilerplate").withColumnRenamed("host", "_host")
     known = drop.agg(F.count("*"), F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()

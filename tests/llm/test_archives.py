@@ -149,6 +149,21 @@ def test_each_stage_on_its_own_input(spark, small):
     assert mixed.columns == [*docs.columns, "copy"] and mixed.count() > 0
 
 
+def test_copies_keep_their_text_until_the_jaccard_stage(spark, small):
+    """A group of copies over the ratio of its source isn't boilerplate; a line of many texts is."""
+    text = lambda i: "\n".join([*(" ".join(fx.words(100 * i + k, 12, 100000)) for k in range(4)), "all rights reserved"])
+    rows = [(i, text(0) if i < 5 else text(i), "en", "s", 1) for i in range(40)]
+    rows += [(100 + i, text(99) + " " * (i % 2), "en", "t", 1) for i in range(20)] + [(130, None, "en", "t", None), (131, "", "en", "t", 0)]
+    docs = spark.createDataFrame(rows, fx.SCHEMA)
+    steps = dict(corpus_pipeline.STAGES)
+    lined = steps["line_dedup"](spark, docs, small)
+    got = {r.doc_id: r.text for r in lined.collect()}
+    want = {i: t if s == "t" else t.rsplit("\n", 1)[0] for i, t, _, s, _ in rows}
+    assert got == want
+    single = {r.doc_id for r in steps["ngram_jaccard"](spark, lined, small).collect()}
+    assert single == {0, *range(5, 40), 100, 130, 131}
+
+
 def test_pipeline_of_nothing_and_of_hard_cases(spark, small):
     for docs in (fx.empty(spark), fx.docs(spark)):
         for _, step in corpus_pipeline.STAGES:
