@@ -22,7 +22,7 @@ MAKE_SELECTION = "SELECT DISTINCT l_orderkey * 1000000 + l_partkey * 10 + l_line
 
 
 def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that several suppliers claim within one order."""
+    """Parts that several suppliers claim, by lines of a quantity over 45 alone; claim_conflicts_all has all lines."""
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").selectExpr("l_partkey", "l_suppkey")
     return composites.claim_conflicts(lines, "l_partkey", "l_suppkey")
 
@@ -30,6 +30,14 @@ def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLAIM_CONFLICTS = "SELECT l_partkey, count(DISTINCT l_suppkey) AS n_plans, min(l_suppkey) AS first_plan FROM lineitem WHERE l_quantity > 45 GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1"
 
 
+def claim_conflicts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that several suppliers claim: every line is a claim."""
+    return composites.claim_conflicts(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey"), "l_partkey", "l_suppkey")
+
+
+CLAIM_CONFLICTS_ALL = "SELECT l_partkey, count(DISTINCT l_suppkey) AS n_plans, min(l_suppkey) AS first_plan FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1"
+
+
 def clip_constraint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By user: the clip that all clicks leave; events of value below 0.2 can't be proved."""
     e = table(spark, sf_dir, "events").where("event_type = 'click'").selectExpr("user_id", "cast(value as double) a", "cast(100 + event_id % 400 as double) b", "value")
@@ -191,7 +199,7 @@ COVERAGE_CANDIDATES = """WITH c AS (SELECT DISTINCT lang, unnest(string_split(te
 SELECT ch, 'en' AS missing_in FROM c WHERE lang = 'fr' AND ch <> '' AND ch NOT IN (SELECT ch FROM c WHERE lang = 'en') UNION ALL SELECT ch, 'fr' FROM c WHERE lang = 'en' AND ch <> '' AND ch NOT IN (SELECT ch FROM c WHERE lang = 'fr')"""
 
 _ALL = (
-    make_selection, claim_conflicts, clip_constraint, expected_rows, glyph_compare, set_width, tracking, paragraph_of_line, placement_check, tree_diff, sole_witness, ordered_distinct, broken_links, conditional_totals, area_cover,
+    make_selection, claim_conflicts, claim_conflicts_all, clip_constraint, expected_rows, glyph_compare, set_width, tracking, paragraph_of_line, placement_check, tree_diff, sole_witness, ordered_distinct, broken_links, conditional_totals, area_cover,
     top_errors, page_catalog, coverage_candidates,
 )
 QUERIES = {f.__name__: f for f in _ALL}

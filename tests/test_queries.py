@@ -17,6 +17,15 @@ def test_query(spark, small, name):
         assert QUERIES[name](spark, small).count() > 0
 
 
+def test_every_line_is_a_claim(spark, small):
+    lines = spark.read.parquet(f"{small}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect()
+    plans = {}
+    for part, supplier in lines:
+        plans.setdefault(part, set()).add(supplier)
+    want = {(part, len(own), min(own)) for part, own in plans.items() if len(own) > 1}
+    assert {tuple(r) for r in QUERIES["claim_conflicts_all"](spark, small).collect()} == want
+
+
 def test_entry_points(spark):
     import __spark_entry__
 
