@@ -3,8 +3,9 @@
 write() makes one WARC record a page and packs the records of an archive into
 a single gzip stream.  normalise() inflates such a stream once, from its
 first to its last byte, rewrites every record as a gzip member of its own, and
-gives the offset and length of each: the sidecar index.  read() inflates the
-members by the index.
+gives the offset and length of each: the sidecar index.  lay_out() writes the
+normalised archives, each with its sidecar, and read_laid() cuts every record
+out of its archive by the index and inflates it.
 
 Archives are tables of byte pieces in the shared folder, so that they live in
 any store that Spark writes to; export() lays them out as files and load()
@@ -34,6 +35,7 @@ BROADCAST = 500_000
 
 ARCHIVE = "archive string, part int, data binary"
 MEMBERS = "archive string, number long, offset long, length long, record_id string, record_type string, member binary"
+LAID = "archive string, data binary, sidecar array<struct<number: long, offset: long, length: long, record_id: string, record_type: string>>"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -159,6 +161,19 @@ def _records(pieces):
         raise ValueError("an archive ends within a record")
 
 
+def _rewritten(table) -> list[tuple]:
+    """The MEMBERS of the archive that a table of pieces holds."""
+    order = sorted(range(table.num_rows), key=table["part"].to_pylist().__getitem__)
+    data, name, rows, offset = table["data"], table["archive"][0].as_py(), [], 0
+    for number, record in enumerate(_records(data[i].as_py() for i in order)):
+        pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+        member = pack.compress(record) + pack.flush()
+        fields, _ = parse(record)
+        rows.append((name, number, offset, len(member), fields.get("warc-record-id"), fields.get("warc-type"), member))
+        offset += len(member)
+    return rows
+
+
 def normalise(archives: DataFrame) -> DataFrame:
     """Every record as a gzip member: archive, number, offset, length, record_id, record_type, member.
 
@@ -169,14 +184,7 @@ def normalise(archives: DataFrame) -> DataFrame:
     def rewrite(table):
         import pyarrow as pa
 
-        order = sorted(range(table.num_rows), key=table["part"].to_pylist().__getitem__)
-        data, name, rows, offset = table["data"], table["archive"][0].as_py(), [], 0
-        for number, record in enumerate(_records(data[i].as_py() for i in order)):
-            pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-            member = pack.compress(record) + pack.flush()
-            fields, _ = parse(record)
-            rows.append((name, number, offset, len(member), fields.get("warc-record-id"), fields.get("warc-type"), member))
-            offset += len(member)
+        rows = _rewritten(table)
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
         columns = list(zip(*rows, strict=True)) if rows else [()] * 7
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["archive", "number", "offset", "length", "record_id", "record_type", "member"])
@@ -189,6 +197,42 @@ def index(normalised: DataFrame) -> DataFrame:
     return normalised.drop("member")
 
 
+def lay_out(archives: DataFrame) -> DataFrame:
+    """One row an archive, in the shared folder: its normalised bytes (data) and its sidecar, in the order of the numbers."""
+
+    def lay(table):
+        import pyarrow as pa
+
+        rows = _rewritten(table)
+        sidecar = [dict(zip(("number", "offset", "length", "record_id", "record_type"), r[1:6], strict=True)) for r in rows]
+        entry = pa.struct([("number", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string())])
+        return pa.table([pa.array([table["archive"][0].as_py()], pa.string()), pa.array([b"".join(r[6] for r in rows)], pa.binary()), pa.array([sidecar], pa.list_(entry))], ["archive", "data", "sidecar"])
+
+    return stage(archives.groupBy("archive").applyInArrow(lay, LAID), "normalised")
+
+
+def _opened(records):
+    """A batch of RECORDS from inflated records."""
+    import pyarrow as pa
+
+    rows = []
+    for record in records:
+        fields, block = parse(record)
+        kind, refers = fields["warc-type"], fields.get("warc-refers-to")
+        if kind not in ("response", "revisit"):
+            continue
+        http, _, payload = block.partition(b"\r\n\r\n")
+        digest = fields["warc-payload-digest"].removeprefix("sha256:")
+        size = int(re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", http)[1])
+        if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
+            raise ValueError(f"payload of {fields['warc-record-id']} is damaged")
+        own, first = (None if x in (None, "<urn:x-page:none>") else int(x[len("<urn:x-page:") : -1]) for x in (fields["warc-record-id"], refers))
+        rows.append((own, fields.get("warc-target-uri"), size, digest, kind, first, payload if kind == "response" else None))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
+    columns = list(zip(*rows, strict=True)) if rows else [()] * 7
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+
+
 def read(normalised: DataFrame) -> DataFrame:
     """The response and revisit records, each from its own member.
 
@@ -197,29 +241,40 @@ def read(normalised: DataFrame) -> DataFrame:
     """
 
     def opened(batches):
-        import pyarrow as pa
-
         for b in bounded(batches, "member"):
-            rows = []
-            for member in b.column("member").to_pylist():
-                fields, block = parse(zlib.decompress(member, 31))
-                kind, refers = fields["warc-type"], fields.get("warc-refers-to")
-                if kind not in ("response", "revisit"):
-                    continue
-                http, _, payload = block.partition(b"\r\n\r\n")
-                digest = fields["warc-payload-digest"].removeprefix("sha256:")
-                size = int(re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", http)[1])
-                if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-                    raise ValueError(f"payload of {fields['warc-record-id']} is damaged")
-                own, first = (None if x in (None, "<urn:x-page:none>") else int(x[len("<urn:x-page:") : -1]) for x in (fields["warc-record-id"], refers))
-                rows.append((own, fields.get("warc-target-uri"), size, digest, kind, first, payload if kind == "response" else None))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+            yield _opened(zlib.decompress(m, 31) for m in b.column("member").to_pylist())
 
     return normalised.select("member").mapInArrow(opened, RECORDS)
 
 
+def read_laid(laid: DataFrame) -> DataFrame:
+    """read()'s records, each cut out of its archive by the offset and length that the sidecar gives.
+
+    The members that the sidecar cuts must be the whole archive and hold the
+    records that it names.
+    """
+
+    def cut(name, data, sidecar):
+        end = 0
+        for e in sidecar:
+            inflate, record = zlib.decompressobj(31), None
+            if e["offset"] == end:
+                record = inflate.decompress(data[end : end + e["length"]])
+                end += e["length"]
+            if record is None or not inflate.eof or inflate.unused_data or parse(record)[0].get("warc-record-id") != e["record_id"]:
+                raise ValueError(f"the sidecar of {name} doesn't fit at record {e['number']}")
+            yield record
+        if end != len(data):
+            raise ValueError(f"the sidecar of {name} doesn't reach its end")
+
+    def opened(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield _opened(cut(*(b.column(c)[i].as_py() for c in ("archive", "data", "sidecar"))))
+
+    return laid.mapInArrow(opened, RECORDS)
+
+
 def export(normalised: DataFrame, folder: str) -> DataFrame:
     """Write <archive>.warc.gz and <archive>.idx (offset, length, record) under a folder that all executors can open.
 
@@ -247,4 +302,4 @@ def export(normalised: DataFrame, folder: str) -> DataFrame:
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """The records of pages after writing, normalising and reading back."""
-    return read(stage(normalise(write(decide(pages))), "members"))
+    return read_laid(lay_out(write(decide(pages))))

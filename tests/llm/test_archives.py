@@ -111,6 +111,27 @@ def test_exported_archives_are_members_that_the_sidecar_finds(spark, tmp_path, m
     assert again.count() == len(PAGES)
 
 
+def test_records_are_cut_out_of_the_laid_archive_by_its_sidecar(spark, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 1500)
+    archives = warc.write(warc.decide(pages(spark).coalesce(1)))
+    laid = warc.lay_out(archives)
+    rows = laid.collect()
+    assert len(rows) > 1
+    for r in rows:
+        assert gzip.decompress(r.data).count(b"WARC/1.1\r\n") == len(r.sidecar)
+        for e in r.sidecar:
+            fields, _ = warc.parse(zlib.decompress(r.data[e.offset : e.offset + e.length], 31))
+            assert (fields["warc-record-id"], fields["warc-type"]) == (e.record_id, e.record_type)
+    want = sorted(map(str, warc.read(warc.normalise(archives)).collect()))
+    assert sorted(map(str, warc.read_laid(laid).collect())) == want
+    read = warc.read_laid
+    for field, more in (("offset", 1), ("length", 1), ("length", -1)):
+        wrong = lambda df: df.withColumn("sidecar", F.transform("sidecar", lambda e: e.withField(field, e[field] + F.when(e["number"] == 1, more).otherwise(0))))  # noqa: B023, E731
+        monkeypatch.setattr(warc, "read_laid", lambda df: read(wrong(df)))  # noqa: B023
+        with pytest.raises(Exception, match="doesn't fit at record 1"):
+            warc.round_trip(pages(spark)).collect()
+
+
 def test_a_cut_archive_is_an_error(spark):
     pieces = warc.write(warc.decide(pages(spark).coalesce(1)))
     cut = pieces.withColumn("data", F.expr("substring(data, 1, length(data) div 2)"))
