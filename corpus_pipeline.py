@@ -15,6 +15,8 @@ from leafmark.llm.shared import stage
 
 #: A text whose largest language has less than this share is no text of a language.
 LEAST_SHARE = 0.4
+#: Lines of fewer distinct texts of a source than this stay.
+LEAST_TEXTS = 4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
     marked = docs.select(*rest, "text", F.col("text").isNotNull().alias("_has_text_"))
-    found = lines.dedup(marked, F.col("source"), F.split("text", "\n"), keep=[*rest, "_has_text_"], once=True)
+    found = lines.dedup(marked, F.col("source"), F.split("text", "\n"), min_rows=LEAST_TEXTS, keep=[*rest, "_has_text_"], once=True)
     text = F.when(F.col("_has_text_"), F.array_join("kept_lines", "\n"))  # all lines joined are the text
     return found.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 

@@ -14,8 +14,8 @@ from leafmark.llm.shared import stage
 
 #: A line goes if it is in more than this share of its host's rows,
 RATIO = 0.1
-#: and in so many of them at least; hosts of fewer rows keep all lines.
-MIN_ROWS = 4
+#: and in so many of them at least: what one row alone has is no repetition.
+MIN_ROWS = 2
 #: Hosts and boilerplate lines (32 bytes each) that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 500_000
 

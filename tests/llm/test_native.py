@@ -109,6 +109,14 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, most):
     assert any(r.n_dropped for r in got.values())
 
 
+def test_lines_over_the_ratio_go_from_small_hosts_too(spark):
+    """Two or three pages of fifteen are over a tenth; one page of five is no repetition."""
+    rows = [(i, "big", f"own {i}\nfooter" if i < 3 else f"own {i}\nmenu" if i < 5 else f"own {i}") for i in range(15)] + [(20 + i, "small", f"alone {i}") for i in range(5)]
+    got = lines.dedup(spark.createDataFrame(rows, "id long, host string, text string"), F.col("host"), F.split("text", "\n")).collect()
+    assert {r.id: r.kept_lines for r in got} == {i: [t.split("\n")[0]] for i, _, t in rows}
+    assert sum(r.n_dropped for r in got) == 5
+
+
 def test_hosts_and_visible_lines(spark):
     urls = {"http://User@Ex.COM:80/a?b": "ex.com", "https://[::1]/x": "[::1]", "nothing": None, None: None, "ftp://a.b./": "a.b"}
     df = spark.createDataFrame([(u,) for u in urls], "u string").select("u", lines.host_of(F.col("u")).alias("h"))
