@@ -9,6 +9,7 @@ from leafmark.functions import verdicts as V
 from leafmark.functions.geometry import Rect
 from leafmark.operators import aggregates, composites, matching
 from leafmark.sources.tables import table
+from leafmark.storage import stage
 
 
 def make_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +190,7 @@ PAGE_CATALOG = """SELECT l_orderkey, count(*) AS n_lines, sha256('[' || string_a
 
 
 def coverage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of each language against the characters of another's sample: characters that are missing."""
+    """Texts in English and French against each other's characters: those that are missing; coverage_candidates_all has all languages."""
     d = table(spark, sf_dir, "documents")
     chars = lambda lang: d.where(F.col("lang") == lang).select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").distinct()
     return chars("fr").join(chars("en"), "ch", "left_anti").select("ch", F.lit("en").alias("missing_in")).unionAll(chars("en").join(chars("fr"), "ch", "left_anti").select("ch", F.lit("fr")))
@@ -198,9 +199,23 @@ def coverage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 COVERAGE_CANDIDATES = """WITH c AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS ch FROM documents WHERE lang IN ('en', 'fr'))
 SELECT ch, 'en' AS missing_in FROM c WHERE lang = 'fr' AND ch <> '' AND ch NOT IN (SELECT ch FROM c WHERE lang = 'en') UNION ALL SELECT ch, 'fr' FROM c WHERE lang = 'en' AND ch <> '' AND ch NOT IN (SELECT ch FROM c WHERE lang = 'fr')"""
 
+
+def coverage_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the texts of each language (null is one) that no text of another language has, for every ordered pair of languages."""
+    chars = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").distinct()
+    chars = stage(chars, "chars")
+    langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("missing_in")).distinct()
+    asked = chars.join(F.broadcast(langs), ~F.col("lang").eqNullSafe(F.col("missing_in")))
+    have = chars.select(F.col("lang").alias("_lang"), F.col("ch").alias("_ch"))
+    return asked.join(have, (F.col("ch") == F.col("_ch")) & F.col("missing_in").eqNullSafe(F.col("_lang")), "left_anti").select("ch", "lang", "missing_in")
+
+
+COVERAGE_CANDIDATES_ALL = """WITH c AS (SELECT DISTINCT lang, unnest(string_split(text, '')) AS ch FROM documents), l AS (SELECT DISTINCT lang AS missing_in FROM documents)
+SELECT ch, lang, missing_in FROM c JOIN l ON lang IS DISTINCT FROM missing_in WHERE ch <> '' AND NOT EXISTS (SELECT 1 FROM c o WHERE o.ch = c.ch AND o.lang IS NOT DISTINCT FROM l.missing_in)"""
+
 _ALL = (
     make_selection, claim_conflicts, claim_conflicts_all, clip_constraint, expected_rows, glyph_compare, set_width, tracking, paragraph_of_line, placement_check, tree_diff, sole_witness, ordered_distinct, broken_links, conditional_totals, area_cover,
-    top_errors, page_catalog, coverage_candidates,
+    top_errors, page_catalog, coverage_candidates, coverage_candidates_all,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}

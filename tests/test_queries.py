@@ -26,6 +26,14 @@ def test_every_line_is_a_claim(spark, small):
     assert {tuple(r) for r in QUERIES["claim_conflicts_all"](spark, small).collect()} == want
 
 
+def test_every_language_is_compared(spark, tmp_path):
+    docs = [(1, "ab", "en"), (2, "bc", "fr"), (3, "bß", "de"), (4, "bñ", None), (5, None, "es")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    own = {lang: set(text or "") for _, text, lang in docs}
+    want = {(ch, x, y) for x in own for y in own if x != y for ch in own[x] - own[y]}
+    assert {tuple(r) for r in QUERIES["coverage_candidates_all"](spark, str(tmp_path)).collect()} == want
+
+
 def test_entry_points(spark):
     import __spark_entry__
 
