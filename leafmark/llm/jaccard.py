@@ -3,25 +3,27 @@
 A document's set is its distinct shingles of `width` words; two documents link
 when the intersection is at least `percent` hundredths of the union.
 
-1. Documents of equal sets become one class, by an aggregation on a digest.
-2. The corpus is asked how many texts hold each shingle; a class
-   representative keeps its rarest shingles as its prefix: all but percent
-   hundredths of the set, and SHARED hundredths more.  The prefixes of linked
-   documents have at least SHARED hundredths (of the smaller set) in common.
-3. Groups of similar documents: of the documents with a prefix shingle, that
-   with most in common with others is its centre; each document is held
-   against the centre of most of its prefix.  Verified pairs make stars, and
-   stars join to groups, split where they are large.
-4. The token-group matrix has the prefix shingles of every group; a document
-   meets groups other than its own that have enough of its prefix and can
-   hold a set of fitting size.  A group's token union bounds the intersection with each of
-   its members, and only groups whose bound suffices are opened: members are
-   then compared until one links, which joins both groups.  Groups that share
-   most shingles come first, and those that links have joined are left out.
-
-Each pair of linked documents shares so much of its prefixes that it is either
-in one group or met in step 4: no link between groups is lost, while within a group
-of near copies nobody enumerates pairs.
+1. Documents of equal sets become one class, named by the digest of the set.
+2. The corpus is asked how many texts hold each shingle, which orders all
+   shingles from rare to frequent.  Of two linked sets, the larger has a
+   common shingle within its first n - percent n / 100 + 1, and the smaller
+   has it within its first n - 2 percent n / (100 + percent) + 1: the one may
+   ask, the other may be found.  Shingles that one text alone has fall away.
+3. Similar classes are grouped: each goes to the pivot that shares most of its
+   first shingles, and is held against it.  Rounds of pivots follow, each from
+   the largest component that a shingle has, until they find few new links.
+   Classes that links join are one group; those that are similar to a pivot
+   without linking are another; groups are split where they have many tokens.
+4. The token-group matrix has the shingles by which a group's members may be
+   found.  A class meets through it the groups that aren't of its own
+   component.  The union of each such group's sets is stored; what a class has
+   in common with the union bounds the intersection with every member, and
+   groups whose bound is too small aren't opened.
+5. The groups that qualify are opened: their members' sets are compared.
+
+Each pair of linked classes is either joined before or meets in step 4, as one
+of both asks for a shingle by which the other is found.  A task answers with a
+forest of the links that it sees, so nobody enumerates the pairs of a group.
 """
 
 from __future__ import annotations
@@ -29,27 +31,37 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.llm import exchange as ex
-from leafmark.llm.components import components
-from leafmark.llm.shared import stage
+from leafmark.llm.components import attach, components
+from leafmark.llm.shared import Scratch, stage
 from leafmark.llm.words import LOWER, Words, bounded, inner_windows, mix, places, text_bytes, window_hashes
 
 WIDTH = 5
 PERCENT = 75
-#: Shingles of a group's members, and queries held against it in one task, about.
-GROUP, QUERIES = 250_000, 256
-#: Hundredths of a set that linked documents share within their prefixes, at least.
-SHARED = 15
-#: Groups that a document meets before its other groups are looked at.
-NEAREST = 2
-#: Rows of 24 bytes that are broadcast at most; more are joined by a shuffle.
-BROADCAST = 1_000_000
+#: Shingles of a group's members, and classes held against it in one task, about.
+GROUP, QUERIES = 100_000, 128
+#: Rounds of pivots end when they join less than 1 / YIELD of what they try, and after so many at the latest:
+#: the rounds only save work, the matrix finds what they leave.
+ROUNDS, YIELD = 8, 20
+#: Rows of the matrix that meet one shingle in one task, about.
+MEETINGS = 2048
+#: Rows of 50 bytes that are broadcast at most; more are joined by a shuffle.
+BROADCAST = 500_000
 #: Cells in the table of shingle counts for each shingle.
 CELLS_PER_TOKEN = 32
 
+_KEPT = "node binary, n long, tokens array<long>, own int, set binary"
+
+
+def least_common(n, m, percent: int = PERCENT):
+    """The least intersection of linked sets of n and m shingles (numbers, arrays or columns' SQL names)."""
+    if isinstance(n, str):
+        return f"((({percent} * ({n} + {m})) + {99 + percent}) div {100 + percent})"
+    return -(-percent * (n + m) // (100 + percent))
+
 
 def _sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
@@ -91,13 +103,16 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH, with_set: bool = False, *c
     return docs.select(*names, "text").mapInArrow(batch, schema)
 
 
-def _token_cells(tokens: np.ndarray, blocks: int, cells: int) -> np.ndarray:
-    h = mix(tokens)
-    return ex.block_of_hash(h, blocks) * np.uint64(cells) + (((h & np.uint64(0xFFFFFFFF)) * np.uint64(cells)) >> np.uint64(32))
+class _Levels(ex.Reduction):
+    """How many texts have a cell; told is 0 for one text, else a coarse logarithm, which orders all texts' shingles alike."""
 
+    def answer(self, keys, values):
+        total = values[0]
+        return [np.where(total > 1, 1 + np.floor(8 * np.log2(np.maximum(total, 1))), 0).astype(np.uint64)]
 
-def _own_sets(table, told, width: int) -> tuple[list[int], list[np.ndarray]]:
-    """Of a chunk: the representatives that it was told of (as block -1), in order, and their sets."""
+
+def _own_sets(table, told, width: int) -> tuple[list[bytes], list[np.ndarray]]:
+    """Of a chunk: the classes whose representatives it was told of (as block -1), in order, and their sets."""
     wanted = {a for b, a in zip(told["block"].to_pylist(), told["answer"].to_pylist(), strict=True) if b < 0}
     found = {}
     if table.num_rows and wanted:
@@ -107,106 +122,250 @@ def _own_sets(table, told, width: int) -> tuple[list[int], list[np.ndarray]]:
         for i, own in zip(mine, _sets([texts[i] for i in mine], width), strict=True):
             digest = hashlib.md5(own.tobytes()).digest()
             if ids[i].to_bytes(8, "little", signed=True) + digest in wanted:
-                found[ids[i], digest] = own
-    keys = sorted(found)
-    return [k[0] for k in keys], [found[k] for k in keys]
+                found[digest] = own
+    return sorted(found), [found[k] for k in sorted(found)]
 
 
 def _prefixes(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> DataFrame:
-    """(token, doc, n) of the prefix shingles that other representatives may hold too."""
+    """(node, n, tokens, own, set) of the classes with a first shingle that others may hold too.
+
+    tokens: those by which the class asks, rare ones first; by `own` of them, which come first, it may be found.
+    """
     import pyarrow as pa
 
     plan = ex.plan_chunks(docs)
-    blocks, cells = plan.blocks, max(64, CELLS_PER_TOKEN * plan.text_bytes // (5 * plan.blocks))
-    dealt = ex.deal(docs, plan, "doc_id", "text")
+    bits = max(10, (CELLS_PER_TOKEN * plan.text_bytes // 5).bit_length())
+    dealt, levels = ex.deal(docs, plan, "doc_id", "text"), _Levels(bits)
 
     def wanted(batches):
         for b in batches:
             both = [i.to_bytes(8, "little", signed=True) + d for i, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([-1] * len(both), pa.int32()), pa.array(both, pa.binary())], ["chunk", "block", "answer"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([-1] * len(both), pa.int64()), pa.array(both, pa.binary())], ["chunk", "block", "answer"])
 
     mine = reps.select(ex.chunk_of(plan, "rep").alias("chunk"), "rep", "digest").mapInArrow(wanted, ex.ANSWER)
 
+    def cells(sets):
+        return places(mix(np.concatenate(sets)) >> np.uint64(64 - bits))
+
     def count(table, told):
         _, sets = _own_sets(table, told, width)
-        at = np.sort(_token_cells(np.concatenate(sets), blocks, cells)) if sets else np.empty(0, np.uint64)
-        begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
-        n, at, rows = np.diff(np.concatenate([begin, [len(at)]])), at[begin], []
-        for block, lo, hi in ex.pieces(at // np.uint64(cells)):
-            rows.append((block, table["chunk"][0].as_py(), hi - lo, ex.pack(at[lo:hi] - np.uint64(block * cells), True), ex.pack(n[lo:hi])))
-        return ex.asks(rows)
-
-    def merge(rows):
-        _, place = places(np.concatenate([ex.unpack(r["keys"], r["n"], True) for r in rows]))
-        total = np.bincount(place, weights=np.concatenate([ex.unpack(r["extra"], r["n"]) for r in rows]))
-        # 0: one text has it; else a coarse logarithm, which orders all texts' shingles alike
-        level = np.where(total > 1, 1 + np.floor(8 * np.log2(np.maximum(total, 1))), 0).astype(np.uint64)
-        return [ex.pack(level[a]) for a in np.split(place, np.cumsum([r["n"] for r in rows])[:-1])]
+        if not sets:
+            return ex.asks([])
+        known, place = cells(sets)
+        return ex.asks(levels.ask(plan, table["chunk"][0].as_py(), known, [np.bincount(place).astype(np.uint64)]))
 
     def prefix(table, told):
-        ids, sets = _own_sets(table, told, width)
-        got, out = ex.by_block(told), []
+        nodes, sets = _own_sets(table, told, width)
+        rows, begin = [], 0
         if sets:
-            cell = _token_cells(np.concatenate(sets), blocks, cells)
-            order = np.argsort(cell)
-            ordered = cell[order]
-            new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-            at, levels = ordered[new], np.zeros(int(new.sum()), np.uint64)
-            for block, lo, hi in ex.pieces(at // np.uint64(cells)):
-                levels[lo:hi] = ex.unpack(got[block], hi - lo)
-            level = np.empty(len(cell), np.uint64)
-            level[order] = levels[np.cumsum(new) - 1]
-            begin = 0
-            for doc, own in zip(ids, sets, strict=True):
-                n, seen = len(own), level[begin : begin + len(own)]
-                begin += n
-                least = -(-percent * n // 100)
-                rarest = np.lexsort((own, seen))[: n - least + max(1, n * SHARED // 100)]
-                out += [(t, doc, n) for t in own[rarest[seen[rarest] > 0]].view(np.int64).tolist()]
-        columns = list(zip(*out, strict=True)) if out else [()] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["token", "doc", "n"])
-
-    levels = ex.reduced(ex.told(dealt, mine, count, ex.ASK), merge)
-    return ex.told(dealt, mine.unionAll(levels.select("chunk", "block", "answer")), prefix, "token long, doc long, n long")
-
-
-def _probe(members: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) of queries (g, h, doc, set) to the first linking member of groups (g, h, doc, set).
-
-    The queries of a group are dealt to as many tasks as they need, each with
-    all of its (boundedly many) members.
+            known, place = cells(sets)
+            level = levels.read(plan, ex.by_block(told), known)[0][place]
+        for node, own in zip(nodes, sets, strict=True):
+            n, seen = len(own), level[begin : begin + len(own)]
+            begin += n
+            order = np.lexsort((own, seen))
+            asks, found = n - -(-percent * n // 100) + 1, n - least_common(n, n, percent) + 1
+            first = order[:asks]
+            shared = seen[first] > 0
+            if shared.any():
+                rows.append((node, n, own[first[shared]].view(np.int64), int(shared[:found].sum()), own.tobytes()))
+        kinds = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["node", "n", "tokens", "own", "set"])
+
+    answered = levels.resolve(ex.told(dealt, mine, count, ex.ASK), plan)
+    return ex.told(dealt, mine.unionAll(answered.select("chunk", "block", "answer")), prefix, _KEPT)
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A staged table, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
+class _Index:
+    """The sets of some classes, by shingle."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens)
+        self.tokens, self.owner = tokens[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def linked(self, own: np.ndarray, percent: int) -> np.ndarray:
+        """The sets that link with this one."""
+        lo, hi = np.searchsorted(self.tokens, own, "left"), np.searchsorted(self.tokens, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return np.flatnonzero(100 * shared >= percent * (len(own) + self.sizes - shared))
+
+
+def _dealt(queries: DataFrame, key: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """queries with the task that each is dealt to, and the tasks of each key."""
+    n = queries.groupBy(*key).agg(F.count("*").alias("c"))
+    n = scratch.stage(n.select(*key, "c", F.ceil(F.col("c") / QUERIES).cast("int").alias("parts")), "parts")
+    total = n.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    dealt = attach(queries, n, key, "c", total).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    return dealt, n.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
+def _open(members: DataFrame, queries: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Edges (u, v) that join all of queries (key, part, node, set) that link with members (key, part, node, set).
+
+    The members of a key (bounded) go to each task of it.  A task's edges are
+    a forest of the links between its queries and members.
     """
     import pyarrow as pa
 
-    parts = queries.groupBy("g", "h").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    members = members.join(parts, ["g", "h"]).select("g", "h", "doc", "set", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    queries = queries.join(parts, ["g", "h"]).select("g", "h", "doc", "set", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"))
-
-    def probe(left, right):
-        own = [(d, np.frombuffer(s, np.uint64)) for d, s in sorted(zip(left["doc"].to_pylist(), left["set"].to_pylist(), strict=True))]
+    def links(left, right):
         out = []
-        if own:
-            tokens, sizes = np.concatenate([s for _, s in own]), np.array([len(s) for _, s in own])
-            order = np.argsort(tokens)
-            tokens, owner = tokens[order], np.repeat(np.arange(len(own)), sizes)[order]
-            for doc, raw in zip(right["doc"].to_pylist(), right["set"].to_pylist(), strict=True):
-                q = np.frombuffer(raw, np.uint64)
-                lo, hi = np.searchsorted(tokens, q, "left"), np.searchsorted(tokens, q, "right")
-                n = hi - lo
-                bound = int((n > 0).sum())  # by the group's token union, of the intersection with any member
-                if 100 * bound < percent * max(len(q), int(sizes.min())):
-                    continue
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                shared = np.bincount(owner[at], minlength=len(own))
-                hit = np.flatnonzero(100 * shared >= percent * (len(q) + sizes - shared))
-                if len(hit):
-                    out.append((doc, own[hit[0]][0]))
+        if left.num_rows and right.num_rows:
+            own = sorted(zip(left["node"].to_pylist(), left["set"].to_pylist(), strict=True))
+            index, parent = _Index([np.frombuffer(s, np.uint64) for _, s in own]), {}
+
+            def find(x):
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for node, raw in sorted(zip(right["node"].to_pylist(), right["set"].to_pylist(), strict=True)):
+                for k in index.linked(np.frombuffer(raw, np.uint64), percent).tolist():
+                    a, b = find(node), find(own[k][0])
+                    if a != b:
+                        parent[a] = b
+                        out.append((node, own[k][0]))
         columns = list(zip(*out, strict=True)) if out else [()] * 2
-        return pa.table([pa.array(c, pa.int64()) for c in columns], ["u", "v"])
+        return pa.table([pa.array(c, pa.binary()) for c in columns], ["u", "v"])
 
+    key = [*key, "part"]
     members, queries = members.toDF(*members.columns), queries.toDF(*queries.columns)
-    key = ["g", "h", "part"]
-    return members.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(probe, "u long, v long")
+    return members.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(links, "u binary, v binary")
+
+
+def _unions(members: DataFrame) -> DataFrame:
+    """(g, linked, h, lo, union): the least size and the token union of each group (g, linked, h, node, set)."""
+    import pyarrow as pa
+
+    def union(key, table):
+        sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
+        both = np.unique(np.concatenate(sets))
+        row = [*[k.as_py() for k in key], min(map(len, sets)), both.tobytes()]
+        kinds = (pa.binary(), pa.bool_(), pa.int32(), pa.int64(), pa.binary())
+        return pa.table([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], ["g", "linked", "h", "lo", "union"])
+
+    return members.groupBy("g", "linked", "h").applyInArrow(union, "g binary, linked boolean, h int, lo long, union binary")
+
+
+def _qualify(unions: DataFrame, queries: DataFrame, percent: int) -> DataFrame:
+    """(g, linked, h, part, node) of the queries whose overlap with a group's token union may hold a link."""
+    import pyarrow as pa
+
+    key, kinds = ["g", "linked", "h", "part"], (pa.binary(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
+
+    def bound(left, right):
+        out = []
+        if left.num_rows and right.num_rows:
+            tokens, lo = np.frombuffer(left["union"][0].as_py(), np.uint64), left["lo"][0].as_py()
+            head = [left[k][0].as_py() for k in key]
+            for node, raw in zip(right["node"].to_pylist(), right["set"].to_pylist(), strict=True):
+                own = np.frombuffer(raw, np.uint64)
+                common = int((tokens[np.minimum(np.searchsorted(tokens, own), len(tokens) - 1)] == own).sum())
+                if common >= least_common(len(own), max(lo, -(-percent * len(own) // 100)), percent):
+                    out.append((*head, node))
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*key, "node"])
+
+    unions, queries = unions.toDF(*unions.columns), queries.toDF(*queries.columns)
+    return unions.groupBy(*key).cogroup(queries.groupBy(*key)).applyInArrow(bound, "g binary, linked boolean, h int, part int, node binary")
+
+
+def _pivots(met: DataFrame, number: int) -> DataFrame:
+    """(token, c, pivot, home, m): of the classes (token, node, n, root, common) that have a shingle, the pivot, its component and size.
+
+    First the class with most in common with others; later a member, another
+    each time, of the largest component that has the shingle.
+    """
+    who = F.struct("node", "root", "n")
+    if number == 0:
+        best = met.groupBy("token").agg(F.count("*").alias("c"), F.max_by(who, F.struct("common", "node")).alias("p"))
+    else:
+        draw = F.struct(F.xxhash64(F.lit(number), "node"), F.col("node"))
+        homes = met.groupBy("token", "root").agg(F.count("*").alias("k"), F.max_by(who, draw).alias("p"))
+        best = homes.groupBy("token").agg(F.sum("k").alias("c"), F.max_by("p", F.struct("k", "root")).alias("p"), F.count("*").alias("homes")).where("homes > 1")
+    return best.select("token", "c", F.col("p.node").alias("pivot"), F.col("p.root").alias("home"), F.col("p.n").alias("m"))
+
+
+def _similar(kept: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) that join all linked classes of kept."""
+    spark = kept.sparkSession
+    rows = kept.select("node", "n", "own", F.posexplode("tokens").alias("pos", "token")).select("token", "node", "n", (F.col("pos") < F.col("own")).alias("found"))
+    # shingles that one class alone has among its first, or by which none may be found, fall here
+    tokens = rows.groupBy("token").agg(F.count("*").alias("c"), F.max("found").alias("f")).where("c > 1 and f").select("token", "c")
+    tokens = scratch.stage(tokens, "tokens")
+    total = tokens.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    met = scratch.stage(attach(rows, tokens, ["token"], "c", total), "met")
+    central = met.groupBy("node").agg((F.count("*") / F.first("n")).alias("common"))
+    met = scratch.stage(met.join(central, "node"), "central")
+
+    edges = spark.createDataFrame([], "u binary, v binary")
+    roots, home = None, None
+    for number in range(ROUNDS):
+        now = met.withColumn("root", F.col("node")) if roots is None else met.join(roots.withColumnRenamed("root", "r"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("r", "node")).drop("r", "of")
+        pivots = scratch.stage(_pivots(now, number), "pivots")
+        meets = attach(now, pivots, ["token"], "c", total).where("root <> home")
+        fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+        votes = meets.groupBy("node", "pivot").agg(F.count("*").alias("votes"), F.first(fits).alias("fits"))
+        best = votes.groupBy("node").agg(F.max_by(F.struct("pivot", "fits"), F.struct("fits", "votes", "pivot")).alias("p")).select("node", "p.*")
+        best = scratch.stage(best, "best")
+        home = best.select("node", F.col("pivot").alias("near")) if number == 0 else home
+        tried = best.where("fits").select("pivot", "node")
+        queries, tasks = _dealt(tried, ["pivot"], scratch)
+        chosen = scratch.stage(queries, "tried")
+        members = tasks.join(kept.select(F.col("node").alias("pivot"), F.col("node").alias("node"), "set"), "pivot")
+        asked = kept.select("node", "set").join(_small(chosen), "node").select("pivot", "part", "node", "set")
+        new = scratch.stage(_open(members.select("pivot", "part", "node", "set"), asked, ["pivot"], percent), "links")
+        n_tried, n_new = chosen.count(), new.count()
+        edges = edges.unionAll(new)
+        found = scratch.stage(components(edges, scratch), "roots")
+        roots = found.select(F.col("node").alias("of"), "root")
+        if YIELD * n_new <= n_tried:
+            break
+
+    # the groups: linked classes, and classes similar to a pivot without linking
+    nodes = met.groupBy("node").agg(F.first("n").alias("n")).join(roots, F.col("node") == F.col("of"), "left").join(home, "node", "left")
+    nodes = nodes.select("node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("root", "near", "node").alias("g"), F.col("root").isNotNull().alias("linked"))
+    nodes = scratch.stage(nodes, "nodes")
+    sizes = nodes.groupBy("g", "linked").agg(F.count("*").alias("c"), F.ceil(F.sum("n") / GROUP).alias("parts"))
+    n_nodes = nodes.count()
+    nodes = scratch.stage(attach(nodes, sizes, ["g", "linked"], "c", n_nodes).withColumn("h", F.pmod(F.xxhash64("node"), "parts").cast("int")).drop("parts"), "grouped")
+
+    met = met.select("token", "node", "found").join(nodes, "node")
+    mixed = met.groupBy("token").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token", "c")
+    mixed = scratch.stage(mixed, "mixed")
+    met = scratch.stage(attach(met, mixed, ["token"], "c", total), "mixed_met")
+    # a cell of the matrix: a shingle by which members of a group may be found
+    matrix = met.where("found").groupBy("token", "g", "linked", "h").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("a"), F.max("root").alias("b"))
+    salts = mixed.select("token", "c", F.ceil(F.col("c") / MEETINGS).cast("int").alias("salts"))
+    asked = attach(met.select("token", "node", "n", "root"), salts, ["token"], "c", total).select("token", "node", "n", "root", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"))
+    cells = matrix.join(salts.drop("c"), "token").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    other = (F.col("a") != F.col("b")) | (F.col("a") != F.col("root"))
+    fits = (F.col("lo") <= F.col("n")) & (F.col("hi") * 100 >= F.col("n") * percent)
+    meets = asked.join(cells, ["token", "salt"]).where(other & fits).groupBy("g", "linked", "h", "node").agg(F.count("*").alias("votes"))
+    meets = scratch.stage(meets, "meets")
+
+    key = ["g", "linked", "h"]
+    queries, tasks = _dealt(meets.drop("votes"), key, scratch)
+    queries, tasks = scratch.stage(queries, "asked"), scratch.stage(tasks, "tasks")
+    homes = scratch.stage(tasks.select(*key).distinct().join(nodes.select(*key, "node"), key), "homes")
+    members = kept.select("node", "set").join(_small(homes), "node").select(*key, "node", "set")
+    unions = scratch.stage(_unions(members), "unions")
+    sets = kept.select("node", "set").join(_small(queries), "node").select(*key, "part", "node", "set")
+    open_ = scratch.stage(_qualify(unions.join(tasks, key), sets, percent), "qualified")
+    tasks = open_.select(*key, "part").distinct()
+    homes = scratch.stage(tasks.join(homes, key).select(*key, "part", "node"), "opened")
+    members = kept.select("node", "set").join(_small(homes), "node").select(*key, "part", "node", "set")
+    sets = kept.select("node", "set").join(_small(open_), "node").select(*key, "part", "node", "set")
+    return edges.unionAll(_open(members, sets, key, percent))
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -219,60 +378,21 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = stage(shingle_sets(docs, width), "sets")
-    reps = sets.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = stage(reps, "reps")
-    prefix = stage(_prefixes(docs, reps, width, percent), "prefixes")
-
-    # rarely shared shingles fall here: those of one document alone
-    shared = prefix.groupBy("token").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last")
-    met = stage(prefix.join(shared, "token").select("token", "doc", "n"), "met")
-    wanted = met.select(F.col("doc").alias("doc_id")).distinct().join(reps.selectExpr("rep as doc_id", "digest as own"), "doc_id")
-    wanted = stage(wanted, "wanted")
-    texts = docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted, "doc_id")
-    kept = shingle_sets(texts, width, True, "own").where("digest = own").dropDuplicates(["doc_id", "digest"])
-    kept = stage(kept.selectExpr("doc_id doc", "set"), "kept")
-
-    # the text with the largest share of its set in common with others is near to most of them
-    central = met.groupBy("doc").agg((F.count("*") / F.first("n")).alias("common"))
-    pivots = met.join(central, "doc").groupBy("token").agg(F.max_by("doc", F.struct("common", F.negative("doc"))).alias("pivot"))
-    votes = met.join(pivots, "token").where("doc <> pivot").groupBy("doc", "pivot").agg(F.count("*").alias("votes"))
-    first = votes.groupBy("doc").agg(F.max_by("pivot", F.struct("votes", F.negative("pivot"))).alias("g"))
-    pivots = first.select("g").distinct().join(kept.withColumnRenamed("doc", "g"), "g").selectExpr("g", "0 h", "g doc", "set")
-    stars = _probe(pivots, first.join(kept, "doc").selectExpr("g", "0 h", "doc", "set"), percent)
-    stars = stage(stars, "stars")
-
-    groups = components(stars)
-    placed = met.join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("g", F.coalesce("root", "doc"))
-    sizes = placed.select("g", "doc", "n").distinct().groupBy("g").agg(F.ceil(F.sum("n") / GROUP).alias("parts"))
-    placed = placed.join(sizes, "g").select("token", "doc", "n", "g", F.pmod(F.xxhash64("doc"), "parts").cast("int").alias("h"))
-    mixed = placed.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token")
-    placed = stage(placed.join(mixed, "token"), "placed")
-    matrix = placed.groupBy("token", "g", "h").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    fits = (F.col("hi") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("lo") * percent)
-    asked = placed.selectExpr("token", "doc", "n", "g as own").join(matrix, "token").where((F.col("own") > F.col("g")) & fits)
-    asked = asked.groupBy("g", "h", "doc", "own").agg(F.count("*").alias("votes"), F.least(F.first("n"), F.min("lo")).alias("least"))
-    asked = stage(asked.where(F.col("votes") >= F.greatest(F.lit(1), F.floor(F.col("least") * SHARED / 100))).drop("least"), "asked")
-    homes = placed.select("g", "h", "doc").distinct()
-
-    def met_by(queries):
-        members = queries.select("g", "h").distinct().join(homes, ["g", "h"])
-        return _probe(members.join(kept, "doc").select("g", "h", "doc", "set"), queries.join(kept, "doc").select("g", "h", "doc", "set"), percent)
-
-    # first the groups with most in common; then all others that no link has joined meanwhile
-    ranked = asked.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("votes"), "g", "h")))
-    ranked = stage(ranked, "ranked")
-    nearest = stage(met_by(ranked.where(F.col("rank") <= NEAREST)), "nearest")
-    now = components(stars.unionAll(nearest))
-    rest = ranked.where(F.col("rank") > NEAREST)
-    for column in ("own", "g"):
-        root = now.select(F.col("node").alias(column), F.col("root").alias(f"{column}_now"))
-        rest = rest.join(root, column, "left").withColumn(f"{column}_now", F.coalesce(f"{column}_now", column))
-    more = nearest.unionAll(met_by(stage(rest.where("own_now <> g_now").select("g", "h", "doc"), "rest")))
-
-    same_id = sets.where("digest is not null and doc_id is not null").join(reps, "digest").where("doc_id <> rep")
-    repeated = sets.where("digest is not null and doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
-    bound = same_id.join(repeated, "doc_id").selectExpr("doc_id u", "rep v")
-    linked = components(stars.unionAll(more).unionAll(bound))
-    roots = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    return sets.join(roots, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    with Scratch(docs.sparkSession) as scratch:
+        sets = scratch.stage(shingle_sets(docs, width), "sets")
+        full = sets.where("digest is not null and doc_id is not null")
+        reps = scratch.stage(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "reps")
+        kept = scratch.stage(_prefixes(docs, reps, width, percent), "kept")
+        edges = _similar(kept, percent, scratch)
+        # the texts of a repeated id are in one component
+        repeated = full.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id", "a")
+        same = full.join(repeated, "doc_id").selectExpr("digest u", "a v").where("u <> v")
+        linked = scratch.stage(components(edges.unionAll(same), scratch), "linked")
+        placed = scratch.stage(reps.join(linked.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", "c", F.coalesce("root", "digest").alias("root")), "placed")
+        firsts = placed.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("k"))
+        n = placed.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+        named = attach(placed, firsts, ["root"], "k", n[0]).select("digest", "c", F.col("first").alias("component_id"))
+        named = scratch.stage(named, "named")
+        whole = attach(full, named, ["digest"], "c", n[1]).select("doc_id", "n_shingles", "component_id")
+        rest = sets.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return stage(whole.unionAll(rest), "components")

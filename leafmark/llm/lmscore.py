@@ -58,37 +58,23 @@ class _Chunk:
         return left, right, text
 
 
-def _ask(chunk: int, keys: np.ndarray, counts: list[np.ndarray], blocks: int, offset: int = 0) -> list[tuple]:
-    rows = []
-    for block, lo, hi in ex.pieces(ex.block_of_hash(keys, blocks)):
-        extra = [ex.pack(c[lo:hi]) for c in counts]
-        rows.append((block + offset, chunk, hi - lo, ex.pack(keys[lo:hi], True), len(extra[0]).to_bytes(4, "little") + b"".join(extra)))
-    return rows
+class _Counts(ex.Reduction):
+    """Counts of each key in the two models; all are told the sums."""
 
+    values, told = "uu", "uu"
 
-def _two(data: bytes, n: int) -> list[np.ndarray]:
-    cut = 4 + int.from_bytes(data[:4], "little")
-    return [ex.unpack(data[4:cut], n).astype(np.int64), ex.unpack(data[cut:], n).astype(np.int64)]
 
+class _WordCounts(_Counts):
+    """The same for words; a block also says how many words it counts, and of them those that are too rare."""
 
-def _sum(rows: list[dict]):
-    """The distinct keys of a block, the place of each piece's keys among them, and the two summed counts."""
-    keys, place = places(np.concatenate([ex.unpack(r["keys"], r["n"], True) for r in rows]))
-    both = [_two(r["extra"], r["n"]) for r in rows]
-    sums = [np.bincount(place, weights=np.concatenate([b[k] for b in both]), minlength=len(keys)).astype(np.int64) for k in (0, 1)]
-    answers = []
-    for at in np.split(place, np.cumsum([r["n"] for r in rows])[:-1]):
-        packed = [ex.pack(s[at]) for s in sums]
-        answers.append(len(packed[0]).to_bytes(4, "little") + b"".join(packed))
-    return keys, sums, answers
+    def __init__(self, min_count: int):
+        super().__init__()
+        self.min_count = min_count
 
-
-def _told(got: dict[int, bytes], keys: np.ndarray, blocks: int, offset: int = 0) -> list[np.ndarray]:
-    out = [np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)]
-    for block, lo, hi in ex.pieces(ex.block_of_hash(keys, blocks)):
-        for o, v in zip(out, _two(got[block + offset], hi - lo), strict=True):
-            o[lo:hi] = v
-    return out
+    def also(self, keys, values):
+        a, b = values
+        rare = a + b < self.min_count
+        return np.array([a.sum(), b.sum(), (~rare).sum(), a[rare].sum(), b[rare].sum()], np.int64).tobytes()
 
 
 def _own(text: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -106,13 +92,13 @@ def score(docs: DataFrame, targets: DataFrame, min_count: int = MIN_COUNT, prior
     empty texts and texts without words have 0 tokens and null losses and
     score.  Rows that repeat an id belong to the same models; rows without an
     id belong to none.  Without target documents the target model is uniform.
+    Other columns are ignored.
     """
     import pyarrow as pa
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     targets = targets.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
     plan = ex.plan_chunks(docs)
-    blocks = plan.blocks
     ids = docs.where("doc_id is not null").select("doc_id").distinct().join(targets.withColumn("target", F.lit(True)), "doc_id", "left")
     n_target, n_rest = ids.agg(F.count("target"), F.count("*") - F.count("target")).first()
     share = n_target / n_rest if n_rest else 0.0
@@ -122,27 +108,20 @@ def score(docs: DataFrame, targets: DataFrame, min_count: int = MIN_COUNT, prior
     def packed(batches):
         for b in batches:
             both = [i.to_bytes(8, "little", signed=True) + bytes([r]) for i, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([-1] * len(both), pa.int32()), pa.array(both, pa.binary())], ["chunk", "block", "answer"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([-1] * len(both), pa.int64()), pa.array(both, pa.binary())], ["chunk", "block", "answer"])
 
     mine = roles.select(ex.chunk_of(plan).alias("chunk"), "doc_id", "role").mapInArrow(packed, ex.ANSWER)
     texts = ex.deal(docs, plan, "doc_id", "text")
 
+    word_counts, pair_counts = _WordCounts(min_count), _Counts()
+
     def ask_words(table, told):
         if not table.num_rows:
             return ex.asks([])
         chunk = _Chunk(table, told)
-        return ex.asks(_ask(table["chunk"][0].as_py(), chunk.known, chunk.counts(chunk.place, len(chunk.known), chunk.text), blocks))
-
-    def sum_words(table):
-        rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
-        _, sums, answered = _sum(rows)
-        rare = sums[0] + sums[1] < min_count
-        totals = np.array([sums[0].sum(), sums[1].sum(), (~rare).sum(), sums[0][rare].sum(), sums[1][rare].sum()], np.int64)
-        out = [(r["chunk"], r["block"], a) for r, a in zip(rows, answered, strict=True)]
-        return ex.answers([*out, (-1, rows[0]["block"], totals.tobytes())])
+        return ex.asks(word_counts.ask(plan, table["chunk"][0].as_py(), chunk.known, chunk.counts(chunk.place, len(chunk.known), chunk.text)))
 
-    asked = ex.told(texts, mine, ask_words, ex.ASK)
-    words = asked.groupBy("block").applyInArrow(sum_words, ex.ANSWER)
+    words = word_counts.resolve(ex.told(texts, mine, ask_words, ex.ASK), plan)
 
     def opened(batches):
         for b in batches:
@@ -152,12 +131,12 @@ def score(docs: DataFrame, targets: DataFrame, min_count: int = MIN_COUNT, prior
     # the totals of the blocks are summed and told to each chunk
     sums = words.where("chunk = -1").select("answer").mapInArrow(opened, "a long, b long, c long, d long, e long").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "abcde"])
     line = F.encode(F.concat_ws(",", *[F.col(c).cast("string") for c in "abcde"]), "utf-8")
-    total = sums.select(F.explode(F.sequence(F.lit(0), F.lit(plan.chunks - 1))).alias("chunk"), F.lit(-2).alias("block"), line.alias("answer"))
+    total = sums.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(plan.chunks - 1).cast("long"))).alias("chunk"), F.lit(-2).cast("long").alias("block"), line.alias("answer"))
     first = mine.unionAll(words.where("chunk >= 0").select("chunk", "block", "answer")).unionAll(total)
 
     def prepared(table, told):
         chunk, got = _Chunk(table, told), ex.by_block(told)
-        word = _told(got, chunk.known, blocks)
+        word = [w.astype(np.int64) for w in word_counts.read(plan, got, chunk.known)]
         return chunk, got, word, word[0] + word[1] >= min_count
 
     def ask_bigrams(table, told):
@@ -166,10 +145,10 @@ def score(docs: DataFrame, targets: DataFrame, min_count: int = MIN_COUNT, prior
         chunk, _, _, frequent = prepared(table, told)
         left, right, text = chunk.events(frequent)
         keys, place = places(mix(left * np.uint64(0x9E3779B97F4A7C15) + mix(right)))
-        return ex.asks(_ask(table["chunk"][0].as_py(), keys, chunk.counts(place, len(keys), text), blocks, blocks))
+        return ex.asks(pair_counts.ask(plan, table["chunk"][0].as_py(), keys, chunk.counts(place, len(keys), text)))
 
-    bigrams = ex.reduced(ex.told(texts, first, ask_bigrams, ex.ASK), lambda rows: _sum(rows)[2])
-    second = first.unionAll(bigrams.select("chunk", "block", "answer"))
+    bigrams = pair_counts.resolve(ex.told(texts, first, ask_bigrams, ex.ASK), plan)
+    second = first.unionAll(bigrams.selectExpr("chunk", f"block + {plan.fan} as block", "answer"))
 
     def losses(table, told):
         if not table.num_rows:
@@ -179,7 +158,7 @@ def score(docs: DataFrame, targets: DataFrame, min_count: int = MIN_COUNT, prior
         vocabulary = total[2] + 2  # and the unknown word and the end
         left, right, text = chunk.events(frequent)
         keys, place = places(mix(left * np.uint64(0x9E3779B97F4A7C15) + mix(right)))
-        pair = [c[place] for c in _told(got, keys, blocks, blocks)]
+        pair = [c.astype(np.int64)[place] for c in pair_counts.read(plan, got, keys, offset=plan.fan)]
         own_pair = _own(text, place)
         # the counts of each event's context and word in each model
         symbols, at = places(np.concatenate([left, right]))

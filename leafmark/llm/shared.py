@@ -1,5 +1,5 @@
 """The shared folder, as the rest of the library has it."""
 
-from leafmark.storage import shared_dir, stage
+from leafmark.storage import Scratch, shared_dir, stage
 
-__all__ = ["shared_dir", "stage"]
+__all__ = ["Scratch", "shared_dir", "stage"]

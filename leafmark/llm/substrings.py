@@ -21,9 +21,11 @@ import itertools
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leafmark.llm import exchange as ex
-from leafmark.llm.words import Words, distinct, inner_windows, mix, places, text_bytes, window_hashes, window_hashes_at
+from leafmark.llm.shared import stage
+from leafmark.llm.words import Words, inner_windows, mix, places, text_bytes, window_hashes, window_hashes_at
 
 WINDOW = 20
 DEPTH = 2
@@ -37,9 +39,9 @@ class _Chunk:
     """The documents of a chunk in order, and the hashes of their windows end to end."""
 
     def __init__(self, table, length: int):
-        ids, texts = table["doc_id"].to_pylist(), text_bytes(table["text"])
+        ids, place, texts = table["doc_id"].to_pylist(), table["place"].to_pylist(), text_bytes(table["text"])
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i] is not None, texts[i] or b""))
-        self.ids = [ids[i] for i in order]
+        self.ids, self.place = [ids[i] for i in order], [place[i] for i in order]
         self.words = Words([texts[i] for i in order])
         first = self.words.first
         self.start = inner_windows(first, length)
@@ -47,6 +49,12 @@ class _Chunk:
         self.length = length
         self.doc = np.searchsorted(first, self.start, side="right") - 1
 
+    def owner(self, windows: np.ndarray) -> list[np.ndarray]:
+        """The order of the documents that have these windows: by id, then those without one by their place."""
+        at = [p or 0 if i is None else i + (1 << 63) for i, p in zip(self.ids, self.place, strict=True)]
+        doc = self.doc[windows]
+        return [np.array(at, np.uint64)[doc], np.array([i is None for i in self.ids], bool)[doc]]
+
     def h2(self, candidates: np.ndarray) -> np.ndarray:
         """A second, independent hash of some windows."""
         return window_hashes_at(self.words.hashes(1), self.start[candidates], self.length, 1)
@@ -56,11 +64,20 @@ class _Chunk:
 _SALT = mix(np.arange(1, 9, dtype=np.uint64))
 
 
-def _cells(h: np.ndarray, row: int, blocks: int, cells: int) -> np.ndarray:
-    """The cell of each window in a row of the sketch; blocks of so many cells follow each other."""
-    h = mix(h + _SALT[row])
-    block = ((h >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
-    return block * np.uint64(cells) + (((h & np.uint64(0xFFFFFFFF)) * np.uint64(cells)) >> np.uint64(32))
+def _cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
+    """The cell of each window in a row of the sketch; rows of 2 ** bits cells follow each other."""
+    return (mix(h + _SALT[row]) >> np.uint64(64 - bits)) + (np.uint64(row) << np.uint64(bits))
+
+
+class _Sketch(ex.Reduction):
+    """Cells of the sketch: whether a chunk counts more than one window; told is whether all chunks do."""
+
+    values, told = "b", "b"
+
+    def merge(self, keys, values):
+        known, place = places(keys)
+        count = np.bincount(place, minlength=len(known))
+        return known, [(count > 1) | (np.bincount(place, weights=values[0], minlength=len(known)) > 0)], place
 
 
 def _sorted_groups(a: np.ndarray, b: np.ndarray):
@@ -75,6 +92,33 @@ def _sorted_groups(a: np.ndarray, b: np.ndarray):
     return order, np.concatenate([[0], np.flatnonzero(~same) + 1]) if len(a) else np.empty(0, np.int64)
 
 
+class _First(ex.Reduction):
+    """Windows by both hashes, with the first document that has each; told is which piece has the first window.
+
+    values: the second hash, the document's order, and whether it has no id (such come last).
+    """
+
+    values, told = "uub", "b"
+
+    def merge(self, keys, values):
+        order, begin = _sorted_groups(keys, values[0])
+        group = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(keys)]])))
+        place = np.empty(len(keys), np.int64)
+        place[order] = group
+        first = np.lexsort((values[1], values[2], place))[begin] if len(keys) else begin
+        return keys[first], [v[first] for v in values], place
+
+    def answer(self, keys, values):
+        return [np.ones(len(keys), bool)]
+
+    def spread(self, answer, place, piece, values):
+        order = np.lexsort((piece, values[1], values[2], place))
+        new = np.concatenate([[True], place[order][1:] != place[order][:-1]]) if len(order) else np.empty(0, bool)
+        here = np.zeros(len(place), bool)
+        here[order[new]] = True  # of the pieces that have the first document, the first
+        return [here & answer[0][place]]
+
+
 def _distinct(chunk: _Chunk, candidates: np.ndarray):
     """The distinct keys of candidate windows in order, and the first window of each."""
     a, b = chunk.h1[candidates], chunk.h2(candidates)
@@ -83,91 +127,71 @@ def _distinct(chunk: _Chunk, candidates: np.ndarray):
     return a[at], b[at], np.minimum.reduceat(candidates[order], begin) if len(a) else candidates
 
 
-def _likely(chunk: _Chunk, got: dict[int, bytes], depth: int, blocks: int, cells: int) -> np.ndarray:
+def _touched(chunk: _Chunk, depth: int, bits: int):
+    """The distinct cells that a chunk touches, how often it does each, and the places of its windows in every row."""
+    rows = [places(_cells(chunk.h1, row, bits)) for row in range(depth)]
+    counts = [np.bincount(place, minlength=len(cells)) for cells, place in rows]
+    return np.concatenate([c for c, _ in rows]), np.concatenate(counts), [place for _, place in rows]
+
+
+def _likely(chunk: _Chunk, sketch: _Sketch, plan: ex.Plan, got: dict[int, bytes], depth: int, bits: int) -> np.ndarray:
     """The windows estimated repeated in every row."""
-    likely = np.ones(len(chunk.h1), bool)
-    for row in range(depth):
-        touched, place = places(_cells(chunk.h1, row, blocks, cells))
-        told = np.zeros(len(touched), bool)
-        for block, lo, hi in ex.pieces(touched // np.uint64(cells)):
-            told[lo:hi] = ex.unpack_bits(got[row * blocks + block], hi - lo)
-        likely &= told[place]
+    cells, _, rows = _touched(chunk, depth, bits)
+    told, before, likely = sketch.read(plan, got, cells)[0], 0, np.ones(len(chunk.h1), bool)
+    for place in rows:
+        likely &= told[before + place]
+        before += int(place.max()) + 1 if len(place) else 0
     return np.flatnonzero(likely)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """docs with place: for rows without doc_id a number that rises with their text, null for all others."""
+    plain = docs.where("doc_id is not null").withColumn("place", F.lit(None).cast("long"))
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return plain
+    texts = nameless.select(F.col("text").alias("of")).where("of is not null").distinct().repartitionByRange("of").sortWithinPartitions("of")
+    texts = stage(texts.withColumn("place", F.monotonically_increasing_id()), "nameless")
+    return plain.unionAll(nameless.join(texts, F.col("text") == F.col("of"), "left").select("doc_id", "text", "place"))
+
+
 def dedup(docs: DataFrame, length: int = WINDOW, depth: int = DEPTH, cells_per_window: int = CELLS_PER_WINDOW) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     Null and empty texts have no words and the hash of the empty string;
     documents of fewer than `length` words keep all.  Repeated rows are
     documents one after the other, so later ones lose what repeats.  Rows
-    without doc_id come after all others, in the order of chunk and text.
-    Other columns are ignored.
+    without doc_id come after all others, in the order of their texts.  Other
+    columns are ignored.
     """
     plan = ex.plan_chunks(docs)
-    blocks = plan.blocks
-    cells = max(64, cells_per_window * plan.text_bytes // (5 * blocks))
-    texts = ex.deal(docs, plan, "doc_id", "text")
-
-    def sketch(key, table):
-        chunk, rows = _Chunk(table, length), []
-        for row in range(depth):
-            touched, counts = distinct(_cells(chunk.h1, row, blocks, cells))
-            for block, lo, hi in ex.pieces(touched // np.uint64(cells)):
-                low = touched[lo:hi] - np.uint64(block * cells)
-                rows.append((row * blocks + block, key[0].as_py(), hi - lo, ex.pack(low, True), ex.pack_bits(counts[lo:hi] > 1)))
-        return ex.asks(rows)
-
-    def merge_cells(rows):
-        count = np.zeros(cells, np.uint8)
-        touched = [ex.unpack(r["keys"], r["n"], True).astype(np.int64) for r in rows]
-        for r, at in zip(rows, touched, strict=True):
-            count[at] = np.minimum(2, count[at] + 1 + ex.unpack_bits(r["extra"], r["n"]))
-        return [ex.pack_bits(count[at] > 1) for at in touched]
-
-    estimated = ex.reduced(texts.groupBy("chunk").applyInArrow(sketch, ex.ASK), merge_cells)
+    bits = max(6, (cells_per_window * plan.text_bytes // 5).bit_length())
+    sketch, exact = _Sketch(bits + (depth - 1).bit_length()), _First()
+    texts = ex.deal(_placed(docs.select("doc_id", "text")), plan, "doc_id", "text", "place")
+
+    def count(key, table):
+        cells, counts, _ = _touched(_Chunk(table, length), depth, bits)
+        return ex.asks(sketch.ask(plan, key[0].as_py(), cells, [counts > 1]))
+
+    estimated = sketch.resolve(texts.groupBy("chunk").applyInArrow(count, ex.ASK), plan)
 
     def candidates(table, told):
-        got, rows = ex.by_block(told), []
-        if table.num_rows:
-            chunk = _Chunk(table, length)
-            a, b, first = _distinct(chunk, _likely(chunk, got, depth, blocks, cells))
-            ids = np.array([np.iinfo(np.int64).max if i is None else i for i in chunk.ids], np.int64)
-            owner = (ids[chunk.doc[first]].view(np.uint64) + np.uint64(1 << 63)) if len(first) else first.astype(np.uint64)
-            number = table["chunk"][0].as_py()
-            for block, lo, hi in ex.pieces(ex.block_of_hash(a, blocks)):
-                extra = [ex.pack(b[lo:hi]), ex.pack(owner[lo:hi])]
-                rows.append((block, number, hi - lo, ex.pack(a[lo:hi], True), len(extra[0]).to_bytes(4, "little") + b"".join(extra)))
-        return ex.asks(rows)
-
-    def merge_keys(rows):
-        sizes = [r["n"] for r in rows]
-        a = np.concatenate([ex.unpack(r["keys"], r["n"], True) for r in rows])
-        cut = [4 + int.from_bytes(r["extra"][:4], "little") for r in rows]
-        b = np.concatenate([ex.unpack(r["extra"][4:c], r["n"]) for r, c in zip(rows, cut, strict=True)])
-        owner = np.concatenate([ex.unpack(r["extra"][c:], r["n"]) for r, c in zip(rows, cut, strict=True)])
-        piece = np.repeat(np.arange(len(rows)), sizes)
-        order, begin = _sorted_groups(a, b)
-        group = np.repeat(np.arange(len(begin)), np.diff(np.concatenate([begin, [len(a)]])))
-        least = owner[order] == np.minimum.reduceat(owner[order], begin)[group]
-        holder = np.minimum.reduceat(np.where(least, piece[order], len(rows)), begin)
-        here = np.zeros(len(a), bool)
-        here[order] = least & (piece[order] == holder[group])
-        return [ex.pack_bits(x) for x in np.split(here, np.cumsum(sizes)[:-1])]
-
-    asked = ex.told(texts, estimated, candidates, ex.ASK)
-    decided = ex.reduced(asked, merge_keys)
-    both = estimated.selectExpr("chunk", "block", "answer").unionAll(decided.selectExpr("chunk", f"block + {depth * blocks} as block", "answer"))
+        if not table.num_rows:
+            return ex.asks([])
+        chunk = _Chunk(table, length)
+        a, b, first = _distinct(chunk, _likely(chunk, sketch, plan, ex.by_block(told), depth, bits))
+        return ex.asks(exact.ask(plan, table["chunk"][0].as_py(), a, [b, *chunk.owner(first)]))
+
+    decided = exact.resolve(ex.told(texts, estimated, candidates, ex.ASK), plan)
+    both = estimated.select("chunk", "block", "answer").unionAll(decided.selectExpr("chunk", f"block + {plan.fan} as block", "answer"))
 
     def remove(table, answered):
         import pyarrow as pa
 
         chunk, got = _Chunk(table, length), ex.by_block(answered)
-        likely = _likely(chunk, got, depth, blocks, cells)
+        likely = _likely(chunk, sketch, plan, got, depth, bits)
         a, _, first = _distinct(chunk, likely)
-        told = np.zeros(len(a), bool)
-        for block, lo, hi in ex.pieces(ex.block_of_hash(a, blocks)):
-            told[lo:hi] = ex.unpack_bits(got[depth * blocks + block], hi - lo)
+        told = exact.read(plan, got, a, offset=plan.fan)[0]
         repeats = np.ones(len(likely), bool)
         repeats[np.searchsorted(likely, first[told])] = False
         later = likely[repeats]

@@ -63,6 +63,65 @@ def test_join_near_the_threshold(spark, seed):
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
 
 
+def test_join_where_an_id_has_two_texts(spark):
+    """Both texts stand for their copies; what either links with is in the id's component."""
+    long, short = fx.words(31, 90, 9000), fx.words(32, 25, 9000)
+    rows = [(1, " ".join(long)), (1, " ".join(short)), (2, " ".join(long)), (3, " ".join(short)), (4, " ".join([*long[:70], "x", *long[71:]])), (5, " ".join([*short, "y"])), (6, None), (1, None)]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, n): 6 if i == 6 else 1 for i, n in got} and len(got) == 8
+
+
+def test_join_of_similar_texts_that_do_not_link(spark):
+    """Many texts around one passage, which few of them share enough of."""
+    rng, passage = random.Random(7), fx.words(41, 60, 9000)
+    rows = [(k, " ".join(passage[: rng.randrange(40, 60)] + [f"own{k}_{j}" for j in range(rng.randrange(3, 30))])) for k in range(60)]
+    rows += [(k + 100, text + f" end{k % 2}") for k, text in rows[::3]]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
+
+
+@pytest.mark.parametrize("rounds", [1, 8])
+def test_join_leaves_what_rounds_of_pivots_miss_to_the_matrix(spark, monkeypatch, rounds):
+    """Groups of a few tokens, tasks of a few classes and shuffle joins, so that every split is used."""
+    for name, value in (("ROUNDS", rounds), ("GROUP", 120), ("QUERIES", 3), ("MEETINGS", 4), ("BROADCAST", 0)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng, rows = random.Random(3), []
+    for c in range(4):
+        base = [f"c{c}w{k}" for k in range(50)]
+        rows += [(100 * c + j, " ".join(f"x{rng.randrange(4)}" if rng.random() < 0.03 else w for w in base)) for j in range(20)]
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute_components(rows)
+
+
+def test_join_finds_all_links_of_a_whole_table(spark):
+    """Every link between any two documents of sf0.01, by an inverted list of all shingles."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets, holders, parent = {i: shingles(t) for i, t in rows}, {}, {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, own in sets.items():
+        shared = {}
+        for g in own:
+            for j in holders.setdefault(g, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[g].append(i)
+        for j, n in shared.items():
+            if 100 * n >= 75 * (len(own) + len(sets[j]) - n):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    want = {(i, len(own), find(i)) for i, own in sets.items()}
+    got = joined(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert set(got) == want and len(got) == len(rows) and any(c != i for i, _, c in got)
+
+
+def test_components_of_a_star(spark):
+    """A node of most edges is split off before the joins."""
+    edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(300 + i, i) for i in range(1, 300, 7)], "u long, v long")
+    assert {r.root for r in components(edges).collect()} == {0}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     assert {r.node: r.root for r in components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
@@ -97,6 +156,53 @@ def test_substrings_of_rows_without_id_and_of_nothing(spark):
     assert substrings.dedup(fx.empty(spark)).count() == 0
 
 
+def test_rows_without_id_are_in_the_order_of_their_texts_at_every_size(spark):
+    repeated = [(None, " ".join(fx.words(50, 60, 9000) + [w])) for w in ("b", "a", "c")] + [(None, "few"), (7, "some words")]
+    filler = [(k, " ".join(fx.words(k, 4000, 90000))) for k in range(100, 140)]
+    for rows in (repeated, repeated + filler):
+        got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(map(tuple, got.collect()), key=str) == brute_substrings(rows, 20)
+
+
+def _scaled(spark, n):
+    return spark.createDataFrame([(k, " ".join(fx.words(k, 1500, 3000))) for k in range(n)], "doc_id long, text string")
+
+
+def test_a_deep_tree_answers_like_a_flat_one(spark, monkeypatch):
+    from leafmark.llm import lmscore
+
+    docs = _scaled(spark, 60).unionAll(fx.docs(spark).where("doc_id is not null").select("doc_id", "text"))
+    targets = docs.where("doc_id % 3 = 0").select("doc_id")
+    run = lambda: [sorted((str(r) for r in df.collect()), key=str) for df in (substrings.dedup(docs), jaccard.join(docs), lmscore.score(docs, targets))]
+    flat = run()
+    monkeypatch.setattr(ex, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(ex, "FANOUT", 3)
+    assert ex.plan_chunks(docs).levels >= 3
+    assert run() == flat
+
+
+def test_pieces_grow_as_the_corpus(spark, monkeypatch):
+    """Rows between chunks and blocks over sizes four times the one before: in proportion to the chunks, at each level."""
+    monkeypatch.setattr(ex, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(ex, "FANOUT", 6)
+    sent, resolve = [], ex.Reduction.resolve
+
+    def counted(self, asked, plan, level=1):
+        sent.append((level, asked.count()))
+        return resolve(self, asked, plan, level)
+
+    monkeypatch.setattr(ex.Reduction, "resolve", counted)
+    for n in (25, 100, 400):
+        docs, chunks = _scaled(spark, n), None
+        chunks = ex.plan_chunks(docs).chunks
+        sent.clear()
+        substrings.dedup(docs)
+        assert {level for level, _ in sent} == set(range(1, ex.plan_chunks(docs).levels + 1))
+        for level, rows in sent:
+            nodes = ex.plan_chunks(docs).fan ** (level - 1) * -(-chunks // ex.plan_chunks(docs).fan ** (level - 1))  # a level's nodes
+            assert rows <= nodes * ex.FANOUT <= 2 * chunks * ex.FANOUT
+
+
 def test_packed_values_come_back():
     rng = np.random.default_rng(5)
     for n in (0, 1, 1000):
