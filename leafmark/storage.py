@@ -24,9 +24,41 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends there."""
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and read it back: lineage ends there."""
+    return _write(df, name)[0]
+
+
+class Scratch:
+    """Staged tables that nobody reads any more when the block ends; their folders go then.
+
+    What is to outlive the block is written by stage() within it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _write(df, name)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove the folders of staged tables that no later step reads."""
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[table for table, _ in list(self.paths.values())])
