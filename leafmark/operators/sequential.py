@@ -1,177 +1,347 @@
-"""Order-dependent page operators: clustering, greedy groups, wrapping, allocation.
+"""Order-dependent page operators: baselines, boxes of lines, wrapping, allocation.
 
-Each needs the rows of one page, text or flow in order, and a state that
-depends on its own decisions; a page is small, so a page is one group.
+What can be decided without an order of decisions is decided by windows: where
+a page falls into strips that can't touch, and strips that are one line.  Only
+the rest goes to Python, in Arrow batches of rows that are sorted by page, so
+that a task holds one strip, one text or a flow's state, and never a page.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from statistics import median
+from bisect import insort
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters that no line may begin with (closing marks), and that none may end with (opening marks).
-NO_START = "、。，．・：；？！）］｝〕〉》」』】’”ー"
-NO_END = "（［｛〔〈《「『【‘“"
+# Fixed values of the line, box and wrapping rules.
+
+#: A glyph belongs to a line whose baseline is so near: points, or a share of the smaller size.
+BASELINE_POINTS, BASELINE_SHARE = 0.65, 0.15
+#: Lines of one box: least ratio of sizes; the gap in points and sizes, at least, and in the smaller size, at most.
+SIZE_RATIO, GAP_POINTS, GAP_LEAST, GAP_MOST = 0.82, 1.0, 0.5, 2.6
+#: How far left edges, or right edges with so much overlap, may be apart, in sizes.
+LEFT_APART, RIGHT_APART, RIGHT_OVERLAP = 1.35, 0.65, 0.65
+#: Blanks that are dropped where a line ends.
+SPACES = " \t　"
+#: Characters that no line may begin with.
+NO_START = "、。，．・：；？！!?,.:;)]}｝〕〉》」』】〙〗〟’”｠»ヽヾゝゞ々ーｰァィゥェォッャュョヮヵヶぁぃぅぇぉっゃゅょゎゕゖㇰㇱㇲㇳㇴㇵㇶㇷㇸㇹㇺㇻㇼㇽㇾㇿ"
+#: Characters that no line may end with.
+NO_END = "([{｛〔〈《「『【〘〖〝‘“｟«"
+
+
+def _kinds(df: DataFrame, more: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + more
+
+
+def _runs(batches, keys: list[str]):
+    """Arrow tables of the rows that are equal in keys, of batches sorted by them."""
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not table.num_rows:
+            continue
+        columns = [table[k].combine_chunks() for k in keys]
+        new = np.zeros(table.num_rows, bool)
+        for c in columns:
+            codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        cuts = [0, *np.flatnonzero(new).tolist()]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield table.slice(lo, hi - lo)
+        held = table.slice(cuts[-1])
+    if held is not None:
+        yield held
+
+
+def _in_runs(rows: DataFrame, keys: list[str], order: list[str], name: str, number: Callable[..., np.ndarray], columns: list[str]) -> DataFrame:
+    """rows with a column `name`: number(arrays of columns) of each run of equal keys, its rows in the given order."""
+
+    def work(batches):
+        for run in _runs(batches, keys):
+            found = number(*[run[c].to_numpy() for c in columns])
+            yield from run.append_column(name, [found.astype(np.int32)]).to_batches()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, _kinds(rows, f", {name} int"))
+
+
+def _strips(rows: DataFrame, page: list[str], order: list[str], reach) -> DataFrame:
+    """rows with strip: cut where the step in y from the row before is over a reach that no decision crosses."""
+    w = Window.partitionBy(*page).orderBy(*order)
+    cut = F.coalesce((F.col("y") - F.lag("y").over(w) > reach).cast("int"), F.lit(0))
+    return rows.withColumn("_cut", cut).withColumn("strip", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_cut")
+
+
+def _renumbered(rows: DataFrame, page: list[str], name: str) -> DataFrame:
+    """Numbers within strips as numbers within the page."""
+    n = rows.groupBy(*page, "strip").agg((F.max(name) + 1).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*page).orderBy("strip").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = n.select(*[F.col(p).alias(f"_{p}") for p in page], F.col("strip").alias("_strip"), before.alias("_before"))
+    same = F.col("strip") == F.col("_strip")
+    for p in page:
+        same &= F.col(p).eqNullSafe(F.col(f"_{p}"))
+    kept = [c for c in rows.columns if c not in ("strip", name)]
+    return rows.join(offsets, same).select(*kept, (F.col(name) + F.col("_before")).cast("int").alias(name))
+
+
+def _lines_of_strip(ys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The line of each glyph of a strip, glyphs in ascending order of y.
+
+    A line's baselines come in ascending order, so its median is a lookup; its
+    sizes are kept sorted.
+    """
+    lines: list[tuple[list[float], list[float]]] = []
+    found = np.empty(len(ys), np.int64)
+
+    def middle(values):
+        half = len(values) // 2
+        return values[half] if len(values) % 2 else (values[half - 1] + values[half]) / 2
+
+    first = 0  # lines before are out of reach for good: their baselines can't rise again
+    reach = max(BASELINE_POINTS, BASELINE_SHARE * float(sizes.max()))
+    for k, (y, size) in enumerate(zip(ys.tolist(), sizes.tolist(), strict=True)):
+        while first < len(lines) and lines[first][0][-1] < y - reach:
+            first += 1
+        options = []
+        for at in range(first, len(lines)):
+            baselines, own = lines[at]
+            distance = abs(y - middle(baselines))
+            if distance <= max(BASELINE_POINTS, BASELINE_SHARE * min(size, middle(own))):
+                options.append((distance, -at))
+        at = -min(options)[1] if options else len(lines)
+        if at == len(lines):
+            lines.append(([], []))
+        lines[at][0].append(y)
+        insort(lines[at][1], size)
+        found[k] = at
+    return found
 
 
 def cluster_baselines(glyphs: DataFrame, page: list[str]) -> DataFrame:
-    """glyphs (x0, y, size, ord) with `line`: joined to the nearest open line whose median baseline is within the tolerance.
+    """glyphs (x0, y, size, ord) with `line`: each joins the line whose median baseline is nearest and within the tolerance, or opens one.
 
-    Glyphs are taken by (y, x0, ord), so the result doesn't depend on the order of rows.
+    Glyphs are taken by (y, x0, ord), so the result doesn't depend on the order
+    of rows; of lines equally near the last opened is taken; lines are
+    numbered as they open.  A step in y over the page's largest tolerance
+    divides it into strips; a strip no taller than its least tolerance is one
+    line, found without Python.
     """
+    w = Window.partitionBy(*page)
+    reach = F.greatest(F.lit(BASELINE_POINTS), F.max("size").over(w) * BASELINE_SHARE)
+    rows = _strips(glyphs, page, ["y", "x0", "ord"], reach)
+    s = Window.partitionBy(*page, "strip")
+    plain = F.max("y").over(s) - F.min("y").over(s) <= F.greatest(F.lit(BASELINE_POINTS), F.min("size").over(s) * BASELINE_SHARE)
+    rows = rows.withColumn("_plain", plain)
+    easy = rows.where("_plain").drop("_plain").withColumn("line", F.lit(0))
+    hard = _in_runs(rows.where("not _plain").drop("_plain"), [*page, "strip"], ["y", "x0", "ord"], "line", _lines_of_strip, ["y", "size"])
+    return _renumbered(easy.unionAll(hard), page, "line")
 
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x0", "ord"], kind="stable")
-        groups: list[tuple[list[float], list[float]]] = []
-        lines = []
-        for y, size in zip(pdf["y"], pdf["size"], strict=True):
-            best, nearest = None, float("inf")
-            for i in range(len(groups) - 1, -1, -1):
-                ys, sizes = groups[i]
-                base = median(ys)
-                distance = abs(y - base)
-                if distance <= max(0.65, 0.15 * min(size, median(sizes))) and distance < nearest:
-                    best, nearest = i, distance
-                if y - base > max(6.0, size * 0.5):
-                    break
-            if best is None:
-                groups.append(([], []))
-                best = len(groups) - 1
-            groups[best][0].append(y)
-            groups[best][1].append(size)
-            lines.append(best)
-        return pdf.assign(line=lines)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in glyphs.schema) + ", line int"
-    return glyphs.groupBy(*page).applyInPandas(cluster, schema)
+
+def _boxes_of_strip(x0: np.ndarray, x1: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The box of each line of a strip: all open boxes are scored at once."""
+    n, found = len(y), np.empty(len(y), np.int64)
+    last, first, count = np.empty(n, np.int64), np.empty(n, np.int64), 0  # of each box: its last and its first line
+    for k in range(n):
+        score = np.full(count, np.inf)
+        if count:
+            b, a = last[:count], first[:count]
+            small, large, gap = np.minimum(size[b], size[k]), np.maximum(size[b], size[k]), y[k] - y[b]
+            common = np.minimum(x1[b], x1[k]) - np.maximum(x0[b], x0[k])
+            left = np.minimum(np.abs(x0[k] - x0[b]), np.abs(x0[k] - x0[a]))
+            right = np.abs(x1[k] - x1[b])
+            aligned = left <= LEFT_APART * large
+            flush = (right <= RIGHT_APART * large) & (common >= RIGHT_OVERLAP * np.minimum(x1[b] - x0[b], x1[k] - x0[k]))
+            apart = np.where(aligned, left / large, np.where(flush, 1 + right / large, np.inf))
+            near = (small >= SIZE_RATIO * large) & (gap > np.maximum(GAP_POINTS, GAP_LEAST * size[k])) & (gap <= GAP_MOST * small) & (common > 0)
+            score = np.where(near, gap / size[k] + apart, np.inf)
+        at = int(score.argmin()) if count and np.isfinite(score.min()) else count
+        if at == count:
+            first[count] = k
+            count += 1
+        last[at], found[k] = k, at
+    return found
 
 
 def group_lines(lines: DataFrame, page: list[str]) -> DataFrame:
     """lines (x0, x1, y, size, ord) with `box`: each joins the open box of least cost, or opens one.
 
     The cost is the gap in sizes plus the misalignment; boxes of other sizes,
-    too near, too far or beside are no candidates.
+    too near, too far or beside are no candidates; of equal costs the first box
+    is taken.  Lines are taken by (y, x0, ord).  A step in y over the most that
+    a gap may be divides a page into strips.
     """
+    reach = F.max("size").over(Window.partitionBy(*page)) * GAP_MOST
+    rows = _strips(lines, page, ["y", "x0", "ord"], reach)
+    return _renumbered(_in_runs(rows, [*page, "strip"], ["y", "x0", "ord"], "box", _boxes_of_strip, ["x0", "x1", "y", "size"]), page, "box")
+
 
-    def cost(previous, line, first):
-        size = max(previous[3], line[3])
-        overlap = min(previous[1], line[1]) - max(previous[0], line[0])
-        if overlap <= 0:
-            return None
-        left = min(abs(line[0] - previous[0]), abs(line[0] - first[0]))
-        right = abs(line[1] - previous[1])
-        if left <= 1.35 * size:
-            return left / size
-        if right <= 0.65 * size and overlap >= 0.65 * min(previous[1] - previous[0], line[1] - line[0]):
-            return 1.0 + right / size
-        return None
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x0", "ord"], kind="stable")
-        boxes: list[list[tuple]] = []
-        out = []
-        for line in zip(pdf["x0"], pdf["x1"], pdf["y"], pdf["size"], strict=True):
-            found = []
-            for i, box in enumerate(boxes):
-                last = box[-1]
-                small, large = sorted((line[3], last[3]))
-                gap = line[2] - last[2]
-                if small / large < 0.82 or not max(1.0, 0.5 * line[3]) < gap <= 2.6 * small:
-                    continue
-                c = cost(last, line, box[0])
-                if c is not None:
-                    found.append((gap / line[3] + c, i))
-            if found:
-                at = min(found)[1]
-            else:
-                boxes.append([])
-                at = len(boxes) - 1
-            boxes[at].append(line)
-            out.append(at)
-        return pdf.assign(box=out)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema) + ", box int"
-    return lines.groupBy(*page).applyInPandas(group, schema)
-
-
-def wrap_text(text: str, width: float, measure=lambda c: 6 if ord(c) < 128 else 12) -> list[tuple[str, float]]:
+class Refusal(ValueError):
+    """Why a text can't be wrapped."""
+
+
+_POINTS = {kind: np.array(sorted(map(ord, marks)), np.uint32) for kind, marks in (("space", SPACES), ("start", NO_START), ("end", NO_END))}
+
+
+def _cluster_starts(text: str, points: np.ndarray) -> np.ndarray:
+    """Where a grapheme cluster begins: everywhere, unless the text has code points that may join."""
+    starts = np.ones(len(points) + 1, bool)
+    plain = (points < 0x300) | ((points >= 0x3000) & (points < 0x302A)) | ((points >= 0x3030) & (points < 0x3099)) | ((points >= 0x309B) & (points < 0xA000))
+    if not plain.all() or "\r" in text:
+        import regex
+
+        starts[:] = False
+        starts[[m.start() for m in regex.finditer(r"\X", text)]] = True
+        starts[-1] = True
+    return starts
+
+
+class _Measured:
+    """A text's advances, blanks and breaks as arrays; lines are then found by binary search."""
+
+    def __init__(self, text: str, advance: Callable[[np.ndarray], np.ndarray]):
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(points)
+        steps = advance(points).astype(float)
+        self.text, self.n, self.to = text, n, np.concatenate([[0.0], np.cumsum(steps)])
+        blank = np.isin(points, _POINTS["space"])
+        self.visible = np.flatnonzero(~blank)  # ascending places of what isn't blank
+        at = np.arange(n + 1)
+        here = np.searchsorted(self.visible, at)
+        right, left = np.full(n + 1, -1), np.full(n + 1, -1)  # the visible character after and before each place
+        right[here < len(self.visible)] = self.visible[here[here < len(self.visible)]]
+        left[here > 0] = self.visible[here[here > 0] - 1]
+        no_start, no_end = np.append(np.isin(points, _POINTS["start"]), False), np.append(np.isin(points, _POINTS["end"]), False)
+        clusters = _cluster_starts(text, points)
+        self.ends = np.append(np.flatnonzero(clusters)[1:], n) if n else np.empty(0, np.int64)
+        fine = clusters & ~(no_start[right] & (right >= 0)) & ~(no_end[left] & (left >= 0))
+        wide = np.append(steps > 6, False)
+        blank = np.append(blank, False)
+        inner = np.zeros(n + 1, bool)
+        if n:
+            after_blank = blank[:-1] & ~blank[1:]
+            between = ~blank[:-1] & ~blank[1:] & (wide[:-1] | wide[1:])
+            inner[1:] = after_blank | between
+        fine[0] = False
+        self.legal, self.forced = np.flatnonzero(inner & fine), np.flatnonzero(fine)
+        self.no_start = no_start
+
+    def lines(self, lo: int, hi: int, width: float) -> Iterator[tuple[int, int, float]]:
+        """(from, to, width) of the lines of the paragraph between two places."""
+        v, to = self.visible, self.to
+        k = int(np.searchsorted(v, lo))
+        if k < len(v) and v[k] < hi and self.no_start[v[k]]:
+            raise Refusal("a line would begin with a closing mark")
+        start, done = lo, False
+        while not done:
+            # the first visible character that doesn't fit any more, if there is one
+            over = int(np.searchsorted(to, to[start] + width + 1e-7, "right")) - 1
+            k = int(np.searchsorted(v, over))
+            over = int(v[k]) if k < len(v) and v[k] < hi else hi
+            end, done = over, over == hi
+            if not done:
+                for breaks in (self.legal, self.forced):
+                    k = int(np.searchsorted(breaks, over, "right")) - 1
+                    if k >= 0 and breaks[k] > start:
+                        end = int(breaks[k])
+                        break
+                else:
+                    raise Refusal("the line is too narrow for a cluster or an unbreakable group of marks")
+            k = int(np.searchsorted(v, end)) - 1
+            stop = int(v[k]) + 1 if k >= 0 and v[k] >= start else start
+            yield start, stop, float(to[stop] - to[start])
+            if not done:
+                k = int(np.searchsorted(v, end))
+                start = int(v[k]) if k < len(v) else hi
+                done = start >= hi
+
+
+def _advances(points: np.ndarray) -> np.ndarray:
+    return np.where(points < 128, 6, 12)
+
+
+def wrap_text(text: str, width: float, advance: Callable[[np.ndarray], np.ndarray] = _advances) -> list[tuple[str, float]]:
     """Lines (text, width): greedy, at spaces and around wide characters, at grapheme clusters where nothing else fits.
 
-    No line begins with a closing or ends with an opening mark while another
-    break fits; a cluster wider than the line is an error.
+    No line begins with a closing or ends with an opening mark; where that
+    can't be kept, or a cluster is wider than the line, it is a Refusal.
+    advance gives the advances of an array of code points.
     """
-    import regex
-
-    clusters = regex.findall(r"\X", text)
-    size = [sum(map(measure, c)) for c in clusters]
-    out, at, n = [], 0, len(clusters)
-    while at < n:
-        total, legal, any_, k = 0.0, None, None, at
-        while k < n:
-            blank = clusters[k].isspace()
-            if not blank and total + size[k] > width:
-                break
-            total += size[k]
-            k += 1
-            nxt = clusters[k] if k < n else " "
-            kept = nxt[0] not in NO_START and clusters[k - 1][-1] not in NO_END
-            if kept:
-                any_ = k
-                if k == n or (blank and not nxt.isspace()) or (not nxt.isspace() and (measure(clusters[k - 1][0]) > 6 or measure(nxt[0]) > 6) and not blank):
-                    legal = k
-        if k == n:
-            legal = n
-        end = legal or any_ or k
-        if end == at:
-            raise ValueError("a cluster is wider than the line")
-        line = "".join(clusters[at:end]).rstrip(" ")
-        out.append((line, float(sum(map(measure, line)))))
-        at = end
-        while at < n and clusters[at] == " ":
-            at += 1
-    return out or [("", 0.0)]
+    if not text:
+        return [("", 0.0)]
+    return [(text[a:b], w) for a, b, w in _Measured(text, advance).lines(0, len(text), width)]
 
 
 def wrap(texts: DataFrame, key: str, text: str, width: float) -> DataFrame:
-    """(key, paragraph, line, n_chars, width): the wrapped lines of every line of the texts, texts in Arrow batches."""
+    """(key, paragraph, line, n_chars, width, refusal): the wrapped lines of every line of the texts, texts in Arrow batches.
+
+    A null text is one empty line.  A paragraph that can't be wrapped is one
+    row with its characters and the reason, and the others of the text are
+    wrapped all the same.
+    """
+    import pyarrow as pa
+
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string())
+    names = ["key", "paragraph", "line", "n_chars", "width", "refusal"]
 
-    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def lay(batches):
+        for batch in batches:
             rows = []
-            for k, t in zip(pdf["k"], pdf["t"], strict=True):
-                for p, part in enumerate((t or "").split("\n")):
-                    rows += [(k, p, i, len(line), w) for i, (line, w) in enumerate(wrap_text(part, width))]
-            yield pd.DataFrame(rows, columns=["key", "paragraph", "line", "n_chars", "width"])
+            for k, t in zip(batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                t = t or ""
+                measured, lo = _Measured(t, _advances), 0
+                for p, part in enumerate(t.split("\n")):
+                    hi = lo + len(part)
+                    try:
+                        found = [(k, p, i, b - a, w, None) for i, (a, b, w) in enumerate(measured.lines(lo, hi, width) if part else [(lo, lo, 0.0)])]
+                    except Refusal as why:
+                        found = [(k, p, 0, len(part), None, str(why))]
+                    rows += found
+                    lo = hi + 1
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return texts.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(lay, "key long, paragraph int, line int, n_chars int, width double")
+    schema = "key long, paragraph int, line int, n_chars int, width double, refusal string"
+    return texts.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInArrow(lay, schema)
 
 
 def allocate(paragraphs: DataFrame, flow: str, order: str, lines: str, capacity: int, keep: str | None = None) -> DataFrame:
     """(flow, order, region, first_line, n_lines): paragraphs' lines dealt to regions of so many lines, in order.
 
     Paragraphs flagged by `keep` that fit an empty region aren't split: they
-    begin a new one.  A flow is one group; its state is the place reached.
+    begin a new one.  Flows are streamed in order; the state is the place
+    reached, so a flow may be of any length.
     """
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        region, used, out = 0, 0, []
-        pdf = pdf.sort_values("o", kind="stable")
-        for flow_, o, n, together in zip(pdf["f"], pdf["o"], pdf["n"], pdf["t"], strict=True):
-            if together and capacity - used < n <= capacity and used:
-                region, used = region + 1, 0
-            while n > 0:
-                if used == capacity:
-                    region, used = region + 1, 0
-                take = min(n, capacity - used)
-                out.append((flow_, o, region, used, take))
-                used, n = used + take, n - take
-        return pd.DataFrame(out, columns=["flow", "ordinal", "region", "first_line", "n_lines"])
+    import pyarrow as pa
 
     together = F.col(keep) if keep else F.lit(False)
-    rows = paragraphs.select(F.col(flow).alias("f"), F.col(order).cast("long").alias("o"), F.col(lines).cast("int").alias("n"), together.alias("t"))
+    rows = paragraphs.select(F.col(flow).alias("flow"), F.col(order).cast("long").alias("ordinal"), F.col(lines).cast("int").alias("n"), together.alias("t"))
     kind = paragraphs.schema[flow].dataType.simpleString()
-    return rows.groupBy("f").applyInPandas(plan, f"flow {kind}, ordinal long, region int, first_line int, n_lines int")
+
+    def plan(batches):
+        before, region, used = (), 0, 0
+        for batch in batches:
+            out = []
+            for f, o, n, whole in zip(*[batch.column(c).to_pylist() for c in ("flow", "ordinal", "n", "t")], strict=True):
+                if (f,) != before:
+                    before, region, used = (f,), 0, 0
+                if whole and 0 < used and capacity - used < n <= capacity:
+                    region, used = region + 1, 0
+                while n and n > 0:
+                    if used == capacity:
+                        region, used = region + 1, 0
+                    take = min(n, capacity - used)
+                    out.append((f, o, region, used, take))
+                    used, n = used + take, n - take
+            if out:
+                kinds = (batch.column("flow").type, pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                columns = [pa.array(c, x) for c, x in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["flow", "ordinal", "region", "first_line", "n_lines"])
+
+    return rows.repartition("flow").sortWithinPartitions("flow", "ordinal").mapInArrow(plan, f"flow {kind}, ordinal long, region int, first_line int, n_lines int")

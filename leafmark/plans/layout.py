@@ -161,9 +161,10 @@ SELECT conv_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(text) AS text_sh
 
 
 def layout_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text wrapped to 360 points: lines, widest line and characters of each."""
+    """Every text wrapped to 360 points: lines, widest line and characters of each, and paragraphs that can't be wrapped."""
     lines = sequential.wrap(table(spark, sf_dir, "documents"), "doc_id", "text", 360)
-    return lines.groupBy("key").agg(F.count("*").alias("n_lines"), F.max("width").alias("widest"), F.sum("n_chars").alias("n_chars")).withColumnRenamed("key", "doc_id")
+    laid = F.col("refusal").isNull()
+    return lines.groupBy("key").agg(F.count_if(laid).alias("n_lines"), F.max("width").alias("widest"), F.sum(F.when(laid, F.col("n_chars"))).alias("n_chars"), F.count_if(~laid).alias("n_refused")).withColumnRenamed("key", "doc_id")
 
 
 def cluster_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
