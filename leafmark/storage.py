@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The innermost block that takes in all that stage() writes.
+_PASSING: ContextVar[Scratch | None] = ContextVar("passing", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors and the driver share.
@@ -33,19 +37,25 @@ def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: lineage ends there."""
-    return _write(df, name)[0]
+    out, path = _write(df, name)
+    if (block := _PASSING.get()) is not None:
+        block.paths[id(out)] = (out, path)
+    return out
 
 
 class Scratch:
     """Staged tables that nobody reads any more when the block ends; their folders go then.
 
-    What is to outlive the block is written by stage() within it.
+    What is to outlive the block is written by stage() within it, or, where
+    the block takes in all that stage() writes meanwhile (every=True), by keep().
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
+    def __init__(self, spark: SparkSession, every: bool = False):
+        self.spark, self.paths, self.every, self.before = spark, {}, every, None
 
     def __enter__(self) -> Scratch:
+        if self.every:
+            self.before = _PASSING.set(self)
         return self
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +63,9 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return _write(df, name)[0]
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove the folders of staged tables that no later step reads."""
         for table in tables:
@@ -61,4 +74,6 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def __exit__(self, *_) -> None:
+        if self.every:
+            _PASSING.reset(self.before)
         self.drop(*[table for table, _ in list(self.paths.values())])
