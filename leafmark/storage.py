@@ -8,6 +8,9 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a staged table in a file, where their number is known; files at least.
+ROWS_A_FILE, LEAST_FILES = 100_000, 8
+
 #: The innermost block that takes in all that stage() writes.
 _PASSING: ContextVar[Scratch | None] = ContextVar("passing", default=None)
 
@@ -28,16 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def _write(df: DataFrame, name: str, rows: int | None) -> tuple[DataFrame, str]:
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends there."""
-    out, path = _write(df, name)
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it back: lineage ends there.
+
+    Where about so many rows at most are known, files aren't smaller than that needs.
+    """
+    out, path = _write(df, name, rows)
     if (block := _PASSING.get()) is not None:
         block.paths[id(out)] = (out, path)
     return out
@@ -58,13 +66,13 @@ class Scratch:
             self.before = _PASSING.set(self)
         return self
 
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
-        out, path = _write(df, name)
+    def stage(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        out, path = _write(df, name, rows)
         self.paths[id(out)] = (out, path)
         return out
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        return _write(df, name)[0]
+        return _write(df, name, None)[0]
 
     def drop(self, *tables: DataFrame) -> None:
         """Remove the folders of staged tables that no later step reads."""
