@@ -46,6 +46,8 @@ GROUP, QUERIES = 100_000, 128
 #: Rounds of pivots end when they join less than 1 / YIELD of what they try, and after so many at the latest:
 #: the rounds only save work, the matrix finds what they leave.
 ROUNDS, YIELD = 8, 20
+#: For one class that a group is opened for, a task's files are sized as for so many plain rows.
+OPENED = 50
 #: Rows of the matrix that meet one shingle in one task, about.
 MEETINGS = 2048
 #: Rows of 50 bytes that are broadcast at most; more are joined by a shuffle.
@@ -177,7 +179,7 @@ def _prefixes(docs: DataFrame, reps: DataFrame, width: int, percent: int) -> Dat
     return ex.told(dealt, mine.unionAll(answered.select("chunk", "block", "answer")), prefix, _KEPT)
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
     """A staged table, to be broadcast if it is small enough."""
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
@@ -200,11 +202,9 @@ class _Index:
         return np.flatnonzero(100 * shared >= percent * (len(own) + self.sizes - shared))
 
 
-def _dealt(queries: DataFrame, key: list[str], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """queries with the task that each is dealt to, and the tasks of each key."""
-    n = queries.groupBy(*key).agg(F.count("*").alias("c"))
-    n = scratch.stage(n.select(*key, "c", F.ceil(F.col("c") / QUERIES).cast("int").alias("parts")), "parts")
-    total = n.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+def _dealt(queries: DataFrame, key: list[str], total: int) -> tuple[DataFrame, DataFrame]:
+    """queries (so many) with the task that each is dealt to, and the tasks of each key."""
+    n = queries.groupBy(*key).agg(F.count("*").alias("c")).select(*key, "c", F.ceil(F.col("c") / QUERIES).cast("int").alias("parts"))
     dealt = attach(queries, n, key, "c", total).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
     return dealt, n.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
@@ -295,38 +295,45 @@ def _pivots(met: DataFrame, number: int) -> DataFrame:
     return best.select("token", "c", F.col("p.node").alias("pivot"), F.col("p.root").alias("home"), F.col("p.n").alias("m"))
 
 
-def _similar(kept: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _similar(kept: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Edges (u, v) that join all linked classes of kept."""
     spark = kept.sparkSession
-    rows = kept.select("node", "n", "own", F.posexplode("tokens").alias("pos", "token")).select("token", "node", "n", (F.col("pos") < F.col("own")).alias("found"))
+    n_kept, n_tokens = kept.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    common = F.size("tokens") / F.col("n")  # of a class with the largest share of its set in common with others, most are near
+    rows = kept.select("node", "n", "own", common.alias("common"), F.posexplode("tokens").alias("pos", "token"))
+    rows = rows.select("token", "node", "n", "common", (F.col("pos") < F.col("own")).alias("found"))
     # shingles that one class alone has among its first, or by which none may be found, fall here
     tokens = rows.groupBy("token").agg(F.count("*").alias("c"), F.max("found").alias("f")).where("c > 1 and f").select("token", "c")
-    tokens = scratch.stage(tokens, "tokens")
+    tokens = scratch.stage(tokens, "tokens", n_tokens)
     total = tokens.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    met = scratch.stage(attach(rows, tokens, ["token"], "c", total), "met")
-    central = met.groupBy("node").agg((F.count("*") / F.first("n")).alias("common"))
-    met = scratch.stage(met.join(central, "node"), "central")
+    met = scratch.stage(attach(rows, tokens, ["token"], "c", total), "met", total)
+    sets = kept.select("node", "set")
 
-    edges = spark.createDataFrame([], "u binary, v binary")
+    edges, n_edges = spark.createDataFrame([], "u binary, v binary"), 0
     roots, home = None, None
     for number in range(ROUNDS):
-        now = met.withColumn("root", F.col("node")) if roots is None else met.join(roots.withColumnRenamed("root", "r"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("r", "node")).drop("r", "of")
-        pivots = scratch.stage(_pivots(now, number), "pivots")
+        if roots is None:
+            now = met.withColumn("root", F.col("node"))
+        else:
+            now = met.join(roots.withColumnRenamed("root", "r"), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("r", "node")).drop("r", "of")
+            now = scratch.stage(now, "now", total)
+        pivots = scratch.stage(_pivots(now, number), "pivots", total)
         meets = attach(now, pivots, ["token"], "c", total).where("root <> home")
         fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
         votes = meets.groupBy("node", "pivot").agg(F.count("*").alias("votes"), F.first(fits).alias("fits"))
         best = votes.groupBy("node").agg(F.max_by(F.struct("pivot", "fits"), F.struct("fits", "votes", "pivot")).alias("p")).select("node", "p.*")
-        best = scratch.stage(best, "best")
+        best = scratch.stage(best, "best", n_kept)
         home = best.select("node", F.col("pivot").alias("near")) if number == 0 else home
         tried = best.where("fits").select("pivot", "node")
-        queries, tasks = _dealt(tried, ["pivot"], scratch)
-        chosen = scratch.stage(queries, "tried")
-        members = tasks.join(kept.select(F.col("node").alias("pivot"), F.col("node").alias("node"), "set"), "pivot")
-        asked = kept.select("node", "set").join(_small(chosen), "node").select("pivot", "part", "node", "set")
-        new = scratch.stage(_open(members.select("pivot", "part", "node", "set"), asked, ["pivot"], percent), "links")
-        n_tried, n_new = chosen.count(), new.count()
-        edges = edges.unionAll(new)
-        found = scratch.stage(components(edges, scratch), "roots")
+        n_tried = tried.count()
+        queries, tasks = _dealt(tried, ["pivot"], n_tried)
+        queries, tasks = scratch.stage(queries, "tried", n_kept), scratch.stage(tasks, "tasks", n_kept)
+        members = _few(tasks).join(sets.select(F.col("node").alias("pivot"), "node", "set"), "pivot")
+        asked = sets.join(_few(queries), "node").select("pivot", "part", "node", "set")
+        new = scratch.stage(_open(members.select("pivot", "part", "node", "set"), asked, ["pivot"], percent), "links", OPENED * n_tried)
+        n_new = new.count()
+        edges, n_edges = edges.unionAll(new), n_edges + n_new
+        found = scratch.stage(components(edges, scratch, n_edges), "roots", n_kept)
         roots = found.select(F.col("node").alias("of"), "root")
         if YIELD * n_new <= n_tried:
             break
@@ -334,15 +341,14 @@ def _similar(kept: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame
     # the groups: linked classes, and classes similar to a pivot without linking
     nodes = met.groupBy("node").agg(F.first("n").alias("n")).join(roots, F.col("node") == F.col("of"), "left").join(home, "node", "left")
     nodes = nodes.select("node", "n", F.coalesce("root", "node").alias("root"), F.coalesce("root", "near", "node").alias("g"), F.col("root").isNotNull().alias("linked"))
-    nodes = scratch.stage(nodes, "nodes")
+    nodes = scratch.stage(nodes, "nodes", n_kept)
     sizes = nodes.groupBy("g", "linked").agg(F.count("*").alias("c"), F.ceil(F.sum("n") / GROUP).alias("parts"))
-    n_nodes = nodes.count()
-    nodes = scratch.stage(attach(nodes, sizes, ["g", "linked"], "c", n_nodes).withColumn("h", F.pmod(F.xxhash64("node"), "parts").cast("int")).drop("parts"), "grouped")
+    nodes = scratch.stage(attach(nodes, sizes, ["g", "linked"], "c", n_kept).withColumn("h", F.pmod(F.xxhash64("node"), "parts").cast("int")).drop("parts"), "grouped", n_kept)
 
     met = met.select("token", "node", "found").join(nodes, "node")
     mixed = met.groupBy("token").agg(F.count("*").alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token", "c")
-    mixed = scratch.stage(mixed, "mixed")
-    met = scratch.stage(attach(met, mixed, ["token"], "c", total), "mixed_met")
+    mixed = scratch.stage(mixed, "mixed", total)
+    met = scratch.stage(attach(met, mixed, ["token"], "c", total), "mixed_met", total)
     # a cell of the matrix: a shingle by which members of a group may be found
     matrix = met.where("found").groupBy("token", "g", "linked", "h").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("a"), F.max("root").alias("b"))
     salts = mixed.select("token", "c", F.ceil(F.col("c") / MEETINGS).cast("int").alias("salts"))
@@ -351,21 +357,21 @@ def _similar(kept: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame
     other = (F.col("a") != F.col("b")) | (F.col("a") != F.col("root"))
     fits = (F.col("lo") <= F.col("n")) & (F.col("hi") * 100 >= F.col("n") * percent)
     meets = asked.join(cells, ["token", "salt"]).where(other & fits).groupBy("g", "linked", "h", "node").agg(F.count("*").alias("votes"))
-    meets = scratch.stage(meets, "meets")
-
-    key = ["g", "linked", "h"]
-    queries, tasks = _dealt(meets.drop("votes"), key, scratch)
-    queries, tasks = scratch.stage(queries, "asked"), scratch.stage(tasks, "tasks")
-    homes = scratch.stage(tasks.select(*key).distinct().join(nodes.select(*key, "node"), key), "homes")
-    members = kept.select("node", "set").join(_small(homes), "node").select(*key, "node", "set")
-    unions = scratch.stage(_unions(members), "unions")
-    sets = kept.select("node", "set").join(_small(queries), "node").select(*key, "part", "node", "set")
-    open_ = scratch.stage(_qualify(unions.join(tasks, key), sets, percent), "qualified")
-    tasks = open_.select(*key, "part").distinct()
-    homes = scratch.stage(tasks.join(homes, key).select(*key, "part", "node"), "opened")
-    members = kept.select("node", "set").join(_small(homes), "node").select(*key, "part", "node", "set")
-    sets = kept.select("node", "set").join(_small(open_), "node").select(*key, "part", "node", "set")
-    return edges.unionAll(_open(members, sets, key, percent))
+    meets = scratch.stage(meets, "meets", total)
+
+    key, n_meets = ["g", "linked", "h"], meets.count()
+    queries, tasks = _dealt(meets.drop("votes"), key, n_meets)
+    queries, tasks = scratch.stage(queries, "asked", n_meets), scratch.stage(tasks, "tasks", n_meets)
+    homes = scratch.stage(tasks.select(*key).distinct().join(nodes.select(*key, "node"), key), "homes", n_kept)
+    members = sets.join(_few(homes), "node").select(*key, "node", "set")
+    unions = scratch.stage(_unions(members), "unions", OPENED * n_kept)
+    asked = sets.join(_few(queries), "node").select(*key, "part", "node", "set")
+    opened = scratch.stage(_qualify(unions.join(tasks, key), asked, percent), "qualified", OPENED * n_meets)
+    tasks = opened.select(*key, "part").distinct()
+    homes = scratch.stage(tasks.join(homes, key).select(*key, "part", "node"), "opened", OPENED * n_meets)
+    members = sets.join(_few(homes), "node").select(*key, "part", "node", "set")
+    asked = sets.join(_few(opened), "node").select(*key, "part", "node", "set")
+    return scratch.stage(edges.unionAll(_open(members, asked, key, percent)), "all", n_edges + OPENED * n_meets)
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -380,19 +386,20 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     with Scratch(docs.sparkSession) as scratch:
         sets = scratch.stage(shingle_sets(docs, width), "sets")
+        n_docs = sets.count()
         full = sets.where("digest is not null and doc_id is not null")
-        reps = scratch.stage(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "reps")
+        reps = scratch.stage(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "reps", n_docs)
         kept = scratch.stage(_prefixes(docs, reps, width, percent), "kept")
         edges = _similar(kept, percent, scratch)
         # the texts of a repeated id are in one component
         repeated = full.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id", "a")
         same = full.join(repeated, "doc_id").selectExpr("digest u", "a v").where("u <> v")
-        linked = scratch.stage(components(edges.unionAll(same), scratch), "linked")
-        placed = scratch.stage(reps.join(linked.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", "c", F.coalesce("root", "digest").alias("root")), "placed")
+        linked = scratch.stage(components(edges.unionAll(same), scratch, n_docs), "linked", n_docs)
+        placed = scratch.stage(reps.join(linked.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "rep", "c", F.coalesce("root", "digest").alias("root")), "placed", n_docs)
         firsts = placed.groupBy("root").agg(F.min("rep").alias("first"), F.count("*").alias("k"))
         n = placed.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
         named = attach(placed, firsts, ["root"], "k", n[0]).select("digest", "c", F.col("first").alias("component_id"))
-        named = scratch.stage(named, "named")
+        named = scratch.stage(named, "named", n_docs)
         whole = attach(full, named, ["digest"], "c", n[1]).select("doc_id", "n_shingles", "component_id")
         rest = sets.where("digest is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-        return stage(whole.unionAll(rest), "components")
+        return stage(whole.unionAll(rest), "components", n_docs)
