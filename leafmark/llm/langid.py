@@ -22,8 +22,8 @@ TRAIN_TEXTS = 2000
 #: Byte n-grams are hashed to 2 ** BITS cells, and so a model has that many numbers a language.
 BITS = 14
 ORDERS = (2, 3, 4)
-#: Numbers of a model at most.
-MODEL_CELLS = 1 << 24
+#: Numbers of a model, about: more than MODEL_CELLS >> BITS languages have fewer cells each, LEAST_BITS at least.
+MODEL_CELLS, LEAST_BITS = 1 << 24, 8
 SMOOTHING = 0.1
 STEPS = 12
 #: A language must add so much log likelihood for each n-gram of the text.
@@ -34,7 +34,7 @@ _LETTER = r"\p{L}"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def _cells(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _cells(text: bytes, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """The cells of the text's n-grams and how often each occurs; digits and marks count as spaces."""
     a = np.frombuffer(b" " + b" ".join(text.translate(_LOWER).split()) + b" ", np.uint8).astype(np.uint32)
     grams = []
@@ -43,23 +43,27 @@ def _cells(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             code = np.zeros(len(a) - n + 1, np.uint32)
             for j in range(n):
                 code = code * np.uint32(257) + a[j : len(a) - n + 1 + j]
-            grams.append((code * np.uint32(2654435761)) >> np.uint32(32 - BITS))
-    counts = np.bincount(np.concatenate(grams) if grams else np.empty(0, np.int64), minlength=1 << BITS)
+            grams.append((code * np.uint32(2654435761)) >> np.uint32(32 - bits))
+    counts = np.bincount(np.concatenate(grams) if grams else np.empty(0, np.int64), minlength=1 << bits)
     at = np.flatnonzero(counts)
     return at, counts[at].astype(np.float64)
 
 
 def _sample(labelled: DataFrame, rows: dict[str, int], texts: int) -> DataFrame:
     """About so many rows a language: those whose hash lies under a share of the language's rows."""
-    share = F.create_map(*[F.lit(x) for lang, n in rows.items() for x in (lang, texts / n)])
+    spark = labelled.sparkSession
+    share = spark.createDataFrame([(lang, texts / n) for lang, n in rows.items()], "lang string, _share double")
     draw = F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return labelled.where(draw < share[F.col("lang")])
+    return labelled.join(F.broadcast(share), "lang").where(draw < F.col("_share"))  # one row a language, as the model has
 
 
 def train(labelled: DataFrame, texts: int = TRAIN_TEXTS) -> tuple[list[str], np.ndarray]:
     """The languages in order and their log probabilities of the cells (languages by cells).
 
     labelled: (doc_id, text, lang), rows of null text or lang already left out.
+    Any number of languages is learned; above MODEL_CELLS >> BITS of them the
+    cells are coarser, so that the model, which is broadcast, keeps its size
+    (and above MODEL_CELLS >> LEAST_BITS, 65,536, it grows by 1 KB a language).
     """
     import pyarrow as pa
 
@@ -67,21 +71,20 @@ def train(labelled: DataFrame, texts: int = TRAIN_TEXTS) -> tuple[list[str], np.
         total = {}
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), text_bytes(b.column("text")), strict=True):
-                at, n = _cells(text)
-                total.setdefault(lang, np.zeros(1 << BITS))[at] += n
+                at, n = _cells(text, bits)
+                total.setdefault(lang, np.zeros(1 << bits))[at] += n
         for lang, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at].astype(np.int64))], ["lang", "cell", "n"])
 
-    rows = dict(labelled.groupBy("lang").count().limit(MODEL_CELLS // (1 << BITS) + 1).collect())
+    rows = dict(labelled.groupBy("lang").count().collect())  # one row a language, as the model has
     langs = sorted(rows)
-    if len(langs) << BITS > MODEL_CELLS:
-        raise ValueError(f"more than {MODEL_CELLS >> BITS} languages: the model would be over its size")
     if not langs:
         return [], np.zeros((0, 1 << BITS))
+    bits = max(LEAST_BITS, min(BITS, (MODEL_CELLS // len(langs)).bit_length() - 1))
     sample = _sample(labelled, rows, texts).select("lang", "text")
     summed = sample.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    table = np.full((len(langs), 1 << BITS), SMOOTHING)
+    table = np.full((len(langs), 1 << bits), SMOOTHING)
     place = {lang: i for i, lang in enumerate(langs)}
     for lang, cell, n in summed.toLocalIterator():
         table[place[lang], cell] += n
@@ -134,6 +137,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     import pyarrow as pa
 
     langs, log_p = model
+    bits = log_p.shape[1].bit_length() - 1
     made = ["lang_pred", "score", "languages"]
     own = docs.drop(*made, "_letters")
     model_ = docs.sparkSession.sparkContext.broadcast(log_p.astype(np.float32))
@@ -146,7 +150,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 if not letters or not langs:
                     preds.append("und"), scores.append(0.0), sets.append([])
                     continue
-                shares = infer(table, *_cells(text))
+                shares = infer(table, *_cells(text, bits))
                 best = min(shares, key=lambda k: (-shares[k], k))
                 preds.append(langs[best]), scores.append(min(1.0, shares[best])), sets.append([(langs[k], v) for k, v in sorted(shares.items())])
             rest = [i for i, name in enumerate(b.schema.names) if name != "_letters"]

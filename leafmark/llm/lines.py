@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.shared import stage
+from leafmark.llm.components import attach
+from leafmark.llm.shared import Scratch, stage
 
 #: A line goes if it is in more than this share of its host's rows,
 RATIO = 0.1
 #: and in so many of them at least: what one row alone has is no repetition.
 MIN_ROWS = 2
-#: Hosts and boilerplate lines (32 bytes each) that are broadcast at most; more are joined by a shuffle.
+#: Boilerplate lines, or positions of lines that go (60 bytes each), that are broadcast at most; more are joined by a shuffle.
 BROADCAST = 500_000
 
 
@@ -35,21 +36,32 @@ def html_lines(html: Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    """What lines are compared by: 128 bits of their trimmed text; null for blank lines, which stay."""
+    """What lines are compared by: a digest of their trimmed text; null for blank lines, which stay."""
     bare = F.btrim(line, F.lit(" \t\x0b\x0c\r"))
-    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), F.reverse(bare)).alias("b")))
+    return F.when(bare != "", F.md5(bare))
 
 
-def boilerplate(rows: DataFrame, ratio: float = RATIO, min_rows: int = MIN_ROWS) -> DataFrame:
-    """(host, key) of the boilerplate lines of a table (row, host, keys).
+def boilerplate(rows: DataFrame, scratch: Scratch, ratio: float = RATIO, min_rows: int = MIN_ROWS) -> DataFrame:
+    """(host, key, n) of the boilerplate lines of a table (row, host, keys); n: the rows that have the line.
 
     Counts are combined before each shuffle, so a host or line of a third of
     all rows is a few partial sums.
     """
-    pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = rows.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
-    often = counts.where(F.col("n") >= min_rows)
-    return often.join(pages, "host").where(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "key")
+    pages = scratch.stage(rows.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
+    often = rows.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_rows)
+    total = pages.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    known = attach(often, pages.withColumn("c", F.col("pages")), ["host"], "c", total)
+    return known.where(F.col("n") > F.lit(float(ratio)) * F.col("pages")).select("host", "key", "n")
+
+
+def _first_of_each(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of the rows (row, host, keys) of a host with the same lines, the first."""
+    same = sets.groupBy("host", F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), F.reverse("keys")).alias("b"))
+    groups = scratch.stage(same.agg(F.min("row").alias("first"), F.count("*").alias("c")).where("c > 1"), "copies")
+    total = groups.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    marked = sets.select("row", "host", F.xxhash64("keys").alias("a"), F.xxhash64(F.lit(1), F.reverse("keys")).alias("b"))
+    later = scratch.stage(attach(marked, groups, ["host", "a", "b"], "c", total[1]).where("row <> first").select("row"), "later")
+    return sets.join(F.broadcast(later) if total[1] <= BROADCAST else later, "row", "left_anti")
 
 
 def dedup(table: DataFrame, host: Column, lines: Column, ratio: float = RATIO, min_rows: int = MIN_ROWS, keep: list[str] | None = None, once: bool = False) -> DataFrame:
@@ -60,23 +72,32 @@ def dedup(table: DataFrame, host: Column, lines: Column, ratio: float = RATIO, m
     `once`, rows of a host with the same lines count as one, so that copies
     don't make their own lines boilerplate.  Columns of table with the names of
     the new ones are replaced.
+
+    The lines of a row are split once and written with a number of the row;
+    what is to go is found by joins on (host, line) as positions, and the rows
+    are cut there: the work is in proportion to a row's lines.
     """
     own = [c for c in keep or table.columns if c not in ("kept_lines", "n_lines", "n_dropped")]
-    base = table.select(F.struct(*own).alias("_own"), F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(lines, F.array().cast("array<string>")).alias("_lines"))
-    keyed = stage(base, "lines").withColumn("_keys", F.transform("_lines", _key))  # lines are made once and read twice
-    sets = keyed.select(F.col("_host").alias("host"), F.filter(F.array_distinct("_keys"), lambda k: k.isNotNull()).alias("keys"))
-    if once:
-        sets = sets.groupBy("host", F.xxhash64("keys"), F.xxhash64(F.lit(1), F.reverse("keys"))).agg(F.first("keys").alias("keys")).select("host", "keys")
-    # a host's boilerplate lines are at most 1 / ratio times its lines a row, so its list is short
-    drop = stage(boilerplate(sets, ratio, min_rows).groupBy("host").agg(F.collect_set("key").alias("_drop")), "boilerplate").withColumnRenamed("host", "_host")
-    known = drop.agg(F.count("*"), F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()
-    small = known[0] + known[1] <= BROADCAST
-    out = keyed.join(F.broadcast(drop) if small else drop, "_host", "left")
-    gone = F.coalesce("_drop", F.expr("array()").cast("array<struct<a:bigint,b:bigint>>"))
-    marked = out.withColumn("_keep", F.transform("_keys", lambda k: k.isNull() | ~F.array_contains(gone, k)))
-    return marked.select(
-        "_own.*",
-        F.filter("_lines", lambda line, i: F.get(F.col("_keep"), i)).alias("kept_lines"),
-        F.size(F.filter("_keys", lambda k: k.isNotNull())).cast("long").alias("n_lines"),
-        F.size(F.filter("_keep", lambda k: ~k)).cast("long").alias("n_dropped"),
+    base = table.select(F.struct(*own).alias("own"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
+    with Scratch(table.sparkSession) as scratch:
+        base = stage(base.withColumn("row", F.monotonically_increasing_id()), "lines")  # lines are made once and read thrice
+        keyed = base.select("row", "host", F.transform("lines", _key).alias("keys"))
+        sets = keyed.select("row", "host", F.array_compact(F.array_distinct("keys")).alias("keys"))
+        drop = scratch.stage(boilerplate(_first_of_each(sets, scratch) if once else sets, scratch, ratio, min_rows), "boilerplate")
+        n = drop.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+        at = keyed.select("row", "host", F.posexplode("keys").alias("pos", "key")).where("key is not null")
+        # positions counted from 1; a line that many rows have is split off before a shuffle
+        found = at.join(F.broadcast(drop), ["host", "key"]) if n[0] <= BROADCAST else attach(at, drop, ["host", "key"], "n", n[1])
+        gone = stage(found.groupBy("row").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("gone")), "gone")
+        few = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    out = base.join(F.broadcast(gone) if sum(few) <= BROADCAST else gone, "row", "left")
+    # what lies between the positions that go
+    gaps = F.arrays_zip(F.concat(F.array(F.lit(0)), "gone").alias("after"), F.concat("gone", F.array(F.size("lines") + 1)).alias("before"))
+    parts = F.transform(gaps, lambda g: F.slice("lines", g["after"] + 1, g["before"] - g["after"] - 1))
+    blank = F.size(F.filter("lines", lambda x: F.btrim(x, F.lit(" \t\x0b\x0c\r")) == ""))
+    return out.select(
+        "own.*",
+        F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.flatten(parts)).alias("kept_lines"),
+        (F.size("lines") - blank).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )

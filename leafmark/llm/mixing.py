@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmark.llm.components import attach
 from leafmark.llm.shared import stage
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -80,10 +81,16 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS, seed: str
     own = [c for c in docs.columns if c not in made]
     sized = docs.select(F.struct(*own).alias("_own"), "doc_id", "source", n_words().alias("size"))
     targets = stage(source_targets(sized.select("source", "size"), weights, most), "targets").withColumnRenamed("source", "of")
-    if targets.count() <= BROADCAST:
-        targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    out = sized.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
+    if targets.count() <= BROADCAST:
+        out = sized.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("of")))
+    else:  # sources with many documents are split off before the shuffle
+        named = lambda c: [F.col(c).isNull().alias("_missing"), F.coalesce(F.col(c), F.lit("")).alias("_source")]
+        counts = sized.groupBy(*named("source")).agg(F.count("*").alias("_n"))
+        facts = stage(targets.select(*named("of"), "source_size", "target").join(counts, ["_missing", "_source"]), "sources")
+        total = facts.agg(F.sum("_n")).first()[0]
+        out = attach(sized.select("*", *named("source")), facts, ["_missing", "_source"], "_n", total)
+    out = out.withColumn("rate", rate)
     extra = _draw("doc_id", seed) < F.col("rate") - F.floor("rate")
     return out.select("_own.*", "size", "source_size", "target", "rate", (F.floor("rate") + extra.cast("long")).cast("long").alias("copies"))
 

@@ -149,6 +149,22 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN '
 FROM p LEFT JOIN f USING (payload_digest)"""
 
 
+_BLOCK = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|nav|article|section|header|footer|title|head|body|html|blockquote|pre|hr)\b[^>]*>|\n"
+
+_OP9 = rf"""
+WITH p AS (SELECT row_number() OVER () AS k, page_id, nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]+)', 1)), '.'), '') AS host,
+             regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<(?i:script)\b.*?</(?i:script)\s*>|<(?i:style)\b.*?</(?i:style)\s*>', ' ', 'g') AS t FROM pages),
+l AS (SELECT k, host, trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g')) AS line, i
+      FROM (SELECT k, coalesce(host, '') AS host, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM (SELECT k, host, regexp_split_to_array(t, '{_BLOCK}') AS ls FROM p))),
+v AS (SELECT * FROM l WHERE line <> ''),
+n AS (SELECT host, line, count(DISTINCT k) AS n FROM v GROUP BY host, line),
+h AS (SELECT coalesce(host, '') AS host, count(*) AS pages FROM p GROUP BY 1),
+gone AS (SELECT host, line FROM n JOIN h USING (host) WHERE n >= 2 AND n > 0.1 * pages),
+m AS (SELECT v.k, v.i, v.line, gone.line IS NOT NULL AS drops FROM v LEFT JOIN gone ON v.host = gone.host AND v.line = gone.line),
+r AS (SELECT k, count(*) AS n_lines, count(*) FILTER (drops) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (NOT drops) AS kept FROM m GROUP BY k)
+SELECT page_id, host, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256 FROM p LEFT JOIN r USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express on whole tables."""
-    return {"op1_mix_sources": _OP1, "op2_quality_rules": _OP2, "op4_substring_dedup": _OP4, "op6_decontaminate": _OP6, "op10_warc": _OP10}
+    return {"op1_mix_sources": _OP1, "op2_quality_rules": _OP2, "op4_substring_dedup": _OP4, "op6_decontaminate": _OP6, "op9_line_dedup": _OP9, "op10_warc": _OP10}

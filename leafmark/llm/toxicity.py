@@ -12,6 +12,7 @@ is a pass over the texts without a shuffle.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from leafmark.llm.words import ALNUM, Words, bounded, text_bytes
 
-#: Labelled texts that are learned from, about.
-TRAIN_TEXTS = 8000
+#: Labelled texts that are learned from, about, and their bytes, about; longer texts than LONGEST teach nothing.
+TRAIN_TEXTS, TRAIN_BYTES, LONGEST = 8000, 128 << 20, 1 << 20
 #: Words of a model at most, chosen by how far their share of positive texts is from that of all texts,
 WORDS = 1500
 #: and by at least so many standard deviations, in so many texts.
@@ -108,12 +109,19 @@ def _predict(links: list[Link], sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _fold(own: np.ndarray) -> int:
+    """The fold of a text, by its distinct words."""
+    return int(hashlib.md5(own.tobytes()).digest()[0]) % FOLDS
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], texts: int = TRAIN_TEXTS) -> list[Link]:
     """The chain for 0/1 columns of labels (with doc_id), in that order.
 
     Rows without an id or a label of some category teach nothing; of several
     rows for an id the largest labels count; a category of which the sample
-    has one value only is predicted as constant.
+    has one value only is predicted as constant.  The sample, which goes to
+    the driver, is bounded in texts and in bytes.  Texts of the same words are
+    in one fold, so an out-of-fold probability never comes from a copy.
     """
     import pyarrow as pa
 
@@ -121,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], texts: int
     rows = rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories])
     share = texts / max(1, rows.count())
     draw = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = F.broadcast(rows.where(draw < F.lit(float(share))))  # about `texts` rows
+    sample = F.broadcast(rows.where(draw < F.lit(float(share))))  # about `texts` rows, whatever the input
 
     def words(batches):
         for b in bounded(batches):
@@ -129,12 +137,17 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], texts: int
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.binary()), *[b.column(c) for c in categories]], ["doc_id", "words", *categories])
 
     joined = docs.select(F.col("doc_id").cast("long"), "text").join(sample, "doc_id").select("doc_id", "text", *categories)
+    joined = joined.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    size = joined.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > TRAIN_BYTES:
+        draw = F.pmod(F.xxhash64(F.lit("bytes"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        joined = joined.where(draw < F.lit(TRAIN_BYTES / size))
     table = joined.mapInArrow(words, "doc_id long, words binary, " + ", ".join(f"{c} int" for c in categories)).toArrow()
-    order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
-    raw = table["words"].to_pylist()
+    raw, ids = table["words"].to_pylist(), table["doc_id"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], raw[i]))
     sets = [np.frombuffer(raw[i], np.uint64) for i in order]
     y = np.column_stack([np.asarray(table[c])[order] for c in categories]).astype(float) if len(order) else np.zeros((0, len(categories)))
-    fold = np.arange(len(sets)) % FOLDS
+    fold = np.array([_fold(s) for s in sets], np.int64)
     links, earlier = [], np.zeros((len(sets), 0))
     for k, category in enumerate(categories):
         links.append(_fit(category, sets, earlier, y[:, k]))

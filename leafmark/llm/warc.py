@@ -15,12 +15,15 @@ takes whole-file archives from any path.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmark.llm.components import attach
 from leafmark.llm.shared import stage
 from leafmark.llm.words import bounded
 
@@ -28,6 +31,8 @@ from leafmark.llm.words import bounded
 LEAST_BYTES = 100
 #: Bytes of records in an archive, and of a piece of it, about.
 ARCHIVE_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
+#: Bytes of archives that a partition holds, about.
+PARTITION_BYTES = 64 << 20
 LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 #: Duplicated payloads (48 bytes each) that are broadcast at most; more are joined by a shuffle.
@@ -35,7 +40,8 @@ BROADCAST = 500_000
 
 ARCHIVE = "archive string, part int, data binary"
 MEMBERS = "archive string, number long, offset long, length long, record_id string, record_type string, member binary"
-LAID = "archive string, data binary, sidecar array<struct<number: long, offset: long, length: long, record_id: string, record_type: string>>"
+_MEMBER_NAMES = ["archive", "number", "offset", "length", "record_id", "record_type", "member"]
+LAID = "archive string, part int, base long, data binary, sidecar array<struct<number: long, offset: long, length: long, record_id: string, record_type: string>>"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -52,9 +58,9 @@ def decide(pages: DataFrame) -> DataFrame:
     sized = sized.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     keys = sized.where(F.col("payload_bytes") >= LEAST_BYTES).select("payload_digest", "page_id")
     firsts = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    firsts = stage(firsts.select("payload_digest", "first"), "firsts")
-    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST else firsts
-    joined = sized.join(firsts, "payload_digest", "left")
+    firsts = stage(firsts, "firsts")
+    known, total = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    joined = sized.join(F.broadcast(firsts.drop("n")), "payload_digest", "left") if known <= BROADCAST else attach(sized, firsts, ["payload_digest"], "n", total, "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", refers.alias("refers_to"))
 
@@ -83,12 +89,14 @@ def _record(page_id, url, payload: bytes, size: int, digest: str, refers_to) ->
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    """The header fields (names in lower case) and the block of one record."""
+    """The header fields (names in lower case) and the block of one record; a header without a length is an error."""
     head, _, rest = record.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
     fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+    if not re.fullmatch(r"\d+", fields.get("content-length", "")):
+        raise ValueError(f"a record without Content-Length: {lines[0][:40]!r}")
     return fields, rest[: int(fields["content-length"])]
 
 
@@ -134,62 +142,102 @@ def write(decided: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Archives from files of any store, each as one piece."""
+    """Archives from files of any store, each as one piece; a file must fit into a cell (under 2 GB).
+
+    Larger files come as rows (archive, part, data) of any reader: pieces may be cut anywhere.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.selectExpr("path archive", "0 part", "content data")
 
 
-def _records(pieces):
-    """The records of a gzip stream that comes in pieces, inflated once."""
-    inflate, held = zlib.decompressobj(31), b""
+def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes of a gzip stream, or of several members, that comes in pieces: a bounded number at a time."""
+    inflate = zlib.decompressobj(31)
     for piece in pieces:
         while piece:
-            held += inflate.decompress(piece)
-            piece = inflate.unused_data  # further members are inflated alike
-            if piece:
-                inflate = zlib.decompressobj(31)
+            yield inflate.decompress(piece, PIECE_BYTES)
+            piece = inflate.unconsumed_tail
+            if inflate.eof:
+                piece, inflate = inflate.unused_data, zlib.decompressobj(31)
+
+
+def _records(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The records of a gzip stream that comes in pieces, inflated once; at most one record and a piece are held."""
+    held, at, need = bytearray(), 0, 1
+    for data in _inflated(pieces):
+        held += data
+        while len(held) - at >= need:
+            head = held.find(b"\r\n\r\n", at)
+            if head < 0:
+                need = len(held) - at + 1
+                break
+            found = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", held[at : head + 2], re.IGNORECASE)
+            if not found:
+                raise ValueError("a record without Content-Length")
+            end = head + 4 + int(found[1]) + 4
+            if end > len(held):
+                need = end - at
+                break
+            yield bytes(held[at:end])
+            at, need = end, 1
+        if at >= PIECE_BYTES:
+            del held[:at]
             at = 0
-            while (head := held.find(b"\r\n\r\n", at)) >= 0:
-                found = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", held[at : head + 2], re.IGNORECASE)
-                end = head + 4 + int(found[1]) + 4
-                if end > len(held):
-                    break
-                yield held[at:end]
-                at = end
-            held = held[at:]
-    if held.strip(b"\r\n"):
+    if held[at:].strip(b"\r\n"):
         raise ValueError("an archive ends within a record")
 
 
-def _rewritten(table) -> list[tuple]:
-    """The MEMBERS of the archive that a table of pieces holds."""
-    order = sorted(range(table.num_rows), key=table["part"].to_pylist().__getitem__)
-    data, name, rows, offset = table["data"], table["archive"][0].as_py(), [], 0
-    for number, record in enumerate(_records(data[i].as_py() for i in order)):
-        pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-        member = pack.compress(record) + pack.flush()
-        fields, _ = parse(record)
-        rows.append((name, number, offset, len(member), fields.get("warc-record-id"), fields.get("warc-type"), member))
-        offset += len(member)
-    return rows
+def _in_order(archives: DataFrame, order: str) -> DataFrame:
+    """The rows of each archive one after the other in a partition; partitions are sized by bytes."""
+    column = "data" if order == "part" else "member"
+    total = archives.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    n = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
+    return archives.repartition(n, "archive").sortWithinPartitions("archive", order)
+
+
+def _members(batches) -> Iterator[tuple]:
+    """The MEMBERS of archives whose pieces come in order."""
+    pieces = ((b.column("archive")[i].as_py(), b.column("data")[i].as_py()) for b in batches for i in range(b.num_rows))
+    for name, own in itertools.groupby(pieces, key=lambda x: x[0]):
+        offset = 0
+        for number, record in enumerate(_records(data for _, data in own)):
+            pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            member = pack.compress(record) + pack.flush()
+            fields, _ = parse(record)
+            yield name, number, offset, len(member), fields.get("warc-record-id"), fields.get("warc-type"), member
+            offset += len(member)
+
+
+def _in_pieces(rows: Iterator[tuple]) -> Iterator[tuple[str, list[tuple]]]:
+    """Runs of members of an archive of about PIECE_BYTES."""
+    held, size = [], 0
+    for row in rows:
+        if held and (row[0] != held[0][0] or size >= PIECE_BYTES):
+            yield held[0][0], held
+            held, size = [], 0
+        held.append(row)
+        size += row[3]
+    if held:
+        yield held[0][0], held
 
 
 def normalise(archives: DataFrame) -> DataFrame:
     """Every record as a gzip member: archive, number, offset, length, record_id, record_type, member.
 
-    An archive is the members in the order of their numbers.  A cut-off stream
-    is an error, and an empty table gives an empty table.
+    An archive is the members in the order of their numbers.  Archives are
+    streamed: a task holds a piece and a record.  A cut-off stream is an error,
+    as is a record without Content-Length, and an empty table gives an empty
+    table.
     """
 
-    def rewrite(table):
+    def rewrite(batches):
         import pyarrow as pa
 
-        rows = _rewritten(table)
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["archive", "number", "offset", "length", "record_id", "record_type", "member"])
+        for _, rows in _in_pieces(_members(batches)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], _MEMBER_NAMES)
 
-    return archives.groupBy("archive").applyInArrow(rewrite, MEMBERS)
+    return _in_order(archives, "part").mapInArrow(rewrite, MEMBERS)
 
 
 def index(normalised: DataFrame) -> DataFrame:
@@ -198,17 +246,24 @@ def index(normalised: DataFrame) -> DataFrame:
 
 
 def lay_out(archives: DataFrame) -> DataFrame:
-    """One row an archive, in the shared folder: its normalised bytes (data) and its sidecar, in the order of the numbers."""
+    """The normalised archives in the shared folder, in pieces of whole members, each with its part of the sidecar.
+
+    A piece is (archive, part, base, data, sidecar): data begins at `base` of
+    the archive; offsets count from the archive's start.
+    """
 
-    def lay(table):
+    def lay(batches):
         import pyarrow as pa
 
-        rows = _rewritten(table)
-        sidecar = [dict(zip(("number", "offset", "length", "record_id", "record_type"), r[1:6], strict=True)) for r in rows]
         entry = pa.struct([("number", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("record_type", pa.string())])
-        return pa.table([pa.array([table["archive"][0].as_py()], pa.string()), pa.array([b"".join(r[6] for r in rows)], pa.binary()), pa.array([sidecar], pa.list_(entry))], ["archive", "data", "sidecar"])
+        kinds, part, before = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.list_(entry)), 0, None
+        for name, rows in _in_pieces(_members(batches)):
+            part, before = part + 1 if name == before else 0, name
+            sidecar = [dict(zip(("number", "offset", "length", "record_id", "record_type"), r[1:6], strict=True)) for r in rows]
+            values = (name, part, rows[0][2], b"".join(r[6] for r in rows), sidecar)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], ["archive", "part", "base", "data", "sidecar"])
 
-    return stage(archives.groupBy("archive").applyInArrow(lay, LAID), "normalised")
+    return stage(_in_order(archives, "part").mapInArrow(lay, LAID), "normalised")
 
 
 def _opened(records):
@@ -250,15 +305,15 @@ def read(normalised: DataFrame) -> DataFrame:
 def read_laid(laid: DataFrame) -> DataFrame:
     """read()'s records, each cut out of its archive by the offset and length that the sidecar gives.
 
-    The members that the sidecar cuts must be the whole archive and hold the
+    The members that the sidecar cuts must be the whole piece and hold the
     records that it names.
     """
 
-    def cut(name, data, sidecar):
+    def cut(name, base, data, sidecar):
         end = 0
         for e in sidecar:
             inflate, record = zlib.decompressobj(31), None
-            if e["offset"] == end:
+            if e["offset"] - base == end:
                 record = inflate.decompress(data[end : end + e["length"]])
                 end += e["length"]
             if record is None or not inflate.eof or inflate.unused_data or parse(record)[0].get("warc-record-id") != e["record_id"]:
@@ -270,7 +325,7 @@ def read_laid(laid: DataFrame) -> DataFrame:
     def opened(batches):
         for b in batches:
             for i in range(b.num_rows):
-                yield _opened(cut(*(b.column(c)[i].as_py() for c in ("archive", "data", "sidecar"))))
+                yield _opened(cut(*(b.column(c)[i].as_py() for c in ("archive", "base", "data", "sidecar"))))
 
     return laid.mapInArrow(opened, RECORDS)
 
@@ -278,28 +333,38 @@ def read_laid(laid: DataFrame) -> DataFrame:
 def export(normalised: DataFrame, folder: str) -> DataFrame:
     """Write <archive>.warc.gz and <archive>.idx (offset, length, record) under a folder that all executors can open.
 
-    Returns (path, records).  Each archive is written to a temporary name and renamed, so a task may run twice.
+    Returns (path, records).  Archives are streamed; each is written to a name of its own task and renamed, so a task may run twice.
     """
     root = folder.removeprefix("file://")
 
-    def lay(table):
+    def lay(batches):
         import os
+        import uuid
 
         import pyarrow as pa
 
-        rows = sorted(table.select(["number", "offset", "length", "record_id", "member"]).to_pylist(), key=lambda r: r["number"])
-        path = os.path.join(root, re.sub(r"[^\w.-]", "_", table["archive"][0].as_py()) + ".warc.gz")
-        os.makedirs(root, exist_ok=True)
-        for end, body in ((".tmp", b"".join(r["member"] for r in rows)), (".idx.tmp", "".join(f"{r['offset']}\t{r['length']}\t{r['record_id']}\n" for r in rows).encode())):
-            with open(path + end, "wb") as f:
-                f.write(body)
-        os.replace(path + ".tmp", path)
-        os.replace(path + ".idx.tmp", path.removesuffix(".warc.gz") + ".idx")
-        return pa.table({"path": [path], "records": pa.array([len(rows)], pa.int64())})
+        rows = (r for b in batches for r in b.to_pylist())
+        for name, own in itertools.groupby(rows, key=lambda r: r["archive"]):
+            path = os.path.join(root, re.sub(r"[^\w.-]", "_", name))
+            os.makedirs(root, exist_ok=True)
+            held, n = f"{path}.{uuid.uuid4().hex}.tmp", 0
+            with open(held, "wb") as data, open(held + "i", "w") as entries:
+                for r in own:
+                    data.write(r["member"])
+                    entries.write(f"{r['offset']}\t{r['length']}\t{r['record_id']}\n")
+                    n += 1
+            os.replace(held, path + ".warc.gz")
+            os.replace(held + "i", path + ".idx")
+            yield pa.RecordBatch.from_pydict({"path": [path + ".warc.gz"], "records": pa.array([n], pa.int64())})
 
-    return normalised.groupBy("archive").applyInArrow(lay, "path string, records long")
+    ordered = _in_order(normalised.select("archive", "number", "offset", "length", "record_id", "member"), "number")
+    return ordered.mapInArrow(lay, "path string, records long")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """The records of pages after writing, normalising and reading back."""
-    return read_laid(lay_out(write(decide(pages))))
+    """The records of pages (page_id, url, html) after writing, normalising and reading back by the sidecar.
+
+    One record a row: rows that repeat a page are records each, and a null html
+    is an empty payload.  Other columns are ignored, whatever their names.
+    """
+    return read_laid(lay_out(write(decide(pages.select("page_id", "url", "html")))))

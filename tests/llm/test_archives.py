@@ -132,6 +132,37 @@ def test_records_are_cut_out_of_the_laid_archive_by_its_sidecar(spark, monkeypat
             warc.round_trip(pages(spark)).collect()
 
 
+def test_archives_are_laid_out_in_pieces_that_are_read_alone(spark, monkeypatch):
+    """Records larger and smaller than a piece, several pieces an archive; columns whose names clash; megabytes in one page."""
+    monkeypatch.setattr(warc, "PIECE_BYTES", 2000)
+    rng = np.random.default_rng(1)
+    noise = lambda n: rng.integers(33, 126, n).astype(np.uint8).tobytes().decode()
+    rows = [(i, f"http://h/{i}", noise(3_000_000 if i == 5 else 700 + 40 * i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for name in ("archive", "part", "data", "sidecar", "base", "payload", "refers_to"):
+        df = df.withColumn(name, F.lit("clash"))
+    laid = warc.lay_out(warc.write(warc.decide(df.select("page_id", "url", "html")))).collect()
+    pieces = sorted((r.part, r.base, len(r.data)) for r in laid)
+    assert len(pieces) > 5 and all(a[1] + a[2] == b[1] for a, b in zip(pieces, pieces[1:], strict=False))
+    got = {r.page_id: r.payload.decode() for r in warc.round_trip(df).collect()}
+    assert got == {i: html for i, _, html in rows}
+
+
+def test_records_in_pieces_cut_anywhere():
+    records = [warc._record(i, None, b"x" * n, n, hashlib.sha256(b"x" * n).hexdigest(), None) for i, n in enumerate([0, 1, 5000, 200_000])]
+    whole = gzip.compress(b"".join(records[:2])) + gzip.compress(b"".join(records[2:]))
+    for step in (1 << 20, 1000, 7):
+        assert list(warc._records(whole[i : i + step] for i in range(0, len(whole), step))) == records
+
+
+def test_a_record_without_length_is_an_error():
+    for record in (b"WARC/1.1\r\nWARC-Type: response\r\n\r\nbody\r\n\r\n", b"HTTP/1.1\r\n\r\n"):
+        with pytest.raises(ValueError, match="record"):
+            warc.parse(record)
+    with pytest.raises(ValueError, match="without Content-Length"):
+        list(warc._records([gzip.compress(b"WARC/1.1\r\nWARC-Type: response\r\n\r\nbody\r\n\r\n")]))
+
+
 def test_a_cut_archive_is_an_error(spark):
     pieces = warc.write(warc.decide(pages(spark).coalesce(1)))
     cut = pieces.withColumn("data", F.expr("substring(data, 1, length(data) div 2)"))
@@ -185,6 +216,43 @@ def test_copies_keep_their_text_until_the_jaccard_stage(spark, small):
     assert single == {0, *range(5, 40), 100, 130, 131}
 
 
+def test_one_text_of_a_repeated_id_stays(spark, small):
+    """Of rows that repeat an id one stays, the first text that isn't empty; rows without an id stay; other columns go along."""
+    a, b = " ".join(fx.words(60, 50, 9000)), " ".join(fx.words(61, 50, 9000))
+    rows = [(1, a, "en", "s", 1), (1, b, "de", "t", 2), (1, None, None, None, None), (1, "", "en", "s", 0), (2, a, "en", "s", 1), (3, b, "en", "s", 1), (None, a, "en", "s", 1), (4, None, None, None, None), (4, None, None, None, None)]
+    docs = spark.createDataFrame(rows, fx.SCHEMA)
+    got = sorted((tuple(r) for r in dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, small).collect()), key=str)
+    assert got == sorted([min(rows[:2], key=lambda r: r[1]), rows[6], rows[7]], key=str)
+
+
+def test_stages_against_plain_python(spark, small):
+    """Jaccard, decontamination and mixing stages by brute force, each on its own input."""
+    docs = fx.docs(spark).where("doc_id is not null and doc_id <> 15")
+    steps, rows = dict(corpus_pipeline.STAGES), [tuple(r) for r in docs.collect()]
+    shingles = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())(fx.plain(fx.lower(t)))
+    sets, root = {r[0]: shingles(r[1]) for r in rows}, {r[0]: r[0] for r in rows}
+    for _ in range(len(rows)):
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if a and b and 100 * len(a & b) >= 75 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    single = steps["ngram_jaccard"](spark, docs, small)
+    assert sorted(r.doc_id for r in single.collect()) == sorted(i for i in root if root[i] == i)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    poisoned = [(900, "before it " + items[0][1] + " after it", "en", "a", 1), (901, items[1][1], "en", "a", 1)]
+    given = single.unionByName(spark.createDataFrame(poisoned, fx.SCHEMA))
+    clean = {r.doc_id: r.text for r in steps["decontamination"](spark, given, small).collect()}
+    hits = {h[0]: (h[1], h[2]) for h in brute_hits([tuple(r) for r in given.collect()], items)}
+    assert set(clean) == {i for i, (n, hit) in hits.items() if not hit or hit < n}
+    assert all(clean[r.doc_id] == r.text for r in given.collect() if r.doc_id in clean and not hits[r.doc_id][1])
+    assert clean[900].split()[:2] == ["before", "it"] and len(alnum(clean[900])) == hits[900][0] - hits[900][1]
+    mixed = steps["mixing"](spark, given, small).collect()
+    from leafmark.llm import mixing
+
+    want = {r.doc_id: r.copies for r in mixing.plan(given).collect()}
+    assert {i: sum(r.doc_id == i for r in mixed) for i in want} == want
+
+
 def test_pipeline_of_nothing_and_of_hard_cases(spark, small):
     for docs in (fx.empty(spark), fx.docs(spark)):
         for _, step in corpus_pipeline.STAGES:

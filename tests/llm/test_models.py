@@ -45,6 +45,98 @@ def test_language_of_hard_cases(spark):
     assert {r.lang_pred for r in langid.identify(docs, ([], np.zeros((0, 1 << langid.BITS)))).collect()} == {"und"}
 
 
+def brute_mixture(log_p, cells, n, penalty):
+    """Of all sets of languages the one of the largest converged likelihood less the penalty for each language, and its shares."""
+    from itertools import combinations
+
+    p, best = np.exp(log_p[:, cells]), None
+    for size in range(1, len(p) + 1):
+        for chosen in combinations(range(len(p)), size):
+            share = np.full(size, 1.0 / size)
+            for _ in range(2000):
+                both = share[:, None] * p[list(chosen)]
+                share = (both / both.sum(axis=0)) @ n
+                share /= share.sum()
+            value = float(n @ np.log(share @ p[list(chosen)])) - penalty * n.sum() * size
+            if best is None or value > best[0]:
+                best = (value, dict(zip(chosen, share, strict=True)))
+    return best[1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mixtures_against_all_sets_of_languages(seed):
+    """Texts of one to three of four languages: the set and the shares are those of enumeration with converged steps."""
+    rng = np.random.default_rng(seed)
+    table = rng.dirichlet(np.full(60, 0.15), 4) + 1e-4
+    log_p = np.log(table / table.sum(axis=1, keepdims=True))
+    for parts in ([1.0], [0.6, 0.4], [0.4, 0.35, 0.25], [0.97, 0.03]):
+        mixed = sum(w * np.exp(log_p[k]) for k, w in enumerate(parts))
+        counts = rng.multinomial(3000, mixed / mixed.sum())
+        at = np.flatnonzero(counts)
+        want = brute_mixture(log_p, at, counts[at].astype(float), langid.PENALTY)
+        got = langid.infer(log_p, at, counts[at].astype(float))
+        assert set(got) == set(want)
+        assert all(abs(got[k] - want[k]) < 0.02 for k in want)
+
+
+def test_more_languages_than_the_model_has_cells_for(spark, monkeypatch):
+    """The cells get coarser; every language is still learned."""
+    monkeypatch.setattr(langid, "MODEL_CELLS", 40 << 10)
+    rows = [(100 * k + j, " ".join(fx.words(1000 * k + j, 40, 9)).replace("w", f"q{k}x{chr(97 + k % 26) * 3}"), f"l{k:02d}") for k in range(60) for j in range(6)]
+    rows = [(i, "".join(chr(97 + int(c)) if c.isdigit() else c for c in t), lang) for i, t, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, log_p = langid.trained_on_rest(docs)
+    assert len(langs) == 60 and log_p.shape[1] < 1 << langid.BITS and log_p.size <= 40 << 10
+    n, right = langid.identify(docs, (langs, log_p)).agg(F.count("*"), F.count_if(F.col("lang") == F.col("lang_pred"))).first()
+    assert right >= 0.9 * n
+
+
+def plain_link(sets, earlier, y):
+    """A logistic regression over all chosen words by plain gradient descent to convergence, weights for (words, earlier, bias)."""
+    words = sorted({int(w) for s in sets for w in s})
+    x = np.array([[float(w in set(map(int, s))) for w in words] + list(e) + [1.0] for s, e in zip(sets, earlier, strict=True)])
+    ridge = np.array([1.0] * (x.shape[1] - 1) + [0.0]) * toxicity.RIDGE / len(y)
+    weights = np.zeros(x.shape[1])
+    for _ in range(40):  # Newton's steps
+        p = 1 / (1 + np.exp(-x @ weights))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(y) + np.diag(ridge + 1e-9)
+        weights -= np.linalg.solve(hessian, x.T @ (p - y) / len(y) + ridge * weights)
+    return 1 / (1 + np.exp(-x @ weights))
+
+
+def test_a_link_of_the_chain_against_plain_regression(monkeypatch):
+    """Enough steps of the fit reach the probabilities of a converged regression on the same words and earlier categories."""
+    monkeypatch.setattr(toxicity, "STEPS", 20_000)
+    monkeypatch.setattr(toxicity, "LEAST_FAR", 0.0)
+    rng = np.random.default_rng(4)
+    words = np.sort(rng.integers(1, 1 << 60, 6).astype(np.uint64))
+    sets = [words[rng.random(6) < 0.4] for _ in range(400)]
+    earlier = rng.random((400, 1))
+    signal = np.array([2.0 * (words[0] in s) - 1.5 * (words[3] in s) for s in sets]) + 2 * earlier[:, 0] - 1
+    y = (rng.random(400) < 1 / (1 + np.exp(-signal))).astype(float)
+    link = toxicity._fit("c", sets, earlier, y)
+    text = np.repeat(np.arange(400), [len(s) for s in sets])
+    got = toxicity._apply(link, np.concatenate(sets), text, 400, earlier)
+    assert np.abs(got - plain_link(sets, earlier, y)).max() < 0.02
+
+
+def test_copies_are_in_one_fold_and_training_is_bounded_in_bytes(spark, monkeypatch):
+    sets = toxicity._word_sets([b"one two", b"two one  one", b"three", b""])
+    assert toxicity._fold(sets[0]) == toxicity._fold(sets[1])
+    rows = [(i, f"text {i} " + ("scum" if i % 2 else "fine") + " filler" * 50) for i in range(300)] + [(300, "x " * (1 << 20)), (1, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(301)], "doc_id long, toxic int")
+    once = toxicity.train(docs, labels, ["toxic"])
+    again = toxicity.train(docs.orderBy(F.desc("text")), labels, ["toxic"])
+    assert (once[0].words == again[0].words).all() and np.allclose(once[0].weights, again[0].weights)
+    seen, fit = [], toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda c, sets, e, y: seen.append(len(sets)) or fit(c, sets, e, y))
+    toxicity.train(docs, labels, ["toxic"])
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 30_000)
+    toxicity.train(docs, labels, ["toxic"])
+    assert seen[0] == 301 and 30 <= seen[1] <= 150
+
+
 def test_toxicity_on_texts_it_has_not_seen(spark):
     rng, rows, labels = random.Random(1), [], []
     for i in range(900):

@@ -109,6 +109,30 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, most):
     assert any(r.n_dropped for r in got.values())
 
 
+@pytest.mark.parametrize("once", [False, True])
+def test_lines_of_a_hot_host_and_of_copies(spark, monkeypatch, once):
+    """A host with most rows, lines in most of them, shuffle joins; copies count once where asked."""
+    monkeypatch.setattr(lines, "BROADCAST", 0)
+    texts = [f"menu\n  foot\nown {i}\n\nmenu" for i in range(60)] + ["copy one\ncopy two"] * 30
+    rows = [(i, "big", t) for i, t in enumerate(texts)]
+    got = {r.id: r for r in lines.dedup(spark.createDataFrame(rows, "id long, host string, text string"), F.col("host"), F.split("text", "\n"), once=once).collect()}
+    assert all((got[i].kept_lines, got[i].n_lines, got[i].n_dropped) == ([f"own {i}", ""], 4, 3) for i in range(60))
+    assert all(got[i].kept_lines == (["copy one", "copy two"] if once else []) for i in range(60, 90))
+
+
+def test_a_row_of_very_many_lines(spark):
+    """The work is in proportion to the lines: 200,000 of them, half of which go."""
+    import time
+
+    text = "\n".join(f"line {i % 150_000}" if i % 2 else f"shared {i}" for i in range(200_000))
+    rows = [(1, "h", text), (2, "h", "\n".join(f"shared {i}" for i in range(0, 200_000, 2))), (3, "h", None), (4, "h", "")]
+    began = time.time()
+    got = {r.id: r for r in lines.dedup(spark.createDataFrame(rows, "id long, host string, text string"), F.col("host"), F.split("text", "\n")).collect()}
+    assert time.time() - began < 60
+    assert got[1].kept_lines == [x for x in text.split("\n") if x.startswith("line")] and got[1].n_dropped == 100_000
+    assert got[2].kept_lines == [] and got[3].kept_lines == [] and (got[4].kept_lines, got[4].n_lines) == ([""], 0)
+
+
 def test_lines_over_the_ratio_go_from_small_hosts_too(spark):
     """Two or three pages of fifteen are over a tenth; one page of five is no repetition."""
     rows = [(i, "big", f"own {i}\nfooter" if i < 3 else f"own {i}\nmenu" if i < 5 else f"own {i}") for i in range(15)] + [(20 + i, "small", f"alone {i}") for i in range(5)]
