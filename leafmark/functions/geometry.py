@@ -32,9 +32,6 @@ class Rect:
     def union(self, other: Rect) -> Rect:
         return Rect(F.least(self.x0, other.x0), F.least(self.y0, other.y0), F.greatest(self.x1, other.x1), F.greatest(self.y1, other.y1))
 
-    def shift(self, dx: Column, dy: Column) -> Rect:
-        return Rect(self.x0 + dx, self.y0 + dy, self.x1 + dx, self.y1 + dy)
-
     def gap(self, other: Rect) -> Column:
         """The larger of the distances along x and y; negative or 0: not separated."""
         dx = F.greatest(other.x0 - self.x1, self.x0 - other.x1)
@@ -57,15 +54,10 @@ def union_of(prefix: str = "") -> list[Column]:
 
 
 def rgb(components: Column) -> Column:
-    """Gray, RGB or CMYK components as RGB; null for any other number."""
-    k = F.lit(1.0) - F.get(components, 3)
+    """Components as RGB: one is gray, four are CMYK (ink and black add up, at most to 1); of any others the first three."""
+    black = F.get(components, 3)
     return (
-        F.when(F.size(components) == 1, F.array(F.get(components, 0), F.get(components, 0), F.get(components, 0)))
-        .when(F.size(components) == 3, components)
-        .when(F.size(components) == 4, F.transform(F.slice(components, 1, 3), lambda c: (F.lit(1.0) - c) * k))
+        F.when(F.size(components) == 1, F.array_repeat(F.get(components, 0), 3))
+        .when(F.size(components) == 4, F.transform(F.slice(components, 1, 3), lambda ink: F.lit(1.0) - F.least(F.lit(1.0), ink + black)))
+        .otherwise(F.slice(components, 1, 3))
     )
-
-
-def cells(low: Column, high: Column, width: float) -> Column:
-    """The numbers of the grid cells that [low, high] touches, for an equi-join ahead of an overlap test."""
-    return F.sequence(F.floor(low / width), F.floor(high / width))

@@ -3,10 +3,10 @@
 import pytest
 from compare import same_rows
 
-from leafmark.plans import composite, evaluation, layout, markup, relations
+from leafmark.plans import PLANS
 
-QUERIES = layout.QUERIES | relations.QUERIES | evaluation.QUERIES | markup.QUERIES | composite.QUERIES
-ORACLES = layout.ORACLES | relations.ORACLES | evaluation.ORACLES | markup.ORACLES | composite.ORACLES
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
 
 
 @pytest.mark.parametrize("name", QUERIES)
@@ -34,6 +34,10 @@ def test_every_language_is_compared(spark, tmp_path):
     assert {tuple(r) for r in QUERIES["coverage_candidates_all"](spark, str(tmp_path)).collect()} == want
 
 
+def test_no_two_plans_share_a_name():
+    assert len(QUERIES) == sum(len(plan.QUERIES) for plan in PLANS) and set(ORACLES) <= set(QUERIES)
+
+
 def test_entry_points(spark):
     import __spark_entry__
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import regex
 
+from leafmark.operators import detection
 from leafmark.operators import sequential as S
 
 
@@ -76,6 +77,58 @@ def test_boxes_against_every_box(spark, seed):
     assert got == {(p, o): box for p in range(2) for o, box in plain_boxes([r[1:] for r in rows if r[0] == p]).items()}
 
 
+def plain_columns(rows):
+    """rows (x0, x1, y, size, ord): one-line paragraphs -> column of each ord."""
+    columns, out = [], {}
+    for x0, x1, y, size, ord_ in sorted(rows, key=lambda r: (r[2], r[0], r[4])):
+        costs = []
+        for i, column in enumerate(columns):
+            a0, a1, ay, asize, _ = column[-1]
+            big, common = max(size, asize), min(x1, a1) - max(x0, a0)
+            if min(size, asize) < 0.82 * big or y <= ay or common <= 0:
+                continue
+            left = min(abs(x0 - a0), abs(x0 - column[0][0]))
+            if left <= 1.35 * big:
+                costs.append((left / big, i))
+            elif abs(x1 - a1) <= 0.65 * big and common >= 0.65 * min(x1 - x0, a1 - a0):
+                costs.append((1 + abs(x1 - a1) / big, i))
+        i = min(costs)[1] if costs else len(columns)
+        if i == len(columns):
+            columns.append([])
+        columns[i].append((x0, x1, y, size, ord_))
+        out[ord_] = i
+    return out
+
+
+def plain_blocks(rows):
+    """rows (x, pen_end, first, last, size, ord) -> block of each ord, the latest that fits."""
+    blocks, out = [], {}
+    for row in sorted(rows, key=lambda r: r[5]):
+        x, end, first, _, size, ord_ = row
+        fits = [i for i, b in enumerate(blocks) if abs(b[-1][4] - size) < 0.1 and x < b[-1][1] and b[-1][0] < end and 0 < first - b[-1][3] <= 3 * size and abs(x - b[-1][0]) <= 2 * size]
+        i = fits[-1] if fits else len(blocks)
+        if i == len(blocks):
+            blocks.append([])
+        blocks[i].append(row)
+        out[ord_] = i
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_columns_and_blocks_against_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    rows = [(p, float(rng.choice([40, 45, 52, 200, 204, 360])), 0.0, float(rng.randrange(60)) * 9, rng.choice([12.0, 12.0, 13.0, 20.0]), k) for p in range(2) for k in range(70)]
+    rows = [(p, x, x + rng.choice([90.0, 140.0, 300.0]), y, s, k) for p, x, _, y, s, k in rows]
+    df = spark.createDataFrame(rows, "page int, x0 double, x1 double, y double, size double, ord int")
+    df = df.selectExpr("*", *[f"{c} AS last_{c}" for c in ("x0", "x1", "y", "size")])
+    got = {(r.page, r.ord): r.column for r in detection.columns(df, ["page"]).collect()}
+    assert got == {(p, o): i for p in range(2) for o, i in plain_columns([r[1:] for r in rows if r[0] == p]).items()}
+    stacks = [(p, x, x1, y, y + rng.choice([0.0, 12.0, 30.0]), s, k) for p, x, x1, y, s, k in rows]
+    df = spark.createDataFrame(stacks, "page int, x double, pen_end double, first double, last double, size double, ord int")
+    got = {(r.page, r.ord): r.block for r in detection.blocks(df, ["page"]).collect()}
+    assert got == {(p, o): i for p in range(2) for o, i in plain_blocks([r[1:] for r in stacks if r[0] == p]).items()}
+
+
 def step(c):
     return 6 if ord(c) < 128 else 12
 
