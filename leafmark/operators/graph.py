@@ -1,4 +1,4 @@
-"""Parents, orders and chains, by recursive queries."""
+"""Parents, orders and chains: pointer doubling, and level by level."""
 
 from __future__ import annotations
 
@@ -7,24 +7,72 @@ from pyspark.sql import functions as F
 
 from leafmark.storage import stage
 
-LIMIT = 128
 
+def positions(links: DataFrame, keys: list[str], node: str, previous: str, piece: str | None = None) -> DataFrame:
+    """(keys, node, position, status[, path]): how many nodes are before each along its chain of previous nodes.
 
-def ancestors(edges: DataFrame, child: str, parent: str, limit: int = LIMIT) -> DataFrame:
-    """(child, ancestor, depth) over all chains of parents, by joins that end when no chain goes on; a cycle is an error."""
-    step = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_p is not null")
+    A node with no previous one is first.  status: ordered; gap, where the
+    chain leads to a node that isn't there; cycle, where it never ends.  Forks
+    are allowed: several nodes may have one before them.  path: the pieces of
+    the nodes from the first to this, joined by slashes.  Pointers are doubled,
+    so the rounds grow with the logarithm of the longest chain.
+    """
+    rows = links.select(*keys, F.col(node).alias("node"), F.col(previous).alias("_to"), (F.col(piece) if piece else F.lit(None)).cast("string").alias("path"))
+    there = rows.select(*keys, F.col("node").alias("_to"), F.lit(True).alias("_there"))
+    state = F.when(F.col("_to").isNull(), F.lit("ordered")).when(F.col("_there").isNull(), F.lit("gap"))
+    jump = stage(rows.join(there, [*keys, "_to"], "left").select(*keys, "node", "_to", F.when(F.col("_to").isNull(), 0).otherwise(1).cast("long").alias("n"), state.alias("status"), "path"), "positions")
+    longest, reach = rows.count(), 1
+    while reach <= longest and not jump.where("status is null").isEmpty():
+        further = jump.select(*keys, F.col("node").alias("_to"), F.col("_to").alias("_next"), F.col("n").alias("_n"), F.col("status").alias("_status"), F.col("path").alias("_path"))
+        both = jump.join(further, [*keys, "_to"], "left")
+        open_ = F.col("status").isNull()
+        jump = stage(both.select(*keys, "node", F.when(open_, F.col("_next")).otherwise(F.col("_to")).alias("_to"), F.when(open_, F.col("n") + F.col("_n")).otherwise(F.col("n")).alias("n"), F.when(open_, F.col("_status")).otherwise(F.col("status")).alias("status"), F.when(open_, F.concat_ws("/", "_path", "path")).otherwise(F.col("path")).alias("path")), "positions")
+        reach *= 2
+    status = F.coalesce("status", F.lit("cycle"))
+    ordered = status == "ordered"
+    found = jump.select(*keys, F.col("node").alias(node), F.when(ordered, F.col("n")).alias("position"), status.alias("status"), F.when(ordered, F.col("path")).alias("path"))
+    return found if piece else found.drop("path")
+
+
+def ancestors(edges: DataFrame, child: str, parent: str, limit: int | None = None) -> DataFrame:
+    """(node, ancestor, depth): all pairs over chains of parents, level by level, however deep; a cycle, or a chain over a given limit, is an error.
+
+    A child has one parent.  Where only numbers are wanted, descendants() makes no pairs.
+    """
+    step = stage(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_p is not null"), "edges")
+    if not positions(step, [], "_c", "_p").where("status = 'cycle'").isEmpty():
+        raise ValueError("the parents go round in a cycle")
     out = reached = step.select(F.col("_c").alias("node"), F.col("_p").alias("ancestor"), F.lit(1).alias("depth"))
-    for depth in range(2, limit + 2):
+    depth = 1
+    while True:
+        depth += 1
         reached = stage(reached.join(step, reached["ancestor"] == step["_c"]).select("node", F.col("_p").alias("ancestor"), F.lit(depth).alias("depth")), "ancestors")
         if reached.isEmpty():
             return out
+        if limit is not None and depth > limit:
+            raise ValueError(f"a chain is longer than {limit}")
         out = out.unionAll(reached)
-    raise ValueError(f"a chain is longer than {limit}: a cycle")
 
 
-def recursive_order(edges_sql: str, root_sql: str) -> str:
-    """SQL of (node, position): nodes reached from the roots along edges (before, after)."""
-    return f"WITH RECURSIVE walk(node, position) AS ({root_sql} UNION ALL SELECT e.after, w.position + 1 FROM walk w JOIN ({edges_sql}) e ON e.before = w.node) SELECT node, position FROM walk"
+def descendants(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(ancestor, depth, n_descendants): how many nodes are so far below each, counted level by level.
+
+    A level holds one row an ancestor, not one a pair; there are as many levels
+    as the tree has.  A child has one parent; a cycle is an error.
+    """
+    step = stage(edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_p is not null"), "edges")
+    if not positions(step, [], "_c", "_p").where("status = 'cycle'").isEmpty():
+        raise ValueError("the parents go round in a cycle")
+    level = step.groupBy(F.col("_p").alias("ancestor")).agg(F.count("*").alias("n_descendants"))
+    out, depth = None, 0
+    while True:
+        depth += 1
+        level = stage(level, "level")
+        if level.isEmpty():
+            return out if out is not None else level.select("ancestor", F.lit(1).alias("depth"), "n_descendants")
+        counted = level.select("ancestor", F.lit(depth).alias("depth"), "n_descendants")
+        out = counted if out is None else out.unionAll(counted)
+        level = level.join(step, F.col("ancestor") == F.col("_c")).groupBy(F.col("_p").alias("ancestor")).agg(F.sum("n_descendants").alias("n_descendants"))
 
 
 def chains(links: DataFrame, keys: list[str], source: str, target: str) -> DataFrame:

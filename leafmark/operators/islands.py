@@ -30,10 +30,12 @@ def run_lengths(df: DataFrame, keys: list[str], order: list[str], value: str) ->
     return runs.groupBy(*keys, "run").agg(F.first(value).alias(value), F.min("_at").alias("start"), F.count("*").alias("length"))
 
 
-def runs_are_partition(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """For each key, whether runs (start, length) follow each other from 0 without gap, and differ from the next."""
+def runs_are_partition(runs: DataFrame, keys: list[str], value: str | None = None) -> DataFrame:
+    """For each key, whether runs (start, length) follow each other from 0 without gap or overlap, and differ from the next in value."""
     w = _ordered(keys, ["start"])
     ok = F.col("start") == F.coalesce(F.lag(F.col("start") + F.col("length")).over(w), F.lit(0))
+    if value:
+        ok &= (F.col("start") == 0) | ~F.col(value).eqNullSafe(F.lag(value).over(w))
     return runs.withColumn("_ok", ok).groupBy(*keys).agg(F.bool_and("_ok").alias("contiguous"), F.sum("length").alias("total"))
 
 

@@ -1,5 +1,5 @@
 """Named queries over the tables, with the SQL of the same rows."""
 
-from leafmark.plans import composite, detection, evaluation, layout, markup, relations, rules
+from leafmark.plans import composite, detection, evaluation, layout, markup, relations, results, rules, structure
 
-PLANS = (layout, relations, evaluation, markup, composite, rules, detection)
+PLANS = (layout, relations, evaluation, markup, composite, rules, detection, structure, results)

@@ -171,6 +171,35 @@ def test_allocation_keeps_together(spark):
     assert got == [("f", 0, 0, 0, 3), ("f", 1, 1, 0, 2), ("f", 2, 1, 2, 2), ("f", 2, 2, 0, 3)]
 
 
+def test_ready_order_takes_the_first_that_can_be_done(spark):
+    from leafmark.operators import results
+
+    rng, tasks, needs = random.Random(2), [], []
+    for flow in range(4):
+        tasks += [(flow, t) for t in range(40)]
+        needs += [(flow, t, n) for t in range(40) for n in rng.sample(range(40), rng.randrange(3)) if (n < t or flow == 3) and n != t]
+    needs += [(0, 39, 777)]
+    want = {}
+    for flow in range(4):
+        wants, done = {t: {n for f, x, n in needs if f == flow and x == t} for t in range(40)}, []
+        while (found := next((t for t in range(40) if t not in done and wants[t] <= set(done)), None)) is not None:
+            done.append(found)
+        want |= {(flow, t): done.index(t) if t in done else None for t in range(40)}
+    got = results.ready_order(spark.createDataFrame(tasks, "flow int, task long"), spark.createDataFrame(needs, "flow int, task long, need long"), ["flow"], "task")
+    assert {(r.flow, r.task): r.position for r in got.collect()} == want
+
+
+def test_deep_chains_and_cycles(spark):
+    links = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)] + [(1000, 1001), (1001, 1000), (2000, 1999), (2001, 2000)], "a int, b int")
+    got = {r.a: (r.position, r.status) for r in graph.positions(links, [], "a", "b").collect()}
+    assert all(got[i] == (i, "ordered") for i in range(300)) and got[1000] == (None, "cycle") and got[2001] == (None, "gap")
+    edges = spark.createDataFrame([(i + 1, i) for i in range(140)], "c int, p int")
+    counts = {(r.ancestor, r.depth): r.n_descendants for r in graph.descendants(edges, "c", "p").where("ancestor = 0").collect()}
+    assert counts == {(0, d): 1 for d in range(1, 141)}
+    with pytest.raises(ValueError, match="cycle"):
+        graph.descendants(links, "a", "b")
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("aaaa.a", "ﬁ ｘ"), (None, None)], "a string, b string")
     got = df.select(T.occurrences(F.col("a"), F.lit("aa")), T.occurrences(F.col("a"), F.lit(".")), T.nfkc("b"), T.grapheme_starts(F.lit("éx")), T.width(F.lit("aé"))).collect()
