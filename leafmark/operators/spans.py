@@ -25,17 +25,84 @@ def conflicts(a_start: Column, a_end: Column, b_start: Column, b_end: Column, or
     return ((a_start < b_end) & (b_start < a_end)) | (insertion & (a_start <= b_end) & (b_start <= a_end) & ~ordered)
 
 
-def points_in(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, how: str = "inner") -> DataFrame:
-    """Points with the spans of their key that contain them, half open."""
-    return points.join(spans, [*(points[k] == spans[k] for k in keys), (spans[start] <= points[at]) & (points[at] < spans[end])], how)
+def _cells(low: Column, high: Column, cell: float) -> Column:
+    """The grid cells that a closed interval touches."""
+    return F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))
+
+
+def conflict_pairs(df: DataFrame, keys: list[str], ident: str, low: str, high: str, ordered: str, cell: float) -> DataFrame:
+    """Pairs (keys, a, b, a_ordered, b_ordered), a < b, of replacements of one key that conflict, met in the first grid cell that both touch."""
+    side = lambda p: df.select(*keys, *[F.col(c).alias(p + n) for c, n in ((ident, "id"), (low, "lo"), (high, "hi"), (ordered, "o"))], F.explode(_cells(F.col(low), F.col(high), cell)).alias("_cell"))
+    pairs = side("a_").join(side("b_"), [*keys, "_cell"])
+    meet = conflicts(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"), F.col("a_o") & F.col("b_o"))
+    first = F.floor(F.greatest("a_lo", "b_lo") / cell).cast("long") == F.col("_cell")
+    return pairs.where((F.col("a_id") < F.col("b_id")) & first & meet).select(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.col("a_o").alias("a_ordered"), F.col("b_o").alias("b_ordered"))
+
+
+def points_in(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, cell: float = 256) -> DataFrame:
+    """Points with the spans of their key that contain them, half open; they meet in grid cells, so a key with many rows is dealt out."""
+    own = points.withColumn("_cell", F.floor(F.col(at) / cell).cast("long"))
+    there = spans.where(F.col(start) < F.col(end)).withColumn("_cell", F.explode(_cells(F.col(start), F.col(end), cell)))
+    return own.join(there, [*keys, "_cell"]).where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_cell")
+
+
+def _along(rows: list[DataFrame], keys: list[str], order: list) -> tuple[DataFrame, object]:
+    """Tables as one, and the window over it in order."""
+    both = rows[0]
+    for more in rows[1:]:
+        both = both.unionByName(more, allowMissingColumns=True)
+    return both, Window.partitionBy(*keys).orderBy(*order)
+
+
+def free_of(rows: DataFrame, others: DataFrame, keys: list[str], low: str, high: str) -> DataFrame:
+    """The rows (intervals) that none of the others of their key overlaps strictly.
+
+    In the order of starts, the farthest end of the others that begin before a
+    row's end tells it; there are no pairs.
+    """
+    names = rows.columns
+    probes = rows.select("*", F.col(high).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("double").alias("_end"))
+    marks = others.select(*keys, F.col(low).alias("_at"), F.lit(1).alias("_kind"), F.col(high).cast("double").alias("_end"))
+    both, w = _along([probes, marks], keys, ["_at", "_kind"])
+    reached = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn("_end", reached).where((F.col("_kind") == 0) & (F.col("_end").isNull() | (F.col("_end") <= F.col(low)))).select(*names)
+
+
+def clearance(a: DataFrame, b: DataFrame, keys: list[str], low: str, high: str, cell: float) -> DataFrame:
+    """(keys, n_pairs, clearance, n_touching) of all pairs of a's and b's intervals of a key.
+
+    clearance is the least gap, negative where pairs overlap.  Pairs that touch
+    meet in grid cells; the gaps of all others are found along the sorted ends,
+    and their number is a product of counts.
+    """
+    n = a.groupBy(*keys).agg(F.count("*").alias("_a")).join(b.groupBy(*keys).agg(F.count("*").alias("_b")), keys)
+    side = lambda d, p: d.select(*keys, F.col(low).alias(p + "lo"), F.col(high).alias(p + "hi"), F.explode(_cells(F.col(low), F.col(high), cell)).alias("_cell"))
+    gap = F.greatest(F.col("b_lo") - F.col("a_hi"), F.col("a_lo") - F.col("b_hi"))
+    first = F.floor(F.greatest("a_lo", "b_lo") / cell).cast("long") == F.col("_cell")
+    met = side(a, "a_").join(side(b, "b_"), [*keys, "_cell"]).where(first & (gap <= 0)).groupBy(*keys).agg(F.count("*").alias("n_touching"), F.min(gap).alias("_gap"))
+    ends = lambda d, k: d.select(*keys, F.col(high).alias("_at"), F.lit(0).alias("_kind"), F.lit(k).alias("_side"))
+    starts = lambda d, k: d.select(*keys, F.col(low).alias("_at"), F.lit(1).alias("_kind"), F.lit(k).alias("_side"))
+    both, w = _along([ends(a, 0), starts(a, 0), ends(b, 1), starts(b, 1)], keys, ["_at", "_kind"])
+    before = lambda k: F.max(F.when((F.col("_kind") == 0) & (F.col("_side") == k), F.col("_at"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.when(F.col("_side") == 0, before(1)).otherwise(before(0))
+    apart = both.withColumn("_last", last).where("_kind = 1").groupBy(*keys).agg(F.min(F.col("_at") - F.col("_last")).alias("_apart"))
+    return n.join(met, keys, "left").join(apart, keys, "left").select(*keys, (F.col("_a") * F.col("_b")).alias("n_pairs"), F.least("_gap", "_apart").alias("clearance"), F.coalesce("n_touching", F.lit(0)).alias("n_touching"))
 
 
 def map_offsets(points: DataFrame, edits: DataFrame, key: str) -> DataFrame:
-    """(key, at, mapped): offsets after disjoint edits (key, start, end, length); null for offsets that an edit consumed."""
-    joined = points.join(edits.withColumnRenamed(key, "_key"), (points[key] == F.col("_key")) & (F.col("start") <= points["at"]), "left")
-    delta = F.sum(F.when(F.col("end") <= F.col("at"), F.col("length") - (F.col("end") - F.col("start"))).otherwise(0))
-    consumed = F.count_if((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
-    return joined.groupBy(key, "at").agg(F.when(consumed == 0, F.col("at") + F.coalesce(delta, F.lit(0))).alias("mapped"))
+    """(key, at, mapped): offsets after disjoint edits (key, start, end, length); null for offsets that an edit consumed.
+
+    Along a text, what edits that ended before add and how many are open are
+    running sums; nothing is paired.
+    """
+    grows = F.col("length") - (F.col("end") - F.col("start"))
+    ends = edits.select(key, F.col("end").alias("_at"), F.lit(0).alias("_kind"), grows.cast("long").alias("_grows"), F.lit(-1).alias("_open"))
+    starts = edits.select(key, F.col("start").alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_grows"), F.lit(1).alias("_open"))
+    asked = points.select(key, F.col("at").alias("_at")).distinct().withColumns({"_kind": F.lit(1), "_grows": F.lit(0).cast("long"), "_open": F.lit(0)})
+    both, w = _along([ends, starts, asked], [key], ["_at", "_kind"])
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_sum", F.sum("_grows").over(so_far)).withColumn("_in", F.sum("_open").over(so_far)).where("_kind = 1")
+    return found.select(key, F.col("_at").alias("at"), F.when(F.col("_in") == 0, F.col("_at") + F.col("_sum")).alias("mapped"))
 
 
 def apply_edits(texts: DataFrame, edits: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmark.functions.text import separator, width
+from leafmark.functions.text import NARROW, separator, width
 from leafmark.operators import aggregates, islands, sequential
-from leafmark.sources.tables import glyphs, table, text_lines
+from leafmark.sources.tables import LEFT, table, text_lines
 
 _LINES = """lines AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 measured AS (SELECT *, 12 * length(line) - 6 * length(regexp_replace(line, '[^\\x00-\\x7F]', '', 'g')) AS line_width FROM lines)"""
@@ -52,9 +52,9 @@ SELECT d.doc_id, count(ch) FILTER (ch <> '') AS n_glyphs, count(ch) FILTER (ch <
 
 
 def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The box of the characters of each line."""
-    g = glyphs(table(spark, sf_dir, "documents"))
-    return g.groupBy("doc_id", "line_no").agg(F.min("x0").cast("long").alias("x0"), F.max("x1").cast("long").alias("x1"), F.count("*").alias("n_glyphs"))
+    """The box of the characters of each line: their advances follow each other, so it is the line's width."""
+    lines = text_lines(table(spark, sf_dir, "documents")).where("line <> ''")
+    return lines.select("doc_id", "line_no", F.lit(LEFT).cast("long").alias("x0"), (F.col("line_width") + LEFT).cast("long").alias("x1"), F.char_length("line").cast("long").alias("n_glyphs"))
 
 
 BOUNDING_BOXES = rf"""WITH {_LINES}, {_GLYPHS}
@@ -62,14 +62,13 @@ SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(min(x1 - advance) AS BIGINT
 
 
 def inferred_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the blanks of a line taken as gaps: gaps wide enough between word characters become synthetic spaces."""
-    g = glyphs(table(spark, sf_dir, "documents")).where("ch <> ' '")
-    w = Window.partitionBy("doc_id", "line_no").orderBy("ord")
-    gap = F.col("x0") - F.lag("x1").over(w)
-    word = r"^[\p{L}\p{N}]$"
-    joins = F.col("ch").rlike(word) & F.lag("ch").over(w).rlike(r"^[\p{L}\p{N},;:!?.)\]}]$")
-    found = g.select("doc_id", "line_no", gap.alias("gap"), joins.alias("joins")).where("gap > 2.4 and joins")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n_spaces"), F.sum("gap").alias("total_gap"), F.max("gap").cast("long").alias("widest_gap"))
+    """With the blanks of a line taken as gaps: gaps wide enough between word characters become synthetic spaces.
+
+    A gap is a run of blanks within the text, so no character becomes a row.
+    """
+    gaps = F.transform(F.regexp_extract_all("text", F.lit(r"(?<=[\p{L}\p{N},;:!?.)\]}]) +(?=[\p{L}\p{N}])"), F.lit(0)), lambda x: F.char_length(x) * NARROW)
+    found = table(spark, sf_dir, "documents").select("doc_id", F.filter(gaps, lambda g: g > 2.4).alias("gaps")).where(F.size("gaps") > 0)
+    return found.select("doc_id", F.size("gaps").cast("long").alias("n_spaces"), F.aggregate("gaps", F.lit(0).cast("long"), lambda a, g: a + g).alias("total_gap"), F.array_max("gaps").cast("long").alias("widest_gap"))
 
 
 INFERRED_SPACES = rf"""WITH {_LINES}, {_GLYPHS},

@@ -31,9 +31,7 @@ RECT_OVERLAP_PAIRS = f"WITH {_EVENTS} SELECT a.user_id, count(*) AS n_pairs, min
 def no_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks that no error of the same user overlaps."""
     e = _spans(spark, sf_dir)
-    clicks, errors = e.where("event_type = 'click'"), e.where("event_type = 'error'").selectExpr("user_id u", "lo elo", "hi ehi")
-    free = clicks.join(errors, (F.col("user_id") == F.col("u")) & (F.col("lo") < F.col("ehi")) & (F.col("elo") < F.col("hi")), "left_anti")
-    return free.select("event_id", "user_id", "lo", "hi")
+    return spans.free_of(e.where("event_type = 'click'").select("event_id", "user_id", "lo", "hi"), e.where("event_type = 'error'"), ["user_id"], "lo", "hi")
 
 
 NO_COLLISION = f"WITH {_EVENTS} SELECT event_id, user_id, lo, hi FROM e WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM e x WHERE x.event_type = 'error' AND x.user_id = e.user_id AND e.lo < x.hi AND x.lo < e.hi)"
@@ -42,9 +40,7 @@ NO_COLLISION = f"WITH {_EVENTS} SELECT event_id, user_id, lo, hi FROM e WHERE ev
 def clearance_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By user: the least gap between a click and an error, how many pairs aren't separated, and the number of pairs."""
     e = _spans(spark, sf_dir)
-    clicks, errors = e.where("event_type = 'click'"), e.where("event_type = 'error'").selectExpr("user_id", "lo elo", "hi ehi")
-    gap = F.greatest(F.col("elo") - F.col("hi"), F.col("lo") - F.col("ehi"))
-    return clicks.join(errors, "user_id").groupBy("user_id").agg(F.count("*").alias("n_pairs"), F.min(gap).alias("clearance"), F.count_if(gap <= 0).alias("n_touching"))
+    return spans.clearance(e.where("event_type = 'click'"), e.where("event_type = 'error'"), ["user_id"], "lo", "hi", 256)
 
 
 CLEARANCE_MIN = f"WITH {_EVENTS} SELECT a.user_id, count(*) AS n_pairs, min(greatest(b.lo - a.hi, a.lo - b.hi)) AS clearance, count(*) FILTER (greatest(b.lo - a.hi, a.lo - b.hi) <= 0) AS n_touching FROM e a JOIN e b ON a.user_id = b.user_id WHERE a.event_type = 'click' AND b.event_type = 'error' GROUP BY a.user_id"
@@ -75,8 +71,7 @@ ONE_TO_ONE_MAP = "WITH l AS (SELECT l_orderkey, min(l_partkey) AS part, min(l_li
 def nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each error the nearest view of its user, within ten minutes of the day; ties to the smaller id."""
     e = _spans(spark, sf_dir)
-    left, right = e.where("event_type = 'error'").selectExpr("user_id", "event_id", "lo"), e.where("event_type = 'view'").selectExpr("user_id", "event_id view_id", "lo vlo")
-    return matching.nearest(left, right, ["user_id"], "event_id", F.abs(F.col("lo") - F.col("vlo")), "view_id", 600)
+    return matching.nearest_along(e.where("event_type = 'error'"), e.where("event_type = 'view'").withColumnRenamed("event_id", "view_id"), ["user_id"], "event_id", "lo", "view_id", "lo", 600)
 
 
 NEAREST_LINE = f"""WITH {_EVENTS}, p AS (SELECT a.user_id, a.event_id, b.event_id AS view_id, abs(a.lo - b.lo) AS distance FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'view' AND abs(a.lo - b.lo) <= 600)
@@ -86,9 +81,7 @@ SELECT user_id, event_id, view_id, distance FROM (SELECT *, row_number() OVER (P
 def next_right_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each purchase the next event of its user that begins after it ends, by start and id."""
     e = _spans(spark, sf_dir)
-    left, right = e.where("event_type = 'purchase'").selectExpr("user_id", "event_id", "hi"), e.selectExpr("user_id", "event_id next_id", "lo nlo")
-    pairs = left.join(right, "user_id").where("nlo >= hi")
-    return pairs.groupBy("user_id", "event_id").agg(F.min(F.struct("nlo", "next_id")).alias("n")).select("user_id", "event_id", F.col("n.next_id").alias("next_id"), F.col("n.nlo").alias("next_lo"))
+    return matching.next_along(e.where("event_type = 'purchase'"), e.selectExpr("user_id", "event_id next_id", "lo next_lo"), ["user_id"], "event_id", "hi", "next_id", "next_lo")
 
 
 NEXT_RIGHT_NEIGHBOUR = f"""WITH {_EVENTS}, p AS (SELECT a.user_id, a.event_id, b.event_id AS next_id, b.lo AS next_lo, row_number() OVER (PARTITION BY a.event_id ORDER BY b.lo, b.event_id) AS rn FROM e a JOIN e b ON a.user_id = b.user_id AND b.lo >= a.hi WHERE a.event_type = 'purchase')
@@ -139,9 +132,8 @@ FROM pt p LEFT JOIN ed e ON p.conv_id = e.conv_id AND e.start <= p.at GROUP BY p
 def mutation_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a user's replacements that conflict; errors are insertions, and two of them are an ordered pair."""
     e = _spans(spark, sf_dir).select("event_id", "user_id", "lo", F.when(F.col("event_type") == "error", F.col("lo")).otherwise(F.col("hi")).alias("end"), (F.col("event_type") == "error").alias("o"))
-    a, b = e.toDF("a_id", "user_id", "a_lo", "a_end", "a_o"), e.toDF("b_id", "user_id", "b_lo", "b_end", "b_o")
-    pairs = a.join(b, "user_id").where(F.col("a_id") < F.col("b_id")).where(spans.conflicts(F.col("a_lo"), F.col("a_end"), F.col("b_lo"), F.col("b_end"), F.col("a_o") & F.col("b_o")))
-    return pairs.groupBy("user_id").agg(F.count("*").alias("n_conflicts"), F.count_if(F.col("a_o") | F.col("b_o")).alias("n_with_insertion"))
+    pairs = spans.conflict_pairs(e, ["user_id"], "event_id", "lo", "end", "o", 256)
+    return pairs.groupBy("user_id").agg(F.count("*").alias("n_conflicts"), F.count_if(F.col("a_ordered") | F.col("b_ordered")).alias("n_with_insertion"))
 
 
 MUTATION_CONFLICTS = f"""WITH {_EVENTS}, m AS (SELECT event_id, user_id, lo, CASE WHEN event_type = 'error' THEN lo ELSE hi END AS en, event_type = 'error' AS o FROM e)
@@ -224,10 +216,7 @@ SELECT user_id, arg_min(event_id, pos) AS head, count(*) - 1 AS n FROM i GROUP B
 def fallback_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents matched to the smallest other id of equal source, language and size; those without, of a near size."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    o = d.toDF("other", "lang", "source", "m_chars")
-    exact = d.join(o.withColumnRenamed("m_chars", "n_chars"), ["lang", "source", "n_chars"]).where("doc_id <> other").groupBy("doc_id").agg(F.min("other").alias("other"))
-    near = d.withColumn("band", F.floor(F.col("n_chars") / 50)).join(o.withColumn("band", F.floor(F.col("m_chars") / 50)), ["lang", "source", "band"]).where("doc_id <> other")
-    near = near.groupBy("doc_id").agg(F.min(F.struct(F.abs(F.col("n_chars") - F.col("m_chars")).alias("d"), "other")).alias("m")).select("doc_id", F.col("m.other").alias("other"))
+    exact, near = matching.neighbours_in_size(d, "doc_id", ["lang", "source"], "n_chars", 50)
     return matching.with_fallback(exact, d, near, "doc_id")
 
 
@@ -260,9 +249,7 @@ SELECT l_quantity, l_returnflag, l_linestatus, l_linenumber, side, count(*) AS n
 
 def tolerant_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views and clicks of a user matched by value within 0.5, each once and in order: what is left over."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    t = table(spark, sf_dir, "events").select("event_id", "event_type")
-    e = e.join(t, "event_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value", "event_type")
     return matching.tolerant_residue(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id", "value", "event_id", 0.5)
 
 
