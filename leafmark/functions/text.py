@@ -15,15 +15,15 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 NARROW, WIDE = 6, 12
 
 
+#: Marks after which a word on the next line is parted by a space.  Fixed values.
+CLOSING = ",;:!?.)]}\"'”’"
+
+
 def width(text: Column) -> Column:
     """The sum of the advances."""
     return F.lit(WIDE) * F.char_length(text) - F.lit(WIDE - NARROW) * F.char_length(F.regexp_replace(text, r"[^\x00-\x7F]+", ""))
 
 
-def normal_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
-
-
 def occurrences(text: Column, needle: Column) -> Column:
     """How often the needle begins in the text; occurrences may overlap.  An empty needle: null."""
     quoted = F.regexp_replace(needle, r"([^\p{L}\p{N}\s])", r"\\$1")
@@ -39,7 +39,7 @@ def separator(left: Column, right: Column) -> Column:
     """What joins two lines that a soft wrap parts: a space between words, nothing between others."""
     last, first = F.right(left, F.lit(1)), F.left(right, F.lit(1))
     word = r"^[\p{IsLatin}\p{N}]$"
-    closing = F.array(*[F.lit(c) for c in ",;:!?.)]}\"'”’"])
+    closing = F.array(*[F.lit(c) for c in CLOSING])
     return F.when((left == "") | (right == ""), F.lit("")).when(last.rlike(r"^\s$") | first.rlike(r"^\s$"), F.lit(" ")).when(
         first.rlike(word) & (last.rlike(word) | F.array_contains(closing, last)), F.lit(" ")
     ).otherwise(F.lit(""))
@@ -53,10 +53,6 @@ def first_match(text: Column, phrases: list[tuple[str, str]], default: str = "ot
     return out.otherwise(F.lit(default))
 
 
-def nested_key(parts: list[Column]) -> Column:
-    return F.concat_ws("\u001f", *parts)
-
-
 # -- Python -----------------------------------------------------------------
 
 

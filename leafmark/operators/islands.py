@@ -62,11 +62,6 @@ def prefix_suffix(df: DataFrame, keys: list[str], order: list[str], flag: Column
     return out.withColumn("n_suffix", F.sum(n).over(Window.partitionBy(*keys)) - F.col("n_prefix"))
 
 
-def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
-    """Stable numbers from 1 after an explicit order."""
-    return df.withColumn(name, F.row_number().over(_ordered(keys, order)))
-
-
 def numbered_lists(df: DataFrame, keys: list[str], order: list[str], text: str = "line") -> DataFrame:
     """Runs of lines whose leading numbers rise by one: keys, first_number, n_items, for runs of two or more."""
     number = F.regexp_extract(text, r"^\s*(\d{1,6})[.)]\s", 1)

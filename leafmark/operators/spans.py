@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmark.functions.geometry import Rect
+from leafmark.storage import stage
+
 
 def overlap_pairs(df: DataFrame, keys: list[str], ident: str, low: str, high: str, cell: float) -> DataFrame:
     """Pairs (a, b), a < b, of intervals of one key that overlap strictly.
@@ -89,6 +92,36 @@ def clearance(a: DataFrame, b: DataFrame, keys: list[str], low: str, high: str,
     return n.join(met, keys, "left").join(apart, keys, "left").select(*keys, (F.col("_a") * F.col("_b")).alias("n_pairs"), F.least("_gap", "_apart").alias("clearance"), F.coalesce("n_touching", F.lit(0)).alias("n_touching"))
 
 
+def rectangle_cover(a: DataFrame, b: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """(keys, n_meet, n_inside, area, least_gap) of all pairs of a's and b's rectangles (x0, y0, x1, y1) of a key.
+
+    Pairs meet in grid cells along x.  Those that touch are counted; where a
+    key has none, rectangles are widened, twice as far each turn, until some
+    meet: their least gap is the least of all.
+    """
+    both = a.select(*keys).distinct().join(b.select(*keys).distinct(), keys)
+    names = ("x0", "y0", "x1", "y1")
+    left, right = Rect.of("a_"), Rect.of("b_")
+
+    def pairs(of: DataFrame, reach: float) -> DataFrame:
+        width = cell + 2 * reach
+        side = lambda d, p, r: d.join(of, keys, "left_semi").select(*keys, *[F.col(c).alias(p + c) for c in names], F.explode(_cells(F.col("x0") - r, F.col("x1") + r, width)).alias("_cell"))
+        met = side(a, "a_", reach).join(side(b, "b_", 0.0), [*keys, "_cell"])
+        first = F.floor(F.greatest(F.col("a_x0") - reach, F.col("b_x0")) / width).cast("long") == F.col("_cell")
+        return met.withColumn("_gap", left.gap(right)).where(first & (F.col("_gap") <= reach))
+
+    touching = pairs(both, 0.0).groupBy(*keys).agg(
+        F.count_if(left.intersects(right)).alias("n_meet"), F.count_if(left.contains(right)).alias("n_inside"), F.sum(left.overlap(right)).alias("area"), F.min("_gap").alias("least_gap")
+    )
+    touching = stage(touching, "touching")
+    rest, out, reach = stage(both.join(touching, keys, "left_anti"), "rest"), touching, cell
+    while not rest.isEmpty():
+        near = stage(pairs(rest, reach).groupBy(*keys).agg(F.min("_gap").alias("least_gap")), "near")
+        out = out.unionByName(near.select(*keys, F.lit(0).cast("long").alias("n_meet"), F.lit(0).cast("long").alias("n_inside"), F.lit(0.0).alias("area"), "least_gap"))
+        rest, reach = stage(rest.join(near, keys, "left_anti"), "rest"), reach * 2
+    return out
+
+
 def map_offsets(points: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     """(key, at, mapped): offsets after disjoint edits (key, start, end, length); null for offsets that an edit consumed.
 

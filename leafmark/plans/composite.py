@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions import verdicts as V
-from leafmark.functions.geometry import Rect
-from leafmark.operators import aggregates, composites, matching
+from leafmark.operators import aggregates, composites, matching, spans
 from leafmark.sources.tables import table
 from leafmark.storage import stage
 
@@ -153,10 +152,7 @@ def area_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles of views and clicks of a user: the area that each pair covers, and how far the rest are apart."""
     e = table(spark, sf_dir, "events").selectExpr("user_id", "event_id", "event_type", "cast(event_id % 300 as double) x0", "cast(event_id % 17 as double) y0")
     e = e.selectExpr("*", "x0 + event_id % 40 x1", "y0 + event_id % 11 y1")
-    a = e.where("event_type = 'error'").selectExpr("user_id", "event_id", "x0 ax0", "y0 ay0", "x1 ax1", "y1 ay1")
-    b = e.where("event_type = 'signup'").selectExpr("user_id", "x0 bx0", "y0 by0", "x1 bx1", "y1 by1")
-    left, right = Rect.of("a"), Rect.of("b")
-    return a.join(b, "user_id").groupBy("user_id").agg(F.count_if(left.intersects(right)).alias("n_meet"), F.count_if(left.contains(right)).alias("n_inside"), F.sum(left.overlap(right)).alias("area"), F.min(left.gap(right)).alias("least_gap"))
+    return spans.rectangle_cover(e.where("event_type = 'error'"), e.where("event_type = 'signup'"), ["user_id"], 32.0)
 
 
 AREA_COVER = """WITH e AS (SELECT user_id, event_type, event_id % 300 AS x0, event_id % 17 AS y0, event_id % 300 + event_id % 40 AS x1, event_id % 17 + event_id % 11 AS y1 FROM events)

@@ -139,6 +139,22 @@ def reject_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 REJECT_CATEGORY = "SELECT CASE " + " ".join(f"WHEN contains(text, '{p}') THEN '{c}'" for p, c in TEXT_PHRASES) + " ELSE 'other' END AS category, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY 1"
 
 
+_MESSAGE = "'Refused: ' || pick(ps, CAST(event_id * 7 % 20 AS INT) + 1) || '; ' || pick(ps, CAST(user_id % 20 AS INT) + 1)"
+_PIECES = [p + " here" for p, _ in REJECT_PHRASES] + ["nothing known", "MATCHING"]
+
+
+def refusal_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as refusal messages, by the category of the first phrase, in the fixed order, that each contains."""
+    e = table(spark, sf_dir, "events").withColumn("ps", F.array(*[F.lit(p) for p in _PIECES])).selectExpr("user_id", _MESSAGE.replace("pick", "element_at") + " AS message")
+    return e.groupBy(T.first_match(F.col("message"), REJECT_PHRASES).alias("category")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))
+
+
+REFUSAL_CATEGORIES = (
+    f"WITH m AS (SELECT user_id, {_MESSAGE.replace('pick', 'list_extract')} AS message FROM (SELECT *, [" + ", ".join(f"'{p}'" for p in _PIECES) + "] AS ps FROM events)) SELECT CASE "
+    + " ".join(f"WHEN strpos(message, '{p}') > 0 THEN '{c}'" for p, c in REJECT_PHRASES) + " ELSE 'other' END AS category, count(*) AS n, count(DISTINCT user_id) AS n_users FROM m GROUP BY 1"
+)
+
+
 #: Globs of addresses, what they concern directly and what else is related.
 IMPACT_RULES = [("*/en/*", "english", "prose"), ("*/de/*", "german", "prose"), ("*example.org*", "charity", "hosts"), ("*casino*", "betting", "hosts"), ("*?page=*", "paging", "queries")]
 
@@ -203,6 +219,6 @@ def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(T.nfkc("text"), 256).alias("nfkc_sha256"), (F.size(T.grapheme_starts("text")) - 1).cast("long").alias("n_graphemes"))
 
 
-_F = (revision_diff, outcome_summary, record_upsert, tri_state_verdict, weighted_mode, consensus_and_spread, boundary_groups, refusal_histogram, reject_category, impact_rules, content_digest, corpus_profile, sequence_align, nfkc_normalize)
+_F = (revision_diff, outcome_summary, record_upsert, tri_state_verdict, weighted_mode, consensus_and_spread, boundary_groups, refusal_histogram, reject_category, refusal_categories, impact_rules, content_digest, corpus_profile, sequence_align, nfkc_normalize)
 QUERIES = {f.__name__: f for f in _F}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _F if isinstance(globals().get(f.__name__.upper()), str)} | {"impact_rules": IMPACT_RULES_SQL}

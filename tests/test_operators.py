@@ -8,7 +8,7 @@ from leafmark.functions import text as T
 from leafmark.functions import verdicts as V
 from leafmark.functions.geometry import Rect, rgb, union_of
 from leafmark.operators import aggregates, graph, islands, matching, records, sequential, spans
-from leafmark.sources import sinks
+from leafmark.sources import sinks, tables
 
 
 def rows(df):
@@ -25,7 +25,7 @@ def test_rectangles_are_strict_or_closed(spark):
 
 def test_colours(spark):
     df = spark.createDataFrame([([0.5],), ([0.1, 0.2, 0.3],), ([0.0, 1.0, 0.0, 0.5],), ([1.0, 1.0],)], "c array<double>")
-    assert [r[0] for r in df.select(rgb(F.col("c"))).collect()] == [[0.5] * 3, [0.1, 0.2, 0.3], [0.5, 0.0, 0.5], None]
+    assert [r[0] for r in df.select(rgb(F.col("c"))).collect()] == [[0.5] * 3, [0.1, 0.2, 0.3], [0.5, 0.0, 0.5], [1.0, 1.0]]
 
 
 @pytest.mark.parametrize(
@@ -233,6 +233,107 @@ def test_stream_keeps_the_baseline_current(spark, tmp_path):
     assert rows(spark.read.parquet(base).select("evaluation", "step", "v")) == [("a", 1, 5), ("b", 1, 0)]
 
 
+def test_stream_rows_of_one_run_in_several_batches(spark, tmp_path):
+    """The second batch of a run adds to the first; a later run replaces all; a replay changes nothing."""
+    from leafmark.streaming.records import maintain_baseline
+
+    schema = "evaluation string, step int, run int, v int"
+    base, source = str(tmp_path / "base"), str(tmp_path / "in")
+    spark.createDataFrame([("a", 1, 0, 0), ("b", 1, 0, 0)], schema).write.partitionBy("evaluation").parquet(base)
+    feed = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    go = lambda: maintain_baseline(spark.readStream.schema(schema).parquet(source), base, str(tmp_path / "state")).awaitTermination()
+    read = lambda: rows(spark.read.parquet(base).select("evaluation", "step", "run", "v"))
+    feed([("a", 2, 1, 5)])
+    go()
+    feed([("a", 3, 1, 6), ("a", 2, 1, 5)])
+    go()
+    assert read() == [("a", 2, 1, 5), ("a", 3, 1, 6), ("b", 1, 0, 0)]
+    feed([("a", 7, 2, 9)])
+    go()
+    assert read() == [("a", 7, 2, 9), ("b", 1, 0, 0)]
+
+
+def test_sources_of_records_and_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"step": 1, "v": "x"}, {"step": 2, "v": null}]')
+    assert rows(tables.json_records(spark, str(tmp_path / "a.json"), "step int, v string")) == [(1, "x"), (2, None)]
+    (tmp_path / "b.json").write_text('[{"step": "no number"}]')
+    with pytest.raises(Exception):
+        tables.json_records(spark, str(tmp_path / "b.json"), "step int, v string").collect()
+    for name in ("z/One.TTF", "a/two.otf", "a/three.txt"):
+        path = tmp_path / "fonts" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(name.encode())
+    found = tables.faces(spark, str(tmp_path / "fonts")).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in found] == ["two.otf", "One.TTF"] and found[0].length == 9
+
+
+def test_every_character_is_placed(spark):
+    docs = spark.createDataFrame([(1, "ab\n\n日 c")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in tables.glyphs(docs).select("line_no", "ord", "ch", "x0", "x1").collect())
+    assert got == [(0, 0, "a", 40, 46), (0, 1, "b", 46, 52), (2, 0, "日", 40, 52), (2, 1, " ", 52, 58), (2, 2, "c", 58, 64)]
+
+
+def test_sinks_write_tables_and_logs(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b"), (2, None)], "id int, t string")
+    sinks.write_csv(df, str(tmp_path / "csv"))
+    assert rows(spark.read.option("header", "true").schema("id int, t string").csv(str(tmp_path / "csv"))) == [(1, "a,b"), (2, None)]
+
+
+def test_changes_are_appended_and_baselines_are_new(spark, tmp_path):
+    log, base = str(tmp_path / "log"), str(tmp_path / "base")
+    for reason in ("first", "second"):
+        sinks.append_changes(spark.createDataFrame([(1, "x")], "id int, what string"), reason, log)
+    assert rows(spark.read.schema("id int, what string, reason string").json(log)) == [(1, "x", "first"), (1, "x", "second")]
+    old = spark.createDataFrame([("a", 1, 0), ("b", 1, 0)], "evaluation string, step int, v int")
+    sinks.save_baseline(old, spark.createDataFrame([("a", 2, 5)], old.schema), base)
+    assert rows(spark.read.parquet(base)) == [("a", 2, 5), ("b", 1, 0)]
+
+
+def test_colours_as_rgb(spark):
+    from leafmark.functions.geometry import rgb
+
+    cases = {(0.5,): [0.5] * 3, (0.5, 0.0, 0.0, 0.5): [0.0, 0.5, 0.5], (1.0, 0.25, 0.0, 0.0): [0.0, 0.75, 1.0], (0.1, 0.2, 0.3): [0.1, 0.2, 0.3], (0.1, 0.2): [0.1, 0.2], (0.1, 0.2, 0.3, 0.4, 0.5): [0.1, 0.2, 0.3]}
+    got = spark.createDataFrame([(list(k),) for k in cases], "c array<double>").select("c", rgb(F.col("c")).alias("r")).collect()
+    assert all(r.r == pytest.approx(cases[tuple(r.c)]) for r in got)
+
+
+def test_sorted_passes_against_all_pairs(spark):
+    rng = random.Random(9)
+    spans_ = [(k % 3, i, lo, lo + rng.randrange(0, 30), i % 4 == 0) for i, (k, lo) in enumerate((rng.randrange(9), rng.randrange(2000)) for _ in range(150))]
+    df = spark.createDataFrame(spans_, "k int, id int, lo long, hi long, o boolean")
+    a, b = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    pa, pb = [r for r in spans_ if r[1] % 2 == 0], [r for r in spans_ if r[1] % 2]
+    pairs = [(x, y) for x in pa for y in pb if x[0] == y[0]]
+    want = {x[1] for x in pa if not any(x[0] == y[0] and x[2] < y[3] and y[2] < x[3] for y in pb)}
+    assert {r.id for r in spans.free_of(a, b, ["k"], "lo", "hi").collect()} == want
+    gap = lambda x, y: max(y[2] - x[3], x[2] - y[3])
+    got = {r.k: (r.n_pairs, r.clearance, r.n_touching) for r in spans.clearance(a, b, ["k"], "lo", "hi", 16).collect()}
+    assert got == {k: (len(p), min(gap(*q) for q in p), sum(gap(*q) <= 0 for q in p)) for k in range(3) if (p := [q for q in pairs if q[0][0] == k])}
+    near = {(r.id, r.other, r.distance) for r in matching.nearest_along(a, b.withColumnRenamed("id", "other"), ["k"], "id", "lo", "other", "lo").collect()}
+    assert near == {(x[1], *min((y[1], abs(y[2] - x[2])) for y in pb if y[0] == x[0] and abs(y[2] - x[2]) == min(abs(z[2] - x[2]) for z in pb if z[0] == x[0]))) for x in pa if any(y[0] == x[0] for y in pb)}
+    rects = [(k, float(lo), float(i % 17), float(lo + i % 23), float(i % 17 + i % 5)) for k, i, lo, _, _ in spans_]
+    ra, rb = rects[::2][:20], rects[1::2][:15]
+    frame = lambda r: spark.createDataFrame(r, "k int, x0 double, y0 double, x1 double, y1 double")
+    least = {r.k: r.least_gap for r in spans.rectangle_cover(frame(ra), frame(rb), ["k"], 8.0).collect()}
+    away = lambda x, y: max(max(y[1] - x[3], x[1] - y[3]), max(y[2] - x[4], x[2] - y[4]))
+    assert least == {k: min(away(x, y) for x in ra for y in rb if x[0] == y[0] == k) for k in {x[0] for x in ra} & {y[0] for y in rb}}
+
+
+def test_tolerant_matches_against_a_plain_pool(spark):
+    rng = random.Random(4)
+    want, have = ([(k, i, round(rng.uniform(0, 6), 1)) for k in range(3) for i in range(40)] for _ in range(2))
+    out = []
+    for k in range(3):
+        pool = [(i, v) for x, i, v in have if x == k]
+        for _, i, v in (r for r in want if r[0] == k):
+            hit = next((p for p in pool if abs(v - p[1]) <= 0.5), None)
+            out += [(k, i, "missing")] if hit is None else []
+            pool = [p for p in pool if p != hit]
+        out += [(k, i, "extra") for i, _ in pool]
+    df = lambda r: spark.createDataFrame(r, "k int, o int, v double")
+    assert rows(matching.tolerant_residue(df(want), df(have), "k", "v", "o", 0.5)) == sorted(out)
+
+
 def test_alignment_is_that_of_difflib_on_characters(spark):
     import difflib
 
