@@ -8,30 +8,47 @@ from pyspark.sql import functions as F
 from leafmark.storage import stage
 
 
-def positions(links: DataFrame, keys: list[str], node: str, previous: str, piece: str | None = None) -> DataFrame:
-    """(keys, node, position, status[, path]): how many nodes are before each along its chain of previous nodes.
+def positions(links: DataFrame, keys: list[str], node: str, previous: str, piece: str | None = None, weight: str | None = None) -> DataFrame:
+    """(keys, node, position, status[, path][, total]): how many nodes are before each along its chain of previous nodes.
 
     A node with no previous one is first.  status: ordered; gap, where the
     chain leads to a node that isn't there; cycle, where it never ends.  Forks
     are allowed: several nodes may have one before them.  path: the pieces of
-    the nodes from the first to this, joined by slashes.  Pointers are doubled,
-    so the rounds grow with the logarithm of the longest chain.
+    the nodes from the first to this, joined by slashes; total: the sum of
+    their weights.  Pointers are doubled, so the rounds grow with the logarithm
+    of the longest chain.
     """
-    rows = links.select(*keys, F.col(node).alias("node"), F.col(previous).alias("_to"), (F.col(piece) if piece else F.lit(None)).cast("string").alias("path"))
+    own = (F.col(piece) if piece else F.lit(None)).cast("string").alias("path"), (F.col(weight) if weight else F.lit(0)).cast("double").alias("total")
+    rows = links.select(*keys, F.col(node).alias("node"), F.col(previous).alias("_to"), *own)
     there = rows.select(*keys, F.col("node").alias("_to"), F.lit(True).alias("_there"))
     state = F.when(F.col("_to").isNull(), F.lit("ordered")).when(F.col("_there").isNull(), F.lit("gap"))
-    jump = stage(rows.join(there, [*keys, "_to"], "left").select(*keys, "node", "_to", F.when(F.col("_to").isNull(), 0).otherwise(1).cast("long").alias("n"), state.alias("status"), "path"), "positions")
+    jump = stage(rows.join(there, [*keys, "_to"], "left").select(*keys, "node", "_to", F.when(F.col("_to").isNull(), 0).otherwise(1).cast("long").alias("n"), state.alias("status"), "path", "total"), "positions")
     longest, reach = rows.count(), 1
     while reach <= longest and not jump.where("status is null").isEmpty():
-        further = jump.select(*keys, F.col("node").alias("_to"), F.col("_to").alias("_next"), F.col("n").alias("_n"), F.col("status").alias("_status"), F.col("path").alias("_path"))
+        further = jump.select(*keys, F.col("node").alias("_to"), F.col("_to").alias("_next"), F.col("n").alias("_n"), F.col("status").alias("_status"), F.col("path").alias("_path"), F.col("total").alias("_total"))
         both = jump.join(further, [*keys, "_to"], "left")
         open_ = F.col("status").isNull()
-        jump = stage(both.select(*keys, "node", F.when(open_, F.col("_next")).otherwise(F.col("_to")).alias("_to"), F.when(open_, F.col("n") + F.col("_n")).otherwise(F.col("n")).alias("n"), F.when(open_, F.col("_status")).otherwise(F.col("status")).alias("status"), F.when(open_, F.concat_ws("/", "_path", "path")).otherwise(F.col("path")).alias("path")), "positions")
+        jump = stage(both.select(*keys, "node", F.when(open_, F.col("_next")).otherwise(F.col("_to")).alias("_to"), F.when(open_, F.col("n") + F.col("_n")).otherwise(F.col("n")).alias("n"), F.when(open_, F.col("_status")).otherwise(F.col("status")).alias("status"), F.when(open_, F.concat_ws("/", "_path", "path")).otherwise(F.col("path")).alias("path"), F.when(open_, F.col("_total") + F.col("total")).otherwise(F.col("total")).alias("total")), "positions")
         reach *= 2
     status = F.coalesce("status", F.lit("cycle"))
     ordered = status == "ordered"
-    found = jump.select(*keys, F.col("node").alias(node), F.when(ordered, F.col("n")).alias("position"), status.alias("status"), F.when(ordered, F.col("path")).alias("path"))
-    return found if piece else found.drop("path")
+    found = jump.select(*keys, F.col("node").alias(node), F.when(ordered, F.col("n")).alias("position"), status.alias("status"), F.when(ordered, F.col("path")).alias("path"), F.when(ordered, F.col("total")).alias("total"))
+    return found.drop(*[c for c, asked in (("path", piece), ("total", weight)) if not asked])
+
+
+def terminals(mapping: DataFrame, name: str, target: str) -> DataFrame:
+    """(name, mapped, status) of a map of names: where each leads in the end, however long the chain; null with status cycle if nowhere.
+
+    A target that the map doesn't name is the end.  Pointers are doubled.
+    """
+    step = stage(mapping.select(F.col(name).alias("name"), F.col(target).alias("to"), F.lit(False).alias("done")).distinct(), "names")
+    n, reach = step.count(), 1
+    while True:
+        ahead = step.select(F.col("name").alias("to"), F.col("to").alias("_next"), F.col("done").alias("_done"))
+        step = stage(step.join(ahead, "to", "left").select("name", F.when(F.col("done"), F.col("to")).otherwise(F.coalesce("_next", "to")).alias("to"), (F.col("done") | F.col("_next").isNull() | F.col("_done")).alias("done")), "names")
+        reach *= 2
+        if reach > 2 * n or step.where("not done").isEmpty():
+            return step.select("name", F.when(F.col("done"), F.col("to")).alias("mapped"), F.when(F.col("done"), "mapped").otherwise("cycle").alias("status"))
 
 
 def ancestors(edges: DataFrame, child: str, parent: str, limit: int | None = None) -> DataFrame:

@@ -63,7 +63,7 @@ def _in_runs(rows: DataFrame, keys: list[str], order: list[str], name: str, numb
 
     def work(batches):
         for run in _runs(batches, keys):
-            found = number(*[run[c].to_numpy() for c in columns])
+            found = number(*[run[c].cast("float64").to_numpy() for c in columns])
             yield from run.append_column(name, [found.astype(np.int32)]).to_batches()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, _kinds(rows, f", {name} int"))

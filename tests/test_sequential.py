@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import regex
 
-from leafmark.operators import detection
+from leafmark.operators import detection, elements
 from leafmark.operators import sequential as S
 
 
@@ -129,6 +129,27 @@ def test_columns_and_blocks_against_plain_loops(spark, seed):
     assert got == {(p, o): i for p in range(2) for o, i in plain_blocks([r[1:] for r in stacks if r[0] == p]).items()}
 
 
+def test_visual_lines_and_line_ranges_against_plain_loops(spark):
+    rng = random.Random(3)
+    rows = [(p, float(t := rng.randrange(200)), float(t + rng.choice([0, 5, 9, 14, 40])), k) for p in range(2) for k in range(60)]
+    want = {}
+    for page in range(2):
+        lines = []
+        for p, top, bottom, k in rows:
+            if p != page:
+                continue
+            at = next((i for i, (a, b) in enumerate(lines) if min(b, bottom) - max(a, top) > 0.5 * min(max(bottom - top, 0.1), max(b - a, 0.1))), len(lines))
+            if at == len(lines):
+                lines.append((top, bottom))
+            lines[at] = (min(lines[at][0], top), max(lines[at][1], bottom))
+            want[page, k] = at
+    got = elements.visual_lines(spark.createDataFrame(rows, "page int, top double, bottom double, ord int"), ["page"]).collect()
+    assert {(r.page, r.ord): r.line for r in got} == want
+    texts = [(1, "one two one", ["one ", "one", "two"]), (2, None, ["x"]), (3, "ab", ["", "b", None]), (4, "ab", None)]
+    got = sorted(tuple(r) for r in elements.line_ranges(spark.createDataFrame(texts, "id long, t string, l array<string>"), "id", "t", "l").collect())
+    assert got == [(1, 0, 0, 3), (1, 1, 8, 11), (1, 2, None, None), (2, 0, None, None), (3, 0, 0, 0), (3, 1, 1, 2), (3, 2, 2, 2)]
+
+
 def step(c):
     return 6 if ord(c) < 128 else 12
 
