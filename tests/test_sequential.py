@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import regex
 
-from leafmark.operators import detection, elements
+from leafmark.operators import detection, elements, orders
 from leafmark.operators import sequential as S
 
 
@@ -150,6 +150,28 @@ def test_visual_lines_and_line_ranges_against_plain_loops(spark):
     assert got == [(1, 0, 0, 3), (1, 1, 8, 11), (1, 2, None, None), (2, 0, None, None), (3, 0, 0, 0), (3, 1, 1, 2), (3, 2, 2, 2)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_offset_rows_against_a_plain_loop(spark, seed):
+    rng = random.Random(seed)
+    rows = [(float(20 * rng.randrange(3)) + rng.choice([0, 0.03, 0.8, 2, 5]), float(x := rng.randrange(0, 120, 10)), float(x + rng.choice([8, 10, 14])), rng.choice([8.0, 12.0]), rng.randrange(2), k) for k in range(80)]
+    lines, want = [], {}
+    for base, x0, x1, size, owner, k in rows:
+        def beside(m):
+            gap = max(x0 - m["x1"], m["x0"] - x1)  # noqa: B023
+            return 0.05 < abs(m["base"] - base) <= 0.35 * min(m["size"], size) and -0.05 * min(m["size"], size) <= gap <= 0.5 * max(m["size"], size) and m["owner"] == owner  # noqa: B023
+        mate = next((m for m in lines if beside(m)), None)
+        if mate is None:
+            mate = {"base": base, "x0": x0, "x1": x1, "size": size, "owner": owner, "wide": x1 - x0, "id": len(lines)}
+            lines.append(mate)
+        else:
+            if x1 - x0 > mate["wide"]:
+                mate.update(base=base, size=size)
+            mate.update(x0=min(mate["x0"], x0), x1=max(mate["x1"], x1), wide=mate["wide"] + x1 - x0)
+        want[k] = mate["id"]
+    df = spark.createDataFrame([(1, *r) for r in rows], "page int, baseline double, x0 double, x1 double, size double, owner int, ord int")
+    assert {r.ord: r.visual for r in orders.merge_offset_rows(df, ["page"]).collect()} == want
+
+
 def step(c):
     return 6 if ord(c) < 128 else 12
 
