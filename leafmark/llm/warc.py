@@ -32,7 +32,7 @@ LEAST_BYTES = 100
 #: Bytes of records in an archive, and of a piece of it, about.
 ARCHIVE_BYTES, PIECE_BYTES = 16 << 20, 1 << 20
 #: Bytes of archives that a partition holds, about.
-PARTITION_BYTES = 64 << 20
+PARTITION_BYTES = 16 << 20
 LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 #: Duplicated payloads (48 bytes each) that are broadcast at most; more are joined by a shuffle.
@@ -188,11 +188,11 @@ def _records(pieces: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def _in_order(archives: DataFrame, order: str) -> DataFrame:
-    """The rows of each archive one after the other in a partition; partitions are sized by bytes."""
+    """The rows of each archive one after the other in a partition; partitions are ranges of archives, sized by bytes."""
     column = "data" if order == "part" else "member"
     total = archives.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
     n = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
-    return archives.repartition(n, "archive").sortWithinPartitions("archive", order)
+    return archives.repartitionByRange(n, "archive").sortWithinPartitions("archive", order)
 
 
 def _members(batches) -> Iterator[tuple]:
