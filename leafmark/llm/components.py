@@ -9,16 +9,21 @@ from leafmark.llm.shared import Scratch
 
 #: A key with more than 1 / PARTS of all rows is hot; so there are fewer hot keys than PARTS.
 PARTS = 2048
+#: Rows of a table whose facts, which are no more, are broadcast.
+SMALL = 100_000
 
 
 def attach(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined to facts (one row a key; count: how many of the `total` rows have it), whose count falls away.
 
-    The facts of hot keys, of which there are fewer than PARTS whatever the
-    data, are broadcast, so their rows stay where they are; all others are
-    joined by a shuffle, in which no key of facts has more than 1 / PARTS of
+    At most SMALL facts, as the total says, are broadcast all.  Of more, the
+    facts of hot keys, of which there are fewer than PARTS whatever the data,
+    are broadcast, so their rows stay where they are; all others are joined by
+    a shuffle, in which no key of facts has more than 1 / PARTS of
     the rows.  how: inner, or left to keep rows without facts.
     """
+    if total <= SMALL:
+        return rows.join(F.broadcast(facts.drop(count)), keys, how)
     least = max(16, total // PARTS)
     hot, cold = facts.where(F.col(count) > least).drop(count), facts.where(F.col(count) <= least).drop(count)
     mine = rows.join(F.broadcast(hot), keys)

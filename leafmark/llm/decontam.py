@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.shared import stage
+from leafmark.llm.shared import lean, stage
 from leafmark.llm.words import ALNUM, Words, bounded, text_bytes
 
 WINDOW = 10
@@ -229,7 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BENCHMARK_BYTES))
-    docs = docs.drop(*_MADE, "_spans", "_items").withColumn("_spans", F.lit(None).cast("array<struct<lo:long,hi:long>>")).withColumn("_items", F.lit(None).cast("array<string>"))
+    docs = lean(docs).drop(*_MADE, "_spans", "_items").withColumn("_spans", F.lit(None).cast("array<struct<lo:long,hi:long>>")).withColumn("_items", F.lit(None).cast("array<string>"))
     for k in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
         docs = _search(docs, [(r.item, bytes(r.text)) for r in mine.collect()], window, k == blocks - 1)

@@ -28,6 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmark.llm.shared import lean
 from leafmark.llm.words import places
 
 ASK = "block long, chunk long, n int, keys binary, extra binary"
@@ -54,7 +55,7 @@ class Plan:
 def plan_chunks(docs: DataFrame, chunk_bytes: int | None = None, fanout: int | None = None) -> Plan:
     """Size the chunks by the bytes of all texts (one pass over the lengths)."""
     chunk_bytes, fanout = chunk_bytes or CHUNK_BYTES, fanout or FANOUT
-    total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    total = int(lean(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     chunks = max(1, math.ceil(total / chunk_bytes), min(32, math.ceil(total / (256 << 10))))
     levels = 1
     while fanout**levels < chunks:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from leafmark.llm import exchange as ex
 from leafmark.llm.components import attach, components
-from leafmark.llm.shared import Scratch, stage
+from leafmark.llm.shared import Scratch, lean, stage
 from leafmark.llm.words import LOWER, Words, bounded, inner_windows, mix, places, text_bytes, window_hashes
 
 WIDTH = 5
@@ -383,7 +383,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     rows that repeat a doc_id are all in the component of that id's texts.
     Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = lean(docs).select(F.col("doc_id").cast("long"), "text")
     with Scratch(docs.sparkSession) as scratch:
         sets = scratch.stage(shingle_sets(docs, width), "sets")
         n_docs = sets.count()

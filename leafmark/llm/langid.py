@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmark.llm.shared import lean
 from leafmark.llm.words import bounded, text_bytes
 
 #: Labelled texts a language that the n-grams are counted on, about; chosen by a hash of the id.
@@ -77,7 +78,7 @@ def train(labelled: DataFrame, texts: int = TRAIN_TEXTS) -> tuple[list[str], np.
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at].astype(np.int64))], ["lang", "cell", "n"])
 
-    rows = dict(labelled.groupBy("lang").count().collect())  # one row a language, as the model has
+    rows = dict(lean(labelled).groupBy("lang").count().collect())  # one row a language, as the model has
     langs = sorted(rows)
     if not langs:
         return [], np.zeros((0, 1 << BITS))
@@ -139,7 +140,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     langs, log_p = model
     bits = log_p.shape[1].bit_length() - 1
     made = ["lang_pred", "score", "languages"]
-    own = docs.drop(*made, "_letters")
+    own = lean(docs).drop(*made, "_letters")
     model_ = docs.sparkSession.sparkContext.broadcast(log_p.astype(np.float32))
 
     def predict(batches):

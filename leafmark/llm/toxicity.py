@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmark.llm.shared import lean
 from leafmark.llm.words import ALNUM, Words, bounded, text_bytes
 
 #: Labelled texts that are learned from, about, and their bytes, about; longer texts than LONGEST teach nothing.
@@ -136,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], texts: int
             raw = [s.tobytes() for s in _word_sets(text_bytes(b.column("text")))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(raw, pa.binary()), *[b.column(c) for c in categories]], ["doc_id", "words", *categories])
 
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(sample, "doc_id").select("doc_id", "text", *categories)
+    joined = lean(docs).select(F.col("doc_id").cast("long"), "text").join(sample, "doc_id").select("doc_id", "text", *categories)
     joined = joined.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
     size = joined.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > TRAIN_BYTES:
@@ -174,7 +175,7 @@ def predict(docs: DataFrame, links: list[Link], threshold: float = THRESHOLD) ->
     from pyspark.sql.types import BooleanType, DoubleType, StructType
 
     made = [f"p_{k.category}" for k in links] + [f"is_{k.category}" for k in links]
-    own = docs.drop(*made)
+    own = lean(docs).drop(*made)
     plain = [(k.category, k.words, k.weights, k.earlier, k.bias) for k in links]
     model = docs.sparkSession.sparkContext.broadcast(plain)
     schema = StructType([*own.schema.fields])

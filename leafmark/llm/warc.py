@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.llm.components import attach
-from leafmark.llm.shared import stage
+from leafmark.llm.shared import lean, stage
 from leafmark.llm.words import bounded
 
 #: Payloads of fewer bytes are never revisits.
@@ -54,7 +54,7 @@ def decide(pages: DataFrame) -> DataFrame:
     payload has one; rows that repeat the smallest id are responses all.
     """
     payload = F.coalesce(F.encode("html", "utf-8"), F.lit(b""))
-    sized = pages.select(F.col("page_id").cast("long"), "url", payload.alias("payload"))
+    sized = lean(pages).select(F.col("page_id").cast("long"), "url", payload.alias("payload"))
     sized = sized.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     keys = sized.where(F.col("payload_bytes") >= LEAST_BYTES).select("payload_digest", "page_id")
     firsts = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
@@ -190,7 +190,7 @@ def _records(pieces: Iterator[bytes]) -> Iterator[bytes]:
 def _in_order(archives: DataFrame, order: str) -> DataFrame:
     """The rows of each archive one after the other in a partition; partitions are ranges of archives, sized by bytes."""
     column = "data" if order == "part" else "member"
-    total = archives.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    total = lean(archives).agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
     n = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     return archives.repartitionByRange(n, "archive").sortWithinPartitions("archive", order)
 

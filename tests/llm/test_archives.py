@@ -12,7 +12,7 @@ from compare import same_rows
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leafmark.llm import decontam, queries, warc
+from leafmark.llm import components, decontam, queries, warc
 
 
 def alnum(text):
@@ -79,6 +79,7 @@ def pages(spark):
 @pytest.mark.parametrize("most", [500_000, 0])
 def test_warc_round_trip(spark, monkeypatch, most):
     monkeypatch.setattr(warc, "BROADCAST", most)
+    monkeypatch.setattr(components, "SMALL", most)
     got = warc.round_trip(pages(spark)).collect()
     first = {}
     for i, _, html in PAGES:

@@ -7,7 +7,7 @@ import fixtures as fx
 import pytest
 from pyspark.sql import functions as F
 
-from leafmark.llm import lines, mixing, quality
+from leafmark.llm import components, lines, mixing, quality
 
 
 def test_targets_stop_at_the_cap_and_share_the_rest(spark):
@@ -50,6 +50,7 @@ def test_sources_too_many_to_broadcast_are_joined_alike(spark, monkeypatch):
     docs = fx.docs(spark)
     want = sorted(map(str, mixing.plan(docs).select("doc_id", "copies", "target").collect()))
     monkeypatch.setattr(mixing, "BROADCAST", 0)
+    monkeypatch.setattr(components, "SMALL", 0)
     assert sorted(map(str, mixing.plan(docs).select("doc_id", "copies", "target").collect())) == want
 
 
@@ -99,6 +100,7 @@ def brute_lines(rows, ratio, least):
 @pytest.mark.parametrize("most", [500_000, 0])
 def test_line_dedup_against_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(lines, "BROADCAST", most)
+    monkeypatch.setattr(components, "SMALL", most)
     rng = random.Random(3)
     rows = [(i, rng.choice(["h1", "h1", "h1", "h2", None]), None if i % 17 == 0 else "\n".join(rng.choice(["menu", " menu ", "foot", "", "rare"]) if rng.random() < 0.4 else f"line{i}-{k}" for k in range(6))) for i in range(80)]
     df = spark.createDataFrame(rows, "id long, host string, text string").withColumn("_lines", F.lit(1)).withColumn("n_lines", F.lit("x"))
@@ -113,6 +115,7 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, most):
 def test_lines_of_a_hot_host_and_of_copies(spark, monkeypatch, once):
     """A host with most rows, lines in most of them, shuffle joins; copies count once where asked."""
     monkeypatch.setattr(lines, "BROADCAST", 0)
+    monkeypatch.setattr(components, "SMALL", 0)
     texts = [f"menu\n  foot\nown {i}\n\nmenu" for i in range(60)] + ["copy one\ncopy two"] * 30
     rows = [(i, "big", t) for i, t in enumerate(texts)]
     got = {r.id: r for r in lines.dedup(spark.createDataFrame(rows, "id long, host string, text string"), F.col("host"), F.split("text", "\n"), once=once).collect()}

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from leafmark.llm import exchange as ex
+from leafmark.llm import components as joins
 from leafmark.llm import jaccard, substrings
 from leafmark.llm.components import components
 from leafmark.llm.words import ALNUM, PLAIN, Words
@@ -82,6 +83,7 @@ def test_join_of_similar_texts_that_do_not_link(spark):
 @pytest.mark.parametrize("rounds", [1, 8])
 def test_join_leaves_what_rounds_of_pivots_miss_to_the_matrix(spark, monkeypatch, rounds):
     """Groups of a few tokens, tasks of a few classes and shuffle joins, so that every split is used."""
+    monkeypatch.setattr(joins, "SMALL", 0)
     for name, value in (("ROUNDS", rounds), ("GROUP", 120), ("QUERIES", 3), ("MEETINGS", 4), ("BROADCAST", 0)):
         monkeypatch.setattr(jaccard, name, value)
     rng, rows = random.Random(3), []
@@ -116,8 +118,10 @@ def test_join_finds_all_links_of_a_whole_table(spark):
     assert set(got) == want and len(got) == len(rows) and any(c != i for i, _, c in got)
 
 
-def test_components_of_a_star(spark):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_components_of_a_star(spark, monkeypatch, small):
     """A node of most edges is split off before the joins."""
+    monkeypatch.setattr(joins, "SMALL", small)
     edges = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(300 + i, i) for i in range(1, 300, 7)], "u long, v long")
     assert {r.root for r in components(edges).collect()} == {0}
 
