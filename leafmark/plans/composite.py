@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions import verdicts as V
-from leafmark.operators import aggregates, composites, matching, spans
+from leafmark.operators import aggregates, composites, spans
 from leafmark.sources.tables import table
 from leafmark.storage import stage
 
