@@ -240,11 +240,6 @@ def normalise(archives: DataFrame) -> DataFrame:
     return _in_order(archives, "part").mapInArrow(rewrite, MEMBERS)
 
 
-def index(normalised: DataFrame) -> DataFrame:
-    """The sidecar: where each record begins in its archive, and its length."""
-    return normalised.drop("member")
-
-
 def lay_out(archives: DataFrame) -> DataFrame:
     """The normalised archives in the shared folder, in pieces of whole members, each with its part of the sidecar.
 
