@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import decontam, jaccard, langid, lines, lmscore, mixing, quality, substrings, toxicity, warc
+from leafmark.llm import codes, decontam, fingerprints, jaccard, langid, lines, lmscore, mixing, quality, substrings, toxicity, variants, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,11 +64,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(_table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edits(_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {
-        f.__name__: f
-        for f in (op1_mix_sources, op2_quality_rules, op3_ngram_jaccard_join, op4_substring_dedup, op5_language_id, op6_decontaminate, op7_toxicity, op8_lm_scoring, op9_line_dedup, op10_warc)
-    }
+    every = (
+        op1_mix_sources, op2_quality_rules, op3_ngram_jaccard_join, op4_substring_dedup, op5_language_id, op6_decontaminate, op7_toxicity, op8_lm_scoring, op9_line_dedup, op10_warc,
+        op11_vector_codes, op12_spelling_variants, op13_fingerprints,
+    )
+    return {f.__name__: f for f in every}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -149,6 +162,19 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN '
 FROM p LEFT JOIN f USING (payload_digest)"""
 
 
+_OP11 = f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS k, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT k, j, e[j * (len(e) // 16) + 1 : (j + 1) * (len(e) // 16)] AS x FROM v, (SELECT unnest(range(16)) AS j)),
+c0 AS (SELECT j, k - 1 AS i, x AS y FROM p WHERE k <= 64),
+{"".join(f"""a{r} AS (SELECT k, j, min(d) AS d FROM (SELECT k, p.j, [CAST(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), i] AS d FROM p JOIN c{r} ON p.j = c{r}.j) GROUP BY k, j),
+s{r} AS (SELECT j, i, list(CAST(floor(s / n) AS BIGINT) ORDER BY q) AS y FROM (SELECT p.j, d[2] AS i, q, sum(x[q]) AS s, CAST(count(*) AS DOUBLE) AS n FROM p JOIN a{r} USING (k, j), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS q) GROUP BY p.j, d[2], q) GROUP BY j, i),
+c{r + 1} AS (SELECT j, i, coalesce(s{r}.y, c{r}.y) AS y FROM c{r} LEFT JOIN s{r} USING (j, i)),
+""" for r in range(2))}a2 AS (SELECT k, j, min(d) AS d FROM (SELECT k, p.j, [CAST(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), i] AS d FROM p JOIN c2 ON p.j = c2.j) GROUP BY k, j),
+m AS (SELECT k, string_agg(format('{{:02x}}', d[2]), '' ORDER BY j) AS code, CAST(sum(d[1]) AS BIGINT) AS error FROM a2 GROUP BY k),
+h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY j, i)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN m USING (k), h"""
+
 _BLOCK = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|nav|article|section|header|footer|title|head|body|html|blockquote|pre|hr)\b[^>]*>|\n"
 
 _OP9 = rf"""
@@ -167,4 +193,4 @@ SELECT page_id, host, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coal
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express on whole tables."""
-    return {"op1_mix_sources": _OP1, "op2_quality_rules": _OP2, "op4_substring_dedup": _OP4, "op6_decontaminate": _OP6, "op9_line_dedup": _OP9, "op10_warc": _OP10}
+    return {"op1_mix_sources": _OP1, "op2_quality_rules": _OP2, "op4_substring_dedup": _OP4, "op6_decontaminate": _OP6, "op9_line_dedup": _OP9, "op10_warc": _OP10, "op11_vector_codes": _OP11}
