@@ -14,6 +14,7 @@ takes whole-file archives from any path.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import itertools
 import re
@@ -151,14 +152,31 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """The bytes of a gzip stream, or of several members, that comes in pieces: a bounded number at a time."""
-    inflate = zlib.decompressobj(31)
+    """The bytes of a gzip stream, or of several members, that comes in pieces: a bounded number at a time.
+
+    The last member must come to its end, check sum and length included; zero
+    bytes behind it are padding, and anything else is an error.
+    """
+    inflate, ended = None, False
     for piece in pieces:
-        while piece:
-            yield inflate.decompress(piece, PIECE_BYTES)
-            piece = inflate.unconsumed_tail
+        more = False
+        while piece or more:
+            if inflate is None:
+                piece = piece.lstrip(b"\0") if ended else piece
+                if not piece:
+                    break
+                inflate = zlib.decompressobj(31)
+            try:
+                data = inflate.decompress(piece, PIECE_BYTES)
+            except zlib.error as why:
+                raise ValueError(f"an archive is damaged, or other bytes follow its end: {why}") from None
+            yield data
             if inflate.eof:
-                piece, inflate = inflate.unused_data, zlib.decompressobj(31)
+                piece, inflate, ended, more = inflate.unused_data, None, True, False
+            else:  # what is inflated and not yet given is asked for, even if all bytes are taken
+                piece, more = inflate.unconsumed_tail, len(data) == PIECE_BYTES
+    if inflate is not None or not ended:
+        raise ValueError("an archive ends within a record or before its gzip stream does")
 
 
 def _records(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -225,9 +243,10 @@ def normalise(archives: DataFrame) -> DataFrame:
     """Every record as a gzip member: archive, number, offset, length, record_id, record_type, member.
 
     An archive is the members in the order of their numbers.  Archives are
-    streamed: a task holds a piece and a record.  A cut-off stream is an error,
-    as is a record without Content-Length, and an empty table gives an empty
-    table.
+    streamed: a task holds a piece and a record.  A stream that is cut off, be
+    it between two records or within the check sum at its end, is an error, as
+    is one without any byte, one that other bytes than zeros follow, and a
+    record without Content-Length.  An empty table gives an empty table.
     """
 
     def rewrite(batches):
@@ -261,23 +280,46 @@ def lay_out(archives: DataFrame) -> DataFrame:
     return stage(_in_order(archives, "part").mapInArrow(lay, LAID), "normalised")
 
 
+def _page(uri: str | None) -> int | None:
+    """The page of a record's id; null for ids that aren't of pages here."""
+    found = re.fullmatch(r"<urn:x-page:(-?\d+)>", uri or "")
+    return int(found[1]) if found else None
+
+
+def _fits(label: str | None, payload: bytes) -> bool:
+    """Whether a payload has the digest of its header, in hex or base32; true where there is none or its kind is unknown."""
+    kind, _, value = (label or "").partition(":")
+    if kind.lower() not in ("sha256", "sha1", "md5"):
+        return True
+    raw = hashlib.new(kind.lower(), payload).digest()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
 def _opened(records):
-    """A batch of RECORDS from inflated records."""
+    """A batch of RECORDS from inflated records.
+
+    Records from elsewhere may lack a payload digest or have one of another
+    kind: a response's digest is made of its payload, a revisit's is null.
+    """
     import pyarrow as pa
 
     rows = []
     for record in records:
         fields, block = parse(record)
-        kind, refers = fields["warc-type"], fields.get("warc-refers-to")
+        kind, label = fields.get("warc-type"), fields.get("warc-payload-digest")
         if kind not in ("response", "revisit"):
             continue
         http, _, payload = block.partition(b"\r\n\r\n")
-        digest = fields["warc-payload-digest"].removeprefix("sha256:")
-        size = int(re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", http)[1])
-        if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-            raise ValueError(f"payload of {fields['warc-record-id']} is damaged")
-        own, first = (None if x in (None, "<urn:x-page:none>") else int(x[len("<urn:x-page:") : -1]) for x in (fields["warc-record-id"], refers))
-        rows.append((own, fields.get("warc-target-uri"), size, digest, kind, first, payload if kind == "response" else None))
+        size = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d+)", http)
+        chunked = re.search(rb"(?i)\r\ntransfer-encoding:[ \t]*chunked", http)
+        if kind == "response":
+            if not chunked and (not _fits(label, payload) or (size and len(payload) != int(size[1]))):
+                raise ValueError(f"payload of {fields.get('warc-record-id')} is damaged")
+            digest, length = hashlib.sha256(payload).hexdigest(), len(payload)
+        else:
+            value = (label or "").removeprefix("sha256:")
+            digest, length = value if re.fullmatch("[0-9a-f]{64}", value) else None, int(size[1]) if size else None
+        rows.append((_page(fields.get("warc-record-id")), fields.get("warc-target-uri"), length, digest, kind, _page(fields.get("warc-refers-to")), payload if kind == "response" else None))
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
     columns = list(zip(*rows, strict=True)) if rows else [()] * 7
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
@@ -286,8 +328,10 @@ def _opened(records):
 def read(normalised: DataFrame) -> DataFrame:
     """The response and revisit records, each from its own member.
 
-    A response's payload must have the digest of its header; a revisit's
-    payload is null, its size and digest those of the page it refers to.
+    A response's payload must have the digest and length of its header, where
+    it has them (a body in chunks is given as it is, unproved); a revisit's
+    payload is null, its size and digest those of the page it refers to.  Ids
+    of records from elsewhere give a null page_id.
     """
 
     def opened(batches):

@@ -171,6 +171,59 @@ def test_a_cut_archive_is_an_error(spark):
         warc.normalise(cut).count()
 
 
+def small_archive(flushed: bool = False) -> bytes:
+    """Ten records in one gzip stream, with a flush after each if asked for."""
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    out = b""
+    for i in range(10):
+        out += pack.compress(warc._record(i, f"http://x/{i}", b"payload" * i, 7 * i, hashlib.sha256(b"payload" * i).hexdigest(), None))
+        out += pack.flush(zlib.Z_FULL_FLUSH) if flushed else b""
+    return out + pack.flush()
+
+
+@pytest.mark.parametrize("flushed", [False, True])
+@pytest.mark.parametrize("step", [10**9, 7])
+def test_no_cut_stream_passes(flushed, step):
+    whole = small_archive(flushed)
+    read = lambda data: list(warc._records(iter([data[i : i + step] for i in range(0, len(data), step)])))
+    assert len(read(whole)) == 10
+    for cut in range(len(whole)):
+        with pytest.raises(ValueError):
+            read(whole[:cut])
+    assert len(read(whole + bytes(700))) == 10 and len(read(whole + bytes(3) + whole)) == 20
+    for wrong in (b"x", bytes(9) + b"more", whole[: len(whole) // 2]):
+        with pytest.raises(ValueError):
+            read(whole + wrong)
+
+
+def test_all_of_a_record_that_inflates_to_much(monkeypatch):
+    monkeypatch.setattr(warc, "PIECE_BYTES", 64)
+    record = warc._record(1, None, bytes(5000), 5000, hashlib.sha256(bytes(5000)).hexdigest(), None)
+    data = gzip.compress(record)
+    assert list(warc._records(iter([data[:-9], data[-9:]]))) == [record]
+
+
+def test_records_from_elsewhere(spark):
+    """Other digests, none at all, other ids; a payload that isn't its digest's is an error."""
+    import base64
+
+    sha1 = base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+
+    def record(digest, body=b"hello", kind="response", extra=b""):
+        block = b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n" + extra + b"\r\n" + body
+        fields = [("WARC-Type", kind), ("WARC-Record-ID", "<urn:uuid:1>"), ("Content-Length", str(len(block)))] + ([("WARC-Payload-Digest", digest)] if digest else [])
+        return gzip.compress(warc._header(fields) + block + b"\r\n\r\n")
+
+    fine = [record(f"sha1:{sha1}"), record(None), record("blake3:00"), record("md5:" + hashlib.md5(b"hello").hexdigest()), record(None, b"", "revisit"), record(f"sha1:{sha1}", b"5\r\nhello\r\n0\r\n\r\n", extra=b"Transfer-Encoding: chunked\r\n")]
+    table = spark.createDataFrame([("a", 0, bytearray(b"".join(fine)))], warc.ARCHIVE)
+    got = warc.read_laid(warc.lay_out(table)).collect()
+    assert [(r.page_id, r.record_type) for r in got] == [(None, "response")] * 4 + [(None, "revisit"), (None, "response")]
+    assert {r.payload_digest for r in got[:4]} == {hashlib.sha256(b"hello").hexdigest()} and got[4].payload_digest is None
+    bad = spark.createDataFrame([("a", 0, bytearray(record(f"sha1:{sha1}", b"jello")))], warc.ARCHIVE)
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_laid(warc.lay_out(bad)).collect()
+
+
 @pytest.mark.parametrize("name", queries.queries())
 def test_query(spark, small, name):
     if name in queries.oracle_sql():
