@@ -27,12 +27,71 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.rtrim(F.lower(host), F.lit(".")), F.lit(""))
 
 
+#: Bytes of a line whose tags are looked for without asking whether they end.
+_SHORT = 512
+#: Stands for a `<` that nothing closes, while marks are searched; and the mark itself, where a text has it.
+_MARK, _OPEN, _OWN = "\ufdd0", "\ufdd01", "\ufdd00"
+
+
+def _bind(value: Column, use) -> Column:
+    """use(value), with value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _mask_tail(text: Column, tail: Column, opening: str) -> Column:
+    """text whose openings in its tail are masked."""
+    return F.concat(F.left(text, F.char_length(text) - F.char_length(tail)), F.regexp_replace(tail, opening, _OPEN))
+
+
+def _masked(text: Column) -> Column:
+    """text without marks that open a comment, script or style and have no closing mark: each would be searched to the end of the text."""
+
+    def comments(t: Column) -> Column:
+        return _bind(F.substring_index(t, "-->", -1), lambda tail: F.when(F.contains(tail, F.lit("<!--")), _mask_tail(t, tail, "<(?=!--)")).otherwise(t))
+
+    def elements(name: str):
+        tail_of = lambda t: F.when(F.rlike(t, F.lit(rf"(?i)</{name}\s*>")), F.regexp_extract(t, rf"(?is)^.*</{name}\s*>(.*)$", 1)).otherwise(t)
+        masked = lambda t: _bind(tail_of(t), lambda tail: _mask_tail(t, tail, rf"(?i)<(?={name}\b)"))
+        return lambda t: F.when(F.rlike(t, F.lit(rf"(?i)<{name}\b")), masked(t)).otherwise(t)
+
+    own = F.replace(text, F.lit(_MARK), F.lit(_OWN))
+    return _bind(_bind(_bind(own, comments), elements("script")), elements("style"))
+
+
 def html_lines(html: Column) -> Column:
-    """The visible lines of a page: block tags break lines, other tags go, white space is squeezed."""
-    text = F.regexp_replace(html, r"(?s)<!--.*?-->|<(?i:(script|style))\b.*?</(?i:\1)\s*>", " ")
+    """The visible lines of a page: block tags break lines, other tags go, white space is squeezed.
+
+    Comments, scripts and styles go; an opening mark that nothing closes is
+    text.  Such marks are masked first, so that the work is in proportion to
+    the page whatever it holds.
+    """
+    open_, own, mark, less = (F.lit(x) for x in (_OPEN, _OWN, _MARK, "<"))
     block = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|nav|article|section|header|footer|title|head|body|html|blockquote|pre|hr)\b[^>]*>|\n"
-    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]*>", ""), r"[\x20\x09\x0B-\x0D]+", " "))
-    return F.filter(F.transform(F.split(text, block), bare), lambda x: x != "")
+
+    def closed(text: Column) -> Column:
+        """text with all tags behind its last `>` masked."""
+        return _bind(F.substring_index(text, ">", -1), lambda tail: F.when(F.contains(tail, less), _mask_tail(text, tail, "<")).otherwise(text))
+
+    def bare(line: Column) -> Column:
+        tags = lambda x: F.regexp_replace(x, "<[^>]*>", "")
+        # within so few characters it doesn't matter whether a tag ends
+        return F.when(F.octet_length(line) <= _SHORT, tags(line)).otherwise(_bind(closed(line), lambda x: F.replace(tags(x), open_, less)))
+
+    def squeezed(line: Column) -> Column:
+        return F.trim(F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " "))
+
+    def plain(text: Column) -> Column:
+        return F.transform(F.split(text, block), lambda x: squeezed(bare(x)))
+
+    def masked(text: Column) -> Column:
+        return F.transform(F.split(closed(text), block), lambda x: squeezed(F.replace(bare(F.replace(x, open_, less)), own, mark)))
+
+    hidden = r"(?s)<!--.*?-->|<(?i:(script|style))\b.*?</(?i:\1)\s*>"
+    # what nothing closes is taken to the end of the page at once, and then still there
+    stripped = F.regexp_replace(html, hidden + r"|((?:<!--|<(?i:script|style)\b).*)", " $2")
+    some = lambda t: F.contains(t, F.lit("<!--")) | F.rlike(t, F.lit(r"(?i)<s(?:cript|tyle)\b")) | F.contains(t, mark) | F.contains(F.substring_index(t, ">", -1), less)
+    exact = _bind(F.regexp_replace(_masked(html), hidden, " "), masked)
+    return F.filter(_bind(stripped, lambda t: F.when(some(t), exact).otherwise(plain(t))), lambda x: x != "")
 
 
 def _key(line: Column) -> Column:

@@ -1,6 +1,7 @@
 """Mixing, quality rules and line dedup: built-in functions only."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import fixtures as fx
@@ -150,3 +151,34 @@ def test_hosts_and_visible_lines(spark):
     assert {r.u: r.h for r in df.collect()} == urls
     html = "<html><title>T</title><script>var a='<p>';</script><body><p>One <b>two</b><br>three</p><!-- x --><li>four"
     assert spark.range(1).select(lines.html_lines(F.lit(html))).first()[0] == ["T", "One two", "three", "four"]
+
+
+def visible(html: str) -> list[str]:
+    """The visible lines by the rule as it is told."""
+    text = re.sub(r"(?s)<!--.*?-->|<((?i:script|style))\b.*?</(?i:\1)\s*>", " ", html)
+    block = r"(?i)</?(?:p|br|div|li|ul|ol|h[1-6]|tr|td|th|table|nav|article|section|header|footer|title|head|body|html|blockquote|pre|hr)\b[^>]*>|\n"
+    squeezed = (re.sub(r"[\x20\x09\x0B-\x0D]+", " ", re.sub("<[^>]*>", "", x)).strip(" ") for x in re.split(block, text))
+    return [x for x in squeezed if x]
+
+
+def test_visible_lines_of_marks_that_nothing_closes(spark):
+    rng = random.Random(6)
+    bits = ["<!--", "-->", "<script", "<SCRIPT>", "</script>", "</Script >", "<style>", "</style", "</style>", "<", ">", "<p>", "<b", "</b>", "\n", " ", "text", "\ufdd0", "\ufdd01", "<!-->", "<!--->", "<scripty>", "x", "y" * 600]
+    pages = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, html string").select("id", lines.html_lines(F.col("html")).alias("own"))
+    assert {r.id: r.own for r in df.collect()} == {i: visible(p) for i, p in enumerate(pages)}
+
+
+@pytest.mark.parametrize("unit", ["<!-- x", "<script>x", "<style x", "<p ", "<b", "</script ", "<!-- a --> b"])
+def test_work_is_in_proportion_to_a_page(spark, unit):
+    """Ten times as many unclosed marks take ten times as long at most, and not a hundred times."""
+    import time
+
+    def seconds(n):
+        began = time.time()
+        df = spark.range(1).select(F.repeat(F.concat(F.lit(unit), F.substring(F.col("id").cast("string"), 2, 1)), n).alias("h"))
+        assert df.select(F.size(lines.html_lines(F.col("h")))).first()[0] >= 0
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(160_000) < 12 * max(seconds(16_000), 0.3)
