@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from leafmark.functions.text import NARROW, separator, width
-from leafmark.operators import aggregates, islands, sequential
-from leafmark.sources.tables import LEFT, table, text_lines
+from leafmark.functions.text import separator, width
+from leafmark.operators import aggregates, glyphs, islands, sequential
+from leafmark.sources import tables
+from leafmark.sources.tables import table, text_lines
 
 _LINES = """lines AS (SELECT doc_id, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 measured AS (SELECT *, 12 * length(line) - 6 * length(regexp_replace(line, '[^\\x00-\\x7F]', '', 'g')) AS line_width FROM lines)"""
@@ -36,14 +37,12 @@ SELECT doc_id, CAST(paragraph AS BIGINT) AS paragraph, count(*) AS n_lines, CAST
 
 
 def glyph_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of each text: all, visible, wide; counted on arrays, as no position is needed."""
+    """Observed characters of each text: all, visible, wide."""
     docs = table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", F.regexp_replace("text", "\n", "").alias("t"))
-    return lines.select(
-        "doc_id", F.char_length("t").cast("long").alias("n_glyphs"),
-        F.char_length(F.regexp_replace("t", r"[ \t\x0b\x0c\r]", "")).cast("long").alias("n_visible"),
-        F.char_length(F.regexp_replace("t", r"[\x00-\x7F]", "")).cast("long").alias("n_wide"),
-    )
+    code = F.col("code")
+    seen = tables.glyphs(docs).groupBy("doc_id").agg(F.count("*").alias("a"), F.count_if(~code.isin(9, 11, 12, 13, 32)).alias("v"), F.count_if(code > 127).alias("w"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return docs.select("doc_id").join(seen, "doc_id", "left").select("doc_id", count("a").alias("n_glyphs"), count("v").alias("n_visible"), count("w").alias("n_wide"))
 
 
 GLYPH_SCAN = r"""WITH g AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), ''), '')) AS ch FROM documents)
@@ -52,9 +51,9 @@ SELECT d.doc_id, count(ch) FILTER (ch <> '') AS n_glyphs, count(ch) FILTER (ch <
 
 
 def bounding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The box of the characters of each line: their advances follow each other, so it is the line's width."""
-    lines = text_lines(table(spark, sf_dir, "documents")).where("line <> ''")
-    return lines.select("doc_id", "line_no", F.lit(LEFT).cast("long").alias("x0"), (F.col("line_width") + LEFT).cast("long").alias("x1"), F.char_length("line").cast("long").alias("n_glyphs"))
+    """The box around the characters of each line."""
+    found = glyphs.span_bounds(tables.line_spans(table(spark, sf_dir, "documents")), ["doc_id", "line_no"])
+    return found.select("doc_id", "line_no", F.col("x0").cast("long").alias("x0"), F.col("x1").cast("long").alias("x1"), "n_glyphs")
 
 
 BOUNDING_BOXES = rf"""WITH {_LINES}, {_GLYPHS}
@@ -62,13 +61,9 @@ SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(min(x1 - advance) AS BIGINT
 
 
 def inferred_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the blanks of a line taken as gaps: gaps wide enough between word characters become synthetic spaces.
-
-    A gap is a run of blanks within the text, so no character becomes a row.
-    """
-    gaps = F.transform(F.regexp_extract_all("text", F.lit(r"(?<=[\p{L}\p{N},;:!?.)\]}]) +(?=[\p{L}\p{N}])"), F.lit(0)), lambda x: F.char_length(x) * NARROW)
-    found = table(spark, sf_dir, "documents").select("doc_id", F.filter(gaps, lambda g: g > 2.4).alias("gaps")).where(F.size("gaps") > 0)
-    return found.select("doc_id", F.size("gaps").cast("long").alias("n_spaces"), F.aggregate("gaps", F.lit(0).cast("long"), lambda a, g: a + g).alias("total_gap"), F.array_max("gaps").cast("long").alias("widest_gap"))
+    """With the blanks of a line taken as gaps: gaps wide enough between characters of words become spaces."""
+    found = glyphs.word_gaps(tables.line_spans(table(spark, sf_dir, "documents"), blanks=False), ["doc_id", "line_no"])
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_spaces"), F.sum("gap").cast("long").alias("total_gap"), F.max("gap").cast("long").alias("widest_gap"))
 
 
 INFERRED_SPACES = rf"""WITH {_LINES}, {_GLYPHS},

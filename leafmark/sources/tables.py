@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.functions.text import NARROW, WIDE, width
+from leafmark.operators.glyphs import CHARS, observations
 
 #: Where a page begins, how far its lines are apart, and the size of its characters.
 LEFT, TOP, LEADING, SIZE = 40, 60, 16.8, 12
@@ -21,17 +23,54 @@ def text_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return rows.withColumn("line_width", width(F.col("line")))
 
 
-def glyphs(docs: DataFrame) -> DataFrame:
-    """One row a character: doc_id, line_no, ord, ch, x0, x1, baseline.
+def line_spans(docs: DataFrame, blanks: bool = True) -> DataFrame:
+    """Each line of the texts that isn't empty as a span: doc_id, line_no, size, chars (glyphs.CHARS), font and paint.
 
-    x0 is the sum of the advances before, so the rows of a line meet in one
-    window; lines, not texts, are the groups.
+    A character stands where the advances before it end.  Without blanks,
+    spaces move what follows but are no characters.  Positions are running
+    sums over whole texts, so they are made in Arrow batches.
     """
-    rows = text_lines(docs).select("doc_id", "line_no", F.posexplode(F.split("line", "")).alias("ord", "ch")).where("ch <> ''")
-    advance = F.when(F.col("ch").rlike(r"[\x00-\x7F]"), F.lit(NARROW)).otherwise(F.lit(WIDE))
-    w = Window.partitionBy("doc_id", "line_no").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("advance", advance).withColumn("x1", F.sum("advance").over(w) + LEFT)
-    return placed.select("doc_id", "line_no", "ord", "ch", "advance", (F.col("x1") - F.col("advance")).alias("x0"), "x1", (F.lit(TOP) + F.col("line_no") * LEADING).alias("baseline"))
+    import pyarrow as pa
+
+    names = ("code", "glyph_id", "x0", "y0", "x1", "y1", "origin_x", "origin_y")
+
+    def lay(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                ids, texts = part.column("doc_id"), part.column("text").to_pylist()
+                code = np.frombuffer("".join((t or "") + "\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.int32)
+                ends = np.flatnonzero(code == 10)
+                start = np.concatenate([[0], ends[:-1] + 1])
+                text_end = np.cumsum([len(t or "") + 1 for t in texts])
+                text_of = np.searchsorted(text_end, start, side="right")
+                first = np.searchsorted(start, np.concatenate([[0], text_end[:-1]]))
+                line = np.repeat(np.arange(len(ends)), ends - start + 1)
+                advance = np.where(code < 128, NARROW, WIDE).astype(float)
+                to = np.cumsum(advance)
+                before = (to - advance)[start]
+                shown = (code != 10) & ((code != 32) | blanks)
+                at, line = np.flatnonzero(shown), line[shown]
+                number = np.arange(len(ends)) - first[text_of]
+                base = TOP + number * LEADING
+                x1 = to[at] - before[line] + LEFT
+                columns = [code[at], code[at], x1 - advance[at], (base - SIZE)[line], x1, (base + 2)[line], x1 - advance[at], base[line]]
+                counts = np.bincount(line, minlength=len(ends))
+                kept = np.flatnonzero(counts)
+                offsets = np.concatenate([[0], np.cumsum(counts[kept])])
+                chars = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.int32() if k < 2 else pa.float64()) for k, c in enumerate(columns)], names))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(text_of[kept])), pa.array(number[kept], pa.int32()), chars], ["doc_id", "line_no", "chars"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").mapInArrow(lay, f"doc_id {kind}, line_no int, chars {CHARS}")
+    style = {"font": F.lit("plain"), "size": F.lit(float(SIZE)), "direction": F.array(F.lit(1.0), F.lit(0.0)), "paint_type": F.lit(0), "color": F.array(F.lit(0.0)), "opacity": F.lit(1.0), "wmode": F.lit(0), "layer": F.lit("")}
+    return rows.withColumns(style)
+
+
+def glyphs(docs: DataFrame) -> DataFrame:
+    """One row a character of line_spans(): doc_id, line_no, ord, ch, code, advance, x0, x1, baseline and the thirteen observed attributes."""
+    rows = observations(line_spans(docs), ["doc_id", "line_no"])
+    return rows.withColumns({"ch": F.col("unicode"), "advance": F.col("advance_bbox"), "x0": F.col("bbox")[0], "x1": F.col("bbox")[2], "baseline": F.col("origin")[1]})
 
 
 def tags(pages: DataFrame) -> DataFrame:
