@@ -59,7 +59,7 @@ def fill_cover(queries: DataFrame, fills: DataFrame, keys: list[str], cell: floa
     edges = edges.select(*own, "y", F.row_number().over(w).alias("slab"), (F.lead("y").over(w) - F.col("y")).alias("height"))
     ranked = cut.join(edges.select(*own, F.col("y").alias("t"), F.col("slab").alias("from")), [*own, "t"]).join(edges.select(*own, F.col("y").alias("b"), F.col("slab").alias("to")), [*own, "b"])
     rows = ranked.select(*own, "weight", "even_odd", "whole", "l", "r", F.explode(F.expr("sequence(`from`, `to` - 1)")).alias("slab"))
-    ends = rows.select(*own, "even_odd", "whole", "slab", F.explode(F.array(F.struct(F.col("l").alias("x"), F.col("weight").alias("w"), F.lit(1).alias("n")), F.struct(F.col("r"), -F.col("weight"), F.lit(-1)))).alias("e"))
+    ends = rows.select(*own, "even_odd", "whole", "slab", F.explode(F.array(F.struct(F.col("l").alias("x"), F.col("weight").alias("w"), F.lit(1).alias("n")), F.struct(F.col("r").alias("x"), (-F.col("weight")).alias("w"), F.lit(-1).alias("n")))).alias("e"))
     ends = ends.groupBy(*own, "slab", F.col("e.x").alias("x")).agg(F.sum("e.w").alias("w"), F.sum("e.n").alias("n"), F.first("even_odd").alias("even_odd"), F.first("whole").alias("whole"))
     along = Window.partitionBy(*own, "slab").orderBy("x")
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)

@@ -229,8 +229,8 @@ class _Measured:
         self.legal, self.forced = np.flatnonzero(inner & fine), np.flatnonzero(fine)
         self.no_start = no_start
 
-    def lines(self, lo: int, hi: int, width: float) -> Iterator[tuple[int, int, float]]:
-        """(from, to, width) of the lines of the paragraph between two places."""
+    def lines(self, lo: int, hi: int, width: float, first: float | None = None) -> Iterator[tuple[int, int, float]]:
+        """(from, to, width) of the lines of the paragraph between two places; first: the width of the first line, if it is another."""
         v, to = self.visible, self.to
         k = int(np.searchsorted(v, lo))
         if k < len(v) and v[k] < hi and self.no_start[v[k]]:
@@ -238,7 +238,7 @@ class _Measured:
         start, done = lo, False
         while not done:
             # the first visible character that doesn't fit any more, if there is one
-            over = int(np.searchsorted(to, to[start] + width + 1e-7, "right")) - 1
+            over = int(np.searchsorted(to, to[start] + (width if first is None or start > lo else first) + 1e-7, "right")) - 1
             k = int(np.searchsorted(v, over))
             over = int(v[k]) if k < len(v) and v[k] < hi else hi
             end, done = over, over == hi
