@@ -1,20 +1,26 @@
 """Areas of a page: rectangles that meet, what fills cover, the nearest content in four directions, outlines of glyphs.
 
 No rows are paired on a page alone.  Rectangles meet in grid cells; coverage
-is a sweep over slabs; the nearest content of a band is a running maximum in
-the nodes of a segment tree, so a page of any number of rows is dealt out.
+is a sweep over slabs; the nearest content of a band is found in one sorted
+pass over a page, which holds a skyline and not the page.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SIDES = ("x0", "y0", "x1", "y1")
 
 
+def _cell(at: Column, cell: float) -> Column:
+    return F.floor(at.cast("double") / cell).cast("long")
+
+
 def _cells(low: Column, high: Column, cell: float) -> Column:
-    return F.sequence(F.floor(low / cell).cast("long"), F.floor(high / cell).cast("long"))
+    return F.sequence(_cell(low, cell), _cell(high, cell))
 
 
 def meet(a: DataFrame, b: DataFrame, keys: list[str], cell: float, other: str = "b") -> DataFrame:
@@ -26,7 +32,7 @@ def meet(a: DataFrame, b: DataFrame, keys: list[str], cell: float, other: str =
     mine = a.withColumn("_cx", F.explode(_cells(F.col("x0"), F.col("x1"), cell))).withColumn("_cy", F.explode(_cells(F.col("y0"), F.col("y1"), cell)))
     o = {c: F.col(other + c) for c in _SIDES}
     theirs = b.withColumn("_cx", F.explode(_cells(o["x0"], o["x1"], cell))).withColumn("_cy", F.explode(_cells(o["y0"], o["y1"], cell)))
-    first = lambda p, q, c: F.floor(F.greatest(F.col(p), F.col(q)) / cell).cast("long") == F.col(c)
+    first = lambda p, q, c: _cell(F.greatest(F.col(p), F.col(q)), cell) == F.col(c)
     touch = (F.col("x0") <= o["x1"]) & (o["x0"] <= F.col("x1")) & (F.col("y0") <= o["y1"]) & (o["y0"] <= F.col("y1"))
     met = mine.join(theirs, [*keys, "_cx", "_cy"]).where(touch & first("x0", other + "x0", "_cx") & first("y0", other + "y0", "_cy"))
     return met.drop("_cx", "_cy")
@@ -69,66 +75,114 @@ def fill_cover(queries: DataFrame, fills: DataFrame, keys: list[str], cell: floa
     return summed.select(*own, "area", (F.abs(F.col("area") - F.col("_whole")) < 1e-6).alias("holds"))
 
 
-def _canonical(low: Column, high: Column, top: Column) -> Column:
-    """The nodes (level, number) of a segment tree that make up [low, high)."""
-    def at(level):
-        lo = F.ceil(low / F.pow(F.lit(2.0), level)).cast("long")
-        hi = F.floor(high / F.pow(F.lit(2.0), level)).cast("long")
-        left = F.when((lo < hi) & (lo % 2 == 1), F.struct(level.alias("level"), lo.alias("node")))
-        right = F.when((lo < hi) & (hi % 2 == 1) & ~((lo % 2 == 1) & (lo == hi - 1)), F.struct(level.alias("level"), (hi - 1).alias("node")))
-        return F.array(left, right)
+class _Skyline:
+    """What was painted last on each stretch of an axis.
+
+    Places are (value, 0) for a point and (value, 1) for what follows it, so
+    an open interval leaves out its ends and a point is a stretch of its own.
+    """
+
+    def __init__(self):
+        self.starts, self.values = [(float("-inf"), 0)], [float("-inf")]
+
+    @staticmethod
+    def stretch(low: float, high: float):
+        return ((low, 1), (high, 0)) if low < high else ((low, 0), (low, 1))
+
+    def paint(self, low: float, high: float, value: float) -> None:
+        lo, hi = self.stretch(low, high)
+        i, j = bisect_left(self.starts, lo), bisect_left(self.starts, hi)
+        rest = [] if j < len(self.starts) and self.starts[j] == hi else [(hi, self.values[j - 1])]
+        self.starts[i:j] = [lo, *(k for k, _ in rest)]
+        self.values[i:j] = [value, *(v for _, v in rest)]
 
-    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), top), at)))
+    def largest(self, low: float, high: float) -> float:
+        lo, hi = self.stretch(low, high)
+        return max(self.values[bisect_right(self.starts, lo) - 1 : bisect_left(self.starts, hi)])
 
 
-def _above(nodes: Column, top: Column) -> Column:
-    """The nodes above some nodes, each once."""
-    up = lambda n: F.when(n["level"] < top, F.transform(F.sequence(n["level"] + 1, top), lambda k: F.struct(k.alias("level"), F.floor(n["node"] / F.pow(F.lit(2.0), k - n["level"])).cast("long").alias("node"))))
-    return F.array_distinct(F.flatten(F.array_compact(F.transform(nodes, up))))
+def _nearest(batches):
+    """Rows sorted by key and place, others before own ones: each own row's largest value painted so far on its stretch."""
+    import pyarrow as pa
+
+    key, sky = None, None
+    for batch in batches:
+        found = []
+        columns = [batch.column(c).to_pylist() for c in ("group", "side", "own", "low", "high", "at")]
+        for i, (group, side, own, low, high, at) in enumerate(zip(*columns, strict=True)):
+            if (group, side) != key:
+                key, sky = (group, side), _Skyline()
+            if not own:
+                sky.paint(low, high, at)
+            elif low < high and (best := sky.largest(low, high)) > float("-inf"):
+                found.append((i, best))
+        own = batch.take(pa.array([i for i, _ in found], pa.int64()))
+        yield pa.RecordBatch.from_arrays([own.column("ident"), own.column("side"), pa.array([b for _, b in found], pa.float64())], ["ident", "side", "edge"])
 
 
 def nearest_in_band(own: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, edge): for each own row (id, low, high, at) the largest edge at most `at` of the others (low, high, edge) whose open interval meets its own.
+    """(keys, id, side, edge): for each own row (id, side, low, high, at) the largest edge at most `at` of the others (side, low, high, edge) of equal keys and side whose open interval meets its own.
 
-    An interval without length meets those that hold it inside.  For the
-    nearest on the other side, edges and places are given negated.  Rows
-    without such a neighbour have no row.
+    An interval without length meets those that hold it inside; own rows
+    without length, and those without such a neighbour, have no row.  For the
+    nearest on the other side, edges and places are given negated.
 
-    Intervals become nodes of a segment tree over the ends that the key has.
-    Two of them meet where a node of one is a node of the other or lies above
-    it; within a node, the nearest is a running maximum.
+    Along the edges of a key, what was seen last on each stretch of the band
+    is the nearest: one sorted pass, whose state is the stretches.
     """
-    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    a = own.select(*keys, F.lit(0).alias("kind"), "id", F.col("at").cast("double").alias("at"), none("edge", "double"), "low", "high")
-    b = others.select(*keys, F.lit(1).alias("kind"), none("id", own.schema["id"].dataType), none("at", "double"), F.col("edge").cast("double").alias("edge"), "low", "high").distinct()
-    row = [*keys, "kind", "id", "at", "edge", "low", "high"]
-    ends = a.unionByName(b).select(*row, F.explode(F.array("low", "high")).alias("v"))
-    ranked = ends.withColumn("r", 2 * F.dense_rank().over(Window.partitionBy(*keys).orderBy("v")).cast("long"))
-    ranked = ranked.withColumn("most", F.max("r").over(Window.partitionBy(*keys)))
-    rows = ranked.groupBy(*row).agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.first("most").alias("most"))
-    low = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + 1)
-    high = F.when(F.col("lo") == F.col("hi"), F.col("hi") + 1).otherwise(F.col("hi"))
-    top = F.ceil(F.log2(F.col("most") + 2)).cast("int")
-    nodes = rows.withColumn("own", _canonical(low, high, top)).withColumn("up", _above(F.col("own"), top))
-    tagged = lambda n, tag: F.transform(n, lambda x: F.struct(F.lit(tag).alias("tag"), x["level"].alias("level"), x["node"].alias("node")))
-    # 0: an own node beside all that lies in it or below; 1: a node above an own one beside what is that node
-    asks = F.concat(tagged(F.col("own"), 0), tagged(F.col("up"), 1))
-    tells = F.concat(tagged(F.array_union("own", "up"), 0), tagged(F.col("own"), 1))
-    placed = nodes.select(*keys, "kind", "id", "at", "edge", F.explode(F.when(F.col("kind") == 0, asks).otherwise(tells)).alias("n"))
-    w = Window.partitionBy(*keys, "n").orderBy(F.coalesce("edge", "at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
-    found = placed.withColumn("_near", F.max("edge").over(w)).where("kind = 0 and _near is not null")
-    return found.groupBy(*keys, "id").agg(F.max("_near").alias("edge"))
+    one = lambda d, mine, at: d.select(F.struct(*keys).alias("k"), "side", F.lit(mine).alias("own"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.col(at).cast("double").alias("at"), (F.struct(*keys, "id") if mine else F.lit(None).cast(kind)).alias("ident"))
+    kind = own.select(F.struct(*keys, "id").alias("i")).schema["i"].dataType
+    rows = one(own, True, "at").unionAll(one(others, False, "edge")).withColumn("group", F.to_json("k"))
+    parts = rows.repartition("group", "side").sortWithinPartitions("group", "side", "at", "own")
+    found = parts.select("group", "side", "own", "low", "high", "at", "ident").mapInArrow(_nearest, f"ident {kind.simpleString()}, side string, edge double")
+    return found.select(*[F.col(f"ident.{c}").alias(c) for c in (*keys, "id")], "side", "edge")
 
 
 def surroundings(columns: DataFrame, foreign: DataFrame, keys: list[str]) -> DataFrame:
     """columns (id, x0 to y1) with above, below, leftward and rightward: the nearest edges of foreign content (x0 to y1) beside them, null where there is none."""
-    out = columns
-    for name, band, own, edge, sign in (("above", "x", "y0", "y1", 1), ("below", "x", "y1", "y0", -1), ("leftward", "y", "x0", "x1", 1), ("rightward", "y", "x1", "x0", -1)):
-        a = columns.select(*keys, "id", F.col(band + "0").alias("low"), F.col(band + "1").alias("high"), (F.col(own) * sign).alias("at"))
-        b = foreign.select(*keys, F.col(band + "0").alias("low"), F.col(band + "1").alias("high"), (F.col(edge) * sign).alias("edge"))
-        near = nearest_in_band(a, b, keys).select(*keys, "id", (F.col("edge") * sign).alias(name))
-        out = out.join(near, [*keys, "id"], "left")
-    return out
+    sides = (("above", "x", "y0", "y1", 1), ("below", "x", "y1", "y0", -1), ("leftward", "y", "x0", "x1", 1), ("rightward", "y", "x1", "x0", -1))
+    each = lambda place, at: F.explode(F.array(*[F.struct(F.lit(name).alias("side"), F.col(band + "0").cast("double").alias("low"), F.col(band + "1").cast("double").alias("high"), (F.col(place(own, edge)) * sign).cast("double").alias(at)) for name, band, own, edge, sign in sides])).alias("s")
+    a = columns.select(*keys, "id", each(lambda own, edge: own, "at")).select(*keys, "id", "s.*")
+    b = foreign.select(*keys, each(lambda own, edge: edge, "edge")).select(*keys, "s.*")
+    near = nearest_in_band(a, b, keys).groupBy(*keys, "id").agg(*[F.max(F.when(F.col("side") == name, F.col("edge") * sign)).alias(name) for name, *_, sign in sides])
+    return columns.join(near, [*keys, "id"], "left")
+
+
+def _spanning(batches):
+    """Rows sorted by key, cell and edge, bars before own rows: each own row's last bar that spans it."""
+    import pyarrow as pa
+
+    key, bars = None, []
+    for batch in batches:
+        found = []
+        columns = [batch.column(c).to_pylist() for c in ("group", "cell", "own", "low", "high", "at")]
+        for i, (group, cell, own, low, high, at) in enumerate(zip(*columns, strict=True)):
+            if (group, cell) != key:
+                key, bars = (group, cell), []
+            if not own:
+                # a farther bar within a nearer one is never needed again
+                while bars and low <= bars[-1][0] and bars[-1][1] <= high:
+                    bars.pop()
+                bars.append((low, high, at))
+            elif (best := next((e for lo, hi, e in reversed(bars) if lo <= low and high <= hi), None)) is not None:
+                found.append((i, best))
+        own = batch.take(pa.array([i for i, _ in found], pa.int64()))
+        yield pa.RecordBatch.from_arrays([own.column("ident"), pa.array([b for _, b in found], pa.float64())], ["ident", "edge"])
+
+
+def nearest_spanning(own: DataFrame, bars: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """(keys, id, edge): for each own row (id, low, high, at) the largest edge at most `at` of the bars (low, high, edge) of equal keys that hold all of [low, high].
+
+    Bars go to every cell of a grid that they touch, own rows to the first of
+    theirs; within a cell one sorted pass keeps the bars that no nearer one
+    hides.  For the nearest on the other side, edges and places are negated.
+    """
+    kind = own.select(F.struct(*keys, "id").alias("i")).schema["i"].dataType
+    one = lambda d, mine, at, cells: d.select(F.to_json(F.struct(*keys)).alias("group"), cells.alias("cell"), F.lit(mine).alias("own"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.col(at).cast("double").alias("at"), (F.struct(*keys, "id") if mine else F.lit(None).cast(kind)).alias("ident"))
+    rows = one(own, True, "at", F.floor(F.col("low") / cell).cast("long")).unionAll(one(bars.where("low <= high"), False, "edge", F.explode(_cells(F.col("low"), F.col("high"), cell))))
+    parts = rows.repartition("group", "cell").sortWithinPartitions("group", "cell", "at", "own")
+    found = parts.mapInArrow(_spanning, f"ident {kind.simpleString()}, edge double")
+    return found.select(*[F.col(f"ident.{c}").alias(c) for c in (*keys, "id")], "edge")
 
 
 def region_of(height: Column, content_top: Column) -> tuple[Column, Column]:

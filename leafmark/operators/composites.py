@@ -63,10 +63,13 @@ def assign_by_count(lines: DataFrame, parts: DataFrame, key: str, line: str, n:
     def spans(df, at, prefix):
         w = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(prefix + "hi", F.sum(n).over(w)).withColumn(prefix + "lo", F.col(prefix + "hi") - F.col(n))
-    left = spans(lines, line, "l_").select(key, line, "l_lo", "l_hi")
-    right = spans(parts, part, "p_").select(F.col(key).alias("_key"), part, "p_lo", "p_hi")
-    inside = (F.col(key) == F.col("_key")) & (F.col("p_lo") <= F.col("l_lo")) & (F.col("l_hi") <= F.col("p_hi")) & (F.col("l_lo") < F.col("p_hi"))
-    return left.join(right, inside, "left").groupBy(key, line).agg(F.min(part).alias(part))
+    left = spans(lines, line, "l_").select(key, line, F.col("l_lo").alias("_at"), "l_hi", F.lit(1).alias("_kind"))
+    # parts that hold characters don't overlap: the one that began last is the only one that can hold a line
+    right = spans(parts, part, "p_").where("p_lo < p_hi").select(key, F.col("p_lo").alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col("p_hi"), F.col(part).alias("part")).alias("_p"))
+    w = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = left.unionByName(right, allowMissingColumns=True).withColumn("_p", F.last("_p", ignorenulls=True).over(w)).where("_kind = 1")
+    held = (F.col("_at") < F.col("_p.p_hi")) & (F.col("l_hi") <= F.col("_p.p_hi"))
+    return found.groupBy(key, line).agg(F.min(F.when(held, F.col("_p.part"))).alias(part))
 
 
 def placement_faults(lines: DataFrame, flow: str, order: list[str], region: str, top: str, height: str) -> DataFrame:

@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmark.operators import aggregates, islands
+from leafmark.operators import aggregates, areas, islands
 from leafmark.operators.sequential import LEFT_APART, RIGHT_APART, RIGHT_OVERLAP, SIZE_RATIO, _in_runs
+from leafmark.storage import stage
 
 # Fixed values.
 #: Gaps that part columns, in sizes: always, and where the paint order jumps too.
@@ -18,6 +19,8 @@ GAP, INDENT, NO_INDENT, SHORT = 1.3, 0.75, 0.5, 0.72
 LEADING = 1.4
 #: Points that a gap's spacing may be off.
 SPACING = 0.02
+#: Points of a grid cell in which drawn things meet.
+CELL = 64.0
 #: Marks that may hang beyond a column's edge.
 HANGING = "、。，．,."
 #: List markers besides all other symbols (category So).
@@ -99,13 +102,20 @@ def cell_edges(texts: DataFrame, rules: DataFrame, glyphs: DataFrame, page: str)
     on the right.  No edge if it adds nothing, or if another text's inked glyph
     (owner, gx0, gy0, gx1, gy1) lies in what it adds.
     """
-    spanning = texts.join(rules, page).where((F.col("top") <= F.col("y0") + 1) & (F.col("bottom") >= F.col("y1") - 1))
-    near = spanning.groupBy(page, "id", "x0", "y0", "x1", "y1").agg(
-        F.max(F.when((F.col("x") <= F.col("x0")) & (F.col("x") >= F.col("x0") - F.col("size") * 3), F.col("x"))).alias("_left"), F.min(F.when(F.col("x") >= F.col("x1"), F.col("x"))).alias("_right")
-    )
-    edges = near.where("_left is not null").withColumn("edge", F.col("_right") - F.greatest(F.lit(0.5), F.col("x0") - F.col("_left"))).where(F.col("edge") > F.col("x1") + 0.05)
-    inside = (F.col("gx0") < F.col("edge")) & (F.col("gx1") > F.col("x1")) & (F.col("gy0") < F.col("y1")) & (F.col("gy1") > F.col("y0"))
-    taken = edges.join(glyphs, page).where(inside & (F.col("owner") != F.col("id"))).select("id").distinct()
+
+    before = texts.select(page, "id", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1"), (F.col("x0") - F.col("size") * 3).alias("x0"), (F.col("y0") + 1).alias("y0"), F.col("x0").alias("x1"), (F.col("y0") + 1).alias("y1"))
+    lines = rules.select(page, "bottom", F.col("x").alias("rx0"), F.col("top").alias("ry0"), F.col("x").alias("rx1"), F.col("bottom").alias("ry1"))
+    spanned = areas.meet(before, lines, [page], CELL, "r").where(F.col("bottom") >= F.col("_y1") - 1)
+    left = spanned.groupBy(page, "id", *[F.col("_" + c).alias(c) for c in ("x0", "y0", "x1", "y1")]).agg(F.max("rx0").alias("_left"))
+    left = stage(left, "left")
+    asks = left.select(page, "id", (F.col("y0") + 1).alias("low"), (F.col("y1") - 1).alias("high"), (-F.col("x1")).alias("at"))
+    bars = rules.join(left.select(page).distinct(), page, "left_semi").select(page, F.col("top").alias("low"), F.col("bottom").alias("high"), (-F.col("x")).alias("edge"))
+    right = areas.nearest_spanning(asks, bars, [page], CELL).select("id", (-F.col("edge")).alias("_right"))
+    edges = left.join(right, "id").withColumn("edge", F.col("_right") - F.greatest(F.lit(0.5), F.col("x0") - F.col("_left"))).where(F.col("edge") > F.col("x1") + 0.05)
+    edges = stage(edges, "edges")
+    added = edges.select(page, "id", F.col("x1").alias("x0"), "y0", F.col("edge").alias("x1"), "y1")
+    inside = (F.col("gx0") < F.col("x1")) & (F.col("gx1") > F.col("x0")) & (F.col("gy0") < F.col("y1")) & (F.col("gy1") > F.col("y0"))
+    taken = areas.meet(added, glyphs, [page], CELL, "g").where(inside & (F.col("owner") != F.col("id"))).select("id").distinct()
     return texts.select("id").join(edges.join(taken, "id", "left_anti").select("id", "edge"), "id", "left")
 
 

@@ -9,8 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions.geometry import Rect
+from leafmark.operators import spans
+from leafmark.operators.areas import meet
 from leafmark.operators.sequential import _in_runs
 
+#: Points of a grid cell in which drawn things meet.
+CELL = 64.0
+
 # Fixed values.
 #: A paint thinner than so many points may be a decoration.
 THIN = 2.0
@@ -25,22 +30,37 @@ SLIGHT = 8
 
 
 def paint_hints(texts: DataFrame, paints: DataFrame, page: str) -> DataFrame:
-    """(id, paint, hint): how each paint (x0 to y1, kind, seq) of a page may relate to each text (id, x0 to y1, first: its paint order).
+    """(page, id, paint, hint): how the paints (paint, x0 to y1, kind, seq) of a page that meet a text (id, x0 to y1, first: its paint order) may relate to it.
 
     A fill that holds the text and is painted before it may be a background; a
     thin paint that isn't before it, a decoration; any other that meets it, an
-    overlap or border; the rest is unrelated.
+    overlap or border.  All others are unrelated_paints().
     """
-    t = texts.select(page, "id", "first", *[F.col(c).alias("t" + c) for c in ("x0", "y0", "x1", "y1")])
     p = paints.select(page, "paint", "kind", "seq", *[F.col(c).alias("p" + c) for c in ("x0", "y0", "x1", "y1")])
-    text, paint = Rect.of("t"), Rect.of("p")
+    text, paint = Rect.of(), Rect.of("p")
     hint = (
-        F.when(~paint.intersects(text), "unrelated")
-        .when((F.col("kind") == "fill") & paint.contains(text) & (F.col("seq") < F.col("first")), "background")
+        F.when((F.col("kind") == "fill") & paint.contains(text) & (F.col("seq") < F.col("first")), "background")
         .when((F.col("py1") - F.col("py0") < THIN) & (F.col("seq") >= F.col("first")), "decoration")
         .otherwise("overlap or border")
     )
-    return t.join(p, page).select("id", "paint", hint.alias("hint"))
+    met = meet(texts.select(page, "id", "first", "x0", "y0", "x1", "y1"), p, [page], CELL, "p")
+    return met.where(paint.intersects(text)).select(page, "id", "paint", hint.alias("hint"))
+
+
+def unrelated_paints(texts: DataFrame, paints: DataFrame, hints: DataFrame, page: str) -> DataFrame:
+    """(id, n, first): how many paints of its page don't meet a text, and the least of them, by counts: texts and paints aren't paired.
+
+    Paints of a page are numbered in the order of their ids (each once); the least
+    that isn't among those of a text's hints is the first number that these leave out.
+    """
+    numbered = paints.select(page, "paint").withColumn("_k", F.row_number().over(Window.partitionBy(page).orderBy("paint")))
+    counts = numbered.groupBy(page).agg(F.count("*").alias("_all"))
+    met = hints.join(numbered, [page, "paint"]).select("id", "_k")
+    w = Window.partitionBy("id").orderBy("_k")
+    at = met.withColumn("_i", F.row_number().over(w)).groupBy("id").agg(F.count("*").alias("_n"), F.min(F.when(F.col("_k") != F.col("_i"), F.col("_i"))).alias("_gap"))
+    of_text = texts.select("id", page).join(counts, page).join(at, "id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rest = of_text.where(F.col("_all") > F.col("_n")).withColumn("_k", F.coalesce("_gap", F.col("_n") + 1))
+    return rest.join(numbered, [page, "_k"]).select("id", (F.col("_all") - F.col("_n")).alias("n"), F.col("paint").alias("first"))
 
 
 def line_anchors(lines: DataFrame, marks: DataFrame, page: str) -> DataFrame:
@@ -49,7 +69,12 @@ def line_anchors(lines: DataFrame, marks: DataFrame, page: str) -> DataFrame:
     offset, thick = F.col("my0") - F.col("baseline"), F.col("my1") - F.col("my0")
     fits = (thick > 0) & (thick < F.col("size") * MARK_THICK) & (offset >= 0) & (offset < F.col("size") * MARK_BELOW) & (F.col("mseq") > F.col("seq"))
     fits &= (F.abs(F.col("mx0") - F.col("x0")) <= F.col("size") * MARK_LEFT) & (F.abs(F.col("mx1") - F.col("x1")) <= F.col("size") * MARK_RIGHT)
-    found = lines.join(m, page).where(fits).groupBy(page, "mark").agg(F.count("*").alias("_n"), F.min("line").alias("line"), F.min(offset).alias("offset"))
+    # a mark begins within a small box at the line's left end
+    own = lines.select("*", (F.col("x0") - F.col("size") * MARK_LEFT).alias("_l"), (F.col("x0") + F.col("size") * MARK_LEFT).alias("_r"), (F.col("baseline") + F.col("size") * MARK_BELOW).alias("_b"))
+    places = own.select(*[c for c in lines.columns if c != "x0"], F.col("x0").alias("_x0"), F.col("_l").alias("x0"), F.col("baseline").alias("y0"), F.col("_b").alias("y1"), F.col("_r").alias("_x1")).withColumnsRenamed({"x1": "_right", "_x1": "x1"})
+    points = m.select("*", F.col("mx0").alias("qx0"), F.col("my0").alias("qy0"), F.col("mx0").alias("qx1"), F.col("my0").alias("qy1"))
+    met = meet(places, points, [page], CELL, "q").withColumn("x0", F.col("_x0")).withColumn("x1", F.col("_right"))
+    found = met.where(fits).groupBy(page, "mark").agg(F.count("*").alias("_n"), F.min("line").alias("line"), F.min(offset).alias("offset"))
     return found.where("_n = 1").select("mark", "line", "offset")
 
 
@@ -57,7 +82,7 @@ def frame_widths(boxes: DataFrame, drawings: DataFrame, page: str, most: float)
     """(id, width): what the narrowest drawing that holds a box, and is no wider than `most`, gives it from the box's left; null if none does."""
     d = drawings.select(page, *[F.col(c).alias("d" + c) for c in ("x0", "y0", "x1", "y1")])
     held = Rect.of("d").contains(Rect.of()) & (F.col("dx1") - F.col("dx0") <= most)
-    best = boxes.join(d, page).where(held).groupBy("id").agg(F.min(F.col("dx1") - F.col("x0")).alias("width"))
+    best = meet(boxes, d.where(F.col("dx1") - F.col("dx0") <= most), [page], CELL, "d").where(held).groupBy("id").agg(F.min(F.col("dx1") - F.col("x0")).alias("width"))
     return boxes.select("id").join(best, "id", "left")
 
 
@@ -186,14 +211,14 @@ def contract_faults(json: Column, required: list[str], optional: list[str]) -> t
 
 def occupancy_needs(inks: DataFrame, slots: DataFrame, page: list[str]) -> DataFrame:
     """(page, task, need): the other slots (slot, x0 to y1) whose text a slot's planned ink (slot, x0 to y1) meets, which must be rewritten before it."""
-    a = inks.select(*page, F.col("slot").alias("task"), *[F.col(c).alias("a" + c) for c in ("x0", "y0", "x1", "y1")])
+    a = inks.select(*page, F.col("slot").alias("task"), "x0", "y0", "x1", "y1")
     b = slots.select(*page, F.col("slot").alias("need"), *[F.col(c).alias("b" + c) for c in ("x0", "y0", "x1", "y1")])
-    return a.join(b, page).where((F.col("task") != F.col("need")) & Rect.of("a").intersects(Rect.of("b"))).select(*page, "task", "need").distinct()
+    return meet(a, b, page, CELL).where((F.col("task") != F.col("need")) & Rect.of().intersects(Rect.of("b"))).select(*page, "task", "need").distinct()
 
 
 def mark_rectangles(glyphs: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, mark, line, x0, x1, baseline): what each mark (mark, start, end) covers of every line of glyphs (line, at, x0, x1, baseline, blank), without the line's blanks at its ends; glyphs of one baseline each, else null."""
-    g = glyphs.join(marks, keys).where((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")))
+    g = spans.points_in(glyphs, marks, keys, "at", "start", "end")
     inked = lambda c: F.when(~F.col("blank"), F.col(c))
     found = g.groupBy(*keys, "mark", "line").agg(F.min(inked("x0")).alias("x0"), F.max(inked("x1")).alias("x1"), F.count_distinct(inked("baseline")).alias("_n"), F.min(inked("baseline")).alias("_b"))
     return found.where("x0 is not null").select(*keys, "mark", "line", "x0", "x1", F.when(F.col("_n") == 1, F.col("_b")).alias("baseline"))
@@ -205,8 +230,9 @@ def kept_outside(before: DataFrame, after: DataFrame, areas: DataFrame, page: st
 
     def outside(d: DataFrame, sign: int) -> DataFrame:
         rows = d.select(page, "x0", "y0", "x1", "y1", *value)
-        hit = [F.col(page) == F.col("_page"), Rect.of().intersects(Rect.of("a"))]
-        return rows.join(a.withColumnRenamed(page, "_page"), hit, "left_anti").groupBy(page, "x0", "y0", "x1", "y1", *value).agg((F.count("*") * sign).alias("_n"))
+        place = [page, "x0", "y0", "x1", "y1"]
+        hit = meet(rows.select(*place).distinct(), a, [page], CELL, "a").where(Rect.of().intersects(Rect.of("a"))).select(*place).distinct()
+        return rows.join(hit, place, "left_anti").groupBy(page, "x0", "y0", "x1", "y1", *value).agg((F.count("*") * sign).alias("_n"))
 
     left = outside(before, 1).unionAll(outside(after, -1)).groupBy(page, "x0", "y0", "x1", "y1", *value).agg(F.sum("_n").alias("_n"))
     return left.groupBy(page).agg(F.sum(F.greatest("_n", F.lit(0))).alias("n_missing"), F.sum(F.greatest(-F.col("_n"), F.lit(0))).alias("n_extra"))

@@ -50,20 +50,20 @@ def span_bounds(spans: DataFrame, keys: list[str]) -> DataFrame:
     return spans.where(F.size("chars") > 0).select(*keys, *ends, F.size("chars").cast("long").alias("n_glyphs"))
 
 
-def _classes(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _classes(codes: np.ndarray, closing: str) -> tuple[np.ndarray, np.ndarray]:
     """Which characters are of words, and which may stand before a space: those and closing marks."""
     known, place = np.unique(codes, return_inverse=True)
     word = np.array([unicodedata.category(chr(c))[0] in "LN" and not any(lo <= c <= hi for lo, hi in UNSPACED) for c in known.tolist()], bool)
-    before = word | np.isin(known, [ord(c) for c in CLOSING])
+    before = word | np.isin(known, [ord(c) for c in closing])
     return word[place], before[place]
 
 
-def word_gaps(spans: DataFrame, keys: list[str]) -> DataFrame:
+def word_gaps(spans: DataFrame, keys: list[str], closing: str = CLOSING) -> DataFrame:
     """(keys, after, before, x0, x1, gap): the spaces that stand for gaps, between the characters of places after and before.
 
     The characters of a span (a line: one row a key, with `size`) are taken by
     x0.  A gap is a space if it is wider than GAP_POINTS and GAP_SHARE of the
-    size and its sides are characters of words, or a closing mark and one.
+    size and its sides are characters of words, or a mark of `closing` and one.
     Characters overlap where they are kerned; those gaps are negative.
     """
     import pyarrow as pa
@@ -82,7 +82,7 @@ def word_gaps(spans: DataFrame, keys: list[str]) -> DataFrame:
             size = batch.column("size").to_numpy(zero_copy_only=False).astype(float)
             gap = x0[1:] - x1[:-1]
             wide = np.flatnonzero((row[1:] == row[:-1]) & (gap > np.maximum(GAP_POINTS, GAP_SHARE * size[row[1:]])))
-            word, before = _classes(np.concatenate([code[wide], code[wide + 1]]))
+            word, before = _classes(np.concatenate([code[wide], code[wide + 1]]), closing)
             wide = wide[before[: len(wide)] & word[len(wide) :]]
             own = [batch.column(k).take(pa.array(row[wide])) for k in keys]
             found = [pa.array(at[wide], pa.int32()), pa.array(at[wide + 1], pa.int32()), pa.array(x1[wide]), pa.array(x0[wide + 1]), pa.array(gap[wide])]

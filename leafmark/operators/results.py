@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions.geometry import Rect
-from leafmark.operators import islands, records
+from leafmark.operators import islands, records, spans
 from leafmark.storage import stage
 
 
@@ -102,11 +102,18 @@ def approvals(approved: DataFrame, candidates: DataFrame, made: DataFrame, keys:
     return missing(approved, candidates, "approved without candidate").unionAll(missing(made, approved, "made without approval")).unionAll(missing(approved, made, "approved and not made"))
 
 
-def edit_pairs(edits: DataFrame, case: str, ident: str) -> DataFrame:
-    """(case, a, b): every two edits (start, end) of a case that don't overlap, a before b by id."""
-    a = edits.select(F.col(case).alias("case"), F.col(ident).alias("a"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    b = edits.select(F.col(case).alias("case"), F.col(ident).alias("b"), F.col("start").alias("_bs"), F.col("end").alias("_be"))
-    return a.join(b, "case").where("a < b and (_e <= _bs or _be <= _s)").select("case", "a", "b")
+def disjoint_partners(edits: DataFrame, case: str, ident: str, cell: float = 8.0) -> DataFrame:
+    """(case, ident, n_pairs, partners): for each edit (start, end) of a case, how many of larger id don't overlap it, and the sum of these ids; edits without any have no row.
+
+    All that come later, less those that overlap: only overlapping edits are paired, in grid cells.
+    """
+    of = edits.groupBy(case, ident).agg(F.count("*").alias("_n"))
+    later = Window.partitionBy(case).orderBy(F.desc(ident)).rowsBetween(Window.unboundedPreceding, -1)
+    after = of.select(case, ident, "_n", F.sum("_n").over(later).alias("_later"), F.sum(F.col("_n") * F.col(ident)).over(later).alias("_ids"))
+    met = spans.overlap_pairs(edits, [case], ident, "start", "end", cell).groupBy(case, F.col("a").alias(ident)).agg(F.count("*").alias("_met"), F.sum("b").alias("_met_ids"))
+    both = after.join(met, [case, ident], "left")
+    n, ids = F.col("_n") * F.col("_later") - F.coalesce("_met", F.lit(0)), F.col("_n") * F.col("_ids") - F.coalesce("_met_ids", F.lit(0))
+    return both.select(case, ident, n.alias("n_pairs"), ids.alias("partners")).where("n_pairs > 0")
 
 
 def relocated(recorded: DataFrame, drawn: DataFrame, keys: list[str], tolerance: float) -> DataFrame:

@@ -194,8 +194,11 @@ def coverage_candidates_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of the texts of each language (null is one) that no text of another language has, for every ordered pair of languages."""
     chars = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").distinct()
     chars = stage(chars, "chars")
-    langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("missing_in")).distinct()
-    asked = chars.join(F.broadcast(langs), ~F.col("lang").eqNullSafe(F.col("missing_in")))
+    langs = chars.select(F.col("lang").alias("missing_in")).distinct().unionAll(table(spark, sf_dir, "documents").select("lang")).distinct()
+    # every character is asked of every other language, as the result has them; languages are dealt out, not broadcast
+    dealt = langs.withColumn("_part", F.pmod(F.xxhash64("missing_in"), F.lit(16)).cast("int"))
+    every = chars.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    asked = every.join(dealt, "_part").where(~F.col("lang").eqNullSafe(F.col("missing_in"))).drop("_part")
     have = chars.select(F.col("lang").alias("_lang"), F.col("ch").alias("_ch"))
     return asked.join(have, (F.col("ch") == F.col("_ch")) & F.col("missing_in").eqNullSafe(F.col("_lang")), "left_anti").select("ch", "lang", "missing_in")
 

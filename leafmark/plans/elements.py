@@ -10,6 +10,7 @@ from leafmark.operators import elements, graph
 from leafmark.plans.layout import _LINES
 from leafmark.plans.rules import _split
 from leafmark.sources.tables import table, text_lines
+from leafmark.storage import stage
 
 
 def _cols(expression: str) -> list[str]:
@@ -24,8 +25,10 @@ _PAINT = "o_orderkey // 8 AS page, o_orderkey AS paint, CASE WHEN o_custkey % 3
 
 def paint_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the paints of a page may relate to its texts: each kind of hint by text."""
-    hints = elements.paint_hints(table(spark, sf_dir, "lineitem").selectExpr(*_cols(_TEXT)), table(spark, sf_dir, "orders").selectExpr(*_cols(_PAINT)), "page")
-    return hints.groupBy("id", "hint").agg(F.count("*").alias("n"), F.min("paint").alias("first_paint"))
+    texts, paints = table(spark, sf_dir, "lineitem").selectExpr(*_cols(_TEXT)), table(spark, sf_dir, "orders").selectExpr(*_cols(_PAINT))
+    hints = stage(elements.paint_hints(texts, paints, "page"), "hints")
+    related = hints.groupBy("id", "hint").agg(F.count("*").alias("n"), F.min("paint").alias("first_paint"))
+    return related.unionAll(elements.unrelated_paints(texts, paints, hints, "page").select("id", F.lit("unrelated"), "n", "first"))
 
 
 PAINT_HINTS = f"""WITH t AS (SELECT {_TEXT} FROM lineitem), p AS (SELECT {_PAINT} FROM orders),

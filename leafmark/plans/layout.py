@@ -62,7 +62,7 @@ SELECT doc_id, CAST(line_no AS INT) AS line_no, CAST(min(x1 - advance) AS BIGINT
 
 def inferred_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the blanks of a line taken as gaps: gaps wide enough between characters of words become spaces."""
-    found = glyphs.word_gaps(tables.line_spans(table(spark, sf_dir, "documents"), blanks=False), ["doc_id", "line_no"])
+    found = glyphs.word_gaps(tables.line_spans(table(spark, sf_dir, "documents"), blanks=False), ["doc_id", "line_no"], ",;:!?.)]}")
     return found.groupBy("doc_id").agg(F.count("*").alias("n_spaces"), F.sum("gap").cast("long").alias("total_gap"), F.max("gap").cast("long").alias("widest_gap"))
 
 

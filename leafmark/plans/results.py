@@ -111,7 +111,7 @@ SELECT l_orderkey, l_returnflag, reason, count(*) AS n FROM (SELECT *, unnest(li
 def edit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two edits of a conversation that don't overlap: how many each edit has."""
     e = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "turn % 5 * 10 AS start", "turn % 5 * 10 + turn % 4 * 6 AS end")
-    return results.edit_pairs(e, "conv_id", "turn").groupBy(F.col("case").alias("conv_id"), F.col("a").alias("turn")).agg(F.count("*").alias("n_pairs"), F.sum("b").alias("partners"))
+    return results.disjoint_partners(e, "conv_id", "turn")
 
 
 EDIT_PAIRS = """WITH e AS (SELECT conv_id, turn, turn % 5 * 10 AS s, turn % 5 * 10 + turn % 4 * 6 AS z FROM conversations)
