@@ -222,8 +222,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     occur; equal items count by their distinct ids; repeated rows are judged
     alike.  Columns of docs with the names of the new ones are replaced.
 
-    The benchmark is read in blocks of a bounded size, each of which searches
-    all documents; with more than one, what was found is kept in the shared
+    The benchmark is read in blocks of a bounded size (a single item is in one
+    block), each of which searches all documents; with more than one, what was found is kept in the shared
     folder in between.
     """
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
@@ -231,7 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     blocks = max(1, math.ceil(size / BENCHMARK_BYTES))
     docs = lean(docs).drop(*_MADE, "_spans", "_items").withColumn("_spans", F.lit(None).cast("array<struct<lo:long,hi:long>>")).withColumn("_items", F.lit(None).cast("array<string>"))
     for k in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+        mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).distinct()  # the rows of an id may be in several
         docs = _search(docs, [(r.item, bytes(r.text)) for r in mine.collect()], window, k == blocks - 1)
         if k < blocks - 1:
             docs = stage(docs, "searched")

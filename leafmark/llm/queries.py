@@ -155,6 +155,16 @@ kept AS (SELECT d.k, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM (SEL
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (k)"""
 
+_OP3 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{_WORDS}') AS ws FROM documents),
+s AS (SELECT DISTINCT k, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS g FROM (SELECT k, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT k, count(*) AS n FROM s GROUP BY k), b AS (SELECT d.k, doc_id, n FROM d JOIN n USING (k) WHERE doc_id IS NOT NULL),
+p AS (SELECT x.k AS u, y.k AS v, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.k <> y.k GROUP BY 1, 2),
+l AS (SELECT DISTINCT x.doc_id AS u, y.doc_id AS v FROM p JOIN b x ON p.u = x.k JOIN b y ON p.v = y.k WHERE 100 * i >= 75 * (x.n + y.n - i)),
+r(u, root) AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.root = l.u),
+c AS (SELECT u, min(root) AS root FROM r GROUP BY u)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, c.root) AS component_id FROM d LEFT JOIN n USING (k) LEFT JOIN c ON c.u = d.doc_id"""
+
 _OP10 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1 HAVING count(*) > 1)
@@ -193,4 +203,4 @@ SELECT page_id, host, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coal
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators that SQL can express on whole tables."""
-    return {"op1_mix_sources": _OP1, "op2_quality_rules": _OP2, "op4_substring_dedup": _OP4, "op6_decontaminate": _OP6, "op9_line_dedup": _OP9, "op10_warc": _OP10, "op11_vector_codes": _OP11}
+    return {"op1_mix_sources": _OP1, "op2_quality_rules": _OP2, "op3_ngram_jaccard_join": _OP3, "op4_substring_dedup": _OP4, "op6_decontaminate": _OP6, "op9_line_dedup": _OP9, "op10_warc": _OP10, "op11_vector_codes": _OP11}

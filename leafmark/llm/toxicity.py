@@ -121,7 +121,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], texts: int
     Rows without an id or a label of some category teach nothing; of several
     rows for an id the largest labels count; a category of which the sample
     has one value only is predicted as constant.  The sample, which goes to
-    the driver, is bounded in texts and in bytes.  Texts of the same words are
+    the driver, is bounded in texts and in bytes; rows of one id with the same
+    words teach once, so empty ones, which have no bytes, are one.  Texts of the same words are
     in one fold, so an out-of-fold probability never comes from a copy.
     """
     import pyarrow as pa
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], texts: int
     if size > TRAIN_BYTES:
         draw = F.pmod(F.xxhash64(F.lit("bytes"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
         joined = joined.where(draw < F.lit(TRAIN_BYTES / size))
-    table = joined.mapInArrow(words, "doc_id long, words binary, " + ", ".join(f"{c} int" for c in categories)).toArrow()
+    table = joined.mapInArrow(words, "doc_id long, words binary, " + ", ".join(f"{c} int" for c in categories)).distinct().toArrow()
     raw, ids = table["words"].to_pylist(), table["doc_id"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i], raw[i]))
     sets = [np.frombuffer(raw[i], np.uint64) for i in order]

@@ -220,3 +220,99 @@ def test_scores_of_hard_cases(spark):
     assert len(got) == len(fx.rows()) and all((r.score is None) == (r.n_tokens == 0) for r in got)
     assert lmscore.score(fx.docs(spark), targets.where("false")).count() == len(fx.rows())
     assert lmscore.score(fx.empty(spark), targets).count() == 0
+
+
+def plain_grams(text: str) -> Counter:
+    """The hashed n-grams of a text, byte by byte."""
+    low = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode())
+    data, found = b" " + b" ".join(low.split()) + b" ", Counter()
+    for n in (2, 3, 4):
+        for i in range(len(data) - n + 1):
+            code = 0
+            for c in data[i : i + n]:
+                code = (code * 257 + c) % 2**32
+            found[(code * 2654435761) % 2**32 >> 18] += 1
+    return found
+
+
+def test_language_identification_end_to_end(spark):
+    """Learned and inferred in plain Python from the same rows: held-out rows teach nothing, languages and shares agree."""
+    pools = {"aa": "abc", "bb": "def", "cc": "ghi"}
+    rng = random.Random(3)
+    word = lambda lang: "".join(rng.choice(pools[lang]) for _ in range(rng.randrange(2, 7)))
+    rows = []
+    for i in range(90):
+        lang = rng.choice(list(pools))
+        own = [word(lang) for _ in range(30)] + ([word(rng.choice(list(pools))) for _ in range(20)] if i % 3 == 0 else [])
+        rows.append((i, " ".join(own), lang if i % 11 else None))
+    rows += [(200, None, "aa"), (201, "12 34", "bb"), (202, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, langid.trained_on_rest(docs)).collect()}
+    counts = {lang: Counter() for lang in pools}
+    for i, text, lang in rows:
+        if lang and text and any(c.isalpha() for c in text) and zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[lang].update(plain_grams(text))
+    langs = sorted(pools)
+    table = np.array([[counts[lang][c] + langid.SMOOTHING for c in range(1 << 14)] for lang in langs])
+    log_p = np.log(table / table.sum(axis=1, keepdims=True))
+    mixed = 0
+    for i, text, _ in rows:
+        if not text or not any(c.isalpha() for c in text):
+            assert (got[i].lang_pred, got[i].score, got[i].languages) == ("und", 0.0, {})
+            continue
+        grams = plain_grams(text)
+        at = np.array(sorted(grams))
+        want = brute_mixture(log_p, at, np.array([float(grams[c]) for c in at]), langid.PENALTY)
+        want = {langs[k]: v for k, v in want.items()}
+        assert set(got[i].languages) == set(want)
+        assert all(abs(got[i].languages[k] - v) < 0.03 for k, v in want.items())
+        best = max(want, key=lambda k: want[k])
+        assert got[i].lang_pred == best or abs(want[got[i].lang_pred] - want[best]) < 0.05
+        mixed += len(want) > 1
+    assert mixed > 5
+
+
+def test_the_chain_end_to_end_against_plain_python(spark):
+    """Both categories from rows: out-of-fold probabilities of the first feed the second; every probability agrees."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(260):
+        bad, rude = rng.random() < 0.4, rng.random() < 0.3
+        own = [f"w{rng.randrange(30)}" for _ in range(12)] + ["awful"] * (bad and rng.random() < 0.9) + ["Scum!"] * (rude and rng.random() < 0.8)
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(bad), int(bad and rude or rng.random() < 0.05)))
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, unfit int, toxic int")
+    got = {r.doc_id: (r.p_unfit, r.p_toxic) for r in toxicity.predict(docs, toxicity.train(docs, table, ["unfit", "toxic"])).collect()}
+
+    words = [{w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split()} for _, t in rows]
+    hashed = toxicity._word_sets([t.encode() for _, t in rows])
+    folds = [toxicity._fold(s) for s in hashed]
+
+    def fit(sets, earlier, y):
+        n, base = len(y), (sum(y) + 0.5) / (len(y) + 1)
+        seen, positive = Counter(w for s in sets for w in s), Counter(w for s, v in zip(sets, y, strict=True) if v for w in s)
+        chosen = [w for w in seen if seen[w] >= toxicity.MIN_TEXTS and abs(positive[w] - seen[w] * base) / math.sqrt(seen[w] * base * (1 - base) + 1) >= toxicity.LEAST_FAR]
+        x = np.array([[float(w in s) for w in chosen] + list(e) + [1.0] for s, e in zip(sets, earlier, strict=True)])
+        weights = np.zeros(x.shape[1])
+        weights[-1] = math.log(base / (1 - base))
+        ridge, size = np.array([1.0] * (x.shape[1] - 1) + [0.0]) * toxicity.RIDGE / n, np.full(x.shape[1], 1e-6)
+        for _ in range(toxicity.STEPS):
+            grad = x.T @ (1 / (1 + np.exp(-x @ weights)) - np.array(y)) / n + ridge * weights
+            size += grad**2
+            weights -= toxicity.RATE * grad / np.sqrt(size)
+        return lambda s, e: 1 / (1 + math.exp(-(sum(w * (c in s) for w, c in zip(weights, chosen, strict=False)) + float(np.dot(weights[len(chosen) : -1], e)) + weights[-1])))
+
+    unfit, toxic = [r[1] for r in labels], [r[2] for r in labels]
+    none = [[]] * len(rows)
+    first, out = fit(words, none, unfit), [0.0] * len(rows)
+    for f in range(toxicity.FOLDS):
+        rest = [i for i in range(len(rows)) if folds[i] != f]
+        held = fit([words[i] for i in rest], [[]] * len(rest), [unfit[i] for i in rest])
+        for i in range(len(rows)):
+            if folds[i] == f:
+                out[i] = held(words[i], [])
+    second = fit(words, [[p] for p in out], toxic)
+    assert any(abs(out[i] - first(words[i], [])) > 1e-3 for i in range(len(rows)))
+    for i in range(len(rows)):
+        p = first(words[i], [])
+        assert got[i] == pytest.approx((p, second(words[i], [p])), abs=1e-6)
