@@ -141,3 +141,50 @@ def project_ranges(ranges: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     status = F.when(crossed, "crossed").when(edge, "edge").when(lo >= hi, "gone").otherwise("kept")
     kept = status == "kept"
     return both.select(*ranges.columns, F.when(kept, lo).alias("new_start"), F.when(kept, hi).alias("new_end"), status.alias("status"))
+
+
+def restyle(spans: DataFrame, edits: DataFrame, key: str, typing: str) -> DataFrame:
+    """(key, start, end, style, refused): the style spans of texts after several disjoint edits.
+
+    spans (key, start, end, style) partition each text; edits (key, start,
+    end, length, style) put text of one style there.  Without a style new text
+    takes that of what it replaces, or of what it stands between; where these
+    differ the whole text is refused: one row with the flag and no span.  A
+    text that was empty takes `typing`.  Spans that touch and are alike are one.
+    """
+    whole = _alike(spans.select(key, F.col("start").cast("long").alias("lo"), F.col("end").cast("long").alias("hi"), "style"), key)
+    lengths = spans.groupBy(key).agg(F.max("end").cast("long").alias("length"))
+    put = edits.select(key, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("length").cast("long").alias("n"), F.col("style").alias("given"))
+    put = put.join(lengths, key, "left").withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
+    insertion = F.col("start") == F.col("end")
+    # the span of the character before an insertion, or of the first that is replaced
+    asked = put.withColumns({"_at": F.when(insertion, F.greatest(F.col("start") - 1, F.lit(0))).otherwise(F.col("start")), "_kind": F.lit(1)})
+    marks = whole.select(key, F.col("lo").alias("_at"), F.lit(0).alias("_kind"), F.struct("hi", "style").alias("_s"))
+    w = Window.partitionBy(key).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = asked.unionByName(marks, allowMissingColumns=True).withColumn("_s", F.last("_s", ignorenulls=True).over(w)).where("_kind = 1")
+    one = F.when(insertion, (F.col("start") == 0) | (F.col("_s.hi") > F.col("start")) | (F.col("start") >= F.col("length"))).otherwise(F.col("_s.hi") >= F.col("end"))
+    own = F.coalesce("given", F.when(F.col("_s").isNull(), F.lit(typing)).when(one, F.col("_s.style")))
+    order = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    new = found.withColumn("_style", own).withColumn("lo", F.col("start") + F.coalesce(F.sum(F.col("n") - (F.col("end") - F.col("start"))).over(order), F.lit(0)))
+    new = new.select(key, "lo", (F.col("lo") + F.col("n")).alias("hi"), F.col("_style").alias("style")).where("lo < hi")
+    refused = new.where("style is null").select(key).distinct()
+    # what is kept of each span: pieces and spans cut the text before
+    kept = pieces(lengths, put.select(key, "start", "end", F.col("n").alias("length")), key)
+    cuts = whole.select(key, F.col("lo").alias("at"), F.struct("hi", "style").alias("s")).unionByName(kept.select(key, F.col("lo").alias("at"), F.struct("hi", "shift").alias("p")), allowMissingColumns=True)
+    cuts = cuts.unionByName(kept.select(key, F.col("hi").alias("at")), allowMissingColumns=True).unionByName(whole.select(key, F.col("hi").alias("at")), allowMissingColumns=True)
+    points = cuts.groupBy(key, "at").agg(F.max("s").alias("s"), F.max("p").alias("p"))
+    along = Window.partitionBy(key).orderBy("at")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    held = points.select(key, "at", F.lead("at").over(along).alias("to"), F.last("s", ignorenulls=True).over(so_far).alias("s"), F.last("p", ignorenulls=True).over(so_far).alias("p"))
+    held = held.where((F.col("at") < F.col("s.hi")) & (F.col("at") < F.col("p.hi")) & F.col("to").isNotNull())
+    moved = held.select(key, (F.col("at") + F.col("p.shift")).alias("lo"), (F.col("to") + F.col("p.shift")).alias("hi"), F.col("s.style").alias("style"))
+    out = _alike(moved.unionByName(new), key).join(refused, key, "left_anti")
+    return out.select(key, F.col("lo").alias("start"), F.col("hi").alias("end"), "style", F.lit(False).alias("refused")).unionByName(refused.select(key, *[F.lit(None).cast(t).alias(c) for c, t in (("start", "long"), ("end", "long"), ("style", "string"))], F.lit(True).alias("refused")))
+
+
+def _alike(spans: DataFrame, key: str) -> DataFrame:
+    """Spans (key, lo, hi, style) that partition a text, those that follow each other in one style as one."""
+    w = Window.partitionBy(key).orderBy("lo")
+    new = F.when(F.lag("style").over(w).eqNullSafe(F.col("style")), 0).otherwise(1)
+    marked = spans.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(key, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("style").alias("style")).drop("_run")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions.text import width
-from leafmark.operators import areas, detection, observed, revisions, typeset
+from leafmark.operators import areas, detection, fidelity, observed, revisions, typeset
 from leafmark.plans.elements import _ID, _cols
 from leafmark.sources.tables import table, text_lines
 
@@ -215,6 +215,55 @@ SELECT doc_id, CAST(id AS INT) AS id, CASE WHEN status = 'kept' THEN CAST(start
 
 PROJECTED_RANGES = _projected()
 
-_F = (fill_coverage, column_regions, outline_matches, observed_paragraphs, balanced_lines, styled_lines, relaid_lines, revision_maps, replayed_records, bound_blocks, projected_ranges)
+_STYLED_AS = "CASE WHEN doc_id % 2 = 0 THEN 's9' END"
+
+
+def styled_edit_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Styles of each text, one for every twenty characters, through its two edits; the second has a style of its own, the first what it finds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
+    cut = docs.where("n > 0").select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 20).cast("int"))).alias("i"))
+    spans = cut.select("doc_id", (F.col("i") * 20).alias("start"), F.least(F.col("i") * 20 + 20, F.col("n")).alias("end"), F.concat(F.lit("s"), F.col("i") % 3).alias("style"))
+    edits = _edits(docs, 5).withColumn("style", F.when(F.col("ord") == 1, F.lit("s8")).otherwise(F.expr(_STYLED_AS)))
+    found = revisions.restyle(spans, edits.drop("ord"), "doc_id", "s0")
+    return found.groupBy("doc_id").agg(F.count("start").alias("n_spans"), F.max("end").alias("n_chars"), F.count_if(F.col("style") == "s8").alias("n_new"), F.max("refused").alias("refused"), F.coalesce(F.sum(F.when(F.col("style") == "s1", F.col("end") - F.col("start"))), F.lit(0)).alias("n_s1"))
+
+
+def _styled() -> str:
+    a, x, n, b, y, m = _edit(5)
+    return f"""WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, n, p, 's' || (p // 20 % 3) AS st FROM (SELECT *, unnest(range(n)) AS p FROM d)),
+t AS (SELECT doc_id, min(st) AS lo, max(st) AS hi FROM c WHERE CASE WHEN {x} > 0 THEN p >= {a} AND p < {a} + {x} ELSE p IN ({a} - 1, {a}) END GROUP BY doc_id),
+q AS (SELECT doc_id, n, n >= 200 AND {n} > 0 AND ({_STYLED_AS}) IS NULL AND lo <> hi AS refused, coalesce(({_STYLED_AS}), lo) AS own FROM d LEFT JOIN t USING (doc_id)),
+o AS (SELECT c.doc_id, {_step_sql(5).replace("n < 200", "c.n < 200")} AS p, st FROM c UNION ALL SELECT doc_id, {a} + unnest(range({n})), own FROM q WHERE n >= 200 UNION ALL SELECT doc_id, {b} + {n} - ({x}) + unnest(range({m})), 's8' FROM q WHERE n >= 200),
+g AS (SELECT o.doc_id, p, st, refused, CAST(st IS DISTINCT FROM lag(st) OVER (PARTITION BY o.doc_id ORDER BY p) AS INT) AS ch FROM o JOIN q ON o.doc_id = q.doc_id WHERE p IS NOT NULL)
+SELECT doc_id, CASE WHEN refused THEN 0 ELSE CAST(sum(ch) AS BIGINT) END AS n_spans, CASE WHEN NOT refused THEN CAST(max(p) + 1 AS BIGINT) END AS n_chars, CASE WHEN refused THEN 0 ELSE CAST(count(*) FILTER (ch = 1 AND st = 's8') AS BIGINT) END AS n_new, refused,
+ CASE WHEN refused THEN 0 ELSE CAST(count(*) FILTER (st = 's1') AS BIGINT) END AS n_s1 FROM g GROUP BY doc_id, refused"""
+
+
+STYLED_EDIT_LISTS = _styled()
+
+
+def edit_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns set in lines of 40 characters before and after an edit: characters kept, moved and restyled, and line ends kept."""
+    t = table(spark, sf_dir, "conversations").where("text <> ''").groupBy((F.col("conv_id") * 1000 + F.col("turn")).alias("key")).agg(F.max("text").alias("text"))
+    n = F.char_length("text")
+    start = F.floor(n * (F.col("key") % 5) / 6).cast("int")
+    t = t.withColumns({"start": start, "end": F.least(start + F.col("key") % 4 * 3, n).cast("int")})
+    after = F.concat(F.expr("substring(text, 1, start)"), F.when(F.col("key") % 3 > 0, "new ").otherwise(""), F.expr("substring(text, `end` + 1)"))
+
+    def glyphs(text):
+        rows = t.select("key", F.posexplode(F.split(text, "")).alias("ord", "ch")).where("ch <> ''")
+        return rows.select("key", "ord", "ch", (F.col("ord") % 40 * 6.0).alias("x"), (F.floor(F.col("ord") / 40) * 14.0).alias("y"), F.when(F.col("ord") % 50 < 5, "bold").otherwise("plain").alias("style"), F.floor(F.col("ord") / 40).cast("int").alias("line"))
+
+    return fidelity.fidelity(glyphs("text"), glyphs(after), t.where("key % 2 = 0").select("key", "start", "end"))
+
+
+def changed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs in which the texts of neighbouring turns of a conversation differ, by alignment."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), F.lag("text").over(w).alias("before"), F.col("text").alias("after")).where("before is not null")
+    return fidelity.changed_runs(t).groupBy("key").agg(F.count("*").alias("n_runs"), F.sum(F.col("end") - F.col("start")).alias("removed"), F.sum(F.col("new_end") - F.col("new_start")).alias("put"))
+
+
+_F = (fill_coverage, column_regions, outline_matches, observed_paragraphs, balanced_lines, styled_lines, relaid_lines, revision_maps, replayed_records, bound_blocks, projected_ranges, styled_edit_lists, edit_fidelity, changed_texts)
 QUERIES = {f.__name__: f for f in _F}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _F if f.__name__.upper() in globals()}

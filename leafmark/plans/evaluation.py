@@ -139,6 +139,16 @@ def reject_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 REJECT_CATEGORY = "SELECT CASE " + " ".join(f"WHEN contains(text, '{p}') THEN '{c}'" for p, c in TEXT_PHRASES) + " ELSE 'other' END AS category, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY 1"
 
 
+def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by all classes whose phrases they contain, several of which may apply."""
+    classes = V.reasons([(c, F.contains("text", F.lit(p))) for p, c in TEXT_PHRASES])
+    d = table(spark, sf_dir, "documents").select(F.array_join(F.array_distinct(classes), "+").alias("classes"), "n_chars")
+    return d.groupBy("classes").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+TEXT_CLASSES = "WITH c AS (SELECT n_chars, [" + ", ".join(f"CASE WHEN contains(text, '{p}') THEN '{c}' END" for p, c in TEXT_PHRASES) + "] AS cs FROM documents) SELECT array_to_string(list_filter(cs, lambda x, i: x IS NOT NULL AND list_position(cs, x) = i), '+') AS classes, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM c GROUP BY 1"
+
+
 _MESSAGE = "'Refused: ' || pick(ps, CAST(event_id * 7 % 20 AS INT) + 1) || '; ' || pick(ps, CAST(user_id % 20 AS INT) + 1)"
 _PIECES = [p + " here" for p, _ in REJECT_PHRASES] + ["nothing known", "MATCHING"]
 
@@ -219,6 +229,6 @@ def nfkc_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(T.nfkc("text"), 256).alias("nfkc_sha256"), (F.size(T.grapheme_starts("text")) - 1).cast("long").alias("n_graphemes"))
 
 
-_F = (revision_diff, outcome_summary, record_upsert, tri_state_verdict, weighted_mode, consensus_and_spread, boundary_groups, refusal_histogram, reject_category, refusal_categories, impact_rules, content_digest, corpus_profile, sequence_align, nfkc_normalize)
+_F = (revision_diff, outcome_summary, record_upsert, tri_state_verdict, weighted_mode, consensus_and_spread, boundary_groups, refusal_histogram, reject_category, text_classes, refusal_categories, impact_rules, content_digest, corpus_profile, sequence_align, nfkc_normalize)
 QUERIES = {f.__name__: f for f in _F}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _F if isinstance(globals().get(f.__name__.upper()), str)} | {"impact_rules": IMPACT_RULES_SQL}

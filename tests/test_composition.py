@@ -438,3 +438,47 @@ def test_ranges_through_several_edits(spark):
             continue  # refused for both reasons: the first edit's is told
         assert got[key] == value, key
     assert len({v[2] for v in want.values()}) == 4
+
+
+def plain_styles(length, spans, edits, typing):
+    """Character by character."""
+    char = [s for a, b, s in sorted(spans) for _ in range(a, b)]
+    out, cursor = [], 0
+    for a, b, k, given in sorted(edits, key=lambda e: e[:2]):
+        out += char[cursor:a]
+        choices = set(char[a:b]) if a < b else set(char[max(0, a - 1) : a + 1])
+        if k and given is None and len(choices) > 1:
+            return None
+        out += [given or (next(iter(choices)) if choices else typing)] * k
+        cursor = b
+    out += char[cursor:]
+    runs = []
+    for i, style in enumerate(out):
+        if runs and runs[-1][2] == style:
+            runs[-1][1] = i + 1
+        else:
+            runs.append([i, i + 1, style])
+    return {tuple(r) for r in runs}
+
+
+def test_styles_through_several_edits(spark):
+    rng = random.Random(15)
+    spans, edits, want = [], [], {}
+    for k in range(120):
+        n = rng.randrange(1, 40)
+        cuts = sorted({0, n, *[rng.randrange(n) for _ in range(3)]})
+        own = [(a, b, rng.choice("xyy")) for a, b in zip(cuts, cuts[1:], strict=False)]
+        put = [(*e, rng.choice([None, None, "z"])) for e in changes(rng, n, 4)]
+        spans += [(k, *s) for s in own]
+        edits += [(k, *e) for e in put]
+        want[k] = plain_styles(n, own, put, "t")
+    edits.append((500, 0, 0, 3, None))
+    want[500] = {(0, 3, "t")}
+    found = revisions.restyle(spark.createDataFrame(spans, "k int, start int, end int, style string"), spark.createDataFrame(edits, "k int, start int, end int, length int, style string"), "k", "t").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.k, set()).add((r.start, r.end, r.style))
+        assert r.refused == (want[r.k] is None)
+    for k, runs in want.items():
+        assert got.get(k, set()) == ({(None, None, None)} if runs is None else runs)
+    assert 5 < sum(v is None for v in want.values()) < 100
