@@ -315,7 +315,7 @@ def allocate(paragraphs: DataFrame, flow: str, order: str, lines: str, capacity:
     """(flow, order, region, first_line, n_lines): paragraphs' lines dealt to regions of so many lines, in order.
 
     Paragraphs flagged by `keep` that fit an empty region aren't split: they
-    begin a new one.  Flows are streamed in order; the state is the place
+    begin a new one; null and 0 are no lines.  Flows are streamed in order; the state is the place
     reached, so a flow may be of any length.
     """
     import pyarrow as pa
@@ -331,7 +331,7 @@ def allocate(paragraphs: DataFrame, flow: str, order: str, lines: str, capacity:
             for f, o, n, whole in zip(*[batch.column(c).to_pylist() for c in ("flow", "ordinal", "n", "t")], strict=True):
                 if (f,) != before:
                     before, region, used = (f,), 0, 0
-                if whole and 0 < used and capacity - used < n <= capacity:
+                if whole and 0 < used and capacity - used < (n or 0) <= capacity:
                     region, used = region + 1, 0
                 while n and n > 0:
                     if used == capacity:
