@@ -13,10 +13,10 @@ def plain_allocation(paragraphs, capacity):
     """Line by line: each takes the next free line of the regions."""
     out, free = [], 0
     for order, n, keep in paragraphs:
-        room = capacity - free % capacity
+        n, room = n or 0, capacity - free % capacity
         if keep and room < n <= capacity and free % capacity:
             free += room
-        for _ in range(n or 0):
+        for _ in range(n):
             out.append((order, free // capacity, free % capacity))
             free += 1
     fragments = {}
