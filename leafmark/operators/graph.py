@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.storage import stage
 
+#: Pieces of the paths that a file holds at most, for a reader takes thousands of rows at once; rows of a file at least.
+PIECES, LEAST_ROWS = 1 << 23, 64
+
 
 def positions(links: DataFrame, keys: list[str], node: str, previous: str, piece: str | None = None, weight: str | None = None) -> DataFrame:
     """(keys, node, position, status[, path][, total]): how many nodes are before each along its chain of previous nodes.
@@ -16,39 +21,57 @@ def positions(links: DataFrame, keys: list[str], node: str, previous: str, piece
     are allowed: several nodes may have one before them.  path: the pieces of
     the nodes from the first to this, joined by slashes; total: the sum of
     their weights.  Pointers are doubled, so the rounds grow with the logarithm
-    of the longest chain.
+    of the longest chain; a round writes only what it began with open, and where
+    none of it is settled, the rest goes round.
     """
-    own = (F.col(piece) if piece else F.lit(None)).cast("string").alias("path"), (F.col(weight) if weight else F.lit(0)).cast("double").alias("total")
-    rows = links.select(*keys, F.col(node).alias("node"), F.col(previous).alias("_to"), *own)
+    more = {c: F.col(own).cast(kind).alias(c) for c, own, kind in (("path", piece, "string"), ("total", weight, "double")) if own}
+    rows = links.select(*keys, F.col(node).alias("node"), F.col(previous).alias("_to"), *more.values())
     there = rows.select(*keys, F.col("node").alias("_to"), F.lit(True).alias("_there"))
-    state = F.when(F.col("_to").isNull(), F.lit("ordered")).when(F.col("_there").isNull(), F.lit("gap"))
-    jump = stage(rows.join(there, [*keys, "_to"], "left").select(*keys, "node", "_to", F.when(F.col("_to").isNull(), 0).otherwise(1).cast("long").alias("n"), state.alias("status"), "path", "total"), "positions")
-    longest, reach = rows.count(), 1
-    while reach <= longest and not jump.where("status is null").isEmpty():
-        further = jump.select(*keys, F.col("node").alias("_to"), F.col("_to").alias("_next"), F.col("n").alias("_n"), F.col("status").alias("_status"), F.col("path").alias("_path"), F.col("total").alias("_total"))
-        both = jump.join(further, [*keys, "_to"], "left")
-        open_ = F.col("status").isNull()
-        jump = stage(both.select(*keys, "node", F.when(open_, F.col("_next")).otherwise(F.col("_to")).alias("_to"), F.when(open_, F.col("n") + F.col("_n")).otherwise(F.col("n")).alias("n"), F.when(open_, F.col("_status")).otherwise(F.col("status")).alias("status"), F.when(open_, F.concat_ws("/", "_path", "path")).otherwise(F.col("path")).alias("path"), F.when(open_, F.col("_total") + F.col("total")).otherwise(F.col("total")).alias("total")), "positions")
+    at = lambda n, status: (*keys, "node", "_to", F.lit(n).cast("long").alias("n"), status.cast("string").alias("status"), *more)
+    first = rows.where("_to is null").select(*at(0, F.lit("ordered")))
+    # staged tables are small on disk, not in memory: none is to be broadcast
+    rest = rows.where("_to is not null").join(there.hint("merge"), [*keys, "_to"], "left").select(*at(1, F.when(F.col("_there").isNull(), F.lit("gap"))))
+    step, found, reach = stage(first.unionAll(rest), "positions"), [], 1
+    while True:
+        settled, open_ = step.where("status is not null"), step.where("status is null")
+        n_settled, n_open = step.agg(F.count("status"), F.count_if(F.col("status").isNull())).first()
+        found.append(settled)
+        if not n_open or not n_settled:
+            break
+        known = reduce(DataFrame.unionAll, [*found, open_])
+        further = known.select(*keys, F.col("node").alias("_to"), F.col("_to").alias("_next"), *[F.col(c).alias("_" + c) for c in ("n", "status", *more)])
+        both = open_.join(further.hint("merge"), [*keys, "_to"], "left")
+        grown = {"path": F.concat_ws("/", "_path", "path"), "total": F.col("_total") + F.col("total")}
         reach *= 2
+        step = stage(both.select(*keys, "node", F.col("_next").alias("_to"), (F.col("n") + F.col("_n")).alias("n"), F.col("_status").alias("status"), *[grown[c].alias(c) for c in more]), "positions", most=max(LEAST_ROWS, PIECES // reach) if piece else None)
+    every = reduce(DataFrame.unionAll, [*found, open_])
     status = F.coalesce("status", F.lit("cycle"))
     ordered = status == "ordered"
-    found = jump.select(*keys, F.col("node").alias(node), F.when(ordered, F.col("n")).alias("position"), status.alias("status"), F.when(ordered, F.col("path")).alias("path"), F.when(ordered, F.col("total")).alias("total"))
-    return found.drop(*[c for c, asked in (("path", piece), ("total", weight)) if not asked])
+    return every.select(*keys, F.col("node").alias(node), F.when(ordered, F.col("n")).alias("position"), status.alias("status"), *[F.when(ordered, F.col(c)).alias(c) for c in more])
 
 
 def terminals(mapping: DataFrame, name: str, target: str) -> DataFrame:
     """(name, mapped, status) of a map of names: where each leads in the end, however long the chain; null with status cycle if nowhere.
 
-    A target that the map doesn't name is the end.  Pointers are doubled.
+    A target that the map doesn't name is the end.  Pointers are doubled; a
+    round writes only the names that it began with open, and where it settles
+    none, these go round.
     """
-    step = stage(mapping.select(F.col(name).alias("name"), F.col(target).alias("to"), F.lit(False).alias("done")).distinct(), "names")
-    n, reach = step.count(), 1
-    while True:
-        ahead = step.select(F.col("name").alias("to"), F.col("to").alias("_next"), F.col("done").alias("_done"))
-        step = stage(step.join(ahead, "to", "left").select("name", F.when(F.col("done"), F.col("to")).otherwise(F.coalesce("_next", "to")).alias("to"), (F.col("done") | F.col("_next").isNull() | F.col("_done")).alias("done")), "names")
-        reach *= 2
-        if reach > 2 * n or step.where("not done").isEmpty():
-            return step.select("name", F.when(F.col("done"), F.col("to")).alias("mapped"), F.when(F.col("done"), "mapped").otherwise("cycle").alias("status"))
+    step, found = stage(mapping.select(F.col(name).alias("name"), F.col(target).alias("to"), F.lit(False).alias("done")).distinct(), "names"), []
+    n_open = step.count()
+    while n_open:
+        open_ = step.where("not done")
+        known = reduce(DataFrame.unionAll, [*found, open_])
+        ahead = known.select(F.col("name").alias("to"), F.col("to").alias("_next"), F.col("done").alias("_done"))
+        # small on disk, not in memory: not to be broadcast
+        both = open_.join(ahead.hint("merge"), "to", "left")
+        step = stage(both.select("name", F.coalesce("_next", "to").alias("to"), (F.col("_next").isNull() | F.col("_done")).alias("done")), "names")
+        found.append(step.where("done"))
+        n_done, n_open = step.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        if not n_done:
+            break
+    every = reduce(DataFrame.unionAll, [*found, step.where("not done")])
+    return every.select("name", F.when(F.col("done"), F.col("to")).alias("mapped"), F.when(F.col("done"), "mapped").otherwise("cycle").alias("status"))
 
 
 def ancestors(edges: DataFrame, child: str, parent: str, limit: int | None = None) -> DataFrame:
