@@ -76,6 +76,6 @@ def paths(edges: DataFrame, child: str, parent: str, order: str) -> DataFrame:
     """
     nodes = edges.select(F.col(child).alias("node"), F.col(parent).alias("_parent"), F.col(order).alias("_order"))
     known = nodes.select(F.col("node").alias("_p"))
-    nodes = nodes.join(known, F.col("_parent") == F.col("_p"), "left")
+    nodes = nodes.join(known.hint("merge"), F.col("_parent") == F.col("_p"), "left")
     placed = nodes.withColumn("_place", F.row_number().over(Window.partitionBy("_p").orderBy("_order", "node")))
     return positions(stage(placed, "nodes"), [], "node", "_p", "_place").select("node", F.col("position").cast("int").alias("depth"), "path")
