@@ -52,15 +52,19 @@ def unrelated_paints(texts: DataFrame, paints: DataFrame, hints: DataFrame, page
 
     Paints of a page are numbered in the order of their ids (each once); the least
     that isn't among those of a text's hints is the first number that these leave out.
+    Texts that share an id are one row: their numbers add up, and a paint counts as
+    met where it meets them all.
     """
     numbered = paints.select(page, "paint").withColumn("_k", F.row_number().over(Window.partitionBy(page).orderBy("paint")))
     counts = numbered.groupBy(page).agg(F.count("*").alias("_all"))
-    met = hints.join(numbered, [page, "paint"]).select("id", "_k")
-    w = Window.partitionBy("id").orderBy("_k")
-    at = met.withColumn("_i", F.row_number().over(w)).groupBy("id").agg(F.count("*").alias("_n"), F.min(F.when(F.col("_k") != F.col("_i"), F.col("_i"))).alias("_gap"))
-    of_text = texts.select("id", page).join(counts, page).join(at, "id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
-    rest = of_text.where(F.col("_all") > F.col("_n")).withColumn("_k", F.coalesce("_gap", F.col("_n") + 1))
-    return rest.join(numbered, [page, "_k"]).select("id", (F.col("_all") - F.col("_n")).alias("n"), F.col("paint").alias("first"))
+    shared = texts.groupBy(page, "id").agg(F.count("*").alias("_texts"))
+    met = hints.join(numbered, [page, "paint"]).groupBy(page, "id", "_k").agg(F.count("*").alias("_met"))
+    whole = met.join(shared, [page, "id"]).withColumn("_by_all", (F.col("_met") == F.col("_texts")).cast("int"))
+    w = Window.partitionBy(page, "id").orderBy("_k")
+    at = whole.withColumn("_i", F.sum("_by_all").over(w)).groupBy(page, "id").agg(F.sum("_met").alias("_n"), F.sum("_by_all").alias("_by_all"), F.min(F.when((F.col("_by_all") == 0) | (F.col("_k") != F.col("_i")), F.col("_i") + 1 - F.col("_by_all"))).alias("_gap"))
+    of_text = shared.join(counts, page).join(at, [page, "id"], "left").withColumn("_n", F.col("_all") * F.col("_texts") - F.coalesce("_n", F.lit(0)))
+    rest = of_text.where("_n > 0").withColumn("_k", F.coalesce("_gap", F.coalesce("_by_all", F.lit(0)) + 1))
+    return rest.join(numbered, [page, "_k"]).groupBy("id").agg(F.sum("_n").alias("n"), F.min("paint").alias("first"))
 
 
 def line_anchors(lines: DataFrame, marks: DataFrame, page: str) -> DataFrame:
@@ -79,11 +83,11 @@ def line_anchors(lines: DataFrame, marks: DataFrame, page: str) -> DataFrame:
 
 
 def frame_widths(boxes: DataFrame, drawings: DataFrame, page: str, most: float) -> DataFrame:
-    """(id, width): what the narrowest drawing that holds a box, and is no wider than `most`, gives it from the box's left; null if none does."""
+    """(id, width): what the narrowest drawing that holds a box, and is no wider than `most`, gives it from the box's left; null if none does.  Boxes that share an id are one row, of the least width."""
     d = drawings.select(page, *[F.col(c).alias("d" + c) for c in ("x0", "y0", "x1", "y1")])
     held = Rect.of("d").contains(Rect.of()) & (F.col("dx1") - F.col("dx0") <= most)
     best = meet(boxes, d.where(F.col("dx1") - F.col("dx0") <= most), [page], CELL, "d").where(held).groupBy("id").agg(F.min(F.col("dx1") - F.col("x0")).alias("width"))
-    return boxes.select("id").join(best, "id", "left")
+    return boxes.select("id").distinct().join(best, "id", "left")
 
 
 def beside_column(box: Rect, column: Rect, own: Rect, first_row: Column) -> Column:
@@ -158,10 +162,10 @@ def provenance(n_first: Column, n: Column, start: Column, end: Column, inserted:
     return {k: F.when(reason.isNull(), v).cast("long") for k, v in counts.items()}, reason
 
 
-def region_breaks(slots: DataFrame, keys: list[str], order: str, page: str) -> DataFrame:
-    """(keys, offset, before, after, kind): the breaks between neighbouring slots (start, end) of a paragraph that hold text: page or container breaks."""
+def region_breaks(slots: DataFrame, keys: list[str], order: str, page: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, offset, before, after, kind): the breaks between neighbouring slots (start, end) of a paragraph that hold text: page or container breaks.  Slots of one place go by the columns `ties`."""
     held = slots.where("start <> end")
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = Window.partitionBy(*keys).orderBy(order, *ties)
     kind = F.when(F.lead(page).over(w) != F.col(page), "page_break").otherwise("container_break")
     rows = held.select(*keys, F.col("end").alias("offset"), F.col(order).alias("before"), F.lead(order).over(w).alias("after"), kind.alias("kind"))
     return rows.where("after is not null")

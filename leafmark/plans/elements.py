@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmark.functions.geometry import Rect
@@ -104,7 +104,8 @@ SELECT event_id, CASE WHEN reason IS NULL THEN fr END AS first_retained, CASE WH
 def region_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as paragraphs in slots: the breaks between those that hold text."""
     s = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", f"{_ID} AS slot", "l_partkey AS start", "l_partkey + l_suppkey % 4 AS end", "l_linenumber div 3 AS page")
-    return elements.region_breaks(s, ["l_orderkey"], "slot", "page").withColumnRenamed("offset", "at_offset").withColumnRenamed("before", "slot_before").withColumnRenamed("after", "slot_after")
+    # two lines of an order may have one price: the SQL leaves their order open, here it is the same in every run
+    return elements.region_breaks(s, ["l_orderkey"], "slot", "page", ("page", "start", "end")).withColumnRenamed("offset", "at_offset").withColumnRenamed("before", "slot_before").withColumnRenamed("after", "slot_after")
 
 
 REGION_BREAKS = f"""WITH s AS (SELECT l_orderkey, {_ID} AS slot, l_partkey + l_suppkey % 4 AS en, l_linenumber // 3 AS page FROM lineitem WHERE l_suppkey % 4 > 0),
@@ -241,7 +242,10 @@ SELECT p.page, CAST(coalesce(m.n, 0) AS BIGINT) AS n_missing, CAST(coalesce(x.n,
 
 def placement_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyphs of an order as planned and as drawn: those lost, and the worst position."""
-    g = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", f"{_ID} AS at", "l_returnflag AS ch", "l_quantity AS x", "l_discount AS y", "l_partkey")
+    # lines of an order may have one price: places are told apart by all that a glyph is made of
+    place = Window.partitionBy("l_orderkey", "id").orderBy("ch", "x", "y", "l_partkey")
+    g = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", f"{_ID} AS id", "l_returnflag AS ch", "l_quantity AS x", "l_discount AS y", "l_partkey")
+    g = g.withColumn("at", F.struct("id", F.row_number().over(place))).drop("id")
     drawn = g.where("l_partkey % 17 > 0").selectExpr("l_orderkey", "at", "CASE WHEN l_partkey % 23 = 0 THEN '?' ELSE ch END AS ch", "x + l_partkey % 4 * 0.25 AS x", "y")
     return elements.placement_errors(g.drop("l_partkey"), drawn, ["l_orderkey"]).withColumn("worst", F.round("worst", 6))
 

@@ -1,10 +1,19 @@
 """What steps write and hold, and rows that share an id."""
 
 
+import hashlib
+import os
+import random
+import unicodedata
+
 import duckdb
 import pytest
+from compare import same_rows
+from pyspark.sql import functions as F
 
+from leafmark.functions import text as T
 from leafmark.operators import graph, structure
+from leafmark.plans import composition, elements
 from leafmark.storage import stage
 
 
@@ -53,3 +62,57 @@ def test_long_paths_lie_in_small_files(spark, staged, monkeypatch):
         for name in files:
             [(rows, size)] = db.sql(f"SELECT count(*), coalesce(sum(length(path)), 0) FROM '{name.removeprefix('file://')}'").fetchall()
             assert rows <= graph.LEAST_ROWS or size <= 4 * graph.PIECES
+
+
+@pytest.fixture(scope="module")
+def shared_ids(small, tmp_path_factory):
+    """The smallest tables with lines whose order and price are those of another line: of one page, place or letter, or of others; and lines that are there twice."""
+    folder = tmp_path_factory.mktemp("shared") / "sf"
+    folder.mkdir()
+    db = duckdb.connect()
+    for name in os.listdir(small):
+        rows = f"SELECT * FROM '{small}/{name}'"
+        if name == "lineitem.parquet":
+            twin = "l_partkey + 3 AS l_partkey, l_suppkey + 1 AS l_suppkey, l_linenumber % 7 + 1 AS l_linenumber"
+            rows = f"""{rows} UNION ALL SELECT * REPLACE ({twin}) FROM ({rows}) WHERE l_orderkey % 3 = 0 UNION ALL {rows} WHERE l_orderkey % 7 = 1
+            UNION ALL SELECT * REPLACE ('R' AS l_returnflag, l_quantity + 0.001 AS l_quantity, l_partkey + 1 AS l_partkey) FROM ({rows}) WHERE l_orderkey % 5 = 2"""
+        db.sql(f"COPY (SELECT * FROM ({rows})) TO '{folder}/{name}' (FORMAT parquet)")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["frame_widths", "outline_matches", "paint_hints", "placement_errors"])
+def test_lines_of_one_price(spark, shared_ids, name):
+    plan = composition if name == "outline_matches" else elements
+    same_rows(spark, shared_ids, plan.QUERIES[name], plan.ORACLES[name])
+
+
+def test_breaks_between_slots_of_one_place(spark, shared_ids, tmp_path):
+    """The SQL leaves the order of equal slots open: rows in any order give the same breaks, and those of orders without equal slots are the SQL's."""
+    lines = spark.read.parquet(f"{shared_ids}/lineitem.parquet")
+    found = []
+    for k, order in enumerate(("l_partkey", "l_suppkey", "l_tax")):
+        lines.coalesce(1).orderBy(order, F.desc("l_quantity")).repartition(1 + 2 * k).write.parquet(str(tmp_path / f"{k}" / "lineitem.parquet"))
+        found.append(sorted(map(tuple, elements.region_breaks(spark, str(tmp_path / f"{k}")).collect())))
+    assert found[0] == found[1] == found[2]
+    (tmp_path / "alone").mkdir()
+    alone = f"SELECT * FROM '{shared_ids}/lineitem.parquet' WHERE l_orderkey IN (SELECT l_orderkey FROM '{shared_ids}/lineitem.parquet' GROUP BY 1 HAVING count(*) = count(DISTINCT l_extendedprice))"
+    duckdb.connect().sql(f"COPY ({alone}) TO '{tmp_path}/alone/lineitem.parquet' (FORMAT parquet)")
+    same_rows(spark, str(tmp_path / "alone"), elements.region_breaks, elements.ORACLES["region_breaks"])
+
+
+def test_normal_forms_and_clusters(spark):
+    rng = random.Random(5)
+    texts = ["", None, "a\r\nb\n\r", "e\u0301x", "\U0001f468\u200d\U0001f469", "ﬁ ｘ"] + ["".join(rng.choice("aé\u0301\r\n ｆ가") for _ in range(rng.randrange(40))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    want = {r.k: r.n for r in rows.select("k", (F.size(T.grapheme_starts("t")) - 1).alias("n")).collect()}
+    for r in T.normalized(rows, "k", "t").collect():
+        t = texts[r.key]
+        digest = None if t is None else hashlib.sha256("".join(unicodedata.normalize("NFKC", t).split()).encode()).hexdigest()
+        assert (r.nfkc_sha256, r.n_graphemes) == (digest, None if t is None else want[r.key])
+    plan = T.normalized(rows, "k", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "array<int>" not in plan
+
+
+def test_fidelity_joins_no_characters(spark, small):
+    plan = composition.edit_fidelity(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("Join") <= 2
