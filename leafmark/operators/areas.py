@@ -211,8 +211,9 @@ def outlines(glyphs: DataFrame, inks: DataFrame, keys: list[str], tolerance: flo
     """(keys, id, ink, status): the one outline (ink, x, y) of equal keys within the tolerance, on both axes, of each glyph (id, x, y).
 
     Status: matched, none, several, or shared where another glyph has the same
-    outline; only matched rows have an ink.  Equal places are counted before
-    places meet, in grid cells of two tolerances.
+    outline; only matched rows have an ink.  Glyphs that share an id count as
+    one, wherever they are, and so do outlines that share an ink.  Equal places
+    are counted before places meet, in grid cells of two tolerances.
     """
     cell = 2 * tolerance
     a = glyphs.groupBy(*keys, "x", "y").agg(F.count("*").alias("_n"))
@@ -222,7 +223,11 @@ def outlines(glyphs: DataFrame, inks: DataFrame, keys: list[str], tolerance: flo
     theirs = b.withColumn("_cx", reach("_x")).withColumn("_cy", reach("_y"))
     near = mine.join(theirs, [*keys, "_cx", "_cy"]).where((F.abs(F.col("x") - F.col("_x")) <= tolerance) & (F.abs(F.col("y") - F.col("_y")) <= tolerance))
     claims = near.groupBy(*keys, "_x", "_y").agg(F.sum("_n").alias("_claims"))
-    best = near.join(claims, [*keys, "_x", "_y"]).groupBy(*keys, "x", "y").agg(F.sum("_m").alias("_inks"), F.max("_claims").alias("_claims"), F.min("ink").alias("ink"))
+    best = near.groupBy(*keys, "x", "y").agg(F.sum("_m").alias("_inks"), F.min("ink").alias("ink"))
+    own = Window.partitionBy("id")
     found = glyphs.select(*keys, "id", "x", "y").join(best, [*keys, "x", "y"], "left")
+    found = found.select(*keys, "id", F.sum("_inks").over(own).alias("_inks"), F.min("ink").over(own).alias("ink"))
+    of_ink = inks.select(*keys, F.col("x").alias("_x"), F.col("y").alias("_y"), "ink").join(claims, [*keys, "_x", "_y"]).groupBy("ink").agg(F.sum("_claims").alias("_claims"))
+    found = found.join(of_ink, "ink", "left")
     status = F.when(F.col("_inks").isNull(), "none").when(F.col("_inks") > 1, "several").when(F.col("_claims") > 1, "shared").otherwise("matched")
     return found.select(*keys, "id", F.when(status == "matched", F.col("ink")).alias("ink"), status.alias("status"))
