@@ -7,8 +7,11 @@ aggregations over characters.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from leafmark.functions.text import matching_blocks
 from leafmark.operators.typeset import _streamed
@@ -45,6 +48,20 @@ def changed_runs(texts: DataFrame) -> DataFrame:
     return found.where("start < end or new_start < new_end")
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _partners(before: pd.Series, after: pd.Series) -> pd.Series:
+    """For each character of before: twice the place in after that it is aligned with, and 1 more if the place before that is aligned too; -1 if none."""
+
+    def one(a: str, b: str) -> np.ndarray:
+        to, taken = np.full(len(a), -1, np.int32), np.zeros(len(b) + 1, np.int32)
+        for i, j, n in matching_blocks(a, b):
+            to[i : i + n] = np.arange(j, j + n)
+            taken[j + 1 : j + n + 1] = 1
+        return np.where(to < 0, -1, 2 * to + taken[to])
+
+    return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)])
+
+
 def fidelity(before: DataFrame, after: DataFrame, edits: DataFrame) -> DataFrame:
     """How the unchanged characters of each text came through an edit.
 
@@ -57,24 +74,26 @@ def fidelity(before: DataFrame, after: DataFrame, edits: DataFrame) -> DataFrame
     aligned next to each other and still lie on two lines).
     """
     w = Window.partitionBy("key").orderBy("ord")
-    marked = lambda d: d.withColumn("breaks", F.coalesce(F.lag("line").over(w) != F.col("line"), F.lit(False)))
-    a, b = marked(before), marked(after)
-    text = lambda d, name: d.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "ch"))), lambda c: c["ch"]), "").alias(name))
-    runs = matches(text(a, "before").join(text(b, "after"), "key", "left"))
-    pairs = runs.select("key", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"), "i", "j").select("key", (F.col("i") + F.col("k")).alias("ord"), (F.col("j") + F.col("k")).alias("to"))
-    there = b.select("key", F.col("ord").alias("to"), *[F.col(c).alias("_" + c) for c in ("x", "y", "style", "breaks")])
-    rows = a.join(pairs, ["key", "ord"], "left").join(there, ["key", "to"], "left").join(edits.select("key", "start", "end"), "key", "left")
+    # characters are packed so well in a shuffle that its size says little of them: the parts aren't to be merged by it
+    parts = int(before.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = lambda d: d.repartition(parts, "key").withColumn("breaks", F.coalesce(F.lag("line").over(w) != F.col("line"), F.lit(False)))
+    # a text is one row, so that nothing of its characters is joined; estimates of exploded texts are far too low, so nothing is broadcast
+    whole = lambda d, name, *of: marked(d).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("ord", *of))).alias(name))
+    a, b = whole(before, "_a", "ch", "x", "y", "style", "breaks"), whole(after, "_b", "ch", "x", "y", "style", "breaks")
+    texts = a.join(b.hint("merge"), "key", "left").join(edits.select("key", "start", "end").hint("merge"), "key", "left")
+    text = lambda name: F.array_join(F.transform(F.col(name), lambda c: c["ch"]), "")
+    texts = texts.withColumn("_to", _partners(text("_a"), F.coalesce(text("_b"), F.lit(""))))
+    at = lambda i: F.when(F.get("_to", i) >= 0, F.shiftright(F.get("_to", i), 1))
+    # the place before is aligned to some character, whichever: a break needs one on each side
+    one = lambda c, i: F.struct(c["ord"].alias("ord"), c["x"].alias("x"), c["y"].alias("y"), c["style"].alias("style"), c["breaks"].alias("breaks"), at(i).alias("to"), (F.get("_to", i) % 2 == 1).alias("_left"), F.get("_b", at(i)).alias("_o"))
+    rows = texts.select("key", "start", "end", F.when(F.col("_b").isNull(), 0).otherwise(F.size("_b")).cast("long").alias("n_after"), F.explode(F.transform("_a", one)).alias("_c"))
+    rows = rows.select("key", "start", "end", "n_after", "_c.*").withColumns({"_" + c: F.col("_o")[c] for c in ("x", "y", "style", "breaks")})
     paired, delta = F.col("to").isNotNull(), F.greatest(F.abs(F.col("x") - F.col("_x")), F.abs(F.col("y") - F.col("_y")))
     rows = rows.withColumns({"_paired": paired, "_delta": delta, "_before": paired & (F.col("ord") < F.col("start")), "_fits": paired & (delta <= OFF)})
-    # the place before is aligned to some character, whichever: a break needs one on each side
-    taken = pairs.select("key", (F.col("to") + 1).alias("to"), F.lit(True).alias("_left"))
-    rows = rows.join(taken, ["key", "to"], "left")
     outside = F.col("breaks") & (F.col("start").isNull() | (F.col("ord") <= F.col("start")) | (F.col("ord") > F.col("end")))
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    found = rows.groupBy("key").agg(
+    return rows.groupBy("key").agg(
         F.count("*").alias("n_before"), n(paired).alias("unchanged"), n(F.col("_fits")).alias("kept"), n(paired & ~F.col("_fits")).alias("moved"), n(paired & ~F.col("style").eqNullSafe(F.col("_style"))).alias("restyled"),
         n(F.col("_before")).alias("total_before"), n(F.col("_before") & F.col("_fits")).alias("kept_before"), F.round(F.max("_delta"), 3).alias("max_delta"),
-        n(outside).alias("breaks"), n(outside & F.col("_left") & F.col("_breaks")).alias("breaks_kept"),
+        n(outside).alias("breaks"), n(outside & F.col("_left") & F.col("_breaks")).alias("breaks_kept"), F.first("n_after").alias("n_after"),
     )
-    sizes = b.groupBy("key").agg(F.count("*").alias("n_after"))
-    return found.join(sizes, "key", "left").withColumn("n_after", F.coalesce("n_after", F.lit(0)))

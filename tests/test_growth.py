@@ -1,6 +1,7 @@
 """What steps write and hold, and rows that share an id."""
 
 
+import difflib
 import hashlib
 import os
 import random
@@ -116,3 +117,23 @@ def test_normal_forms_and_clusters(spark):
 def test_fidelity_joins_no_characters(spark, small):
     plan = composition.edit_fidelity(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("Join") <= 2
+
+
+def test_substrings_are_compared_by_hashes(monkeypatch):
+    """Texts of more than PAIRS pairs are aligned as difflib does, without leaving large ranges to it."""
+    rng, plain, largest = random.Random(9), difflib.SequenceMatcher, []
+
+    def watched(junk, a, b, autojunk):
+        largest.append(len(a) * len(b))
+        return plain(junk, a, b, autojunk)
+
+    monkeypatch.setattr(T.difflib, "SequenceMatcher", watched)
+    for n in (200, 400, 900):
+        for letters in ("ab", "abcdefghij ", "aé가 "):
+            a = "".join(rng.choice(letters) for _ in range(n))
+            b = a[: n // 3] + "new " + a[n // 3 + 5 : n // 2] + a[n // 5 :]
+            for x, y in ((a, b), (b, a), (a, a[::-1])):
+                got = T.matching_blocks(x, y)
+                want = [k for k in plain(None, x, y, False).get_matching_blocks() if k.size]
+                assert [(i + k, j + k) for i, j, m in got for k in range(m)] == [(i + k, j + k) for i, j, m in want for k in range(m)]
+    assert max(largest) <= T.PAIRS
