@@ -23,14 +23,33 @@ def pieces(texts: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     return found.where("lo < hi")
 
 
-def merged(map_: DataFrame, key: str) -> DataFrame:
-    """The same map with pieces that touch and move alike as one."""
-    w = Window.partitionBy(key).orderBy("lo")
+def merged(map_: DataFrame, key: str, order: str = "lo") -> DataFrame:
+    """The same map with pieces that touch and move alike as one; order: a column that goes up with lo, by which the rows may lie sorted."""
+    w = Window.partitionBy(key).orderBy(order)
     same = (F.lag("hi").over(w) == F.col("lo")) & (F.lag("shift").over(w) == F.col("shift"))
     marked = map_.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("shift").alias("shift")).drop("_run")
 
 
+def _ends(map_: DataFrame, key: str, name: str, value: str) -> DataFrame:
+    """(key, at, name): where each piece begins, with its end and value, and where it ends, with null; the pieces are computed once."""
+    own = F.struct(F.col("hi"), F.col(value))
+    begin, stop = F.struct(F.col("lo").alias("at"), own.alias(name)), F.struct(F.col("hi").alias("at"), F.when(F.lit(False), own).alias(name))
+    return map_.select(key, F.explode(F.array(begin, stop)).alias("_e")).select(key, "_e.at", f"_e.{name}")
+
+
+def _stretches(a: DataFrame, b: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+    """(key, at, to, names): the stretches between the ends in a and b (_ends) that a piece of each holds, with these pieces; sorted by key and at.
+
+    Of several ends at one place only the last has the next place after it, and it has seen all of them.
+    """
+    w = Window.partitionBy(key).orderBy("at")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = a.unionByName(b, allowMissingColumns=True)
+    cut = rows.select(key, "at", F.lead("at").over(w).alias("to"), *[F.last(n, ignorenulls=True).over(so_far).alias(n) for n in names])
+    return cut.where((F.col("at") < F.col("to")) & (F.col("at") < F.col(f"{names[0]}.hi")) & (F.col("at") < F.col(f"{names[1]}.hi")))
+
+
 def compose(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """The map of two revisions one after the other.
 
@@ -38,16 +57,9 @@ def compose(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     second's cut a text into stretches; the piece of each map that began last
     holds a stretch or ends before it.
     """
-    a = first.select(key, (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"), F.col("shift").alias("s"))
-    begins = lambda d, n, s: d.select(key, F.col("lo").alias("at"), F.struct(F.col("hi"), F.col(s).alias("shift")).alias(n))
-    stops = lambda d: d.select(key, F.col("hi").alias("at"))
-    both = begins(a, "a", "s").unionByName(begins(second, "b", "shift"), allowMissingColumns=True).unionByName(stops(a), allowMissingColumns=True).unionByName(stops(second), allowMissingColumns=True)
-    points = both.groupBy(key, "at").agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    w = Window.partitionBy(key).orderBy("at")
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    cut = points.select(key, "at", F.lead("at").over(w).alias("to"), F.last("a", ignorenulls=True).over(so_far).alias("a"), F.last("b", ignorenulls=True).over(so_far).alias("b"))
-    held = cut.where((F.col("at") < F.col("a.hi")) & (F.col("at") < F.col("b.hi")) & F.col("to").isNotNull())
-    return merged(held.select(key, (F.col("at") - F.col("a.shift")).alias("lo"), (F.col("to") - F.col("a.shift")).alias("hi"), (F.col("a.shift") + F.col("b.shift")).alias("shift")), key)
+    a = first.select(key, (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"), "shift")
+    held = _stretches(_ends(a, key, "a", "shift"), _ends(second, key, "b", "shift"), key, ("a", "b"))
+    return merged(held.select(key, "at", (F.col("at") - F.col("a.shift")).alias("lo"), (F.col("to") - F.col("a.shift")).alias("hi"), (F.col("a.shift") + F.col("b.shift")).alias("shift")), key, "at")
 
 
 def mapped(points: DataFrame, map_: DataFrame, key: str, at: str = "at") -> DataFrame:
@@ -170,13 +182,7 @@ def restyle(spans: DataFrame, edits: DataFrame, key: str, typing: str) -> DataFr
     refused = new.where("style is null").select(key).distinct()
     # what is kept of each span: pieces and spans cut the text before
     kept = pieces(lengths, put.select(key, "start", "end", F.col("n").alias("length")), key)
-    cuts = whole.select(key, F.col("lo").alias("at"), F.struct("hi", "style").alias("s")).unionByName(kept.select(key, F.col("lo").alias("at"), F.struct("hi", "shift").alias("p")), allowMissingColumns=True)
-    cuts = cuts.unionByName(kept.select(key, F.col("hi").alias("at")), allowMissingColumns=True).unionByName(whole.select(key, F.col("hi").alias("at")), allowMissingColumns=True)
-    points = cuts.groupBy(key, "at").agg(F.max("s").alias("s"), F.max("p").alias("p"))
-    along = Window.partitionBy(key).orderBy("at")
-    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
-    held = points.select(key, "at", F.lead("at").over(along).alias("to"), F.last("s", ignorenulls=True).over(so_far).alias("s"), F.last("p", ignorenulls=True).over(so_far).alias("p"))
-    held = held.where((F.col("at") < F.col("s.hi")) & (F.col("at") < F.col("p.hi")) & F.col("to").isNotNull())
+    held = _stretches(_ends(whole, key, "s", "style"), _ends(kept, key, "p", "shift"), key, ("s", "p"))
     moved = held.select(key, (F.col("at") + F.col("p.shift")).alias("lo"), (F.col("to") + F.col("p.shift")).alias("hi"), F.col("s.style").alias("style"))
     out = _alike(moved.unionByName(new), key).join(refused, key, "left_anti")
     return out.select(key, F.col("lo").alias("start"), F.col("hi").alias("end"), "style", F.lit(False).alias("refused")).unionByName(refused.select(key, *[F.lit(None).cast(t).alias(c) for c, t in (("start", "long"), ("end", "long"), ("style", "string"))], F.lit(True).alias("refused")))

@@ -12,6 +12,7 @@ import pytest
 from compare import same_rows
 from pyspark.sql import functions as F
 
+from leafmark import storage
 from leafmark.functions import text as T
 from leafmark.operators import graph, structure
 from leafmark.plans import composition, elements
@@ -137,3 +138,12 @@ def test_substrings_are_compared_by_hashes(monkeypatch):
                 want = [k for k in plain(None, x, y, False).get_matching_blocks() if k.size]
                 assert [(i + k, j + k) for i, j, m in got for k in range(m)] == [(i + k, j + k) for i, j, m in want for k in range(m)]
     assert max(largest) <= T.PAIRS
+
+
+def test_composed_maps_are_sorted_once_and_dealt_by_rows(spark, small, monkeypatch):
+    monkeypatch.setattr(storage, "ROWS_A_TASK", 20)
+    found = composition.revision_maps(spark, small)
+    assert found.rdd.getNumPartitions() >= 10
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[0]
+    assert plan.count("Sort [") <= 5 and "Join" not in plan
