@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from leafmark import storage
 from leafmark.functions import text as T
-from leafmark.operators import graph, structure
-from leafmark.plans import composition, elements
+from leafmark.operators import graph, orders, results, structure
+from leafmark.plans import composition, elements, evaluation
+from leafmark.plans import results as results_plan
 from leafmark.storage import stage
 
 
@@ -147,3 +148,10 @@ def test_composed_maps_are_sorted_once_and_dealt_by_rows(spark, small, monkeypat
     plan = found._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("Initial Plan")[0]
     assert plan.count("Sort [") <= 5 and "Join" not in plan
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_groups_are_not_gathered(spark, small):
+    assert "Window" not in _plan(evaluation.QUERIES["boundary_groups"](spark, small))
