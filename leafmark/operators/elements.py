@@ -231,15 +231,11 @@ def mark_rectangles(glyphs: DataFrame, marks: DataFrame, keys: list[str]) -> Dat
 def kept_outside(before: DataFrame, after: DataFrame, areas: DataFrame, page: str, value: list[str]) -> DataFrame:
     """(page, n_missing, n_extra): items (x0 to y1 and value) that aren't the same, with multiplicity, outside the areas of a page."""
     a = areas.select(page, *[F.col(c).alias("a" + c) for c in ("x0", "y0", "x1", "y1")])
-
-    def outside(d: DataFrame, sign: int) -> DataFrame:
-        rows = d.select(page, "x0", "y0", "x1", "y1", *value)
-        place = [page, "x0", "y0", "x1", "y1"]
-        hit = meet(rows.select(*place).distinct(), a, [page], CELL, "a").where(Rect.of().intersects(Rect.of("a"))).select(*place).distinct()
-        return rows.join(hit, place, "left_anti").groupBy(page, "x0", "y0", "x1", "y1", *value).agg((F.count("*") * sign).alias("_n"))
-
-    left = outside(before, 1).unionAll(outside(after, -1)).groupBy(page, "x0", "y0", "x1", "y1", *value).agg(F.sum("_n").alias("_n"))
-    return left.groupBy(page).agg(F.sum(F.greatest("_n", F.lit(0))).alias("n_missing"), F.sum(F.greatest(-F.col("_n"), F.lit(0))).alias("n_extra"))
+    place = [page, "x0", "y0", "x1", "y1"]
+    one = lambda d, sign: d.select(*place, *value, F.lit(sign).alias("_n"))
+    left = one(before, 1).unionAll(one(after, -1)).groupBy(*place, *value).agg(F.sum("_n").alias("_n"))
+    hit = meet(left.select(*place).distinct(), a, [page], CELL, "a").where(Rect.of().intersects(Rect.of("a"))).select(*place).distinct()
+    return left.join(hit, place, "left_anti").groupBy(page).agg(F.sum(F.greatest("_n", F.lit(0))).alias("n_missing"), F.sum(F.greatest(-F.col("_n"), F.lit(0))).alias("n_extra"))
 
 
 def placement_errors(planned: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:

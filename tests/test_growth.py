@@ -155,3 +155,7 @@ def _plan(df):
 
 def test_groups_are_not_gathered(spark, small):
     assert "Window" not in _plan(evaluation.QUERIES["boundary_groups"](spark, small))
+
+
+def test_items_outside_meet_areas_once(spark, small):
+    assert _plan(elements.kept_outside(spark, small)).count("Join") <= 2
