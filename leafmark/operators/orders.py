@@ -74,14 +74,15 @@ def free_regions(rows: DataFrame, keys: list[str], clip_top: Column, clip_bottom
 
 def reachable(edges: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """(key, node, path): the nodes that edges (key, parent, child, name) reach from roots (key, node), each by its shortest path, of equals the first; definitions that recurse are entered once."""
-    found = stage(roots.select(key, "node", F.lit("").alias("path")).distinct(), "reachable")
-    edge, step = stage(edges.select(key, F.col("parent").alias("node"), "child", "name"), "edges"), found
+    step = stage(roots.select(key, "node", F.lit("").alias("path")).distinct(), "reachable")
+    edge, found = stage(edges.select(key, F.col("parent").alias("node"), "child", "name"), "edges"), step
     while True:
         below = step.join(edge, [key, "node"]).groupBy(key, F.col("child").alias("node")).agg(F.min(F.concat_ws("/", F.nullif("path", F.lit("")), "name")).alias("path"))
         step = stage(below.join(found.select(key, "node"), [key, "node"], "left_anti"), "reachable")
         if step.isEmpty():
             return found
-        found = stage(found.unionByName(step), "found")
+        # each is written once, in the round that reached it
+        found = found.unionByName(step)
 
 
 def _merged(baseline, x0, x1, size, owner) -> np.ndarray:

@@ -159,3 +159,19 @@ def test_groups_are_not_gathered(spark, small):
 
 def test_items_outside_meet_areas_once(spark, small):
     assert _plan(elements.kept_outside(spark, small)).count("Join") <= 2
+
+
+def test_reached_definitions_are_written_once(spark, monkeypatch):
+    written = []
+
+    def kept(df, name, *args, **more):
+        out = stage(df, name, *args, **more)
+        written.append(out.count() if "path" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(orders, "stage", kept)
+    edges = spark.createDataFrame([(p, i, i + 1, f"n{i}") for p in range(3) for i in range(12)], "page long, parent long, child long, name string")
+    roots = edges.select("page", F.lit(0).cast("long").alias("node")).distinct()
+    got = {(r.page, r.node): r.path for r in orders.reachable(edges, roots, "page").collect()}
+    assert got == {(p, k): "/".join(f"n{i}" for i in range(k)) for p in range(3) for k in range(13)}
+    assert sum(written) == len(got)
