@@ -119,16 +119,17 @@ def disjoint_partners(edits: DataFrame, case: str, ident: str, cell: float = 8.0
 def relocated(recorded: DataFrame, drawn: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """(keys, entry, moved): whether every glyph (keys, entry, ch, x, y) of an entry is drawn (keys, ch, x, y) exactly once within the tolerance.
 
-    Glyphs meet in grid cells twice as wide as the tolerance, in the cells
-    around them.
+    Glyphs drawn at one place are counted before they meet; a recorded glyph
+    asks in the grid cells that its tolerance touches, mostly one.
     """
-    cell = tolerance * 2
-    near = lambda c: F.explode(F.array(F.floor(F.col(c) / cell) - 1, F.floor(F.col(c) / cell), F.floor(F.col(c) / cell) + 1))
+    cell = tolerance * 64
+    at = lambda c: F.floor(c.cast("double") / cell).cast("long")
+    near = lambda c: F.explode_outer(F.sequence(at(F.col(c) - tolerance * 1.001), at(F.col(c) + tolerance * 1.001)))
     own = recorded.select(*keys, "entry", "ch", "x", "y", F.monotonically_increasing_id().alias("_g"))
-    there = drawn.select(*keys, "ch", F.col("x").alias("_x"), F.col("y").alias("_y"), F.floor(F.col("x") / cell).alias("_cx"), F.floor(F.col("y") / cell).alias("_cy"))
+    there = drawn.groupBy(*keys, "ch", F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.count("*").alias("_m")).withColumns({"_cx": at(F.col("_x")), "_cy": at(F.col("_y"))})
     asked = own.withColumn("_cx", near("x")).withColumn("_cy", near("y"))
     hit = (F.abs(F.col("x") - F.col("_x")) <= tolerance) & (F.abs(F.col("y") - F.col("_y")) <= tolerance)
-    counted = asked.join(there, [*keys, "ch", "_cx", "_cy"], "left").groupBy(*keys, "entry", "_g").agg(F.count_if(F.coalesce(hit, F.lit(False))).alias("_n"))
+    counted = asked.join(there, [*keys, "ch", "_cx", "_cy"], "left").groupBy(*keys, "entry", "_g").agg(F.sum(F.when(hit, F.col("_m")).otherwise(0)).alias("_n"))
     return counted.groupBy(*keys, "entry").agg(F.bool_and(F.col("_n") == 1).alias("moved"))
 
 

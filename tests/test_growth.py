@@ -175,3 +175,19 @@ def test_reached_definitions_are_written_once(spark, monkeypatch):
     got = {(r.page, r.node): r.path for r in orders.reachable(edges, roots, "page").collect()}
     assert got == {(p, k): "/".join(f"n{i}" for i in range(k)) for p in range(3) for k in range(13)}
     assert sum(written) == len(got)
+
+
+def test_recorded_glyphs_ask_in_few_cells(spark):
+    rng = random.Random(3)
+    rows = [(p, rng.choice("ab"), rng.randrange(40) * 0.004 + rng.choice((0, 0, 0.64, 1e6)), rng.randrange(3) * 0.008) for p in range(4) for _ in range(60)] + [(9, "a", None, 1.0), (9, "b", float("nan"), 1.0)]
+    drawn = spark.createDataFrame(rows, "page int, ch string, x double, y double")
+    kept = spark.createDataFrame([(p, i % 9, c, None if x is None else x + rng.choice((0, 0.005, -0.0125)), y) for i, (p, c, x, y) in enumerate(rows)], "page int, entry int, ch string, x double, y double")
+    near = lambda a, b: a is not None and b is not None and abs(a - b) <= 0.01
+    want = {}
+    for p, e, c, x, y in kept.collect():
+        n = sum(q == p and d == c and near(u, x) and near(v, y) for q, d, u, v in rows)
+        want[p, e] = want.get((p, e), True) and n == 1
+    found = results.relocated(kept, drawn, ["page"], 0.01)
+    assert {(r.page, r.entry): r.moved for r in found.collect()} == want
+    asked = [n for n in _plan(found).split("\n") if "Generate" in n]
+    assert asked and not any("explode(array(" in n for n in asked)
