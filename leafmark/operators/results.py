@@ -166,7 +166,7 @@ def restyled(spans: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     style are one span; keys without an edit keep theirs.
     """
     e = edits.select(F.col(key), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("n").alias("_n"))
-    rows = spans.join(e, key, "left")
+    rows = spans.join(e, key, "left").withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("start", "end")))
     lo, hi = F.when(F.col("_s") < F.col("_e"), F.col("_s")).otherwise(F.col("_s") - 1), F.when(F.col("_s") < F.col("_e"), F.col("_e")).otherwise(F.col("_s") + 1)
     touched = F.when((F.col("start") < hi) & (F.col("end") > lo), F.col("style"))
     every = Window.partitionBy(key)
@@ -176,9 +176,9 @@ def restyled(spans: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     before = F.when(acts, F.struct(F.col("start").alias("start"), F.least("end", "_s").alias("end"), F.col("style").alias("style")))
     after = F.when(acts, F.struct((F.greatest("start", "_e") + shift).alias("start"), (F.col("end") + shift).alias("end"), F.col("style").alias("style")))
     same = F.when(~acts, F.struct("start", "end", "style"))
-    pieces = rows.select(key, "refusal", F.explode(F.array_compact(F.array(before, after, same))).alias("p")).select(key, "refusal", "p.*").where("start < end")
-    first = rows.where(acts & (F.col("_n") > 0)).groupBy(key).agg(F.first("_s").alias("start"), F.first(F.col("_s") + F.col("_n")).alias("end"), F.first("_own").alias("style"))
-    both = pieces.unionByName(first.withColumn("refusal", F.lit(False)))
+    # what is inserted comes with the first span
+    put = F.when(acts & (F.col("_n") > 0) & (F.col("_k") == 1), F.struct(F.col("_s").alias("start"), (F.col("_s") + F.col("_n")).alias("end"), F.col("_own").alias("style")))
+    both = rows.select(key, "refusal", F.explode(F.array_compact(F.array(before, after, same, put))).alias("p")).select(key, "refusal", "p.*").where("start < end")
     runs = islands.islands(both.withColumn("_new", islands.changed("style", [key], ["start"])), [key], ["start"], F.col("_new"), "run")
     return runs.groupBy(key, "run").agg(F.first("style").alias("style"), F.min("start").alias("start"), (F.max("end") - F.min("start")).alias("length"), F.bool_or("refusal").alias("refusal"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmark.operators import results
 from leafmark.plans.rules import _split
 from leafmark.sources.tables import table
+from leafmark.storage import dealt, stage
 
 #: An order's results as nested JSON: steps at several depths, values that are none.
 _NESTED = """'{"first":{"outcome":"' || o_orderstatus || '","n":1},"n":' || o_custkey || ',"list":[{"outcome":"x"},{"deep":{"a":{"outcome":"' || o_orderpriority || '"},"b":[{"outcome":null},7]}},"s"],"none":{}' || CASE WHEN o_orderkey % 5 = 0 THEN ',"outcome":"whole"' ELSE '' END || '}'"""
@@ -170,7 +171,8 @@ SELECT coalesce(g.l_orderkey, a.l_orderkey) AS l_orderkey, n, n_new, ids, reason
 
 def styled_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Styles of each text, a span for every ten characters, after an edit; refused where it would cross styles."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("n")).where("n > 0")
+    d = stage(table(spark, sf_dir, "documents").select("doc_id", F.char_length("text").cast("long").alias("n")).where("n > 0"), "lengths")
+    d = dealt(d, "doc_id", sorted_rows=F.col("n") / 10)
     spans = d.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 10))).alias("i")).select("doc_id", (F.col("i") * 10).alias("start"), F.least(F.col("i") * 10 + 10, F.col("n")).alias("end"), F.concat(F.lit("s"), F.floor(F.col("i") / 2) % 3).alias("style"))
     s = F.floor(F.col("n") * (F.col("doc_id") % 7) / 8)
     edits = d.where("doc_id % 5 > 0").select("doc_id", s.alias("start"), F.least("n", s + F.col("doc_id") % 4 * 3).alias("end"), (F.col("doc_id") % 3 * 4).alias("n"))

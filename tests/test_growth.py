@@ -191,3 +191,10 @@ def test_recorded_glyphs_ask_in_few_cells(spark):
     assert {(r.page, r.entry): r.moved for r in found.collect()} == want
     asked = [n for n in _plan(found).split("\n") if "Generate" in n]
     assert asked and not any("explode(array(" in n for n in asked)
+
+
+def test_spans_are_dealt_by_rows_and_not_shuffled(spark, small, monkeypatch):
+    monkeypatch.setattr(storage, "SORTED_A_TASK", 2000)
+    found = results_plan.styled_edits(spark, small)
+    assert found.rdd.getNumPartitions() >= 8
+    assert _plan(found).count("Exchange hashpartitioning") <= 2 and _plan(found).count("Join") == 1
