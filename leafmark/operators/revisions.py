@@ -179,18 +179,20 @@ def restyle(spans: DataFrame, edits: DataFrame, key: str, typing: str) -> DataFr
     order = Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new = found.withColumn("_style", own).withColumn("lo", F.col("start") + F.coalesce(F.sum(F.col("n") - (F.col("end") - F.col("start"))).over(order), F.lit(0)))
     new = new.select(key, "lo", (F.col("lo") + F.col("n")).alias("hi"), F.col("_style").alias("style")).where("lo < hi")
-    refused = new.where("style is null").select(key).distinct()
     # what is kept of each span: pieces and spans cut the text before
     kept = pieces(lengths, put.select(key, "start", "end", F.col("n").alias("length")), key)
     held = _stretches(_ends(whole, key, "s", "style"), _ends(kept, key, "p", "shift"), key, ("s", "p"))
     moved = held.select(key, (F.col("at") + F.col("p.shift")).alias("lo"), (F.col("to") + F.col("p.shift")).alias("hi"), F.col("s.style").alias("style"))
-    out = _alike(moved.unionByName(new), key).join(refused, key, "left_anti")
-    return out.select(key, F.col("lo").alias("start"), F.col("hi").alias("end"), "style", F.lit(False).alias("refused")).unionByName(refused.select(key, *[F.lit(None).cast(t).alias(c) for c, t in (("start", "long"), ("end", "long"), ("style", "string"))], F.lit(True).alias("refused")))
+    # a refused text keeps its first row
+    all_ = moved.withColumn("bad", F.lit(False)).unionByName(new.withColumn("bad", F.col("style").isNull()))
+    all_ = all_.withColumns({"_k": F.row_number().over(Window.partitionBy(key).orderBy("lo")), "bad": F.max("bad").over(Window.partitionBy(key))}).where("not bad or _k = 1")
+    ok = lambda c: F.when(~F.col("bad"), F.col(c))
+    return _alike(all_.drop("_k"), key).select(key, ok("lo").alias("start"), ok("hi").alias("end"), ok("style").alias("style"), F.col("bad").alias("refused"))
 
 
 def _alike(spans: DataFrame, key: str) -> DataFrame:
-    """Spans (key, lo, hi, style) that partition a text, those that follow each other in one style as one."""
+    """Spans (key, lo, hi, style; more) that partition a text, those that follow each other in one style as one: the first, up to where the next begins."""
     w = Window.partitionBy(key).orderBy("lo")
-    new = F.when(F.lag("style").over(w).eqNullSafe(F.col("style")), 0).otherwise(1)
-    marked = spans.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(key, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("style").alias("style")).drop("_run")
+    first = F.row_number().over(w) == 1
+    marked = spans.withColumns({"_new": first | ~F.lag("style").over(w).eqNullSafe(F.col("style")), "_end": F.max("hi").over(Window.partitionBy(key))}).where("_new")
+    return marked.withColumn("hi", F.coalesce(F.lead("lo").over(w), F.col("_end"))).drop("_new", "_end")

@@ -198,3 +198,10 @@ def test_spans_are_dealt_by_rows_and_not_shuffled(spark, small, monkeypatch):
     found = results_plan.styled_edits(spark, small)
     assert found.rdd.getNumPartitions() >= 8
     assert _plan(found).count("Exchange hashpartitioning") <= 2 and _plan(found).count("Join") == 1
+
+
+def test_style_spans_are_sorted_few_times(spark, small, monkeypatch):
+    monkeypatch.setattr(storage, "SORTED_A_TASK", 2000)
+    found = composition.styled_edit_lists(spark, small)
+    assert found.rdd.getNumPartitions() >= 8
+    assert _plan(found).count("Exchange hashpartitioning") <= 5 and "SortAggregate" not in _plan(found)
