@@ -60,18 +60,23 @@ def fill_cover(queries: DataFrame, fills: DataFrame, keys: list[str], cell: floa
     cut = met.select(
         *own, "weight", "even_odd", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("whole"), F.greatest("x0", "bx0").alias("l"), F.greatest("y0", "by0").alias("t"), F.least("x1", "bx1").alias("r"), F.least("y1", "by1").alias("b"),
     ).where("l < r and t < b")
+    # all that follows is by the query and paint: it stays where this shuffle puts it
+    cut = cut.withColumn("_r", F.monotonically_increasing_id()).repartition(*own)
     w = Window.partitionBy(*own).orderBy("y")
-    edges = cut.select(*own, F.explode(F.array("t", "b")).alias("y")).distinct()
-    edges = edges.select(*own, "y", F.row_number().over(w).alias("slab"), (F.lead("y").over(w) - F.col("y")).alias("height"))
-    ranked = cut.join(edges.select(*own, F.col("y").alias("t"), F.col("slab").alias("from")), [*own, "t"]).join(edges.select(*own, F.col("y").alias("b"), F.col("slab").alias("to")), [*own, "b"])
-    rows = ranked.select(*own, "weight", "even_odd", "whole", "l", "r", F.explode(F.expr("sequence(`from`, `to` - 1)")).alias("slab"))
-    ends = rows.select(*own, "even_odd", "whole", "slab", F.explode(F.array(F.struct(F.col("l").alias("x"), F.col("weight").alias("w"), F.lit(1).alias("n")), F.struct(F.col("r").alias("x"), (-F.col("weight")).alias("w"), F.lit(-1).alias("n")))).alias("e"))
-    ends = ends.groupBy(*own, "slab", F.col("e.x").alias("x")).agg(F.sum("e.w").alias("w"), F.sum("e.n").alias("n"), F.first("even_odd").alias("even_odd"), F.first("whole").alias("whole"))
+    rest = ["weight", "even_odd", "whole", "l", "r"]
+    edges = cut.select(*own, "_r", *rest, F.explode(F.array("t", "b")).alias("y")).withColumns({"slab": F.dense_rank().over(w), "height": F.lead("y").over(w) - F.col("y")})
+    ranked = edges.groupBy(*own, "_r").agg(F.min("slab").alias("from"), F.max("slab").alias("to"), *[F.first(c).alias(c) for c in rest])
+    rows = ranked.select(*own, *rest, F.explode(F.expr("sequence(`from`, `to` - 1)")).alias("slab"))
+    end = lambda x, sign: F.struct(F.col(x).cast("double").alias("x"), (F.col("weight") * sign).alias("w"), F.lit(sign).alias("n"))
+    ends = rows.select(*own, "even_odd", "whole", "slab", F.explode(F.array(end("l", 1), end("r", -1))).alias("e")).select(*own, "even_odd", "whole", "slab", "e.*")
+    # of the edges at one place only the last has the next behind it; it says how high the slab is, before all ends
+    heights = edges.where("height > 0").select(*own, "slab", F.lit(float("-inf")).alias("x"), F.lit(0).alias("w"), F.lit(0).alias("n"), "height")
     along = Window.partitionBy(*own, "slab").orderBy("x")
     so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    both = ends.unionByName(heights, allowMissingColumns=True)
     filled = F.when(F.col("even_odd"), F.pmod(F.sum("n").over(so_far), F.lit(2)) == 1).otherwise(F.sum("w").over(so_far) != 0)
-    lengths = ends.select(*own, "slab", "whole", F.when(filled, F.lead("x").over(along) - F.col("x")).alias("length")).where("length is not null")
-    summed = lengths.join(edges.select(*own, "slab", "height"), [*own, "slab"]).groupBy(*own).agg(F.sum(F.col("length") * F.col("height")).alias("area"), F.first("whole").alias("_whole"))
+    lengths = both.select(*own, "whole", F.max("height").over(so_far).alias("height"), F.when(filled, F.lead("x").over(along) - F.col("x")).alias("length")).where("length > 0")
+    summed = lengths.groupBy(*own).agg(F.sum(F.col("length") * F.col("height")).alias("area"), F.first("whole").alias("_whole"))
     return summed.select(*own, "area", (F.abs(F.col("area") - F.col("_whole")) < 1e-6).alias("holds"))
 
 

@@ -204,4 +204,9 @@ def test_style_spans_are_sorted_few_times(spark, small, monkeypatch):
     monkeypatch.setattr(storage, "SORTED_A_TASK", 2000)
     found = composition.styled_edit_lists(spark, small)
     assert found.rdd.getNumPartitions() >= 8
-    assert _plan(found).count("Exchange hashpartitioning") <= 5 and "SortAggregate" not in _plan(found)
+    assert "ENSURE_REQUIREMENTS" not in _plan(found) and "SortAggregate" not in _plan(found)
+
+
+def test_fills_stay_where_they_are_dealt(spark, small):
+    """Besides the meeting of queries and fills, one shuffle by query and paint."""
+    assert _plan(composition.fill_coverage(spark, small)).count("Join") <= 2
