@@ -35,8 +35,8 @@ def _kinds(df: DataFrame, more: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + more
 
 
-def _runs(batches, keys: list[str]):
-    """Arrow tables of the rows that are equal in keys, of batches sorted by them."""
+def _whole_runs(batches, keys: list[str]):
+    """(Arrow table, places where runs begin and its end): rows that are equal in keys, none of them cut, of batches sorted by them."""
     import pyarrow as pa
 
     held = None
@@ -51,20 +51,29 @@ def _runs(batches, keys: list[str]):
             codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
             new[1:] |= codes[1:] != codes[:-1]
         cuts = [0, *np.flatnonzero(new).tolist()]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            yield table.slice(lo, hi - lo)
+        if cuts[-1]:
+            yield table.slice(0, cuts[-1]), cuts
         held = table.slice(cuts[-1])
     if held is not None:
-        yield held
+        yield held, [0, held.num_rows]
+
+
+def _runs(batches, keys: list[str]):
+    """Arrow tables of the rows that are equal in keys, of batches sorted by them."""
+    for table, cuts in _whole_runs(batches, keys):
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            yield table.slice(lo, hi - lo)
 
 
 def _in_runs(rows: DataFrame, keys: list[str], order: list[str], name: str, number: Callable[..., np.ndarray], columns: list[str]) -> DataFrame:
     """rows with a column `name`: number(arrays of columns) of each run of equal keys, its rows in the given order."""
 
     def work(batches):
-        for run in _runs(batches, keys):
-            found = number(*[run[c].cast("float64").to_numpy() for c in columns])
-            yield from run.append_column(name, [found.astype(np.int32)]).to_batches()
+        # runs may be short: columns are taken out, and rows sent on, once for all runs of a batch
+        for table, cuts in _whole_runs(batches, keys):
+            own = [table[c].cast("float64").to_numpy() for c in columns]
+            found = [number(*[c[lo:hi] for c in own]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            yield from table.append_column(name, [np.concatenate(found).astype(np.int32)]).to_batches()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, _kinds(rows, f", {name} int"))
 

@@ -8,13 +8,14 @@ import random
 import unicodedata
 
 import duckdb
+import pyarrow as pa
 import pytest
 from compare import same_rows
 from pyspark.sql import functions as F
 
 from leafmark import storage
 from leafmark.functions import text as T
-from leafmark.operators import graph, orders, results, structure
+from leafmark.operators import graph, orders, results, sequential, structure
 from leafmark.plans import composition, elements, evaluation
 from leafmark.plans import results as results_plan
 from leafmark.storage import stage
@@ -210,3 +211,21 @@ def test_style_spans_are_sorted_few_times(spark, small, monkeypatch):
 def test_fills_stay_where_they_are_dealt(spark, small):
     """Besides the meeting of queries and fills, one shuffle by query and paint."""
     assert _plan(composition.fill_coverage(spark, small)).count("Join") <= 2
+
+
+def test_short_runs_leave_a_task_together(monkeypatch):
+    """Pages of a few rows aren't batches of their own, and plain numbers give the lines that arrays give."""
+    rng = random.Random(4)
+    pages = [(p, o, rng.randrange(4) * 0.8, rng.randrange(5) * 20.0, rng.choice((18.0, 38.0, 41.0)), 12.0, rng.randrange(2)) for p in range(300) for o in range(rng.randrange(1, 9))]
+    columns = [[float(r[2]) for r in pages], [r[3] for r in pages], [r[3] + r[4] for r in pages], [r[5] for r in pages], [float(r[6]) for r in pages]]
+    table = pa.table({"page": [r[0] for r in pages], **dict(zip(("baseline", "x0", "x1", "size", "owner"), columns, strict=True))})
+    runs = [(t, cuts) for t, cuts in sequential._whole_runs(table.to_batches(max_chunksize=500), ["page"])]
+    assert sum(t.num_rows for t, _ in runs) == len(pages) and len(runs) <= len(pages) // 500 + 2
+    parts = [t.slice(lo, hi - lo) for t, cuts in runs for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    assert [set(p["page"].to_pylist()) for p in parts] == [{p} for p in range(300)]
+    for part in parts:
+        own = [part[c].to_numpy() for c in table.column_names[1:]]
+        few = orders._merged(*own).tolist()
+        with monkeypatch.context() as m:
+            m.setattr(orders, "FEW_ROWS", 0)
+            assert orders._merged(*own).tolist() == few
