@@ -8,7 +8,7 @@ that a task holds one strip, one text or a flow's state, and never a page.
 
 from __future__ import annotations
 
-from bisect import insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -193,6 +193,8 @@ class Refusal(ValueError):
 
 
 _POINTS = {kind: np.array(sorted(map(ord, marks)), np.uint32) for kind, marks in (("space", SPACES), ("start", NO_START), ("end", NO_END))}
+#: What a code point is (1: blank, 2: no start, 4: no end); those from 0xFFFF on are none of these.
+_KINDS = sum(np.isin(np.arange(1 << 16), _POINTS[kind]) * np.uint8(bit) for bit, kind in ((1, "space"), (2, "start"), (4, "end")))
 
 
 def _cluster_starts(text: str, points: np.ndarray) -> np.ndarray:
@@ -216,14 +218,15 @@ class _Measured:
         n = len(points)
         steps = advance(points).astype(float)
         self.text, self.n, self.to = text, n, np.concatenate([[0.0], np.cumsum(steps)])
-        blank = np.isin(points, _POINTS["space"])
+        kinds = _KINDS[np.minimum(points, 0xFFFF)]
+        blank = kinds & 1 > 0
         self.visible = np.flatnonzero(~blank)  # ascending places of what isn't blank
         at = np.arange(n + 1)
         here = np.searchsorted(self.visible, at)
         right, left = np.full(n + 1, -1), np.full(n + 1, -1)  # the visible character after and before each place
         right[here < len(self.visible)] = self.visible[here[here < len(self.visible)]]
         left[here > 0] = self.visible[here[here > 0] - 1]
-        no_start, no_end = np.append(np.isin(points, _POINTS["start"]), False), np.append(np.isin(points, _POINTS["end"]), False)
+        no_start, no_end = np.append(kinds & 2 > 0, False), np.append(kinds & 4 > 0, False)
         clusters = _cluster_starts(text, points)
         self.ends = np.append(np.flatnonzero(clusters)[1:], n) if n else np.empty(0, np.int64)
         fine = clusters & ~(no_start[right] & (right >= 0)) & ~(no_end[left] & (left >= 0))
@@ -237,34 +240,35 @@ class _Measured:
         fine[0] = False
         self.legal, self.forced = np.flatnonzero(inner & fine), np.flatnonzero(fine)
         self.no_start = no_start
+        # numbers are looked up one at a time: as views, without an array operation for each
+        self.views = tuple(memoryview(np.ascontiguousarray(a)) for a in (self.visible, self.to, self.legal, self.forced))
 
     def lines(self, lo: int, hi: int, width: float, first: float | None = None) -> Iterator[tuple[int, int, float]]:
         """(from, to, width) of the lines of the paragraph between two places; first: the width of the first line, if it is another."""
-        v, to = self.visible, self.to
-        k = int(np.searchsorted(v, lo))
+        v, to, legal, forced = self.views
+        k = bisect_left(v, lo)
         if k < len(v) and v[k] < hi and self.no_start[v[k]]:
             raise Refusal("a line would begin with a closing mark")
         start, done = lo, False
         while not done:
             # the first visible character that doesn't fit any more, if there is one
-            over = int(np.searchsorted(to, to[start] + (width if first is None or start > lo else first) + 1e-7, "right")) - 1
-            k = int(np.searchsorted(v, over))
-            over = int(v[k]) if k < len(v) and v[k] < hi else hi
+            over = bisect_right(to, to[start] + (width if first is None or start > lo else first) + 1e-7) - 1
+            k = bisect_left(v, over)
+            over = v[k] if k < len(v) and v[k] < hi else hi
             end, done = over, over == hi
             if not done:
-                for breaks in (self.legal, self.forced):
-                    k = int(np.searchsorted(breaks, over, "right")) - 1
+                for breaks in (legal, forced):
+                    k = bisect_right(breaks, over) - 1
                     if k >= 0 and breaks[k] > start:
-                        end = int(breaks[k])
+                        end = breaks[k]
                         break
                 else:
                     raise Refusal("the line is too narrow for a cluster or an unbreakable group of marks")
-            k = int(np.searchsorted(v, end)) - 1
-            stop = int(v[k]) + 1 if k >= 0 and v[k] >= start else start
-            yield start, stop, float(to[stop] - to[start])
+            k = bisect_left(v, end) - 1
+            stop = v[k] + 1 if k >= 0 and v[k] >= start else start
+            yield start, stop, to[stop] - to[start]
             if not done:
-                k = int(np.searchsorted(v, end))
-                start = int(v[k]) if k < len(v) else hi
+                start = v[k + 1] if k + 1 < len(v) else hi
                 done = start >= hi
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from leafmark import storage
 from leafmark.functions import text as T
-from leafmark.operators import graph, orders, results, sequential, structure
+from leafmark.operators import graph, orders, results, sequential, structure, typeset
 from leafmark.plans import composition, elements, evaluation
 from leafmark.plans import results as results_plan
 from leafmark.storage import stage
@@ -229,3 +229,12 @@ def test_short_runs_leave_a_task_together(monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(orders, "FEW_ROWS", 0)
             assert orders._merged(*own).tolist() == few
+
+
+def test_lengths_and_spans_of_a_text_are_made_once(spark, small):
+    """A text's length isn't counted for each of its spans, and spans come as arrays, nulls and empty lists among them."""
+    found = composition.styled_lines(spark, small)
+    assert _plan(found).count("char_length(") == 1
+    spans = pa.array([[{"start": 0, "end": 2}], None, [], [{"start": 3, "end": 4}, {"start": 4, "end": 9}]], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+    got = list(typeset._values(spans.slice(1)))
+    assert [{k: v.tolist() for k, v in s.items()} for s in got] == [{"start": [], "end": []}, {"start": [], "end": []}, {"start": [3, 4], "end": [4, 9]}]
