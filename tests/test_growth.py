@@ -238,3 +238,17 @@ def test_lengths_and_spans_of_a_text_are_made_once(spark, small):
     spans = pa.array([[{"start": 0, "end": 2}], None, [], [{"start": 3, "end": 4}, {"start": 4, "end": 9}]], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
     got = list(typeset._values(spans.slice(1)))
     assert [{k: v.tolist() for k, v in s.items()} for s in got] == [{"start": [], "end": []}, {"start": [], "end": []}, {"start": [3, 4], "end": [4, 9]}]
+
+
+def test_equal_runs_are_listed_once(monkeypatch):
+    """Texts of some hundred characters are aligned as difflib does, from one list of their equal runs, of many runs and of few."""
+    rng, plain = random.Random(11), difflib.SequenceMatcher
+    monkeypatch.setattr(T, "_hashes", None)
+    monkeypatch.setattr(T.difflib, "SequenceMatcher", None)
+    for n in (130, 260, 350):
+        for letters in ("a", "ab", "abcdefghij ", "aé가\U0001f600 "):
+            a = "".join(rng.choice(letters) for _ in range(n))
+            for b in (a[: n // 3] + "new " + a[n // 3 + 5 :], a[::-1] + "x", "x" * n):
+                got = T.matching_blocks(a, b)
+                want = [k for k in plain(None, a, b, False).get_matching_blocks() if k.size]
+                assert [(i + k, j + k) for i, j, m in got for k in range(m)] == [(i + k, j + k) for i, j, m in want for k in range(m)]
