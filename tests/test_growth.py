@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from leafmark import storage
 from leafmark.functions import text as T
-from leafmark.operators import graph, orders, results, sequential, structure, typeset
+from leafmark.operators import graph, matching, orders, results, sequential, structure, typeset
 from leafmark.plans import composition, elements, evaluation
 from leafmark.plans import results as results_plan
 from leafmark.storage import stage
@@ -252,3 +252,17 @@ def test_equal_runs_are_listed_once(monkeypatch):
                 got = T.matching_blocks(a, b)
                 want = [k for k in plain(None, a, b, False).get_matching_blocks() if k.size]
                 assert [(i + k, j + k) for i, j, m in got for k in range(m)] == [(i + k, j + k) for i, j, m in want for k in range(m)]
+
+
+def test_strips_are_matched_in_one_stream(spark, monkeypatch):
+    """Strips aren't groups of their own, and those of few rows leave what those of many leave; null and NaN meet nothing."""
+    rng = random.Random(8)
+    side = lambda n: spark.createDataFrame([(k, i, rng.choice((None, float("nan"))) if i % 9 == 4 else round(rng.uniform(0, n), 1)) for k in range(4) for i in range(n)], "k int, o int, v double")
+    want, have = side(30), side(25)
+    found = matching.tolerant_residue(want, have, "k", "v", "o", 0.5)
+    assert "CoGroups" not in _plan(found) and _plan(found).count("Sort [") == 1
+    few = sorted(map(tuple, found.collect()))
+    nothing = [(r.k, r.o, s) for d, s in ((want, "missing"), (have, "extra")) for r in d.collect() if r.v is None or r.v != r.v]
+    assert set(nothing) <= set(few)
+    monkeypatch.setattr(matching, "FEW", 0)
+    assert sorted(map(tuple, matching.tolerant_residue(want, have, "k", "v", "o", 0.5).collect())) == few
