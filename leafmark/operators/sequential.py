@@ -1,9 +1,9 @@
 """Order-dependent page operators: baselines, boxes of lines, wrapping, allocation.
 
-What can be decided without an order of decisions is decided by windows: where
-a page falls into strips that can't touch, and strips that are one line.  Only
-the rest goes to Python, in Arrow batches of rows that are sorted by page, so
-that a task holds one strip, one text or a flow's state, and never a page.
+Where a page falls into strips that can't touch is decided by windows.  The
+sorted rows are streamed in Arrow batches, strips that are one line are found
+by array operations, and only the rest is gone through in order, so that a task
+holds one strip, one text or a flow's state, and never a page.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the line, box and wrapping rules.
@@ -97,6 +97,37 @@ def _renumbered(rows: DataFrame, page: list[str], name: str) -> DataFrame:
     return rows.join(offsets, same).select(*kept, (F.col(name) + F.col("_before")).cast("int").alias(name))
 
 
+def _in_strips(rows: DataFrame, page: list[str], order: list[str], reach: Callable[[Window], Column], name: str, number: Callable[..., np.ndarray], columns: list[str], plain: Callable[..., np.ndarray] | None = None) -> DataFrame:
+    """rows with a column `name`: numbers that number(arrays of columns) gives in each strip, going on within the page.
+
+    reach(window of a page) is the most that a step in y within a strip may be.
+    plain(arrays, places where strips begin) says which strips have but one
+    number.  A page is sorted once and streamed; the state is a strip and how
+    many numbers the page has had.
+    """
+    w = Window.partitionBy(*page).orderBy(*order)
+    cut = _strips(rows, page, order, reach(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+
+    def work(batches):
+        given = 0
+        for table, cuts in _whole_runs(batches, [*page, "strip"]):
+            own = [table[c].cast("float64").to_numpy() for c in columns]
+            starts, sizes = np.array(cuts[:-1]), np.diff(cuts)
+            found, counts = np.zeros(table.num_rows, np.int64), np.ones(len(starts), np.int64)
+            for k in np.flatnonzero(~plain(*own, starts)).tolist() if plain else range(len(starts)):
+                lo, hi = cuts[k], cuts[k + 1]
+                found[lo:hi] = number(*[c[lo:hi] for c in own])
+                counts[k] = found[lo:hi].max() + 1
+            first = table["strip"].to_numpy()[starts] == 0
+            before = given + np.cumsum(counts) - counts
+            base = np.maximum.accumulate(np.where(first, before, 0))
+            given = int(before[-1] + counts[-1] - base[-1])
+            numbers = found + np.repeat(before - base, sizes)
+            yield from table.drop_columns("strip").append_column(name, [numbers.astype(np.int32)]).to_batches()
+
+    return cut.sortWithinPartitions(*page, *order).mapInArrow(work, _kinds(rows, f", {name} int"))
+
+
 def _lines_of_strip(ys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The line of each glyph of a strip, glyphs in ascending order of y.
 
@@ -137,17 +168,15 @@ def cluster_baselines(glyphs: DataFrame, page: list[str]) -> DataFrame:
     of rows; of lines equally near the last opened is taken; lines are
     numbered as they open.  A step in y over the page's largest tolerance
     divides it into strips; a strip no taller than its least tolerance is one
-    line, found without Python.
+    line, and its glyphs aren't gone through.
     """
-    w = Window.partitionBy(*page)
-    reach = F.greatest(F.lit(BASELINE_POINTS), F.max("size").over(w) * BASELINE_SHARE)
-    rows = _strips(glyphs, page, ["y", "x0", "ord"], reach)
-    s = Window.partitionBy(*page, "strip")
-    plain = F.max("y").over(s) - F.min("y").over(s) <= F.greatest(F.lit(BASELINE_POINTS), F.min("size").over(s) * BASELINE_SHARE)
-    rows = rows.withColumn("_plain", plain)
-    easy = rows.where("_plain").drop("_plain").withColumn("line", F.lit(0))
-    hard = _in_runs(rows.where("not _plain").drop("_plain"), [*page, "strip"], ["y", "x0", "ord"], "line", _lines_of_strip, ["y", "size"])
-    return _renumbered(easy.unionAll(hard), page, "line")
+
+    def plain(y, size, starts):
+        ends = np.append(starts[1:], len(y)) - 1
+        return y[ends] - y[starts] <= np.maximum(BASELINE_POINTS, np.minimum.reduceat(size, starts) * BASELINE_SHARE)
+
+    reach = lambda w: F.greatest(F.lit(BASELINE_POINTS), F.max("size").over(w) * BASELINE_SHARE)
+    return _in_strips(glyphs, page, ["y", "x0", "ord"], reach, "line", _lines_of_strip, ["y", "size"], plain)
 
 
 def _boxes_of_strip(x0: np.ndarray, x1: np.ndarray, y: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -183,9 +212,7 @@ def group_lines(lines: DataFrame, page: list[str]) -> DataFrame:
     is taken.  Lines are taken by (y, x0, ord).  A step in y over the most that
     a gap may be divides a page into strips.
     """
-    reach = F.max("size").over(Window.partitionBy(*page)) * GAP_MOST
-    rows = _strips(lines, page, ["y", "x0", "ord"], reach)
-    return _renumbered(_in_runs(rows, [*page, "strip"], ["y", "x0", "ord"], "box", _boxes_of_strip, ["x0", "x1", "y", "size"]), page, "box")
+    return _in_strips(lines, page, ["y", "x0", "ord"], lambda w: F.max("size").over(w) * GAP_MOST, "box", _boxes_of_strip, ["x0", "x1", "y", "size"])
 
 
 class Refusal(ValueError):

@@ -266,3 +266,22 @@ def test_strips_are_matched_in_one_stream(spark, monkeypatch):
     assert set(nothing) <= set(few)
     monkeypatch.setattr(matching, "FEW", 0)
     assert sorted(map(tuple, matching.tolerant_residue(want, have, "k", "v", "o", 0.5).collect())) == few
+
+
+@pytest.mark.parametrize("size", [12.0, 2.0])
+def test_strips_of_a_page_are_numbered_in_one_pass(spark, size):
+    """Rows are sorted once and joined to nothing; pages that go on over batches, and strips of one line and of several, are numbered on."""
+    rng = random.Random(3)
+    glyphs = [(p, i, rng.random() * 50, rng.randrange(60) * 5 + rng.choice((0.0, 0.4, 0.9, 1.7)), size) for p in (None, 1, 2, 3) for i in range(rng.randrange(80, 200))]
+    rows = spark.createDataFrame(glyphs, "page int, ord int, x0 double, y double, size double")
+    found = sequential.cluster_baselines(rows, ["page"])
+    assert "Join" not in _plan(found) and _plan(found).count("Sort [") == 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.page, r.ord): r.line for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for page in (None, 1, 2, 3):
+        own = sorted((g for g in glyphs if g[0] == page), key=lambda g: (g[3], g[2], g[1]))
+        whole = sequential._lines_of_strip(pa.array([g[3] for g in own]).to_numpy(), pa.array([g[4] for g in own]).to_numpy())
+        assert [got[page, g[1]] for g in own] == whole.tolist()
