@@ -102,77 +102,113 @@ class _Skyline:
         self.values[i:j] = [value, *(v for _, v in rest)]
 
     def largest(self, low: float, high: float) -> float:
+        if low >= high:
+            return float("-inf")
         lo, hi = self.stretch(low, high)
         return max(self.values[bisect_right(self.starts, lo) - 1 : bisect_left(self.starts, hi)])
 
 
-def _nearest(batches):
-    """Rows sorted by key and place, others before own ones: each own row's largest value painted so far on its stretch."""
-    import pyarrow as pa
+#: Rows of a key in a batch that are held against all rows before them at once, at most.
+FEW_ROWS = 512
+
 
-    key, sky = None, None
-    for batch in batches:
-        found = []
-        columns = [batch.column(c).to_pylist() for c in ("group", "side", "own", "low", "high", "at")]
-        for i, (group, side, own, low, high, at) in enumerate(zip(*columns, strict=True)):
-            if (group, side) != key:
-                key, sky = (group, side), _Skyline()
-            if not own:
-                sky.paint(low, high, at)
-            elif low < high and (best := sky.largest(low, high)) > float("-inf"):
-                found.append((i, best))
-        own = batch.take(pa.array([i for i, _ in found], pa.int64()))
-        yield pa.RecordBatch.from_arrays([own.column("ident"), own.column("side"), pa.array([b for _, b in found], pa.float64())], ["ident", "side", "edge"])
-
-
-def nearest_in_band(own: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, id, side, edge): for each own row (id, side, low, high, at) the largest edge at most `at` of the others (side, low, high, edge) of equal keys and side whose open interval meets its own.
-
-    An interval without length meets those that hold it inside; own rows
-    without length, and those without such a neighbour, have no row.  For the
-    nearest on the other side, edges and places are given negated.
-
-    Along the edges of a key, what was seen last on each stretch of the band
-    is the nearest: one sorted pass, whose state is the stretches.
+def _sweep(rows: DataFrame, keys: list[str], state, meets) -> DataFrame:
+    """(keys, id, edge) of rows (keys, own, low, high, at, id) that are dealt by keys: each own row's largest `at` of the others, at most its own, that meets it.
+
+    Keys are streamed, sorted by `at`, and what was painted into state() is
+    asked for the largest.  Keys of few rows that lie within a batch are held
+    against the rows before them by meets(arrays low, high, own low, own high).
     """
-    one = lambda d, mine, at: d.select(F.struct(*keys).alias("k"), "side", F.lit(mine).alias("own"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.col(at).cast("double").alias("at"), (F.struct(*keys, "id") if mine else F.lit(None).cast(kind)).alias("ident"))
-    kind = own.select(F.struct(*keys, "id").alias("i")).schema["i"].dataType
-    rows = one(own, True, "at").unionAll(one(others, False, "edge")).withColumn("group", F.to_json("k"))
-    parts = rows.repartition("group", "side").sortWithinPartitions("group", "side", "at", "own")
-    found = parts.select("group", "side", "own", "low", "high", "at", "ident").mapInArrow(_nearest, f"ident {kind.simpleString()}, side string, edge double")
-    return found.select(*[F.col(f"ident.{c}").alias(c) for c in (*keys, "id")], "side", "edge")
+    import numpy as np
+    import pyarrow as pa
+
+    def work(batches):
+        sky, last = None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            low, high, at = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("low", "high", "at"))
+            own, new = batch.column("own").to_numpy(zero_copy_only=False), np.zeros(n, bool)
+            for c in keys:
+                codes = batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= codes[1:] != codes[:-1]
+            name = tuple(batch.column(c)[0].as_py() for c in keys)
+            new[0] = name != last
+            last = tuple(batch.column(c)[n - 1].as_py() for c in keys)
+            cuts = np.union1d(np.flatnonzero(new), [0, n])
+            # the last key may go on in the next batch, the first may be that of the one before
+            within = (np.diff(cuts) <= FEW_ROWS) & new[cuts[:-1]] & (cuts[1:] < n)
+            asked = np.flatnonzero(own & np.repeat(within, np.diff(cuts)))
+            since = np.repeat(cuts[:-1], np.diff(cuts))[asked]
+            count = asked - since
+            which = np.repeat(np.arange(len(asked)), count)
+            other = np.arange(len(which)) - np.repeat(np.cumsum(count) - count - since, count)
+            hit = np.flatnonzero(~own[other] & (at[other] == at[other]) & meets(low[other], high[other], low[asked][which], high[asked][which]))
+            ends = hit[np.append(which[hit][1:] != which[hit][:-1], True)] if len(hit) else hit
+            places, edges = asked[which[ends]].tolist(), at[other[ends]].tolist()
+            for k in np.flatnonzero(~within).tolist():
+                lo, hi = int(cuts[k]), int(cuts[k + 1])
+                if new[lo] or sky is None:
+                    sky = state()
+                for i, mine, l, h, e in zip(range(lo, hi), *(x[lo:hi].tolist() for x in (own, low, high, at)), strict=False):
+                    if l != l or h != h or e != e:
+                        continue  # without a place
+                    if not mine:
+                        sky.paint(l, h, e)
+                    elif (best := sky.largest(l, h)) > float("-inf"):
+                        places.append(i)
+                        edges.append(best)
+            took = batch.select([*keys, "id"]).take(pa.array(places, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(edges, pa.float64())], [*keys, "id", "edge"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*keys, "id"))
+    sorted_rows = rows.select(*keys, "own", "low", "high", "at", "id").sortWithinPartitions(*keys, "at", "own")
+    return sorted_rows.mapInArrow(work, f"{kinds}, edge double")
+
+
+def _bands_meet(low, high, own_low, own_high):
+    """Whether open intervals meet; an interval without length is a point, an own one meets nothing."""
+    import numpy as np
+
+    return (own_low < own_high) & (low < own_high) & (np.maximum(low, high) > own_low)
 
 
 def surroundings(columns: DataFrame, foreign: DataFrame, keys: list[str]) -> DataFrame:
-    """columns (id, x0 to y1) with above, below, leftward and rightward: the nearest edges of foreign content (x0 to y1) beside them, null where there is none."""
+    """columns (id, x0 to y1) with above, below, leftward and rightward: the nearest edges of foreign content (x0 to y1) beside them, null where there is none.
+
+    Foreign content is beside a column where open intervals meet across the
+    side: one without length meets those that hold it inside, and a column
+    without length has none.  For two sides edges are negated, so that the
+    nearest is the largest; along them, what was seen last on each stretch of
+    the band is the nearest: one sorted pass, whose state is the stretches.
+    """
     sides = (("above", "x", "y0", "y1", 1), ("below", "x", "y1", "y0", -1), ("leftward", "y", "x0", "x1", 1), ("rightward", "y", "x1", "x0", -1))
-    each = lambda place, at: F.explode(F.array(*[F.struct(F.lit(name).alias("side"), F.col(band + "0").cast("double").alias("low"), F.col(band + "1").cast("double").alias("high"), (F.col(place(own, edge)) * sign).cast("double").alias(at)) for name, band, own, edge, sign in sides])).alias("s")
-    a = columns.select(*keys, "id", each(lambda own, edge: own, "at")).select(*keys, "id", "s.*")
-    b = foreign.select(*keys, each(lambda own, edge: edge, "edge")).select(*keys, "s.*")
-    near = nearest_in_band(a, b, keys).groupBy(*keys, "id").agg(*[F.max(F.when(F.col("side") == name, F.col("edge") * sign)).alias(name) for name, *_, sign in sides])
+    one = lambda d, mine, ident: d.select(*keys, F.lit(mine).alias("own"), ident, *[F.col(c).cast("double").alias(c) for c in _SIDES])
+    both = one(columns, True, F.col("id")).unionAll(one(foreign, False, F.lit(None).cast(columns.schema["id"].dataType).alias("id")))
+    # rectangles are dealt once, not for each side; what comes of them is four times as much, so the parts aren't to be merged by their size
+    dealt = both.repartition(int(columns.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    of = lambda side, band, own, edge, sign: F.struct(F.lit(side).alias("side"), F.col(band + "0").alias("low"), F.col(band + "1").alias("high"), (F.when(F.col("own"), F.col(own)).otherwise(F.col(edge)) * sign).alias("at"))
+    rows = dealt.select(*keys, "own", "id", F.explode(F.array(*[of(i, band, own, edge, sign) for i, (_, band, own, edge, sign) in enumerate(sides)])).alias("s")).select(*keys, "own", "id", "s.*")
+    found = _sweep(rows, [*keys, "side"], _Skyline, _bands_meet)
+    near = found.groupBy(*keys, "id").agg(*[F.max(F.when(F.col("side") == i, F.col("edge") * sign)).alias(name) for i, (name, *_, sign) in enumerate(sides)])
     return columns.join(near, [*keys, "id"], "left")
 
 
-def _spanning(batches):
-    """Rows sorted by key, cell and edge, bars before own rows: each own row's last bar that spans it."""
-    import pyarrow as pa
+class _Bars:
+    """The bars so far that no nearer one hides."""
+
+    def __init__(self):
+        self.bars = []
 
-    key, bars = None, []
-    for batch in batches:
-        found = []
-        columns = [batch.column(c).to_pylist() for c in ("group", "cell", "own", "low", "high", "at")]
-        for i, (group, cell, own, low, high, at) in enumerate(zip(*columns, strict=True)):
-            if (group, cell) != key:
-                key, bars = (group, cell), []
-            if not own:
-                # a farther bar within a nearer one is never needed again
-                while bars and low <= bars[-1][0] and bars[-1][1] <= high:
-                    bars.pop()
-                bars.append((low, high, at))
-            elif (best := next((e for lo, hi, e in reversed(bars) if lo <= low and high <= hi), None)) is not None:
-                found.append((i, best))
-        own = batch.take(pa.array([i for i, _ in found], pa.int64()))
-        yield pa.RecordBatch.from_arrays([own.column("ident"), pa.array([b for _, b in found], pa.float64())], ["ident", "edge"])
+    def paint(self, low: float, high: float, value: float) -> None:
+        # a farther bar within a nearer one is never needed again
+        while self.bars and low <= self.bars[-1][0] and self.bars[-1][1] <= high:
+            self.bars.pop()
+        self.bars.append((low, high, value))
+
+    def largest(self, low: float, high: float) -> float:
+        return next((e for lo, hi, e in reversed(self.bars) if lo <= low and high <= hi), float("-inf"))
 
 
 def nearest_spanning(own: DataFrame, bars: DataFrame, keys: list[str], cell: float) -> DataFrame:
@@ -182,12 +218,10 @@ def nearest_spanning(own: DataFrame, bars: DataFrame, keys: list[str], cell: flo
     theirs; within a cell one sorted pass keeps the bars that no nearer one
     hides.  For the nearest on the other side, edges and places are negated.
     """
-    kind = own.select(F.struct(*keys, "id").alias("i")).schema["i"].dataType
-    one = lambda d, mine, at, cells: d.select(F.to_json(F.struct(*keys)).alias("group"), cells.alias("cell"), F.lit(mine).alias("own"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.col(at).cast("double").alias("at"), (F.struct(*keys, "id") if mine else F.lit(None).cast(kind)).alias("ident"))
-    rows = one(own, True, "at", F.floor(F.col("low") / cell).cast("long")).unionAll(one(bars.where("low <= high"), False, "edge", F.explode(_cells(F.col("low"), F.col("high"), cell))))
-    parts = rows.repartition("group", "cell").sortWithinPartitions("group", "cell", "at", "own")
-    found = parts.mapInArrow(_spanning, f"ident {kind.simpleString()}, edge double")
-    return found.select(*[F.col(f"ident.{c}").alias(c) for c in (*keys, "id")], "edge")
+    one = lambda d, mine, at, cells, ident: d.select(*keys, cells.alias("cell"), F.lit(mine).alias("own"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"), F.col(at).cast("double").alias("at"), ident)
+    rows = one(own, True, "at", F.floor(F.col("low") / cell).cast("long"), F.col("id")).unionAll(one(bars.where("low <= high"), False, "edge", F.explode(_cells(F.col("low"), F.col("high"), cell)), F.lit(None).cast(own.schema["id"].dataType).alias("id")))
+    spans = lambda low, high, own_low, own_high: (low <= own_low) & (own_high <= high)
+    return _sweep(rows.repartition(*keys, "cell"), [*keys, "cell"], _Bars, spans).drop("cell")
 
 
 def region_of(height: Column, content_top: Column) -> tuple[Column, Column]:

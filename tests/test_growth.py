@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from leafmark import storage
 from leafmark.functions import text as T
-from leafmark.operators import graph, matching, orders, results, sequential, structure, typeset
+from leafmark.operators import areas, graph, matching, orders, results, sequential, structure, typeset
 from leafmark.plans import composition, elements, evaluation
 from leafmark.plans import results as results_plan
 from leafmark.storage import stage
@@ -285,3 +285,18 @@ def test_strips_of_a_page_are_numbered_in_one_pass(spark, size):
         own = sorted((g for g in glyphs if g[0] == page), key=lambda g: (g[3], g[2], g[1]))
         whole = sequential._lines_of_strip(pa.array([g[3] for g in own]).to_numpy(), pa.array([g[4] for g in own]).to_numpy())
         assert [got[page, g[1]] for g in own] == whole.tolist()
+
+
+def test_rectangles_are_dealt_once_for_all_sides(spark, small, monkeypatch):
+    """No row is written as JSON, sides are made after the shuffle, and keys of few rows give what a skyline gives, also across batches."""
+    found = composition.column_regions(spark, small)
+    plan = _plan(found)
+    assert "to_json" not in plan and plan.index("Generate") < plan.index("REPARTITION_BY_NUM")
+    want = sorted(map(str, found.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "101")
+    try:
+        assert sorted(map(str, composition.column_regions(spark, small).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(areas, "FEW_ROWS", 0)
+    assert sorted(map(str, composition.column_regions(spark, small).collect())) == want
