@@ -102,20 +102,22 @@ def cell_edges(texts: DataFrame, rules: DataFrame, glyphs: DataFrame, page: str)
     on the right.  No edge if it adds nothing, or if another text's inked glyph
     (owner, gx0, gy0, gx1, gy1) lies in what it adds.
     """
-
-    before = texts.select(page, "id", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1"), (F.col("x0") - F.col("size") * 3).alias("x0"), (F.col("y0") + 1).alias("y0"), F.col("x0").alias("x1"), (F.col("y0") + 1).alias("y1"))
-    lines = rules.select(page, "bottom", F.col("x").alias("rx0"), F.col("top").alias("ry0"), F.col("x").alias("rx1"), F.col("bottom").alias("ry1"))
-    spanned = areas.meet(before, lines, [page], CELL, "r").where(F.col("bottom") >= F.col("_y1") - 1)
-    left = spanned.groupBy(page, "id", *[F.col("_" + c).alias(c) for c in ("x0", "y0", "x1", "y1")]).agg(F.max("rx0").alias("_left"))
+    own = ("x0", "y0", "x1", "y1")
+    # the rule on the left is the last one before that spans the text, if it is near enough; a text goes with its places, so that none is joined
+    before = texts.select(page, F.struct("id", *own, (F.col("x0") - F.col("size") * 3).alias("least")).alias("id"), (F.col("y0") + 1).alias("low"), F.greatest(F.col("y0") + 1, F.col("y1") - 1).alias("high"), F.col("x0").alias("at"))
+    lines = rules.select(page, F.col("top").alias("low"), F.col("bottom").alias("high"), F.col("x").alias("edge"))
+    near = areas.nearest_spanning(before, lines, [page], CELL).where(F.col("edge") >= F.col("id.least"))
+    left = near.groupBy(page, *[F.col(f"id.{c}").alias(c) for c in ("id", *own)]).agg(F.max("edge").alias("_left"))
     left = stage(left, "left")
-    asks = left.select(page, "id", (F.col("y0") + 1).alias("low"), (F.col("y1") - 1).alias("high"), (-F.col("x1")).alias("at"))
+    asks = left.select(page, F.struct("id", *own, "_left").alias("id"), (F.col("y0") + 1).alias("low"), (F.col("y1") - 1).alias("high"), (-F.col("x1")).alias("at"))
     bars = rules.join(left.select(page).distinct(), page, "left_semi").select(page, F.col("top").alias("low"), F.col("bottom").alias("high"), (-F.col("x")).alias("edge"))
-    right = areas.nearest_spanning(asks, bars, [page], CELL).select("id", (-F.col("edge")).alias("_right"))
-    edges = left.join(right, "id").withColumn("edge", F.col("_right") - F.greatest(F.lit(0.5), F.col("x0") - F.col("_left"))).where(F.col("edge") > F.col("x1") + 0.05)
+    right = areas.nearest_spanning(asks, bars, [page], CELL).select(page, "id.*", (-F.col("edge")).alias("_right"))
+    edges = right.withColumn("edge", F.col("_right") - F.greatest(F.lit(0.5), F.col("x0") - F.col("_left"))).where(F.col("edge") > F.col("x1") + 0.05)
     edges = stage(edges, "edges")
     added = edges.select(page, "id", F.col("x1").alias("x0"), "y0", F.col("edge").alias("x1"), "y1")
     inside = (F.col("gx0") < F.col("x1")) & (F.col("gx1") > F.col("x0")) & (F.col("gy0") < F.col("y1")) & (F.col("gy1") > F.col("y0"))
-    taken = areas.meet(added, glyphs, [page], CELL, "g").where(inside & (F.col("owner") != F.col("id"))).select("id").distinct()
+    # of all glyphs, which are many, fewer lie in two cells of twice the size
+    taken = areas.meet(added, glyphs, [page], 2 * CELL, "g").where(inside & (F.col("owner") != F.col("id"))).select("id").distinct()
     return texts.select("id").join(edges.join(taken, "id", "left_anti").select("id", "edge"), "id", "left")
 
 

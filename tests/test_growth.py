@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from leafmark import storage
 from leafmark.functions import text as T
-from leafmark.operators import areas, graph, matching, orders, results, sequential, structure, typeset
+from leafmark.operators import areas, detection, graph, matching, orders, results, sequential, structure, typeset
 from leafmark.plans import composition, elements, evaluation
 from leafmark.plans import results as results_plan
 from leafmark.storage import stage
@@ -300,3 +300,22 @@ def test_rectangles_are_dealt_once_for_all_sides(spark, small, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     monkeypatch.setattr(areas, "FEW_ROWS", 0)
     assert sorted(map(str, composition.column_regions(spark, small).collect())) == want
+
+
+def test_texts_go_with_their_rules(spark, small):
+    """The rule on either side is found in a sorted pass that takes the text along: only its glyphs and its edge are joined to anything."""
+    lines = spark.read.parquet(f"{small}/lineitem.parquet")
+    texts = lines.selectExpr("l_orderkey div 8 AS page", "l_linenumber + l_orderkey * 10 AS id", "l_quantity * 8 AS x0", "l_linenumber * 40.0 AS y0", "l_quantity * 8 + 30 AS x1", "l_linenumber * 40.0 + 12 AS y1", "12 AS size")
+    rules = texts.selectExpr("page", "x0 - 5 AS x", "0.0 AS top", "400.0 AS bottom")
+    glyphs = texts.selectExpr("page", "id AS owner", "x0 AS gx0", "y0 AS gy0", "x1 AS gx1", "y1 AS gy1")
+    written = []
+
+    def kept(df, name, *args, **more):
+        written.append((name, _plan(df)))
+        return stage(df, name, *args, **more)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(detection, "stage", kept)
+        detection.cell_edges(texts, rules, glyphs, "page").count()
+    plans = dict(written)
+    assert "Join" not in plans["left"] and plans["edges"].count("Join") == 1
