@@ -49,6 +49,26 @@ def test_settled_positions_are_written_once(spark, staged):
     assert sum(rows for _, rows, _ in staged) < 2.5 * 4003 and len(staged) < 6
 
 
+def test_settled_positions_do_not_meet_in_one_task(spark, staged):
+    links = spark.createDataFrame([(i, i - 1 if i % 40 else None, 1.0) for i in range(8000)], "a long, b long, w double")
+    # as on large tables: partitions aren't merged, nothing is broadcast
+    large = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in large}
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        got = graph.positions(links, [], "a", "b", weight="w").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.a, r.position, r.status, r.total) for r in got} == {(i, i % 40, "ordered", i % 40 + 1.0) for i in range(8000)}
+    # a task writes one file, so a file has as many rows as met in a task
+    db, met = duckdb.connect(), []
+    for _, rows, files in staged:
+        met.append((max(db.sql(f"SELECT count(*) FROM '{name.removeprefix('file://')}'").fetchall()[0][0] for name in files), rows))
+    assert len(met) > 5 and all(most < 0.4 * rows for most, rows in met if rows > 400)
+
+
 def test_mapped_names_are_written_once(spark, staged):
     names = spark.createDataFrame([(f"n{i}", f"n{i + 1}" if i % 4 < 3 else "end") for i in range(4000)] + [("x", "y"), ("y", "x")], "a string, b string")
     got = {r.name: (r.mapped, r.status) for r in graph.terminals(names, "a", "b").collect()}
