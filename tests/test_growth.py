@@ -339,3 +339,15 @@ def test_texts_go_with_their_rules(spark, small):
         detection.cell_edges(texts, rules, glyphs, "page").count()
     plans = dict(written)
     assert "Join" not in plans["left"] and plans["edges"].count("Join") == 1
+
+
+def test_all_rows_of_least_burden(spark, tmp_path):
+    rows = [(7, 1, 1, 5, 5.0, "A", "O"), (9, 2, 1, 5, 5.0, "A", "O"), (7, 3, 2, 5, 5.0, "A", "O"), (8, 3, 2, 6, 5.0, "A", "O"), (2, 3, 2, 6, None, "A", "O"), (4, 1, 1, None, None, None, "F"), (5, 1, 1, None, None, None, "F"), (6, None, 1, 1, 3.0, "N", None)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(str(tmp_path / "written"))
+    (tmp_path / "t").mkdir()
+    duckdb.connect().sql(f"COPY (SELECT * FROM '{tmp_path}/written/*.parquet') TO '{tmp_path}/t/lineitem.parquet' (FORMAT parquet)")
+    same_rows(spark, str(tmp_path / "t"), evaluation.QUERIES["boundary_groups"], evaluation.ORACLES["boundary_groups"])
+    found = evaluation.QUERIES["boundary_groups"](spark, str(tmp_path / "t")).collect()
+    assert sorted((r.l_returnflag or "", r.least_ordinal) for r in found) == [("", 4), ("", 5), ("A", 7), ("A", 7), ("A", 9), ("N", 6)]
+    assert {(r.n, r.first_ordinal, r.last_ordinal, r.n_least, r.n_l_partkey) for r in found if r.l_returnflag == "A"} == {(5, 2, 9, 3, 3)}
