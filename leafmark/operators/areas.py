@@ -270,3 +270,130 @@ def outlines(glyphs: DataFrame, inks: DataFrame, keys: list[str], tolerance: flo
     found = found.join(of_ink, "ink", "left")
     status = F.when(F.col("_inks").isNull(), "none").when(F.col("_inks") > 1, "several").when(F.col("_claims") > 1, "shared").otherwise("matched")
     return found.select(*keys, "id", F.when(status == "matched", F.col("ink")).alias("ink"), status.alias("status"))
+
+
+#: Pairs of places that are compared at a time.
+MET = 1 << 20
+
+
+def _groups(*columns):
+    """The number of the group that each row is in, of rows equal in all columns, and a row of each group."""
+    import numpy as np
+
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new]
+
+
+def _met(key, x, y, other_key, other_x, other_y, tolerance):
+    """Pairs (places of the one, places of the other), in pieces of about MET, that are equal in key and within the tolerance on both axes; through the cells of a grid, by hashes."""
+    import numpy as np
+
+    cell = 3 * tolerance  # a reach touches two cells of an axis at most
+    at = lambda v: np.floor(v / cell) + 0.0
+    mixed = lambda k, p, q: (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ p.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9) + q.view(np.uint64) * np.uint64(0x85EBCA77C2B2AE63)
+    cx, cy = at(x), at(y)
+    reach = tolerance * 1.001
+    ends = [(at(v - reach), at(v + reach)) for v in (other_x, other_y)]
+    parts = []
+    for i in (0, 1):
+        for j in (0, 1):
+            p, q = ends[0][i], ends[1][j]
+            own = np.flatnonzero(((i == 0) | (p != ends[0][0])) & ((j == 0) | (q != ends[1][0])))
+            parts.append((own, p[own], q[own]))
+    other, ox, oy = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    hashes = mixed(other_key[other], ox, oy)
+    order = np.argsort(hashes)
+    asked, hashes = mixed(key, cx, cy), hashes[order]
+    lo = np.searchsorted(hashes, asked, side="left")
+    n = np.searchsorted(hashes, asked, side="right") - lo
+    total = np.cumsum(n)
+    first = 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + MET, side="right")))
+        m = n[first:last]
+        a = np.repeat(np.arange(first, last), m)
+        slot = order[np.arange(len(a)) + np.repeat(lo[first:last] - (np.cumsum(m) - m), m)]
+        b = other[slot]
+        # rows of other cells may have one hash
+        near = (ox[slot] == cx[a]) & (oy[slot] == cy[a]) & (key[a] == other_key[b]) & (np.abs(x[a] - other_x[b]) <= tolerance) & (np.abs(y[a] - other_y[b]) <= tolerance)
+        yield a[near], b[near]
+        first = last
+
+
+def outlines_at_home(rows: DataFrame, home: list[str], keys: list[str], tolerance: float = 0.002) -> DataFrame:
+    """outlines() of rows that hold a glyph (id, x, y; is_glyph), an outline (ink, ink_x, ink_y; is_ink) or both, where all rows of an id, and all of an ink, are equal in the keys `home`.
+
+    rows are dealt by home already, so that ids are counted where places meet
+    and nothing else is shuffled: the pages of an Arrow batch are worked at
+    once.  Ids are integers; null ids, keys and places meet nothing.
+    """
+    from leafmark.operators.sequential import _whole_runs
+
+    names = [*home, *keys]
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def column(table, name, kind):
+            """Values, and where they are known."""
+            c = table[name].combine_chunks()
+            v = pc.fill_null(c, 0).to_numpy(zero_copy_only=False).astype(kind)
+            return v, pc.is_valid(c).to_numpy(zero_copy_only=False) & np.isfinite(v)
+
+        def placed(table, ident, x, y, flag, known):
+            """Rows, their ids and whether these are known, and of those that have a place: which, and x and y."""
+            rows = np.flatnonzero(pc.fill_null(table[flag].combine_chunks(), False).to_numpy(zero_copy_only=False))
+            (i, has), (x, has_x), (y, has_y) = column(table, ident, np.int64), column(table, x, np.float64), column(table, y, np.float64)
+            at = np.flatnonzero((known & has_x & has_y)[rows])
+            return rows, i[rows], has[rows], at, x[rows[at]], y[rows[at]]
+
+        for table, cuts in _whole_runs(batches, home):
+            page = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+            key, known = page, np.ones(table.num_rows, bool)
+            for k in names:
+                c = table[k].combine_chunks()
+                known &= pc.is_valid(c).to_numpy(zero_copy_only=False)
+                if k not in home:
+                    key, _ = _groups(key, c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False))
+            g, ids, has_id, g_at, gx, gy = placed(table, "id", "x", "y", "is_glyph", known)
+            k, inks, has_ink, k_at, kx, ky = placed(table, "ink", "ink_x", "ink_y", "is_ink", known)
+            # equal places are counted before places meet
+            g_place, g_one = _groups(key[g[g_at]], gx, gy)
+            k_place, k_one = _groups(key[k[k_at]], kx, ky)
+            none = np.iinfo(np.int64).max
+            own = np.where(has_ink, inks, none)[k_at]
+            n_glyphs, n_inks = np.bincount(g_place, minlength=len(g_one)), np.bincount(k_place, minlength=len(k_one))
+            least = np.full(len(k_one), none)
+            np.minimum.at(least, k_place, own)
+            met, best, claims = np.zeros(len(g_one), np.int64), np.full(len(g_one), none), np.zeros(len(k_one), np.int64)
+            for a, b in _met(key[g[g_at]][g_one], gx[g_one], gy[g_one], key[k[k_at]][k_one], kx[k_one], ky[k_one], tolerance):
+                np.add.at(met, a, n_inks[b])
+                np.minimum.at(best, a, least[b])
+                np.add.at(claims, b, n_glyphs[a])
+            of_id, _ = _groups(page[g], ids)
+            n_ids = int(of_id.max(initial=-1)) + 1
+            n, ink = np.zeros(n_ids, np.int64), np.full(n_ids, none)
+            np.add.at(n, of_id[g_at], met[g_place])
+            np.minimum.at(ink, of_id[g_at], best[g_place])
+            n, ink = np.where(has_id, n[of_id], 0), ink[of_id]
+            # what an outline is claimed by, asked for by the glyphs that have met it
+            both, _ = _groups(np.concatenate([page[k[k_at]], page[g]]), np.concatenate([own, ink]))
+            claimed = np.zeros(int(both.max(initial=-1)) + 1, np.int64)
+            np.add.at(claimed, both[: len(k_at)], claims[k_place])
+            claimed = np.where(ink == none, 0, claimed[both[len(k_at) :]])
+            status = np.select([n == 0, n > 1, claimed > 1], ["none", "several", "shared"], "matched")
+            shown = (status == "matched") & (ink != none)
+            out = [table[c].combine_chunks().take(pa.array(g)) for c in (*names, "id")]
+            yield pa.RecordBatch.from_arrays([*out, pa.array(ink, pa.int64(), mask=~shown), pa.array(status.tolist(), pa.string())], [*names, "id", "ink", "status"])
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*names, "id"))
+    asked = rows.select(*names, *[F.col(c).cast("long").alias(c) if c in ("id", "ink") else c for c in ("id", "x", "y", "ink", "ink_x", "ink_y", "is_glyph", "is_ink")])
+    return asked.sortWithinPartitions(*home).mapInArrow(work, f"{kinds.rsplit(', ', 1)[0]}, id long, ink long, status string")

@@ -128,3 +128,31 @@ def test_outlines_against_all_pairs(spark):
         want = (None, "none") if not own else (None, "several") if len(own) > 1 else (None, "shared") if claims[own[0]] > 1 else (own[0], "matched")
         assert got[g] == want
     assert got[2000] == (2000, "matched")
+
+
+def test_outlines_at_home_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(areas, "MET", 50)
+    rng = random.Random(9)
+    near = lambda v: v + rng.choice([0.0, 0.0015, -0.002, 0.0021, 0.004])
+    place = lambda: rng.choice([None, float("nan"), 1e12, *[float(x) for x in range(-3, 20)]])
+    rows = []
+    for k in range(900):
+        page, x, y = rng.choice([None, 1, 2, 3, 4, 5, 6, 7]), place(), place()
+        one = rng.choice([None, *[(page or 0) * 1000 + i for i in range(60)]])
+        rows.append((page, rng.choice(["a", "b", None]), one, x, y, one if k % 3 else (page or 0) * 1000 + k % 70, x if x is None else near(x), y if y is None else near(y), k % 11 > 0, k % 7 > 0))
+    rows += [(9, "a", 9000 + k, 1.0, 1.0, 9000 + k, 1.0, 1.0, True, k > 0) for k in range(80)] + [(10, "a", 10000, 5.0, 2.0, 10000, 5.001, 1.999, True, True)]
+    df = spark.createDataFrame(rows, "page int, ch string, id long, x double, y double, ink long, ink_x double, ink_y double, is_glyph boolean, is_ink boolean")
+    pairs = [(g[2], i[5]) for g in rows if g[8] for i in rows if i[9] and None not in (*g[:2], *g[3:5], *i[6:8]) and g[:2] == i[:2] and abs(g[3] - i[6]) <= 0.002 and abs(g[4] - i[7]) <= 0.002]
+    own, claims = {}, {}
+    for g, i in pairs:
+        own.setdefault(g, []).append(i)
+        claims[i] = claims.get(i, 0) + 1
+    want = []
+    for g in (r for r in rows if r[8]):
+        met = own.get(g[2], []) if g[2] is not None else []
+        ink = met[0] if len(met) == 1 else None
+        status = "none" if not met else "several" if len(met) > 1 else "shared" if ink is not None and claims[ink] > 1 else "matched"
+        want.append((g[0], g[1], g[2], ink if status == "matched" else None, status))
+    got = areas.outlines_at_home(df.repartition(3, "page"), ["page"], ["ch"]).collect()
+    order = lambda found: sorted((tuple(r) for r in found), key=repr)
+    assert order(got) == order(want) and {r.status for r in got} == {"none", "several", "shared", "matched"}

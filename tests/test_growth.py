@@ -351,3 +351,12 @@ def test_all_rows_of_least_burden(spark, tmp_path):
     found = evaluation.QUERIES["boundary_groups"](spark, str(tmp_path / "t")).collect()
     assert sorted((r.l_returnflag or "", r.least_ordinal) for r in found) == [("", 4), ("", 5), ("A", 7), ("A", 7), ("A", 9), ("N", 6)]
     assert {(r.n, r.first_ordinal, r.last_ordinal, r.n_least, r.n_l_partkey) for r in found if r.l_returnflag == "A"} == {(5, 2, 9, 3, 3)}
+
+
+def test_lines_are_shuffled_once_to_their_page(spark, small, tmp_path):
+    plan = _plan(composition.outline_matches(spark, small))
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    # a price that has no room in an id: pages share ids
+    twin = "* REPLACE (l_orderkey + 8 AS l_orderkey, l_extendedprice - 8000000 AS l_extendedprice)"
+    duckdb.connect().sql(f"COPY (FROM '{small}/lineitem.parquet' UNION ALL SELECT {twin} FROM '{small}/lineitem.parquet' WHERE l_orderkey % 5 = 1) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    same_rows(spark, str(tmp_path), composition.outline_matches, composition.ORACLES["outline_matches"])
