@@ -360,3 +360,30 @@ def test_lines_are_shuffled_once_to_their_page(spark, small, tmp_path):
     twin = "* REPLACE (l_orderkey + 8 AS l_orderkey, l_extendedprice - 8000000 AS l_extendedprice)"
     duckdb.connect().sql(f"COPY (FROM '{small}/lineitem.parquet' UNION ALL SELECT {twin} FROM '{small}/lineitem.parquet' WHERE l_orderkey % 5 = 1) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
     same_rows(spark, str(tmp_path), composition.outline_matches, composition.ORACLES["outline_matches"])
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_texts_are_sent_once_for_a_pair_and_copies_not_at_all(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(matching, "BROADCAST", broadcast)
+    monkeypatch.setattr(matching, "STAR", 3)
+    monkeypatch.setattr(matching, "PAIRS_A_TASK", 5)
+    monkeypatch.setattr(matching, "CHARS_A_TASK", 500)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}é" for _ in range(60)]
+    texts = [" ".join(base), "x", None, "", "", " ".join(base), "x"] + [" ".join(w if rng.random() > 0.02 else "edit" for w in base) for _ in range(14)]
+    df = spark.createDataFrame([(100 - k, t) for k, t in enumerate(texts)], "id long, text string")
+    by_id = {r.id: r.text for r in df.collect()}
+    found = matching.aligned_copies(df, "id", "text")
+    got = {tuple(r)[:2]: tuple(r)[2:] for r in found.collect()}
+    pairs = [tuple(r) for r in matching.near_copies(df, "id", "text").collect()]
+    assert len(got) == found.count() == len(pairs) > 10 and set(got) == set(pairs)
+    for (k, f), counts in got.items():
+        want = [0, 0, 0, 0]
+        for tag, i, j, m, n in difflib.SequenceMatcher(None, by_id[f], by_id[k], autojunk=False).get_opcodes():
+            want[("equal", "delete", "insert", "replace").index(tag)] += j - i if tag in ("equal", "delete") else n - m
+        assert counts == tuple(want)
+    if broadcast:
+        assert _plan(found).count("Exchange hashpartitioning") == 1
+        # equal texts come from their digests
+        plan = _plan(matching.copies_and_links(df, "id", "text")[0])
+        assert "Exchange" not in plan and "text" not in plan
