@@ -387,3 +387,10 @@ def test_texts_are_sent_once_for_a_pair_and_copies_not_at_all(spark, monkeypatch
         # equal texts come from their digests
         plan = _plan(matching.copies_and_links(df, "id", "text")[0])
         assert "Exchange" not in plan and "text" not in plan
+
+
+def test_slots_of_one_place_go_by_page_and_text(spark, shared_ids):
+    sql = elements.ORACLES["region_breaks"]
+    ordered = sql.replace("AS page FROM lineitem", "AS page, l_partkey FROM lineitem").replace("ORDER BY slot)", "ORDER BY slot, page, l_partkey, en)")
+    assert ordered.count("l_partkey,") == sql.count("l_partkey,") + 1
+    same_rows(spark, shared_ids, elements.region_breaks, ordered)
